@@ -63,3 +63,19 @@ register("upcoming_registrations")(
     lambda t: R.upcoming_registrations(t.participants, t.events, t.venues, AS_OF)
 )
 register("unknown_student_requests")(lambda t: R.unknown_student_requests(t.order_requests, t.students))
+
+# ------------------------------------------------------- overlap conflicts
+from campusflow.operators import conflicts as C  # noqa: E402
+
+register("venue_conflicts")(lambda t: C.venue_conflicts(t.events))
+register("event_request_conflicts")(
+    lambda t: C.event_request_conflicts(C.with_event_span(t.event_requests), t.events)
+)
+register("booking_maintenance_conflicts")(lambda t: C.booking_maintenance_conflicts(t.bookings, t.maintenance))
+register("maintenance_booking_conflicts")(
+    lambda t: C.maintenance_booking_conflicts(C.with_span(t.maintenance_requests), t.bookings, t.events)
+)
+register("booked_in_slot")(lambda t: C.booked_in_slot(C.with_span(t.booking_requests), t.bookings))
+register("resource_remaining")(
+    lambda t: C.resource_remaining(C.booked_in_slot(C.with_span(t.booking_requests), t.bookings), t.resources)
+)

@@ -68,3 +68,55 @@ def all_sql() -> dict[str, str]:
 
 def register_sql(name: str, body: str) -> None:
     _BODIES[name] = body
+
+TS = "'%Y-%m-%d %H:%M:%S'"
+
+
+def _span(view: str, cols: str, start: str = "start_text", end: str = "end_text") -> str:
+    return f"(select {cols}, try_strptime({start}, {TS}) as start_ts, try_strptime({end}, {TS}) as end_ts from {view})"
+
+
+def _event_span(view: str, cols: str) -> str:
+    return (
+        f"(select {cols}, try_strptime(date_text || ' ' || start_text, {TS}) as start_ts, "
+        f"try_strptime(date_text || ' ' || end_text, {TS}) as end_ts from {view})"
+    )
+
+
+_BODIES.update({
+    "venue_conflicts": """
+        select a.location_id, a.id as event_id_a, b.id as event_id_b
+        from d_events a join d_events b
+          on a.location_id = b.location_id and a.id < b.id and a.start_ts < b.end_ts and a.end_ts > b.start_ts""",
+    "event_request_conflicts": f"""
+        select r.request_id, r.location_id,
+               (select count(*) from d_events e where e.location_id = r.location_id
+                  and e.start_ts < r.end_ts and e.end_ts > r.start_ts) as conflicts
+        from {_event_span('d_event_requests', 'request_id, location_id')} r
+        where r.start_ts < r.end_ts""",
+    "booking_maintenance_conflicts": """
+        select b.resource_id, b.id as booking_id, m.id as maintenance_id
+        from d_bookings b join d_maintenance m on b.resource_id = m.resource_id
+          and b.booking_start < m.maintenance_end and b.booking_end > m.maintenance_start""",
+    "maintenance_booking_conflicts": f"""
+        select r.request_id, r.resource_id,
+               (select count(*) from d_bookings b where b.resource_id = r.resource_id
+                  and b.event_id in (select id from d_events)
+                  and b.booking_start < r.end_ts and b.booking_end > r.start_ts) as conflicts
+        from {_span('d_maintenance_requests', 'request_id, resource_id')} r
+        where r.start_ts < r.end_ts""",
+    "booked_in_slot": f"""
+        select r.request_id, r.resource_id,
+               cast(coalesce((select sum(b.quantity_booked) from d_bookings b where b.resource_id = r.resource_id
+                  and b.booking_start < r.end_ts and b.booking_end > r.start_ts), 0) as bigint) as booked
+        from {_span('d_booking_requests', 'request_id, resource_id')} r
+        where r.start_ts < r.end_ts""",
+    "resource_remaining": f"""
+        select x.request_id, x.resource_id, res.quantity as total, x.booked, res.quantity - x.booked as remaining
+        from (select r.request_id, r.resource_id,
+                     cast(coalesce((select sum(b.quantity_booked) from d_bookings b where b.resource_id = r.resource_id
+                        and b.booking_start < r.end_ts and b.booking_end > r.start_ts), 0) as bigint) as booked
+              from {_span('d_booking_requests', 'request_id, resource_id')} r
+              where r.start_ts < r.end_ts) x
+        join d_resources res on res.id = x.resource_id""",
+})
