@@ -79,3 +79,40 @@ register("booked_in_slot")(lambda t: C.booked_in_slot(C.with_span(t.booking_requ
 register("resource_remaining")(
     lambda t: C.resource_remaining(C.booked_in_slot(C.with_span(t.booking_requests), t.bookings), t.resources)
 )
+
+# ------------------------------------------------------------------ rules
+from campusflow.operators import rules as V  # noqa: E402
+
+register("invalid_semester")(lambda t: V.invalid_semester(t.students))
+register("invalid_rating")(lambda t: V.invalid_rating(t.feedback))
+register("invalid_intervals")(
+    lambda t: V.invalid_spans(t.events, "events", "id", "start_ts", "end_ts")
+    .unionByName(V.invalid_spans(t.bookings, "bookings", "id", "booking_start", "booking_end"))
+    .unionByName(V.invalid_spans(t.maintenance, "maintenance", "id", "maintenance_start", "maintenance_end"))
+    .unionByName(V.invalid_spans(C.with_event_span(t.event_requests), "event_requests", "request_id", "start_ts", "end_ts"))
+    .unionByName(V.invalid_spans(C.with_span(t.booking_requests), "booking_requests", "request_id", "start_ts", "end_ts"))
+    .unionByName(
+        V.invalid_spans(C.with_span(t.maintenance_requests), "maintenance_requests", "request_id", "start_ts", "end_ts")
+    )
+)
+register("over_capacity_events")(lambda t: V.over_capacity_events(t.events, t.venues))
+register("requests_bad_ticket")(lambda t: V.requests_bad_ticket(t.order_requests, t.tickets))
+register("unfillable_requests")(lambda t: V.unfillable_requests(t.order_requests, t.tickets))
+register("invalid_booking_quantity")(lambda t: V.invalid_booking_quantity(t.booking_requests, t.resources))
+register("invalid_resource_quantity")(lambda t: V.invalid_resource_quantity(t.resource_requests))
+register("invalid_flags")(lambda t: V.invalid_flags(t.venue_flag_requests, "request_id", "new_status"))
+register("duplicate_keys")(lambda t: V.duplicate_keys(t.students, t.hosts, t.participants))
+register("orphan_rows")(
+    lambda t: V.orphan_rows(t.participants, t.feedback, t.bookings, t.orders, t.students, t.events, t.tickets, t.resources)
+)
+register("requests_bad_venue")(lambda t: V.requests_bad_venue(t.event_requests, t.venues))
+register("unparseable_requests")(
+    lambda t: V.unparseable_requests({
+        "event_requests": (t.event_requests, ["date_text+start_text", "date_text+end_text"]),
+        "event_update_requests": (t.event_update_requests, ["new_date_text+new_start_text", "new_date_text+new_end_text"]),
+        "booking_requests": (t.booking_requests, ["start_text", "end_text"]),
+        "maintenance_requests": (t.maintenance_requests, ["start_text", "end_text"]),
+    })
+)
+register("lowest_ticket")(lambda t: V.lowest_ticket(t.tickets))
+register("first_feedback")(lambda t: V.first_feedback(t.feedback, t.participants))

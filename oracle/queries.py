@@ -120,3 +120,97 @@ _BODIES.update({
               where r.start_ts < r.end_ts) x
         join d_resources res on res.id = x.resource_id""",
 })
+
+
+def _bad_span(view: str, source: str, id_col: str, s: str, e: str) -> str:
+    return (f"select '{source}' as source, {id_col} as row_id, {s} as start_ts, {e} as end_ts from {view} "
+            f"where {s} is null or {e} is null or {e} <= {s}")
+
+
+def _unparse(view: str, source: str, field: str, text: str) -> str:
+    return (f"select '{source}' as source, request_id, '{field}' as field from {view} "
+            f"where ({text}) is not null and try_strptime({text}, {TS}) is null")
+
+
+_BODIES.update({
+    "invalid_semester": "select id, srn, semester from d_students where semester is null or semester not between 1 and 8",
+    "invalid_rating": "select id, event_id, user_id, rating from d_feedback where rating is null or rating not between 1 and 5",
+    "invalid_intervals": " union all ".join([
+        _bad_span("d_events", "events", "id", "start_ts", "end_ts"),
+        _bad_span("d_bookings", "bookings", "id", "booking_start", "booking_end"),
+        _bad_span("d_maintenance", "maintenance", "id", "maintenance_start", "maintenance_end"),
+        _bad_span(_event_span("d_event_requests", "request_id"), "event_requests", "request_id", "start_ts", "end_ts"),
+        _bad_span(_span("d_booking_requests", "request_id"), "booking_requests", "request_id", "start_ts", "end_ts"),
+        _bad_span(_span("d_maintenance_requests", "request_id"), "maintenance_requests", "request_id", "start_ts", "end_ts"),
+    ]),
+    "over_capacity_events": """
+        select e.id as event_id, e.location_id, e.max_participants, v.capacity
+        from d_events e join d_venues v on e.location_id = v.id where e.max_participants > v.capacity""",
+    "requests_bad_ticket": """
+        select r.request_id, r.event_id, r.ticket_id from d_order_requests r left join d_tickets t on r.ticket_id = t.id
+        where t.id is null or t.event_id <> r.event_id or not (t.quantity > 0)""",
+    "unfillable_requests": """
+        select r.request_id, r.ticket_id, r.how_many, t.quantity from d_order_requests r join d_tickets t on r.ticket_id = t.id
+        where t.event_id = r.event_id and t.quantity > 0 and (r.how_many <= 0 or r.how_many > t.quantity)""",
+    "invalid_booking_quantity": """
+        select * from (
+          select r.request_id, r.resource_id, r.quantity, s.quantity as total,
+                 case when r.quantity is null or r.quantity > s.quantity then 'OVER_TOTAL'
+                      when r.quantity <= 0 then 'NON_POSITIVE' end as reason
+          from d_booking_requests r join d_resources s on r.resource_id = s.id) where reason is not null""",
+    "invalid_resource_quantity": """
+        select request_id, name, quantity from d_resource_requests where quantity is null or quantity < 0""",
+    "invalid_flags": """
+        select request_id, new_status from d_venue_flag_requests where new_status is null or new_status not in (0, 1)""",
+    "duplicate_keys": """
+        select 'srn' as key_name, srn as key_value, count(*) as n from d_students where srn is not null group by srn having count(*) > 1
+        union all
+        select 'email', email, count(*) from d_hosts where email is not null group by email having count(*) > 1
+        union all
+        select 'phone', phone, count(*) from d_hosts where phone is not null group by phone having count(*) > 1
+        union all
+        select 'registration', k, count(*) from (select cast(event_id as varchar) || '/' || cast(user_id as varchar) as k
+                                                 from d_participants) group by k having count(*) > 1""",
+    "orphan_rows": """
+        select 'participants' as table_name, cast(event_id as varchar) || '/' || cast(user_id as varchar) as row_key,
+               'student' as missing_ref, user_id as ref_id
+          from d_participants where user_id not in (select id from d_students)
+        union all
+        select 'participants', cast(event_id as varchar) || '/' || cast(user_id as varchar), 'event', event_id
+          from d_participants where event_id not in (select id from d_events)
+        union all
+        select 'feedback', cast(id as varchar), 'student', user_id from d_feedback where user_id not in (select id from d_students)
+        union all
+        select 'feedback', cast(id as varchar), 'event', event_id from d_feedback where event_id not in (select id from d_events)
+        union all
+        select 'bookings', cast(id as varchar), 'event', event_id from d_bookings where event_id not in (select id from d_events)
+        union all
+        select 'bookings', cast(id as varchar), 'resource', resource_id from d_bookings
+          where resource_id not in (select id from d_resources)
+        union all
+        select 'orders', cast(order_id as varchar), 'ticket', ticket_id from d_orders where ticket_id not in (select id from d_tickets)
+        union all
+        select 'orders', cast(order_id as varchar), 'student', user_id from d_orders where user_id not in (select id from d_students)""",
+    "requests_bad_venue": """
+        select request_id, location_id from d_event_requests
+        where location_id not in (select id from d_venues where is_available = 1) or location_id is null""",
+    "unparseable_requests": " union all ".join([
+        _unparse("d_event_requests", "event_requests", "date_text+start_text", "date_text || ' ' || start_text"),
+        _unparse("d_event_requests", "event_requests", "date_text+end_text", "date_text || ' ' || end_text"),
+        _unparse("d_event_update_requests", "event_update_requests", "new_date_text+new_start_text",
+                 "new_date_text || ' ' || new_start_text"),
+        _unparse("d_event_update_requests", "event_update_requests", "new_date_text+new_end_text",
+                 "new_date_text || ' ' || new_end_text"),
+        _unparse("d_booking_requests", "booking_requests", "start_text", "start_text"),
+        _unparse("d_booking_requests", "booking_requests", "end_text", "end_text"),
+        _unparse("d_maintenance_requests", "maintenance_requests", "start_text", "start_text"),
+        _unparse("d_maintenance_requests", "maintenance_requests", "end_text", "end_text"),
+    ]),
+    "lowest_ticket": "select event_id, min(id) as ticket_id from d_tickets group by event_id",
+    "first_feedback": """
+        select event_id, user_id, submitted_at, id, rating from (
+          select f.*, row_number() over (partition by f.event_id, f.user_id order by f.submitted_at, f.id) as rn
+          from d_feedback f
+          where exists (select 1 from d_participants p where p.event_id = f.event_id and p.user_id = f.user_id
+                          and coalesce(p.attendance_status, 1) <> 0)) where rn = 1""",
+})
