@@ -34,7 +34,7 @@ def running_sums(
     when ``inclusive``).
 
     ``block`` must be non-decreasing along ``order`` within a key, ``order``
-    must be a total order within a key, and ``keys`` must not be NULL.
+    must be a total order within a key. NULL keys form their own group.
     """
     keys = list(keys)
     vals = {out: (F.col(v) if isinstance(v, str) else v) for out, v in values.items()}
@@ -52,8 +52,14 @@ def running_sums(
     inner = staged.select(
         *df.columns, *[F.coalesce(F.sum(f"_v_{out}").over(upto), F.lit(0)).alias(f"_i_{out}") for out in vals]
     )
-    joined = inner.join(offsets, [*keys, block], "inner")
-    return joined.select(*df.columns, *[(F.col(f"_o_{out}") + F.col(f"_i_{out}")).alias(out) for out in vals])
+    # Null-safe equality: rows with a NULL key or block keep their own group.
+    i, o = inner.alias("_in"), offsets.alias("_off")
+    cond = [F.col(f"_in.{k}").eqNullSafe(F.col(f"_off.{k}")) for k in [*keys, block]]
+    joined = i.join(o, cond, "inner")
+    return joined.select(
+        *[F.col(f"_in.{c}").alias(c) for c in df.columns],
+        *[(F.col(f"_off._o_{out}") + F.col(f"_in._i_{out}")).alias(out) for out in vals],
+    )
 
 
 def time_block(ts: str | Column, unit: str = "HOUR") -> Column:

@@ -116,3 +116,56 @@ register("unparseable_requests")(
 )
 register("lowest_ticket")(lambda t: V.lowest_ticket(t.tickets))
 register("first_feedback")(lambda t: V.first_feedback(t.feedback, t.participants))
+
+# ----------------------------------------------------------- request flows
+from campusflow.plans import assets as PA  # noqa: E402
+from campusflow.plans import orders as PO  # noqa: E402
+from campusflow.plans import people as PP  # noqa: E402
+from campusflow.plans import registrations as PR  # noqa: E402
+from campusflow.plans import tickets as PT  # noqa: E402
+
+
+def _orders(t: FixtureTables) -> dict[str, DataFrame]:
+    return PO.apply_orders(t.tickets, t.participants, t.students, t.events, t.venues, t.hosts, t.order_requests, AS_OF)
+
+
+def _cancels(t: FixtureTables) -> dict[str, DataFrame]:
+    return PO.apply_cancellations(t.participants, t.events, t.tickets, t.orders, t.cancel_requests, AS_OF)
+
+
+def _feedback(t: FixtureTables) -> dict[str, DataFrame]:
+    return PR.apply_feedback(t.feedback_requests, t.participants, t.feedback, t.students, t.events, t.venues, t.hosts,
+                             AS_OF)
+
+
+register("order_decisions")(lambda t: _orders(t)["decisions"])
+register("ticket_stock_after")(lambda t: _orders(t)["tickets_after"])
+register("orders_delta")(lambda t: _orders(t)["orders_delta"])
+register("order_payment_status")(lambda t: PO.order_payment_status(t.order_requests, t.tickets))
+register("cancel_decisions")(lambda t: _cancels(t)["decisions"])
+register("refunds_by_ticket")(lambda t: _cancels(t)["refunds_by_ticket"])
+register("orders_of_cancelled")(lambda t: _cancels(t)["orders_removed"])
+register("attendance_decisions")(
+    lambda t: PR.apply_attendance(t.events, t.participants, t.students, t.attendance_requests)["decisions"]
+)
+register("attendance_after")(
+    lambda t: PR.apply_attendance(t.events, t.participants, t.students, t.attendance_requests)["participants_after"]
+)
+register("venue_flag_decisions")(lambda t: PA.apply_venue_flags(t.venues, t.venue_flag_requests)["decisions"])
+register("venues_after")(lambda t: PA.apply_venue_flags(t.venues, t.venue_flag_requests)["venues_after"])
+register("resource_flag")(lambda t: PA.apply_resource_status(t.resources, t.resource_status_requests)["decisions"])
+register("resources_after")(
+    lambda t: PA.apply_resource_status(t.resources, t.resource_status_requests)["resources_after"]
+)
+register("resources_delta")(lambda t: PA.apply_new_resources(t.resource_requests)["resources_delta"])
+register("maintenance_decisions")(
+    lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["decisions"]
+)
+register("resources_after_maintenance")(
+    lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["resources_after"]
+)
+register("feedback_eligibility")(lambda t: _feedback(t)["decisions"])
+register("feedback_delta")(lambda t: _feedback(t)["feedback_delta"])
+register("unique_students")(lambda t: PP.apply_new_students(t.students, t.student_requests)["decisions"])
+register("host_decisions")(lambda t: PP.apply_new_hosts(t.hosts, t.host_requests)["decisions"])
+register("tickets_after_update")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests)["tickets_after"])
