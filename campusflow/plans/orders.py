@@ -51,7 +51,7 @@ def order_payment_status(requests: DataFrame, tickets: DataFrame) -> DataFrame:
     r = requests.join(_ticket_lookup(tickets), "ticket_id", "inner").where(F.col("_t_event") == F.col("event_id"))
     total = F.col("_price") * F.col("how_many")
     return r.select(
-        "request_id", F.round(total, 2).alias("total_price"), payment_status(total, "paid").alias("payment_status")
+        "request_id", total.alias("total_price"), payment_status(total, "paid").alias("payment_status")
     )
 
 

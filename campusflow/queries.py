@@ -169,3 +169,28 @@ register("feedback_delta")(lambda t: _feedback(t)["feedback_delta"])
 register("unique_students")(lambda t: PP.apply_new_students(t.students, t.student_requests)["decisions"])
 register("host_decisions")(lambda t: PP.apply_new_hosts(t.hosts, t.host_requests)["decisions"])
 register("tickets_after_update")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests)["tickets_after"])
+
+from campusflow.plans import bookings as PB  # noqa: E402
+from campusflow.plans import events as PE  # noqa: E402
+
+
+def _new_events(t: FixtureTables) -> dict[str, DataFrame]:
+    return PE.apply_new_events(t.events, t.venues, t.hosts, t.event_requests)
+
+
+def _bookings(t: FixtureTables) -> dict[str, DataFrame]:
+    return PB.apply_bookings(t.events, t.venues, t.hosts, t.resources, t.bookings, t.maintenance, t.booking_requests,
+                             AS_OF)
+
+
+register("event_admission")(lambda t: _new_events(t)["decisions"])
+register("events_delta")(lambda t: _new_events(t)["events_delta"])
+register("event_update_decisions")(
+    lambda t: PE.apply_event_updates(t.events, t.venues, t.hosts, t.event_update_requests, AS_OF)["decisions"]
+)
+register("booking_decisions")(lambda t: _bookings(t)["decisions"])
+register("booking_check")(
+    lambda t: PB.booking_check(t.events, t.venues, t.hosts, t.resources, t.bookings, t.maintenance,
+                               t.booking_requests, AS_OF).select("request_id", "resource_id", "booked",
+                                                                 "maintenance_hits", "reason")
+)

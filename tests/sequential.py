@@ -85,3 +85,109 @@ def simulate_hosts(con: duckdb.DuckDBPyConnection) -> dict[int, bool]:
             phones.add(phone)
         out[q["request_id"]] = True
     return out
+
+
+def _parse(text: str | None):
+    import datetime as dt
+
+    if text is None:
+        return None
+    try:
+        return dt.datetime.strptime(text, "%Y-%m-%d %H:%M:%S")
+    except ValueError:
+        return None
+
+
+def _overlap(a0, a1, b0, b1) -> bool:
+    return a0 < b1 and a1 > b0
+
+
+def simulate_new_events(con: duckdb.DuckDBPyConnection) -> dict[int, tuple[bool, str | None]]:
+    events = fetch(con, "select location_id, start_ts, end_ts from d_events where location_id is not null")
+    by_loc: dict[int, list] = {}
+    for e in events:
+        if e["start_ts"] is not None and e["end_ts"] is not None:
+            by_loc.setdefault(e["location_id"], []).append((e["start_ts"], e["end_ts"]))
+    venues = {v["id"]: v["capacity"] for v in fetch(con, "select id, capacity from d_venues where is_available = 1")}
+    hosts = {h["id"] for h in fetch(con, "select id from d_hosts")}
+    out = {}
+    for q in fetch(con, "select * from d_event_requests order by request_ts, request_id"):
+        rid = q["request_id"]
+        s = _parse(f"{q['date_text']} {q['start_text']}")
+        e = _parse(f"{q['date_text']} {q['end_text']}")
+        if s is None or e is None:
+            out[rid] = (False, "UNPARSEABLE")
+            continue
+        if e <= s:
+            out[rid] = (False, "BAD_TIME")
+            continue
+        if not hosts or not venues:
+            out[rid] = (False, "EMPTY_LIST")
+            continue
+        cap = venues.get(q["location_id"])
+        if cap is None:
+            out[rid] = (False, "INVALID_VENUE")
+            continue
+        if q["max_participants"] > cap:
+            out[rid] = (False, "OVER_CAPACITY")
+            continue
+        if any(_overlap(a0, a1, s, e) for a0, a1 in by_loc.get(q["location_id"], [])):
+            out[rid] = (False, "CONFLICT")
+            continue
+        if q["organizer_id"] not in hosts:
+            out[rid] = (False, "UNKNOWN_HOST")
+            continue
+        by_loc.setdefault(q["location_id"], []).append((s, e))
+        out[rid] = (True, None)
+    return out
+
+
+def simulate_bookings(con: duckdb.DuckDBPyConnection) -> dict[int, tuple[bool, str | None]]:
+    from oracle.views import AS_OF_SQL as A
+
+    bookings: dict[int, list] = {}
+    for b in fetch(con, "select resource_id, quantity_booked, booking_start, booking_end from d_bookings"):
+        bookings.setdefault(b["resource_id"], []).append((b["booking_start"], b["booking_end"], b["quantity_booked"]))
+    maint: dict[int, list] = {}
+    for m in fetch(con, "select resource_id, maintenance_start, maintenance_end from d_maintenance"):
+        maint.setdefault(m["resource_id"], []).append((m["maintenance_start"], m["maintenance_end"]))
+    totals = {r["id"]: r["quantity"] for r in fetch(con, "select id, quantity from d_resources")}
+    events = {e["id"] for e in fetch(con, "select id from d_events")}
+    upcoming = bool(fetch(con, f"select 1 from d_events e join d_hosts h on e.organizer_id = h.id where e.end_ts > {A} limit 1"))
+    out = {}
+    for q in fetch(con, "select * from d_booking_requests order by request_ts, request_id"):
+        rid = q["request_id"]
+        if not upcoming or not totals:
+            out[rid] = (False, "EMPTY_LIST")
+            continue
+        total = totals.get(q["resource_id"])
+        if total is None:
+            out[rid] = (False, "INVALID_RESOURCE")
+            continue
+        n = q["quantity"]
+        if n > total:
+            out[rid] = (False, "OVER_TOTAL")
+            continue
+        if n <= 0:
+            out[rid] = (False, "NON_POSITIVE")
+            continue
+        s, e = _parse(q["start_text"]), _parse(q["end_text"])
+        if s is None or e is None:
+            out[rid] = (False, "UNPARSEABLE")
+            continue
+        if e <= s:
+            out[rid] = (False, "BAD_TIME")
+            continue
+        if any(m0 < e and m1 > s for m0, m1 in maint.get(q["resource_id"], [])):
+            out[rid] = (False, "MAINTENANCE")
+            continue
+        booked = sum(w for b0, b1, w in bookings.get(q["resource_id"], []) if b0 < e and b1 > s)
+        if n > total - booked:
+            out[rid] = (False, "INSUFFICIENT")
+            continue
+        if q["event_id"] not in events:
+            out[rid] = (False, "UNKNOWN_EVENT")
+            continue
+        bookings.setdefault(q["resource_id"], []).append((s, e, n))
+        out[rid] = (True, None)
+    return out
