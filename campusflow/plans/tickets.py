@@ -17,7 +17,7 @@ def apply_ticket_changes(tickets: DataFrame, requests: DataFrame) -> dict[str, D
     UPDATE with both ids would.
 
     Per ticket and field, the last applicable request wins (``max_by``).
-    New tickets carry their request id in ``new_from_request``.
+    New tickets (``tickets_delta``) are identified by their request id.
     """
     own = tickets.select(F.col("id").alias("ticket_id"), F.col("event_id").alias("_t_event"))
     r = requests.join(own, "ticket_id", "left")
@@ -39,13 +39,12 @@ def apply_ticket_changes(tickets: DataFrame, requests: DataFrame) -> dict[str, D
         F.col("ticket_id").alias("id"), "event_id", "ticket_type",
         F.coalesce("new_price", "price").alias("price"),
         F.coalesce("new_quantity", "quantity").alias("quantity"),
-        F.lit(None).cast("bigint").alias("new_from_request"),
     )
     added = d.where(F.col("accepted") & (F.col("kind") == 1)).select(
-        F.lit(None).cast("bigint").alias("id"), "event_id", "ticket_type", "price", "quantity",
-        F.col("request_id").alias("new_from_request"),
+        "request_id", "event_id", "ticket_type", "price", "quantity"
     )
     return {
         "decisions": d.select("request_id", "kind", "ticket_id", "matched", "accepted", "reason"),
-        "tickets_after": changed.unionByName(added),
+        "tickets_after": changed,
+        "tickets_delta": added,
     }

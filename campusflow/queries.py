@@ -159,7 +159,9 @@ register("resources_after")(
 )
 register("resources_delta")(lambda t: PA.apply_new_resources(t.resource_requests)["resources_delta"])
 register("maintenance_decisions")(
-    lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["decisions"]
+    lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["decisions"].drop(
+        "conflicts"
+    )
 )
 register("resources_after_maintenance")(
     lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["resources_after"]
@@ -169,6 +171,7 @@ register("feedback_delta")(lambda t: _feedback(t)["feedback_delta"])
 register("unique_students")(lambda t: PP.apply_new_students(t.students, t.student_requests)["decisions"])
 register("host_decisions")(lambda t: PP.apply_new_hosts(t.hosts, t.host_requests)["decisions"])
 register("tickets_after_update")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests)["tickets_after"])
+register("tickets_added")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests)["tickets_delta"])
 
 from campusflow.plans import bookings as PB  # noqa: E402
 from campusflow.plans import events as PE  # noqa: E402
@@ -191,6 +194,5 @@ register("event_update_decisions")(
 register("booking_decisions")(lambda t: _bookings(t)["decisions"])
 register("booking_check")(
     lambda t: PB.booking_check(t.events, t.venues, t.hosts, t.resources, t.bookings, t.maintenance,
-                               t.booking_requests, AS_OF).select("request_id", "resource_id", "booked",
-                                                                 "maintenance_hits", "reason")
+                               t.booking_requests, AS_OF).select("request_id", "resource_id", "reason")
 )

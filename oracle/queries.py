@@ -214,3 +214,215 @@ _BODIES.update({
           where exists (select 1 from d_participants p where p.event_id = f.event_id and p.user_id = f.user_id
                           and coalesce(p.attendance_status, 1) <> 0)) where rn = 1""",
 })
+
+UPCOMING = f"exists (select 1 from d_events ue join d_hosts uh on ue.organizer_id = uh.id where ue.end_ts > {A})"
+COMPLETED = f"exists (select 1 from d_events ce join d_hosts ch on ce.organizer_id = ch.id where ce.end_ts <= {A})"
+
+
+def _before(f_ts: str, f_id: str, ts: str, id_: str) -> str:
+    return f"({f_ts} < {ts} or ({f_ts} = {ts} and {f_id} < {id_}))"
+
+
+def _last(src: str, keys: str, cols: str) -> str:
+    return (f"(select {keys}, {cols} from (select *, row_number() over (partition by {keys} "
+            f"order by request_ts desc, request_id desc) as rn from {src}) where rn = 1)")
+
+
+_CANCEL = f"""
+    c as (select r.*,
+            exists (select 1 from d_participants p where p.event_id = r.event_id and p.user_id = r.user_id) as reg,
+            row_number() over (partition by r.event_id, r.user_id order by r.request_ts, r.request_id) as k,
+            exists (select 1 from d_events e where e.id = r.event_id and e.end_ts > {A}) as up
+          from d_cancel_requests r),
+    u0 as (select p.user_id, count(*) as u0 from d_participants p join d_events e on p.event_id = e.id
+           where e.end_ts > {A} group by p.user_id),
+    g as (select c.*, (reg and k = 1) as cand from c),
+    h as (select g.*, coalesce(sum(case when cand and up then 1 else 0 end) over (partition by user_id
+            order by request_ts, request_id rows between unbounded preceding and 1 preceding), 0) as before from g),
+    cd as (select h.request_id, h.user_id, h.event_id,
+             case when coalesce(u0.u0, 0) - h.before <= 0 then 'NO_UPCOMING' when not h.cand then 'NOT_REGISTERED' end
+               as reason
+           from h left join u0 on h.user_id = u0.user_id),
+    done as (select event_id, user_id from cd where reason is null)"""
+
+_ATTEND = """
+    ad as (select r.request_id, r.event_id, r.user_id,
+             case when not exists (select 1 from d_events) then 'EMPTY_LIST'
+                  when not exists (select 1 from d_participants p join d_students s on p.user_id = s.id
+                                   where p.event_id = r.event_id) then 'NO_REGISTRATIONS'
+                  when not exists (select 1 from d_participants p where p.event_id = r.event_id
+                                   and p.user_id = r.user_id) then 'NOT_REGISTERED' end as reason
+           from d_attendance_requests r)"""
+
+_VFLAG = """
+    vd as (select r.request_id, r.request_ts, r.venue_id, r.new_status,
+             case when r.new_status is null or r.new_status not in (0, 1) then 'INVALID_STATUS'
+                  when not exists (select 1 from d_venues v where v.id = r.venue_id) then 'UNKNOWN_VENUE' end as reason
+           from d_venue_flag_requests r)"""
+
+_RSTATUS = """
+    rd as (select r.request_id, r.request_ts, r.resource_id, r.new_status,
+             case when lower(r.new_status) = 'available' then 1 else 0 end as is_available,
+             case when not exists (select 1 from d_resources) then 'EMPTY_LIST'
+                  when not exists (select 1 from d_resources s where s.id = r.resource_id) then 'UNKNOWN_RESOURCE' end
+               as reason
+           from d_resource_status_requests r)"""
+
+_MAINT = f"""
+    mr as (select request_id, resource_id, description, try_strptime(start_text, {TS}) as s,
+                  try_strptime(end_text, {TS}) as e from d_maintenance_requests),
+    mc as (select mr.*, case when s < e then (select count(*) from d_bookings b where b.resource_id = mr.resource_id
+                  and b.event_id in (select id from d_events) and b.booking_start < mr.e and b.booking_end > mr.s) end
+                  as conflicts from mr),
+    md as (select mc.*, case when not exists (select 1 from d_resources) then 'EMPTY_LIST'
+                  when s is null or e is null then 'UNPARSEABLE' when e <= s then 'BAD_TIME'
+                  when conflicts > 0 then 'BOOKED'
+                  when not exists (select 1 from d_resources x where x.id = mc.resource_id) then 'UNKNOWN_RESOURCE' end
+                  as reason from mc)"""
+
+_FEEDBACK = f"""
+    fg as (select r.*,
+             (select min(coalesce(p.attendance_status, 1)) from d_participants p
+               where p.event_id = r.event_id and p.user_id = r.user_id) as attend,
+             exists (select 1 from d_feedback f where f.event_id = r.event_id and f.user_id = r.user_id) as given,
+             exists (select 1 from d_students s where s.id = r.user_id) as student,
+             exists (select 1 from d_events e where e.id = r.event_id) as known_event,
+             (exists (select 1 from d_students) and {COMPLETED}) as gate
+           from d_feedback_requests r),
+    fs as (select fg.*, case when not gate then 'EMPTY_LIST' when attend is null then 'NOT_PARTICIPANT'
+                  when attend = 0 then 'NOT_ATTENDED' when given then 'ALREADY_GIVEN' end as static_reason,
+                  (rating is null or rating not between 1 and 5) as bad from fg),
+    fp as (select event_id, user_id, request_ts as f_ts, request_id as f_id from (
+             select *, row_number() over (partition by event_id, user_id order by request_ts, request_id) as rn
+             from fs where static_reason is null and not bad and student and known_event) where rn = 1),
+    fd as (select fs.*, coalesce(static_reason, case
+             when fp.f_id is not null and {_before('fp.f_ts', 'fp.f_id', 'fs.request_ts', 'fs.request_id')}
+               then 'ALREADY_GIVEN'
+             when bad then 'BAD_RATING' when not student then 'UNKNOWN_STUDENT'
+             when not known_event then 'UNKNOWN_EVENT' end) as reason
+           from fs left join fp on fs.event_id = fp.event_id and fs.user_id = fp.user_id)"""
+
+_STUDENTS = f"""
+    st as (select r.*, exists (select 1 from d_students s where s.srn = r.srn) as taken,
+                  (semester is null or semester not between 1 and 8) as sem_bad from d_student_requests r),
+    sp as (select srn, request_ts as f_ts, request_id as f_id from (
+             select *, row_number() over (partition by srn order by request_ts, request_id) as rn
+             from st where not sem_bad and not taken and srn is not null) where rn = 1),
+    sd as (select st.request_id, st.srn, case when sem_bad then 'INVALID_SEMESTER'
+             when taken or (sp.f_id is not null and {_before('sp.f_ts', 'sp.f_id', 'st.request_ts', 'st.request_id')})
+               then 'DUPLICATE_SRN' end as reason
+           from st left join sp on st.srn = sp.srn)"""
+
+_TICKETS = f"""
+    tu as (select r.*, t.event_id as t_event from d_ticket_requests r left join d_tickets t on r.ticket_id = t.id),
+    upd as (select * from tu where kind = 2 and t_event = event_id),
+    lp as {_last("(select * from upd where new_price is not null and new_price >= 0)", "ticket_id", "new_price")},
+    lq as {_last("(select * from upd where new_quantity is not null and new_quantity >= 0)", "ticket_id", "new_quantity")}"""
+
+_UPDATES = f"""
+    ur as (select q.*, e.id is not null as found, e.date as o_date, e.start_ts as o_start, e.end_ts as o_end,
+                  e.location_id as o_loc, e.max_participants as o_max, v.capacity as cap
+           from d_event_update_requests q left join d_events e on q.event_id = e.id
+           left join (select id, capacity from d_venues where is_available = 1) v on q.new_location_id = v.id),
+    up as (select ur.*,
+             try_strptime(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' ||
+                          coalesce(nullif(new_start_text, ''), strftime(o_start, '%H:%M:%S')), {TS}) as ns,
+             try_strptime(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' ||
+                          coalesce(nullif(new_end_text, ''), strftime(o_end, '%H:%M:%S')), {TS}) as ne
+           from ur),
+    uc as (select up.*,
+             case when kind = 2 and ns < ne then (select count(*) from d_events x where x.location_id = up.o_loc
+                    and x.id <> up.event_id and x.start_ts < up.ne and x.end_ts > up.ns) end as conf2,
+             case when kind = 3 and o_start < o_end then (select count(*) from d_events x
+                    where x.location_id = up.new_location_id and x.start_ts < up.o_end and x.end_ts > up.o_start) end
+               as conf3
+           from up),
+    ud as (select uc.*, case when not {UPCOMING} then 'EMPTY_LIST' when not found then 'EVENT_NOT_FOUND'
+             when kind is null or kind not in (1, 2, 3) then 'INVALID_CHOICE'
+             when kind = 2 and (ns is null or ne is null) then 'UNPARSEABLE'
+             when kind = 2 and ne <= ns then 'BAD_TIME' when kind = 2 and conf2 > 0 then 'CONFLICT'
+             when kind = 3 and not exists (select 1 from d_venues where is_available = 1) then 'EMPTY_LIST'
+             when kind = 3 and cap is null then 'INVALID_VENUE' when kind = 3 and o_max > cap then 'OVER_CAPACITY'
+             when kind = 3 and conf3 > 0 then 'CONFLICT' end as reason from uc)"""
+
+_BCHECK = f"""
+    br as (select q.*, try_strptime(start_text, {TS}) as s, try_strptime(end_text, {TS}) as e from d_booking_requests q),
+    bc as (select br.*, res.quantity as total,
+             case when s < e then cast(coalesce((select sum(b.quantity_booked) from d_bookings b
+                    where b.resource_id = br.resource_id and b.booking_start < br.e and b.booking_end > br.s), 0)
+                    as bigint) end as booked,
+             case when s < e then (select count(*) from d_maintenance m where m.resource_id = br.resource_id
+                    and m.maintenance_start < br.e and m.maintenance_end > br.s) end as maintenance_hits
+           from br left join d_resources res on res.id = br.resource_id)"""
+
+_BODIES.update({
+    "order_payment_status": """
+        select r.request_id, t.price * r.how_many as total_price,
+               case when t.price * r.how_many <= 0 then 'Completed' when r.paid = 1 then 'Completed' else 'Pending' end
+                 as payment_status
+        from d_order_requests r join d_tickets t on r.ticket_id = t.id where t.event_id = r.event_id""",
+    "cancel_decisions": f"with {_CANCEL}\nselect request_id, user_id, event_id, reason, reason is null as accepted from cd",
+    "refunds_by_ticket": f"""with {_CANCEL}
+        select lt.ticket_id, x.event_id, x.refund
+        from (select event_id, count(*) as refund from done group by event_id) x
+        join (select event_id, min(id) as ticket_id from d_tickets group by event_id) lt on lt.event_id = x.event_id""",
+    "orders_of_cancelled": f"""with {_CANCEL}
+        select o.order_id, o.ticket_id, o.user_id, o.order_time, o.payment_status
+        from d_orders o join d_tickets t on o.ticket_id = t.id
+        where exists (select 1 from done d where d.event_id = t.event_id and d.user_id = o.user_id)""",
+    "attendance_decisions": f"with {_ATTEND}\nselect request_id, event_id, user_id, reason, reason is null as accepted from ad",
+    "attendance_after": f"""with {_ATTEND}
+        select p.event_id, p.user_id, p.registration_time,
+               case when m.event_id is not null then 1 else p.attendance_status end as attendance_status
+        from d_participants p
+        left join (select distinct event_id, user_id from ad where reason is null) m
+          on p.event_id = m.event_id and p.user_id = m.user_id""",
+    "venue_flag_decisions": f"""with {_VFLAG}
+        select request_id, venue_id, new_status, reason, reason is null as accepted from vd""",
+    "venues_after": f"""with {_VFLAG}
+        select v.id, v.name, v.building, v.capacity, coalesce(l.new_status, v.is_available) as is_available
+        from d_venues v left join {_last("(select * from vd where reason is null)", "venue_id", "new_status")} l
+          on v.id = l.venue_id""",
+    "resource_flag": f"""with {_RSTATUS}
+        select request_id, resource_id, new_status, is_available, reason, reason is null as accepted from rd""",
+    "resources_after": f"""with {_RSTATUS}
+        select s.id, s.name, s.type, s.quantity, s.description,
+               coalesce(l.is_available, s.is_available) as is_available,
+               coalesce(l.new_status, s.maintenance_status) as maintenance_status
+        from d_resources s
+        left join {_last("(select * from rd where reason is null)", "resource_id", "new_status, is_available")} l
+          on s.id = l.resource_id""",
+    "resources_delta": """
+        select request_id, name, type, quantity, description, 1 as is_available, 'Available' as maintenance_status
+        from d_resource_requests where quantity is not null and quantity >= 0""",
+    "maintenance_decisions": f"""with {_MAINT}
+        select request_id, resource_id, reason, reason is null as accepted from md""",
+    "resources_after_maintenance": f"""with {_MAINT}
+        select s.id, s.name, s.type, s.quantity, s.description,
+               case when c.resource_id is not null then 0 else s.is_available end as is_available,
+               case when c.resource_id is not null then 'Under Maintenance' else s.maintenance_status end
+                 as maintenance_status
+        from d_resources s left join (select distinct resource_id from md where reason is null) c
+          on s.id = c.resource_id""",
+    "feedback_eligibility": f"""with {_FEEDBACK}
+        select request_id, event_id, user_id, reason, reason is null as accepted from fd""",
+    "feedback_delta": f"""with {_FEEDBACK}
+        select request_id, event_id, user_id, rating, comments, request_ts as submitted_at from fd where reason is null""",
+    "unique_students": f"with {_STUDENTS}\nselect request_id, srn, reason, reason is null as accepted from sd",
+    "tickets_after_update": f"""with {_TICKETS}
+        select t.id, t.event_id, t.ticket_type, coalesce(lp.new_price, t.price) as price,
+               coalesce(lq.new_quantity, t.quantity) as quantity
+        from d_tickets t left join lp on lp.ticket_id = t.id left join lq on lq.ticket_id = t.id""",
+    "tickets_added": """
+        select request_id, event_id, ticket_type, price, quantity from d_ticket_requests where kind = 1""",
+    "event_update_decisions": f"""with {_UPDATES}
+        select request_id, event_id, kind, reason, reason is null as accepted from ud""",
+    "booking_check": f"""with {_BCHECK}
+        select request_id, resource_id,
+               case when not {UPCOMING} then 'EMPTY_LIST' when not exists (select 1 from d_resources) then 'EMPTY_LIST'
+                    when total is null then 'INVALID_RESOURCE' when quantity is null or quantity > total then 'OVER_TOTAL'
+                    when quantity <= 0 then 'NON_POSITIVE' when s is null or e is null then 'UNPARSEABLE'
+                    when e <= s then 'BAD_TIME' when maintenance_hits > 0 then 'MAINTENANCE'
+                    when quantity > total - booked then 'INSUFFICIENT' end as reason
+        from bc""",
+})
