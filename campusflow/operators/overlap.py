@@ -111,28 +111,32 @@ def overlap_load(
 
     st = stored.where(key_ok).select(*keys, F.col(ss).alias("_s"), F.col(se).alias("_e"), w.alias("_w"))
     good = st.where(F.col("_s") < F.col("_e"))
-    reversed_ = st.where(F.col("_s") >= F.col("_e"))
     pr = probes.where(key_ok & (F.col(ps) < F.col(pe))).select(
         *keys, F.col(probe_id).alias("_pid"), F.col(ps).alias("_ps"), F.col(pe).alias("_pe")
     )
 
     zero = F.lit(0).cast("long")
     no_id = F.lit(None).cast(probes.schema[probe_id].dataType)
+    no_flag = F.lit(None).cast("boolean")
+
+    def point(t: Column, kind: int, ws: Column, we: Column, pid: Column, at_end: Column) -> Column:
+        return F.struct(t.alias("_t"), F.lit(kind).alias("_k"), ws.alias("_ws"), we.alias("_we"), pid.alias("_pid"),
+                        at_end.alias("_at_end"))
+
     # kind orders equal times: stored ends (0) < probe points (1) < stored starts (2),
     # so "start < probe end" is strict and "end <= probe start" is not.
-    points = (
-        good.select(*keys, F.col("_e").alias("_t"), F.lit(0).alias("_k"), zero.alias("_ws"), F.col("_w").alias("_we"),
-                    no_id.alias("_pid"), F.lit(None).cast("boolean").alias("_at_end"))
-        .unionByName(good.select(*keys, F.col("_s").alias("_t"), F.lit(2).alias("_k"), F.col("_w").alias("_ws"),
-                                 zero.alias("_we"), no_id.alias("_pid"), F.lit(None).cast("boolean").alias("_at_end")))
-        .unionByName(pr.select(*keys, F.col("_pe").alias("_t"), F.lit(1).alias("_k"), zero.alias("_ws"),
-                               zero.alias("_we"), "_pid", F.lit(True).alias("_at_end")))
-        .unionByName(pr.select(*keys, F.col("_ps").alias("_t"), F.lit(1).alias("_k"), zero.alias("_ws"),
-                               zero.alias("_we"), "_pid", F.lit(False).alias("_at_end")))
-        .withColumn("_blk", time_block("_t", block_unit))
-    )
+    # Each side is read once; its two endpoints come out of one explode.
+    stored_pts = good.select(*keys, F.explode(F.array(
+        point(F.col("_e"), 0, zero, F.col("_w"), no_id, no_flag),
+        point(F.col("_s"), 2, F.col("_w"), zero, no_id, no_flag),
+    )).alias("_p"))
+    probe_pts = pr.select(*keys, F.explode(F.array(
+        point(F.col("_pe"), 1, zero, zero, F.col("_pid"), F.lit(True)),
+        point(F.col("_ps"), 1, zero, zero, F.col("_pid"), F.lit(False)),
+    )).alias("_p"))
+    points = stored_pts.unionByName(probe_pts).select(*keys, "_p.*").withColumn("_blk", time_block("_t", block_unit))
     summed = running_sums(points, keys, "_blk", ["_t", "_k", "_pid"], {"_S": "_ws", "_E": "_we"})
-    per_probe = (
+    loads = (
         summed.where(F.col("_pid").isNotNull())
         .groupBy("_pid")
         .agg(
@@ -142,12 +146,15 @@ def overlap_load(
             ).alias("_load")
         )
     )
-    # Reversed stored spans: exact pair matching (rare rows).
-    rev_pairs = overlapping_pairs(
-        pr, reversed_.withColumnRenamed("_s", "_rs").withColumnRenamed("_e", "_re"), keys,
-        ("_ps", "_pe"), ("_rs", "_re"), unit=pair_unit,
-    ).groupBy("_pid").agg(F.sum("_w").alias("_load"))
-    loads = per_probe.unionByName(rev_pairs).groupBy("_pid").agg(F.sum("_load").alias("_load"))
+    # Reversed stored spans (end <= start, bad data): exact pair matching,
+    # planned only when there are any (a one-row probe job decides).
+    reversed_ = st.where(F.col("_s") >= F.col("_e"))
+    if reversed_.limit(1).count() > 0:
+        rev_pairs = overlapping_pairs(
+            pr, reversed_.withColumnRenamed("_s", "_rs").withColumnRenamed("_e", "_re"), keys,
+            ("_ps", "_pe"), ("_rs", "_re"), unit=pair_unit,
+        ).groupBy("_pid").agg(F.sum("_w").alias("_load"))
+        loads = loads.unionByName(rev_pairs).groupBy("_pid").agg(F.sum("_load").alias("_load"))
 
     valid_probe = F.col(ps).isNotNull() & F.col(pe).isNotNull() & (F.col(ps) < F.col(pe))
     return (

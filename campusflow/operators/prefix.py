@@ -4,21 +4,38 @@ A plain ``sum().over(Window.partitionBy(key).orderBy(...))`` sends every row
 of a key to one task. Here the rows of a key are cut into blocks by a coarse
 column that grows with the order (for example the hour of a timestamp):
 
-1. per (key, block) totals — a partial aggregation, one row per block;
-2. block offsets — running sum of those totals over the blocks of a key
+1. running sum inside each (key, block), and the block's total, in one
+   window pass partitioned by (key, block);
+2. block offsets — running sum of block totals over the blocks of a key
    (one small row per block, so this window stays small);
-3. running sum inside each (key, block), plus the block's offset.
+3. each row's running sum plus its block's offset (an equi join on
+   (key, block), so the big side keeps its partitioning and only the small
+   offsets side moves).
 
-The big window of step 3 is partitioned by (key, block), so a key with a
-third of all rows is spread over as many tasks as it has blocks.
+A key with a third of all rows is spread over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _filler(dtype: T.DataType) -> Column:
+    """A non-NULL stand-in value of a column's type (used with an is-NULL flag)."""
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit(datetime(1, 1, 1)).cast(dtype)
+    if isinstance(dtype, T.DateType):
+        return F.lit(date(1, 1, 1))
+    return F.lit(0).cast(dtype)
 
 
 def running_sums(
@@ -33,32 +50,38 @@ def running_sums(
     the same ``keys`` that come before the row in ``order`` (and the row itself
     when ``inclusive``).
 
-    ``block`` must be non-decreasing along ``order`` within a key, ``order``
-    must be a total order within a key. NULL keys form their own group.
+    ``block`` must be non-decreasing along ``order`` within a key (ascending
+    order, NULLs first), and ``order`` must be a total order within a key.
+    NULL keys form their own groups, as in a window's PARTITION BY.
     """
     keys = list(keys)
+    types = {f.name: f.dataType for f in df.schema.fields}
     vals = {out: (F.col(v) if isinstance(v, str) else v) for out, v in values.items()}
-    staged = df.select("*", *[v.alias(f"_v_{out}") for out, v in vals.items()])
-
-    totals = staged.groupBy(*keys, block).agg(*[F.sum(f"_v_{out}").alias(f"_t_{out}") for out in vals])
-    before_block = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, block, *[F.coalesce(F.sum(f"_t_{out}").over(before_block), F.lit(0)).alias(f"_o_{out}") for out in vals]
-    )
+    # Join-safe grouping columns: a NULL key becomes (filler, flag); a NULL
+    # block becomes the smallest block, where NULL orders sort anyway.
+    gk: list[str] = []
+    extra: list[Column] = []
+    for i, k in enumerate(keys):
+        extra += [F.coalesce(F.col(k), _filler(types[k])).alias(f"_gk{i}"), F.col(k).isNull().alias(f"_gn{i}")]
+        gk += [f"_gk{i}", f"_gn{i}"]
+    extra.append(F.coalesce(F.col(block), _filler(types[block])).alias("_gb"))
+    staged = df.select("*", *extra, *[v.alias(f"_v_{out}") for out, v in vals.items()])
 
-    upto = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
+    in_block = Window.partitionBy(*gk, "_gb").orderBy(*order)
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    whole = in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     inner = staged.select(
-        *df.columns, *[F.coalesce(F.sum(f"_v_{out}").over(upto), F.lit(0)).alias(f"_i_{out}") for out in vals]
+        *df.columns, *gk, "_gb",
+        *[F.coalesce(F.sum(f"_v_{out}").over(upto), F.lit(0)).alias(f"_i_{out}") for out in vals],
+        *[F.coalesce(F.sum(f"_v_{out}").over(whole), F.lit(0)).alias(f"_t_{out}") for out in vals],
+    )
+    totals = inner.groupBy(*gk, "_gb").agg(*[F.max(f"_t_{out}").alias(f"_t_{out}") for out in vals])
+    before_block = Window.partitionBy(*gk).orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *gk, "_gb", *[F.coalesce(F.sum(f"_t_{out}").over(before_block), F.lit(0)).alias(f"_o_{out}") for out in vals]
     )
-    # Null-safe equality: rows with a NULL key or block keep their own group.
-    i, o = inner.alias("_in"), offsets.alias("_off")
-    cond = [F.col(f"_in.{k}").eqNullSafe(F.col(f"_off.{k}")) for k in [*keys, block]]
-    joined = i.join(o, cond, "inner")
-    return joined.select(
-        *[F.col(f"_in.{c}").alias(c) for c in df.columns],
-        *[(F.col(f"_off._o_{out}") + F.col(f"_in._i_{out}")).alias(out) for out in vals],
+    return inner.join(offsets, [*gk, "_gb"], "inner").select(
+        *df.columns, *[(F.col(f"_o_{out}") + F.col(f"_i_{out}")).alias(out) for out in vals]
     )
 
 

@@ -12,7 +12,7 @@ from campusflow.operators.conflicts import booked_in_slot, maintenance_hits, wit
 from campusflow.operators.overlap import overlapping_pairs
 from campusflow.operators.reports import upcoming_events
 from campusflow.plans.admission import admit_in_order
-from campusflow.plans.common import EMPTY_LIST, decide, order_key
+from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key
 
 
 def booking_check(
@@ -63,7 +63,8 @@ def apply_bookings(
     (the insert's reference). The batch is decided by ``admit_in_order``
     over overlapping pairs of requests on the same resource (day buckets).
     """
-    r = booking_check(events, venues, hosts, resources, bookings, maintenance, requests, as_of)
+    # Read three times below (live, orphans, result): materialize once.
+    r = checkpoint(booking_check(events, venues, hosts, resources, bookings, maintenance, requests, as_of))
     ok = F.col("reason").isNull()
     live = r.where(ok & F.col("_event").isNotNull())
     side = {

@@ -12,7 +12,7 @@ from campusflow.operators.conflicts import event_request_conflicts, with_event_s
 from campusflow.operators.overlap import overlap_load, overlapping_pairs
 from campusflow.operators.reports import available_venues, upcoming_events
 from campusflow.plans.admission import admit_in_order
-from campusflow.plans.common import EMPTY_LIST, decide, order_key
+from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key
 
 
 def _unparsed(date_col: str, time_col: str) -> Column:
@@ -49,7 +49,8 @@ def apply_new_events(
         (F.col("max_participants").isNull() | (F.col("max_participants") > F.col("capacity")), "OVER_CAPACITY"),
         (F.col("conflicts") > 0, "CONFLICT"),
     ])
-    r = r.withColumn("_static", static)
+    # Read three times below (live, orphans, result): materialize once.
+    r = checkpoint(r.withColumn("_static", static))
     cols = ["request_id", "_ord", "location_id", "start_ts", "end_ts"]
     live = r.where(F.col("_static").isNull() & F.col("_host").isNotNull()).select(*cols)
     a = live.select(*[F.col(c).alias(f"a{c}" if c.startswith("_") else f"a_{c}") for c in cols]).withColumnRenamed(
