@@ -103,7 +103,6 @@ def apply_orders(
     )
     und = r.where(~never).select("request_id", "request_ts", "_ord", "ticket_id", "event_id", "user_id", "how_many",
                                  "_completed")
-    und = checkpoint(und)
     rem = checkpoint(
         und.groupBy("ticket_id").agg(F.lit(0).alias("_d")).join(
             tickets.select(F.col("id").alias("ticket_id"), F.col("quantity").alias("_rem")), "ticket_id", "inner"
@@ -144,7 +143,7 @@ def apply_orders(
                 "ticket_id", (F.col("_rem") - F.coalesce(F.col("_used"), F.lit(0))).cast("int").alias("_rem")
             )
         )
-        und = checkpoint(cand.where(~F.col("_take") & ~F.col("_refuse")).select(und.columns))
+        und = cand.where(~F.col("_take") & ~F.col("_refuse")).select(und.columns)
 
     accepted = took_parts[0] if took_parts else und.select("request_id")
     for part in took_parts[1:]:

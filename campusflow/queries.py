@@ -37,9 +37,20 @@ def portable(df: DataFrame) -> DataFrame:
     )
 
 
+_FIXTURES: dict[tuple[int, str], FixtureTables] = {}
+
+
+def fixtures(spark: SparkSession, sf_dir: str) -> FixtureTables:
+    """One set of stand-in tables per session and folder."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _FIXTURES:
+        _FIXTURES[key] = FixtureTables(spark, sf_dir)
+    return _FIXTURES[key]
+
+
 def all_queries() -> dict[str, Query]:
     def bind(fn: Callable[[FixtureTables], DataFrame]) -> Query:
-        return lambda spark, sf_dir: portable(fn(FixtureTables(spark, sf_dir)))
+        return lambda spark, sf_dir: portable(fn(fixtures(spark, sf_dir)))
 
     return {name: bind(fn) for name, fn in _REGISTRY.items()}
 
