@@ -426,3 +426,141 @@ _BODIES.update({
                     when quantity > total - booked then 'INSUFFICIENT' end as reason
         from bc""",
 })
+
+# ------------------------------------------------------------------------
+# Order-dependent flows: a recursive walk through each key's requests in
+# batch order, carrying the state (stock, registrations, accepted slots) as
+# lists. Slow in general, fine at the check's scale; written from the rules,
+# independently of the Spark rounds.
+
+_ORDER_WALK = f"""with recursive
+    oq as (select r.*, row_number() over (partition by r.event_id order by r.request_ts, r.request_id) as seq,
+                  exists (select 1 from d_students s where s.id = r.user_id) as known,
+                  {UPCOMING} as up_gate, exists (select 1 from d_students) as st_gate,
+                  case when t.price * r.how_many <= 0 then 'Completed' when r.paid = 1 then 'Completed'
+                       else 'Pending' end as pay
+           from d_order_requests r left join d_tickets t on t.id = r.ticket_id),
+    oinit as (select e.event_id,
+                     coalesce((select list({{'tid': t.id, 'q': t.quantity}}) from d_tickets t
+                               where t.event_id = e.event_id), []) as stock,
+                     coalesce((select list(p.user_id) from d_participants p where p.event_id = e.event_id), []) as regs
+              from (select distinct event_id from oq) e),
+    owalk(event_id, seq, stock, regs, request_id, reason) as (
+      select event_id, 0::bigint, stock, regs, null::bigint, null::varchar from oinit
+      union all
+      select w.event_id, q.seq,
+             case when ({{R}}) is null then list_transform(w.stock, lambda s: case when s.tid = q.ticket_id
+                  then {{{{'tid': s.tid, 'q': s.q - q.how_many}}}} else s end) else w.stock end,
+             case when ({{R}}) is null and q.pay = 'Completed' then list_append(w.regs, q.user_id) else w.regs end,
+             q.request_id, ({{R}})
+      from owalk w join oq q on q.event_id = w.event_id and q.seq = w.seq + 1),
+    od as (select q.request_id, q.event_id, q.ticket_id, q.user_id, q.how_many, q.pay as payment_status,
+                  q.request_ts, w.reason
+           from owalk w join oq q on q.request_id = w.request_id)"""
+
+_ORDER_REASON = """case when not q.up_gate then 'EMPTY_LIST'
+       when len(list_filter(w.stock, lambda s: s.q > 0)) = 0 then 'NO_TICKETS'
+       when len(list_filter(w.stock, lambda s: s.q > 0 and s.tid = q.ticket_id)) = 0 then 'INVALID_TICKET'
+       when q.how_many is null or q.how_many <= 0 then 'NON_POSITIVE'
+       when q.how_many > list_filter(w.stock, lambda s: s.tid = q.ticket_id)[1].q then 'OVER_QUANTITY'
+       when not q.st_gate then 'EMPTY_LIST'
+       when not q.known then 'UNKNOWN_STUDENT'
+       when q.pay = 'Completed' and list_contains(w.regs, q.user_id) then 'ALREADY_REGISTERED' end"""
+
+_ORDER_WALK = _ORDER_WALK.replace("{R}", _ORDER_REASON).replace("{{", "{").replace("}}", "}")
+
+_EVENT_WALK = f"""with recursive
+    er as (select q.*, try_strptime(date_text || ' ' || start_text, {TS}) as s,
+                  try_strptime(date_text || ' ' || end_text, {TS}) as e from d_event_requests q),
+    es as (select er.*, v.capacity, exists (select 1 from d_hosts h where h.id = er.organizer_id) as host_ok,
+                  case when er.s < er.e then (select count(*) from d_events x where x.location_id = er.location_id
+                       and x.start_ts < er.e and x.end_ts > er.s) end as stored_conf
+           from er left join (select id, capacity from d_venues where is_available = 1) v on v.id = er.location_id),
+    esr as (select es.*, case when s is null or e is null then 'UNPARSEABLE' when e <= s then 'BAD_TIME'
+                  when not exists (select 1 from d_hosts) then 'EMPTY_LIST'
+                  when not exists (select 1 from d_venues where is_available = 1) then 'EMPTY_LIST'
+                  when capacity is null then 'INVALID_VENUE'
+                  when max_participants is null or max_participants > capacity then 'OVER_CAPACITY'
+                  when stored_conf > 0 then 'CONFLICT' end as static_reason from es),
+    ec as (select esr.*, row_number() over (partition by location_id order by request_ts, request_id) as seq
+           from esr where static_reason is null),
+    ewalk(location_id, seq, acc, request_id, reason) as (
+      select distinct location_id, 0::bigint, []::struct(s timestamp, e timestamp)[], null::bigint, null::varchar
+      from ec
+      union all
+      select w.location_id, c.seq,
+             case when (R) is null then list_append(w.acc, {{'s': c.s, 'e': c.e}}) else w.acc end, c.request_id, (R)
+      from ewalk w join ec c on c.location_id = w.location_id and c.seq = w.seq + 1),
+    ed as (select request_id, location_id, static_reason as reason from esr where static_reason is not null
+           union all
+           select request_id, location_id, reason from ewalk where request_id is not null)""".replace(
+    "(R)", "(case when len(list_filter(w.acc, lambda a: a.s < c.e and a.e > c.s)) > 0 then 'CONFLICT' "
+           "when not c.host_ok then 'UNKNOWN_HOST' end)")
+
+_BOOKING_WALK = f"""with recursive {_BCHECK},
+    bs as (select bc.*, exists (select 1 from d_events x where x.id = bc.event_id) as event_ok,
+                  case when not {UPCOMING} then 'EMPTY_LIST' when not exists (select 1 from d_resources) then 'EMPTY_LIST'
+                       when total is null then 'INVALID_RESOURCE'
+                       when quantity is null or quantity > total then 'OVER_TOTAL'
+                       when quantity <= 0 then 'NON_POSITIVE' when s is null or e is null then 'UNPARSEABLE'
+                       when e <= s then 'BAD_TIME' when maintenance_hits > 0 then 'MAINTENANCE'
+                       when quantity > total - booked then 'INSUFFICIENT' end as static_reason
+           from bc),
+    bq as (select bs.*, row_number() over (partition by resource_id order by request_ts, request_id) as seq
+           from bs where static_reason is null),
+    bwalk(resource_id, seq, acc, request_id, reason) as (
+      select distinct resource_id, 0::bigint, []::struct(s timestamp, e timestamp, q int)[], null::bigint,
+             null::varchar from bq
+      union all
+      select w.resource_id, c.seq,
+             case when (R) is null then list_append(w.acc, {{'s': c.s, 'e': c.e, 'q': c.quantity}}) else w.acc end,
+             c.request_id, (R)
+      from bwalk w join bq c on c.resource_id = w.resource_id and c.seq = w.seq + 1),
+    bd as (select request_id, resource_id, quantity, static_reason as reason from bs where static_reason is not null
+           union all
+           select w.request_id, w.resource_id, c.quantity, w.reason from bwalk w join bq c on c.request_id = w.request_id)
+""".replace("{{", "{").replace("}}", "}").replace(
+    "(R)", "(case when c.quantity > c.total - c.booked - coalesce(list_sum(list_transform(list_filter(w.acc, "
+           "lambda a: a.s < c.e and a.e > c.s), lambda a: a.q)), 0) then 'INSUFFICIENT' "
+           "when not c.event_ok then 'UNKNOWN_EVENT' end)")
+
+_HOST_WALK = """with recursive
+    hr as (select request_id, request_ts, email, nullif(phone, '') as phone,
+                  row_number() over (order by request_ts, request_id) as seq from d_host_requests),
+    hwalk(seq, emails, phones, request_id, ok) as (
+      select 0::bigint, coalesce((select list(email) from d_hosts where email is not null), []),
+             coalesce((select list(phone) from d_hosts where phone is not null), []), null::bigint, null::boolean
+      union all
+      select h.seq,
+             case when (OK) and h.email is not null then list_append(w.emails, h.email) else w.emails end,
+             case when (OK) and h.phone is not null then list_append(w.phones, h.phone) else w.phones end,
+             h.request_id, (OK)
+      from hwalk w join hr h on h.seq = w.seq + 1)""".replace(
+    "(OK)", "((h.email is null or not list_contains(w.emails, h.email)) and "
+            "(h.phone is null or not list_contains(w.phones, h.phone)))")
+
+_BODIES.update({
+    "order_decisions": _ORDER_WALK + """
+        select request_id, event_id, ticket_id, user_id, how_many, payment_status, reason, reason is null as accepted
+        from od""",
+    "ticket_stock_after": _ORDER_WALK + """
+        select t.id, t.event_id, t.ticket_type, t.price, cast(t.quantity - coalesce(u.used, 0) as int) as quantity
+        from d_tickets t left join (select ticket_id, sum(how_many) as used from od where reason is null
+                                    group by ticket_id) u on u.ticket_id = t.id""",
+    "orders_delta": _ORDER_WALK + """
+        select request_id, ticket_id, user_id, request_ts as order_time, payment_status,
+               cast(unnest(generate_series(1, how_many)) as int) as seq
+        from od where reason is null""",
+    "event_admission": _EVENT_WALK + """
+        select request_id, location_id, reason, reason is null as accepted from ed""",
+    "events_delta": _EVENT_WALK + """
+        select r.request_id, r.name, r.description, cast(cast(r.s as date) as varchar) as date, r.s as start_ts,
+               r.e as end_ts, r.location_id, r.organizer_id, 'Scheduled' as status, r.max_participants
+        from er r join ed d on d.request_id = r.request_id where d.reason is null""",
+    "booking_decisions": _BOOKING_WALK + """
+        select request_id, resource_id, quantity, reason, reason is null as accepted from bd""",
+    "host_decisions": _HOST_WALK + """
+        select w.request_id, h.email, h.phone, w.ok as accepted,
+               case when w.ok then null else 'DUPLICATE_EMAIL_OR_PHONE' end as reason
+        from hwalk w join hr h on h.request_id = w.request_id""",
+})

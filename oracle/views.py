@@ -217,6 +217,10 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body[:5].lower() == "with ":
-        return "with " + ",\n".join(ctes) + ",\n" + body[5:]
+    m = re.match(r"with\s+recursive\s+", body, re.IGNORECASE)
+    if m:
+        return "with recursive " + ",\n".join(ctes) + ",\n" + body[m.end():]
+    m = re.match(r"with\s+", body, re.IGNORECASE)
+    if m:
+        return "with " + ",\n".join(ctes) + ",\n" + body[m.end():]
     return "with " + ",\n".join(ctes) + "\n" + body
