@@ -100,3 +100,38 @@ def resource_remaining(booked: DataFrame, resources: DataFrame) -> DataFrame:
     return booked.join(r, "resource_id", "inner").select(
         "request_id", "resource_id", "total", "booked", (F.col("total") - F.col("booked")).alias("remaining")
     )
+
+
+def event_request_conflict_names(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """For each request with a valid span that overlaps stored events at its
+    venue: the first of them (lowest id) and its name, for the refusal message.
+
+    Pairs are formed per (venue, hour bucket); ``min_by`` keeps one per
+    request with a partial aggregate.
+    """
+    p = requests.where(F.col("start_ts") < F.col("end_ts")).select(
+        "request_id", "location_id", F.col("start_ts").alias("r_s"), F.col("end_ts").alias("r_e")
+    )
+    e = events.where(F.col("location_id").isNotNull()).select(
+        F.col("id").alias("event_id"), F.col("name").alias("event_name"), "location_id",
+        F.col("start_ts").alias("e_s"), F.col("end_ts").alias("e_e"),
+    )
+    pairs = overlapping_pairs(p, e, ["location_id"], ("r_s", "r_e"), ("e_s", "e_e"), unit="HOUR")
+    first = pairs.groupBy("request_id").agg(F.min_by(F.struct("event_id", "event_name"), F.col("event_id")).alias("_f"))
+    return first.select("request_id", "_f.event_id", "_f.event_name")
+
+
+def maintenance_conflict_names(requests: DataFrame, bookings: DataFrame, events: DataFrame) -> DataFrame:
+    """For each maintenance request with a valid span that overlaps bookings of
+    its resource (of existing events): the first such booking and its event's name."""
+    p = requests.where(F.col("start_ts") < F.col("end_ts")).select(
+        "request_id", "resource_id", F.col("start_ts").alias("r_s"), F.col("end_ts").alias("r_e")
+    )
+    b = bookings.join(events.select(F.col("id").alias("event_id"), F.col("name").alias("event_name")), "event_id",
+                      "inner").select(F.col("id").alias("booking_id"), "event_name", "resource_id",
+                                      F.col("booking_start").alias("b_s"), F.col("booking_end").alias("b_e"))
+    pairs = overlapping_pairs(p, b, ["resource_id"], ("r_s", "r_e"), ("b_s", "b_e"), unit="DAY")
+    first = pairs.groupBy("request_id").agg(
+        F.min_by(F.struct("booking_id", "event_name"), F.col("booking_id")).alias("_f")
+    )
+    return first.select("request_id", "_f.booking_id", "_f.event_name")

@@ -207,3 +207,20 @@ register("booking_check")(
     lambda t: PB.booking_check(t.events, t.venues, t.hosts, t.resources, t.bookings, t.maintenance,
                                t.booking_requests, AS_OF).select("request_id", "resource_id", "reason")
 )
+
+register("event_request_conflict_names")(
+    lambda t: C.event_request_conflict_names(C.with_event_span(t.event_requests), t.events)
+)
+register("maintenance_conflict_names")(
+    lambda t: C.maintenance_conflict_names(C.with_span(t.maintenance_requests), t.bookings, t.events)
+)
+register("events_after_update")(
+    lambda t: PE.apply_event_updates(t.events, t.venues, t.hosts, t.event_update_requests, AS_OF)["events_after"]
+)
+register("students_delta")(lambda t: PP.apply_new_students(t.students, t.student_requests)["students_delta"])
+register("hosts_delta")(lambda t: PP.apply_new_hosts(t.hosts, t.host_requests)["hosts_delta"])
+register("bookings_delta")(lambda t: _bookings(t)["bookings_delta"])
+register("maintenance_delta")(
+    lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["maintenance_delta"]
+)
+register("participants_delta")(lambda t: _orders(t)["participants_delta"].drop("attendance_status"))

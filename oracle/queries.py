@@ -564,3 +564,52 @@ _BODIES.update({
                case when w.ok then null else 'DUPLICATE_EMAIL_OR_PHONE' end as reason
         from hwalk w join hr h on h.request_id = w.request_id""",
 })
+
+_BODIES.update({
+    "event_request_conflict_names": f"""
+        select request_id, event_id, event_name from (
+          select r.request_id, e.id as event_id, e.name as event_name,
+                 row_number() over (partition by r.request_id order by e.id) as rn
+          from {_event_span('d_event_requests', 'request_id, location_id')} r
+          join d_events e on e.location_id = r.location_id and e.start_ts < r.end_ts and e.end_ts > r.start_ts
+          where r.start_ts < r.end_ts) where rn = 1""",
+    "maintenance_conflict_names": f"""
+        select request_id, booking_id, event_name from (
+          select r.request_id, b.id as booking_id, e.name as event_name,
+                 row_number() over (partition by r.request_id order by b.id) as rn
+          from {_span('d_maintenance_requests', 'request_id, resource_id')} r
+          join d_bookings b on b.resource_id = r.resource_id and b.booking_start < r.end_ts and b.booking_end > r.start_ts
+          join d_events e on e.id = b.event_id
+          where r.start_ts < r.end_ts) where rn = 1""",
+    "events_after_update": f"""with {_UPDATES},
+        acc as (select ud.*, coalesce(nullif(new_name, ''), e.name) as nn,
+                       coalesce(nullif(new_description, ''), e.description) as nd
+                from ud join d_events e on e.id = ud.event_id where ud.reason is null),
+        k1 as {_last("(select * from acc where kind = 1)", "event_id", "nn, nd")},
+        k2 as {_last("(select * from acc where kind = 2)", "event_id", "ns, ne")},
+        k3 as {_last("(select * from acc where kind = 3)", "event_id", "new_location_id")}
+        select e.id, coalesce(k1.nn, e.name) as name, coalesce(k1.nd, e.description) as description,
+               cast(coalesce(cast(k2.ns as date), e.date) as varchar) as date,
+               coalesce(k2.ns, e.start_ts) as start_ts, coalesce(k2.ne, e.end_ts) as end_ts,
+               coalesce(k3.new_location_id, e.location_id) as location_id, e.organizer_id, e.status,
+               e.max_participants
+        from d_events e left join k1 on k1.event_id = e.id left join k2 on k2.event_id = e.id
+        left join k3 on k3.event_id = e.id""",
+    "students_delta": f"""with {_STUDENTS}
+        select r.request_id, r.srn, r.name, r.semester, r.section
+        from d_student_requests r join sd on sd.request_id = r.request_id where sd.reason is null""",
+    "hosts_delta": _HOST_WALK + """
+        select w.request_id, r.name, h.email, h.phone, r.role, nullif(r.department, '') as department
+        from hwalk w join hr h on h.request_id = w.request_id join d_host_requests r on r.request_id = w.request_id
+        where w.ok""",
+    "bookings_delta": _BOOKING_WALK + """
+        select c.request_id, c.event_id, c.resource_id, c.quantity as quantity_booked, c.s as booking_start,
+               c.e as booking_end
+        from bd join bs c on c.request_id = bd.request_id where bd.reason is null""",
+    "maintenance_delta": f"""with {_MAINT}
+        select request_id, resource_id, s as maintenance_start, e as maintenance_end, description
+        from md where reason is null""",
+    "participants_delta": _ORDER_WALK + """
+        select event_id, user_id, request_ts as registration_time from od
+        where reason is null and payment_status = 'Completed'""",
+})
