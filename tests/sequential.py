@@ -16,17 +16,15 @@ def fetch(con: duckdb.DuckDBPyConnection, body: str) -> list[dict]:
     return [dict(zip(cols, row)) for row in cur.fetchall()]
 
 
-def simulate_orders(con: duckdb.DuckDBPyConnection) -> dict[int, tuple[bool, str | None]]:
-    tickets = {r["id"]: r for r in fetch(con, "select * from d_tickets")}
+def replay_orders(tickets: list[dict], registered: set, students: set, has_upcoming: bool,
+                  reqs: list[dict]) -> dict[int, tuple[bool, str | None]]:
+    """Decide order requests one at a time; ``reqs`` must be in batch order."""
+    tickets = {r["id"]: r for r in tickets}
     stock = {tid: r["quantity"] for tid, r in tickets.items()}
     by_event: dict[int, list[int]] = {}
     for tid, r in tickets.items():
         by_event.setdefault(r["event_id"], []).append(tid)
-    registered = {(r["event_id"], r["user_id"]) for r in fetch(con, "select event_id, user_id from d_participants")}
-    students = {r["id"] for r in fetch(con, "select id from d_students")}
-    has_upcoming = bool(fetch(con, f"""
-        select 1 from d_events e join d_hosts h on e.organizer_id = h.id where e.end_ts > {AS_OF_SQL} limit 1"""))
-    reqs = fetch(con, "select * from d_order_requests order by request_ts, request_id")
+    registered = set(registered)
     out: dict[int, tuple[bool, str | None]] = {}
     for q in reqs:
         rid = q["request_id"]
@@ -70,6 +68,16 @@ def simulate_orders(con: duckdb.DuckDBPyConnection) -> dict[int, tuple[bool, str
     return out
 
 
+def simulate_orders(con: duckdb.DuckDBPyConnection) -> dict[int, tuple[bool, str | None]]:
+    tickets = fetch(con, "select * from d_tickets")
+    registered = {(r["event_id"], r["user_id"]) for r in fetch(con, "select event_id, user_id from d_participants")}
+    students = {r["id"] for r in fetch(con, "select id from d_students")}
+    has_upcoming = bool(fetch(con, f"""
+        select 1 from d_events e join d_hosts h on e.organizer_id = h.id where e.end_ts > {AS_OF_SQL} limit 1"""))
+    reqs = fetch(con, "select * from d_order_requests order by request_ts, request_id")
+    return replay_orders(tickets, registered, students, has_upcoming, reqs)
+
+
 def simulate_hosts(con: duckdb.DuckDBPyConnection) -> dict[int, bool]:
     hosts = fetch(con, "select email, phone from d_hosts")
     emails = {h["email"] for h in hosts if h["email"] is not None}

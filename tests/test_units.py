@@ -231,3 +231,101 @@ def test_new_events_chain(spark):
     ])
     got = {r["request_id"]: r["reason"] for r in apply_new_events(events, venues, hosts, reqs)["decisions"].collect()}
     assert got == {1: None, 2: "CONFLICT", 3: None, 4: None, 5: "BAD_TIME", 6: "CONFLICT", 7: "OVER_CAPACITY"}
+
+
+# ------------------------------------------------------------ hot keys
+def test_hot_ticket_orders_match_replay(spark):
+    """One event with two tickets takes every request: heavy contention,
+    repeated buyers, sold-out tickets."""
+    from campusflow.plans.orders import apply_orders
+    from tests.sequential import replay_orders
+
+    rnd = random.Random(5)
+    students, venues, hosts, events = _world(spark)
+    students = df(spark, "students", [(u, f"S{u}", f"N{u}", 3, "A") for u in range(1, 40)])
+    ticket_rows = [(1, 100, "A", 5.0, 60), (2, 100, "B", 0.0, 15)]
+    reqs = []
+    for i in range(400):
+        reqs.append((i, h(i / 60), rnd.randint(1, 45), 100, rnd.choice([1, 2, 3]), rnd.randint(-1, 6),
+                     rnd.choice([0, 1])))
+    parts = df(spark, "participants", [(100, 3, h(0), None)])
+    out = apply_orders(df(spark, "tickets", ticket_rows), parts, students, events, venues, hosts,
+                       df(spark, "order_requests", reqs), AS_OF)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in out["decisions"].collect()}
+    keys = ["request_id", "request_ts", "user_id", "event_id", "ticket_id", "how_many", "paid"]
+    want = replay_orders(
+        [dict(zip(["id", "event_id", "ticket_type", "price", "quantity"], t)) for t in ticket_rows],
+        {(100, 3)}, set(range(1, 40)), True, [dict(zip(keys, r)) for r in sorted(reqs, key=lambda r: (r[1], r[0]))],
+    )
+    assert got == want
+
+
+def test_hot_venue_new_events_match_replay(spark):
+    from campusflow.plans.events import apply_new_events
+
+    rnd = random.Random(9)
+    students, venues, hosts, events = _world(spark)
+    rows, accepted = [], []
+    for i in range(150):
+        start = 8 * 60 + rnd.randint(0, 40) * 15
+        end = start + rnd.choice([15, 30, 60, 90, 240])
+        rows.append((i, h(i / 100), f"e{i}", "", "2024-03-05", f"{start // 60:02d}:{start % 60:02d}:00",
+                     f"{min(end, 1439) // 60:02d}:{min(end, 1439) % 60:02d}:00", 7, 1, 10))
+    want = {}
+    for r in rows:
+        s = datetime.strptime(f"{r[4]} {r[5]}", "%Y-%m-%d %H:%M:%S")
+        e = datetime.strptime(f"{r[4]} {r[6]}", "%Y-%m-%d %H:%M:%S")
+        if e <= s:
+            want[r[0]] = "BAD_TIME"
+        elif any(a < e and b > s for a, b in accepted):
+            want[r[0]] = "CONFLICT"
+        else:
+            accepted.append((s, e))
+            want[r[0]] = None
+    got = {r["request_id"]: r["reason"]
+           for r in apply_new_events(events, venues, hosts, df(spark, "event_requests", rows))["decisions"].collect()}
+    assert got == want
+
+
+def test_hot_resource_bookings_match_replay(spark):
+    from campusflow.plans.bookings import apply_bookings
+
+    rnd = random.Random(13)
+    students, venues, hosts, events = _world(spark)
+    resources = df(spark, "resources", [(50, "Mic", "AV", 10, "", 1, "Available")])
+    stored = df(spark, "bookings", [(1, 100, 50, 4, h(30), h(40))])
+    maint = df(spark, "maintenance", [(1, 50, h(60), h(62), "fix")])
+    rows, accepted = [], [(h(30), h(40), 4)]
+    want = {}
+    for i in range(150):
+        s = h(24 + rnd.randint(0, 60))
+        e = s + timedelta(hours=rnd.choice([1, 2, 5, 12]))
+        q = rnd.randint(0, 6)
+        rows.append((i, h(i / 100), 100, 50, q, s.strftime("%Y-%m-%d %H:%M:%S"), e.strftime("%Y-%m-%d %H:%M:%S")))
+        if q <= 0:
+            want[i] = "NON_POSITIVE"
+        elif s < h(62) and e > h(60):
+            want[i] = "MAINTENANCE"
+        elif q > 10 - sum(w for a, b, w in accepted if a < e and b > s):
+            want[i] = "INSUFFICIENT"
+        else:
+            accepted.append((s, e, q))
+            want[i] = None
+    out = apply_bookings(events, venues, hosts, resources, stored, maint, df(spark, "booking_requests", rows), AS_OF)
+    got = {r["request_id"]: r["reason"] for r in out["decisions"].collect()}
+    assert got == want
+
+
+def test_decisions_do_not_depend_on_partitioning(spark):
+    import __spark_entry__ as entry
+    from tests.conftest import SMALL
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = sorted(tuple(r) for r in entry.queries()["booking_decisions"](spark, SMALL).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        seven = sorted(tuple(r) for r in entry.queries()["booking_decisions"](spark, SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert one == seven
