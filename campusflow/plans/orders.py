@@ -56,7 +56,9 @@ def order_payment_status(requests: DataFrame, tickets: DataFrame) -> DataFrame:
 
 
 def _block(c: str = "request_ts") -> Column:
-    return time_block(c, "HOUR")
+    # Minute blocks: a sale opening can put a third of a batch on one ticket
+    # within one hour; per minute it is still cut into many blocks.
+    return time_block(c, "MINUTE")
 
 
 def apply_orders(
@@ -249,7 +251,7 @@ def apply_cancellations(
         .withColumn("_cand", F.col("_reg").isNotNull() & (F.col("_ord") == F.col("_first")))
     )
     r = running_sums(
-        r.withColumn("_blk", time_block("request_ts", "DAY")), ["user_id"], "_blk", ["request_ts", "request_id"],
+        r.withColumn("_blk", _block()), ["user_id"], "_blk", ["request_ts", "request_id"],
         {"_up_before": (F.col("_cand") & F.col("_up").isNotNull()).cast("long")}, inclusive=False,
     )
     reason = first_reason([

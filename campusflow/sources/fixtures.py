@@ -99,11 +99,15 @@ class FixtureTables:
 
     @cached_property
     def _li(self) -> DataFrame:
-        # (l_orderkey, l_linenumber) is not unique in the test data.
-        li = self.raw("lineitem")
-        return li.groupBy("l_orderkey", "l_linenumber").agg(
-            *[F.max(c).alias(c) for c in li.columns if c not in ("l_orderkey", "l_linenumber")]
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        # (l_orderkey, l_linenumber) is not unique in the test data; the
+        # largest value of each column used below stands for the pair.
+        used = ("l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+        return (
+            self.raw("lineitem")
+            .groupBy("l_orderkey", "l_linenumber")
+            .agg(*[F.max(c).alias(c) for c in used])
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
 
     @cached_property
     def tickets(self) -> DataFrame:
