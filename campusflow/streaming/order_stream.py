@@ -1,16 +1,15 @@
-"""A stream of order-request files decided batch by batch against evolving state.
+"""Streams of request files, decided micro-batch by micro-batch against evolving state.
 
 The application takes one request after another in a loop; here requests
-arrive as files and each micro-batch is decided with the batch operator
-(``plans.orders.apply_orders``) against the state left by the previous
-micro-batch.
+arrive as files and each micro-batch is decided with a batch flow of
+``campusflow.plans`` against the state the previous micro-batch left.
 
-State versions: micro-batch ``k`` reads tickets and participants of version
+State versions: micro-batch ``k`` reads each evolving table at version
 ``k - 1`` (version ``-1`` is the initial state given by the caller) and
-writes version ``k`` plus its decisions and deltas under paths keyed by
-``k``, in overwrite mode. A micro-batch that is replayed after a failure
-therefore rewrites exactly its own outputs, and the stream's checkpoint
-(``checkpointLocation``) records which files each micro-batch took.
+writes version ``k`` plus its outputs under paths keyed by ``k``, in
+overwrite mode. A micro-batch replayed after a failure therefore rewrites
+exactly its own outputs, and the stream's checkpoint (``checkpointLocation``)
+records which files each micro-batch took.
 """
 
 from __future__ import annotations
@@ -19,61 +18,107 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from campusflow.plans.bookings import apply_bookings
 from campusflow.plans.orders import apply_orders
 from campusflow.sources.tables import REQUEST_SCHEMAS, STATE_SCHEMAS
 
+State = dict[str, DataFrame]
+# step(state, batch) -> (outputs to keep per micro-batch, new versions of the evolving tables)
+Step = Callable[[State, DataFrame], tuple[dict[str, DataFrame], State]]
+
 
 def state_path(state_dir: str, table: str, version: int) -> str:
     return f"{state_dir.rstrip('/')}/{table}/v={version}"
 
 
-def start_order_stream(
+def start_request_stream(
     spark: SparkSession,
+    request_kind: str,
     request_dir: str,
     state_dir: str,
     checkpoint_location: str,
-    initial: Callable[[], dict[str, DataFrame]],
-    as_of: datetime | None = None,
+    initial: Callable[[], State],
+    evolving: tuple[str, ...],
+    step: Step,
     files_per_batch: int = 1,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start the stream.
-
-    ``initial()`` gives the starting state: tickets, participants, students,
-    events, venues, hosts. Tickets and participants evolve with the stream;
-    the others are read as given.
-    """
+    """Start a stream of ``request_kind`` files; ``evolving`` names the state
+    tables that ``step`` returns new versions of."""
     requests = (
-        spark.readStream.schema(REQUEST_SCHEMAS["order_requests"])
+        spark.readStream.schema(REQUEST_SCHEMAS[request_kind])
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(request_dir)
     )
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        base = initial()
-        if batch_id == 0:
-            tickets, participants = base["tickets"], base["participants"]
-        else:
-            tickets = spark.read.schema(STATE_SCHEMAS["tickets"]).parquet(state_path(state_dir, "tickets", batch_id - 1))
-            participants = spark.read.schema(STATE_SCHEMAS["participants"]).parquet(
-                state_path(state_dir, "participants", batch_id - 1)
+        state = dict(initial())
+        if batch_id > 0:
+            for table in evolving:
+                state[table] = spark.read.schema(STATE_SCHEMAS[table]).parquet(
+                    state_path(state_dir, table, batch_id - 1)
+                )
+        outputs, new_state = step(state, batch)
+        for name, df in outputs.items():
+            df.write.mode("overwrite").parquet(state_path(state_dir, name, batch_id))
+        for table in evolving:
+            new_state[table].select(*STATE_SCHEMAS[table].fieldNames()).write.mode("overwrite").parquet(
+                state_path(state_dir, table, batch_id)
             )
-        out = apply_orders(tickets, participants, base["students"], base["events"], base["venues"], base["hosts"],
-                           batch, as_of)
-        out["decisions"].write.mode("overwrite").parquet(state_path(state_dir, "decisions", batch_id))
-        out["orders_delta"].write.mode("overwrite").parquet(state_path(state_dir, "orders_delta", batch_id))
-        out["tickets_after"].write.mode("overwrite").parquet(state_path(state_dir, "tickets", batch_id))
-        participants.unionByName(out["participants_delta"]).write.mode("overwrite").parquet(
-            state_path(state_dir, "participants", batch_id)
-        )
 
     writer = requests.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def order_step(as_of: datetime | None) -> Step:
+    """Orders: tickets (stock) and participants (registrations) evolve."""
+
+    def step(state: State, batch: DataFrame) -> tuple[dict[str, DataFrame], State]:
+        out = apply_orders(state["tickets"], state["participants"], state["students"], state["events"],
+                           state["venues"], state["hosts"], batch, as_of)
+        return (
+            {"decisions": out["decisions"], "orders_delta": out["orders_delta"]},
+            {"tickets": out["tickets_after"],
+             "participants": state["participants"].unionByName(out["participants_delta"])},
+        )
+
+    return step
+
+
+def booking_step(as_of: datetime | None) -> Step:
+    """Bookings: the bookings table evolves (a new booking is identified by its request id)."""
+
+    def step(state: State, batch: DataFrame) -> tuple[dict[str, DataFrame], State]:
+        out = apply_bookings(state["events"], state["venues"], state["hosts"], state["resources"], state["bookings"],
+                             state["maintenance"], batch, as_of)
+        added = out["bookings_delta"].withColumnRenamed("request_id", "id")
+        return {"decisions": out["decisions"]}, {"bookings": state["bookings"].unionByName(added)}
+
+    return step
+
+
+def start_order_stream(
+    spark: SparkSession, request_dir: str, state_dir: str, checkpoint_location: str,
+    initial: Callable[[], State], as_of: datetime | None = None, files_per_batch: int = 1,
+    available_now: bool = True,
+) -> StreamingQuery:
+    return start_request_stream(spark, "order_requests", request_dir, state_dir, checkpoint_location, initial,
+                                ("tickets", "participants"), order_step(as_of), files_per_batch, available_now)
+
+
+def start_booking_stream(
+    spark: SparkSession, request_dir: str, state_dir: str, checkpoint_location: str,
+    initial: Callable[[], State], as_of: datetime | None = None, files_per_batch: int = 1,
+    available_now: bool = True,
+) -> StreamingQuery:
+    return start_request_stream(spark, "booking_requests", request_dir, state_dir, checkpoint_location, initial,
+                                ("bookings",), booking_step(as_of), files_per_batch, available_now)
+
+
 def read_decisions(spark: SparkSession, state_dir: str) -> DataFrame:
     """All decisions written so far, with the micro-batch id as column ``v``."""
-    return spark.read.parquet(f"{state_dir.rstrip('/')}/decisions")
+    return spark.read.parquet(f"{state_dir.rstrip('/')}/decisions").withColumn("v", F.col("v").cast("int"))
