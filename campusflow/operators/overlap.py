@@ -19,7 +19,8 @@ Two shapes:
   and both terms are running sums over the endpoints sorted per key, which
   ``running_sums`` computes without a hot key landing in one task. Stored
   intervals with end <= start (possible in bad data) break the identity; they
-  are few, and are matched with ``overlapping_pairs`` instead.
+  are few, and are matched with ``overlapping_pairs`` instead (AQE removes
+  that join at run time when there are none).
 """
 
 from __future__ import annotations
@@ -146,15 +147,14 @@ def overlap_load(
             ).alias("_load")
         )
     )
-    # Reversed stored spans (end <= start, bad data): exact pair matching,
-    # planned only when there are any (a one-row probe job decides).
+    # Reversed stored spans (end <= start, bad data): exact pair matching.
+    # When there are none, AQE sees the empty side and drops this join.
     reversed_ = st.where(F.col("_s") >= F.col("_e"))
-    if reversed_.limit(1).count() > 0:
-        rev_pairs = overlapping_pairs(
-            pr, reversed_.withColumnRenamed("_s", "_rs").withColumnRenamed("_e", "_re"), keys,
-            ("_ps", "_pe"), ("_rs", "_re"), unit=pair_unit,
-        ).groupBy("_pid").agg(F.sum("_w").alias("_load"))
-        loads = loads.unionByName(rev_pairs).groupBy("_pid").agg(F.sum("_load").alias("_load"))
+    rev_pairs = overlapping_pairs(
+        pr, reversed_.withColumnRenamed("_s", "_rs").withColumnRenamed("_e", "_re"), keys,
+        ("_ps", "_pe"), ("_rs", "_re"), unit=pair_unit,
+    ).groupBy("_pid").agg(F.sum("_w").alias("_load"))
+    loads = loads.unionByName(rev_pairs).groupBy("_pid").agg(F.sum("_load").alias("_load"))
 
     valid_probe = F.col(ps).isNotNull() & F.col(pe).isNotNull() & (F.col(ps) < F.col(pe))
     return (

@@ -9,8 +9,9 @@ from campusflow.functions.expr import first_reason
 from campusflow.plans.common import decide, last_value_per_key
 
 
-def apply_ticket_changes(tickets: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
-    """Kind 1 adds a ticket type (no sign checks). Kind 2 sets the price and/or
+def apply_ticket_changes(tickets: DataFrame, requests: DataFrame, events: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Kind 1 adds a ticket type (no sign checks; with ``events`` given, a type
+    for an unknown event is UNKNOWN_EVENT, the insert's reference). Kind 2 sets the price and/or
     the stock of a ticket of the event: a missing or negative value keeps the
     old one, and a request with neither is NO_CHANGE. A change naming a
     ticket of another event matches nothing (``matched`` is false), as an
@@ -21,11 +22,16 @@ def apply_ticket_changes(tickets: DataFrame, requests: DataFrame) -> dict[str, D
     """
     own = tickets.select(F.col("id").alias("ticket_id"), F.col("event_id").alias("_t_event"))
     r = requests.join(own, "ticket_id", "left")
+    if events is not None:
+        r = r.join(events.select(F.col("id").alias("event_id"), F.lit(True).alias("_event")), "event_id", "left")
+    else:
+        r = r.withColumn("_event", F.lit(True))
     price_ok = F.col("new_price").isNotNull() & (F.col("new_price") >= 0)
     qty_ok = F.col("new_quantity").isNotNull() & (F.col("new_quantity") >= 0)
     reason = first_reason([
         (~F.col("kind").isin(1, 2) | F.col("kind").isNull(), "INVALID_CHOICE"),
         ((F.col("kind") == 2) & ~price_ok & ~qty_ok, "NO_CHANGE"),
+        ((F.col("kind") == 1) & F.col("_event").isNull(), "UNKNOWN_EVENT"),
     ])
     matched = F.when(F.col("kind") == 2, F.coalesce(F.col("_t_event") == F.col("event_id"), F.lit(False)))
     d = decide(r.withColumn("matched", matched), reason, "request_id", "request_ts", "kind", "event_id", "ticket_id",

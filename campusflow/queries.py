@@ -181,8 +181,10 @@ register("feedback_eligibility")(lambda t: _feedback(t)["decisions"])
 register("feedback_delta")(lambda t: _feedback(t)["feedback_delta"])
 register("unique_students")(lambda t: PP.apply_new_students(t.students, t.student_requests)["decisions"])
 register("host_decisions")(lambda t: PP.apply_new_hosts(t.hosts, t.host_requests)["decisions"])
-register("tickets_after_update")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests)["tickets_after"])
-register("tickets_added")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests)["tickets_delta"])
+register("tickets_after_update")(
+    lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests, t.events)["tickets_after"]
+)
+register("tickets_added")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests, t.events)["tickets_delta"])
 
 from campusflow.plans import bookings as PB  # noqa: E402
 from campusflow.plans import events as PE  # noqa: E402

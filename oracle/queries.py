@@ -414,7 +414,8 @@ _BODIES.update({
                coalesce(lq.new_quantity, t.quantity) as quantity
         from d_tickets t left join lp on lp.ticket_id = t.id left join lq on lq.ticket_id = t.id""",
     "tickets_added": """
-        select request_id, event_id, ticket_type, price, quantity from d_ticket_requests where kind = 1""",
+        select request_id, event_id, ticket_type, price, quantity from d_ticket_requests
+        where kind = 1 and event_id in (select id from d_events)""",
     "event_update_decisions": f"""with {_UPDATES}
         select request_id, event_id, kind, reason, reason is null as accepted from ud""",
     "booking_check": f"""with {_BCHECK}
