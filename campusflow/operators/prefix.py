@@ -4,10 +4,11 @@ A plain ``sum().over(Window.partitionBy(key).orderBy(...))`` sends every row
 of a key to one task. Here the rows of a key are cut into blocks by a coarse
 column that grows with the order (for example the hour of a timestamp):
 
-1. running sum inside each (key, block), and the block's total, in one
-   window pass partitioned by (key, block);
+1. block totals — a partial aggregate per (key, block), so the shuffle
+   carries one row per block and map task, not the rows;
 2. block offsets — running sum of block totals over the blocks of a key
-   (one small row per block, so this window stays small);
+   (one small row per block, so this window stays small), and the running
+   sum inside each (key, block), one window partitioned by (key, block);
 3. each row's running sum plus its block's offset (an equi join on
    (key, block), so the big side keeps its partitioning and only the small
    offsets side moves).
@@ -67,19 +68,20 @@ def running_sums(
     extra.append(F.coalesce(F.col(block), _filler(types[block])).alias("_gb"))
     staged = df.select("*", *extra, *[v.alias(f"_v_{out}") for out, v in vals.items()])
 
-    in_block = Window.partitionBy(*gk, "_gb").orderBy(*order)
-    upto = in_block.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    whole = in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    inner = staged.select(
-        *df.columns, *gk, "_gb",
-        *[F.coalesce(F.sum(f"_v_{out}").over(upto), F.lit(0)).alias(f"_i_{out}") for out in vals],
-        *[F.coalesce(F.sum(f"_v_{out}").over(whole), F.lit(0)).alias(f"_t_{out}") for out in vals],
-    )
-    totals = inner.groupBy(*gk, "_gb").agg(*[F.max(f"_t_{out}").alias(f"_t_{out}") for out in vals])
+    # Block totals: a partial aggregate, so only one row per block and map
+    # task is shuffled (not the rows themselves).
+    totals = staged.groupBy(*gk, "_gb").agg(*[F.sum(f"_v_{out}").alias(f"_t_{out}") for out in vals])
     before_block = Window.partitionBy(*gk).orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *gk, "_gb", *[F.coalesce(F.sum(f"_t_{out}").over(before_block), F.lit(0)).alias(f"_o_{out}") for out in vals]
     )
+    # Rows: the one big shuffle, by (key, block); the join below keeps that
+    # partitioning and moves only the offsets.
+    upto = Window.partitionBy(*gk, "_gb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = staged.select(
+        *df.columns, *gk, "_gb",
+        *[F.coalesce(F.sum(f"_v_{out}").over(upto), F.lit(0)).alias(f"_i_{out}") for out in vals],
+    )
     return inner.join(offsets, [*gk, "_gb"], "inner").select(
         *df.columns, *[(F.col(f"_o_{out}") + F.col(f"_i_{out}")).alias(out) for out in vals]
     )
