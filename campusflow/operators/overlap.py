@@ -111,10 +111,21 @@ def overlap_load(
         key_ok = key_ok & F.col(k).isNotNull()
 
     st = stored.where(key_ok).select(*keys, F.col(ss).alias("_s"), F.col(se).alias("_e"), w.alias("_w"))
-    good = st.where(F.col("_s") < F.col("_e"))
     pr = probes.where(key_ok & (F.col(ps) < F.col(pe))).select(
         *keys, F.col(probe_id).alias("_pid"), F.col(ps).alias("_ps"), F.col(pe).alias("_pe")
     )
+    # Only stored spans inside a key's probe envelope [min start, max end)
+    # can change a load: one that ends by the earliest probe start is in both
+    # running sums, one that starts at or after the latest probe end in
+    # neither. The envelope is one row per key; history outside it is dropped
+    # before the shuffle.
+    envelope = pr.groupBy(*keys).agg(F.min("_ps").alias("_lo"), F.max("_pe").alias("_hi"))
+    good = (
+        st.where(F.col("_s") < F.col("_e"))
+        .join(envelope, keys, "inner")
+        .where((F.col("_e") > F.col("_lo")) & (F.col("_s") < F.col("_hi")))
+        .drop("_lo", "_hi")
+    )
 
     zero = F.lit(0).cast("long")
     no_id = F.lit(None).cast(probes.schema[probe_id].dataType)

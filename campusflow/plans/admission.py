@@ -13,9 +13,10 @@ Each round bounds every undecided request from both sides:
 If it fits even under ``hi`` it is accepted whatever happens to them; if it
 does not fit under ``lo`` it is refused. The earliest undecided request has
 no undecided competitor, so ``lo == hi`` for it and every round decides at
-least one request of each chain of competitors. A round is two joins and one
-grouped sum over the competitor pairs, which shrink as requests are decided;
-both tables are checkpointed each round.
+least one request of each chain of competitors. A round is a semi join, a
+join and one grouped sum over the competitor pairs (materialized once; pairs
+whose later side is decided or whose earlier side is refused drop out by the
+joins), and the request statuses are checkpointed each round.
 """
 
 from __future__ import annotations
@@ -45,9 +46,14 @@ def admit_in_order(live: DataFrame, pairs: DataFrame, max_rounds: int | None = N
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("admission did not settle")
         _log.info("admission round %d", rounds)
-        a = status.select(F.col("request_id").alias("a_id"), F.col("need").alias("_a_need"), F.col("_acc").alias("_a_acc"))
+        # Pairs that still matter: earlier side not refused, later side undecided.
+        a = status.where(F.col("_acc").isNull() | F.col("_acc")).select(
+            F.col("request_id").alias("a_id"), F.col("need").alias("_a_need"), F.col("_acc").alias("_a_acc")
+        )
+        b = status.where(F.col("_acc").isNull()).select(F.col("request_id").alias("b_id"))
         loads = (
-            pairs.join(a, "a_id", "inner")
+            pairs.join(b, "b_id", "left_semi")
+            .join(a, "a_id", "inner")
             .groupBy("b_id")
             .agg(
                 F.sum(F.when(F.col("_a_acc"), F.col("_a_need")).otherwise(0)).alias("_lo"),
@@ -63,8 +69,4 @@ def admit_in_order(live: DataFrame, pairs: DataFrame, max_rounds: int | None = N
             .when(F.col("need") > F.col("cap") - lo, F.lit(False))
         )
         status = checkpoint(s.select("request_id", "need", "cap", decided.alias("_acc")))
-        # Pairs still able to matter: later side undecided, earlier side not refused.
-        und = status.where(F.col("_acc").isNull()).select(F.col("request_id").alias("b_id"))
-        gone = status.where(~F.col("_acc")).select(F.col("request_id").alias("a_id"))
-        pairs = checkpoint(pairs.join(und, "b_id", "left_semi").join(gone, "a_id", "left_anti"))
     return status.select("request_id", F.col("_acc").alias("accepted"))
