@@ -12,7 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from campusflow.operators import conflicts as C
 from campusflow.operators import reports as R
+from campusflow.operators import rules as V
+from campusflow.plans import assets as PA
+from campusflow.plans import bookings as PB
+from campusflow.plans import events as PE
+from campusflow.plans import orders as PO
+from campusflow.plans import people as PP
+from campusflow.plans import registrations as PR
+from campusflow.plans import tickets as PT
 from campusflow.sources.fixtures import AS_OF, FixtureTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +85,6 @@ register("upcoming_registrations")(
 register("unknown_student_requests")(lambda t: R.unknown_student_requests(t.order_requests, t.students))
 
 # ------------------------------------------------------- overlap conflicts
-from campusflow.operators import conflicts as C  # noqa: E402
 
 register("venue_conflicts")(lambda t: C.venue_conflicts(t.events))
 register("event_request_conflicts")(
@@ -92,7 +100,6 @@ register("resource_remaining")(
 )
 
 # ------------------------------------------------------------------ rules
-from campusflow.operators import rules as V  # noqa: E402
 
 register("invalid_semester")(lambda t: V.invalid_semester(t.students))
 register("invalid_rating")(lambda t: V.invalid_rating(t.feedback))
@@ -129,11 +136,6 @@ register("lowest_ticket")(lambda t: V.lowest_ticket(t.tickets))
 register("first_feedback")(lambda t: V.first_feedback(t.feedback, t.participants))
 
 # ----------------------------------------------------------- request flows
-from campusflow.plans import assets as PA  # noqa: E402
-from campusflow.plans import orders as PO  # noqa: E402
-from campusflow.plans import people as PP  # noqa: E402
-from campusflow.plans import registrations as PR  # noqa: E402
-from campusflow.plans import tickets as PT  # noqa: E402
 
 
 def _orders(t: FixtureTables) -> dict[str, DataFrame]:
@@ -186,9 +188,6 @@ register("tickets_after_update")(
 )
 register("tickets_added")(lambda t: PT.apply_ticket_changes(t.tickets, t.ticket_requests, t.events)["tickets_delta"])
 
-from campusflow.plans import bookings as PB  # noqa: E402
-from campusflow.plans import events as PE  # noqa: E402
-
 
 def _new_events(t: FixtureTables) -> dict[str, DataFrame]:
     return PE.apply_new_events(t.events, t.venues, t.hosts, t.event_requests)
