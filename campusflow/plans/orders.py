@@ -97,6 +97,7 @@ def apply_orders(
         .withColumn("_gates", F.col("_gate_e") & F.col("_gate_s"))
     )
     r = checkpoint(r)
+    _log.info("order admission: requests joined with state")
     # Refused whatever the state: stock never grows, the gates and student list do not change.
     never = (
         ~F.col("_gates") | ~F.col("_own") | F.col("how_many").isNull() | (F.col("how_many") <= 0)
@@ -153,6 +154,7 @@ def apply_orders(
     acc = r.join(accepted.withColumn("_acc", F.lit(True)), "request_id", "left").withColumn(
         "_acc", F.coalesce(F.col("_acc"), F.lit(False))
     )
+    _log.info("order admission: %d rounds", rounds)
     decisions = _reasons(acc, tickets)
     return _order_effects(decisions, tickets)
 
