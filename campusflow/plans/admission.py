@@ -23,22 +23,27 @@ from __future__ import annotations
 
 import logging
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from campusflow.operators.overlap import overlap_load, overlapping_pairs
 from campusflow.plans.common import checkpoint
 
 _log = logging.getLogger(__name__)
 
 
 def admit_in_order(live: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """``live``: request_id, need, cap. ``pairs``: a_id, b_id — ``a`` comes
-    before ``b`` and competes with it. Returns request_id, accepted.
+    """``live``: request_id, need, cap and optionally ``settled`` (TRUE for
+    requests already known to be accepted). ``pairs``: a_id, b_id — ``a``
+    comes before ``b`` and competes with it. Returns request_id, accepted.
 
     ``max_rounds`` is for tests only; the loop otherwise runs until every
     request is decided.
     """
-    status = checkpoint(live.select("request_id", "need", "cap", F.lit(None).cast("boolean").alias("_acc")))
+    start = F.when(F.col("settled"), F.lit(True)) if "settled" in live.columns else F.lit(None)
+    status = checkpoint(live.select("request_id", "need", "cap", start.cast("boolean").alias("_acc")))
     pairs = checkpoint(pairs.select("a_id", "b_id"))
     rounds = 0
     while status.where(F.col("_acc").isNull()).limit(1).count() > 0:
@@ -70,3 +75,32 @@ def admit_in_order(live: DataFrame, pairs: DataFrame, max_rounds: int | None = N
         )
         status = checkpoint(s.select("request_id", "need", "cap", decided.alias("_acc")))
     return status.select("request_id", F.col("_acc").alias("accepted"))
+
+
+def admit_overlapping(
+    live: DataFrame, keys: Sequence[str], unit: str, max_rounds: int | None = None
+) -> DataFrame:
+    """Admission where requests compete when they share ``keys`` and their
+    [start_ts, end_ts) spans overlap.
+
+    ``live``: request_id, _ord (batch order), keys, start_ts, end_ts, need,
+    cap. A request that fits even if every overlapping live request were
+    accepted (their summed need, its own included, is at most its cap — a
+    pair-free overlap load) is accepted at once and only appears as the
+    earlier side of pairs; pairs are formed, per (key, ``unit`` bucket), only
+    for the requests that are really contended.
+    """
+    keys = list(keys)
+    crowd = overlap_load(
+        live.select("request_id", *keys, "start_ts", "end_ts"),
+        live.select(*keys, F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"), "need"),
+        keys, "request_id", ("start_ts", "end_ts"), ("_s", "_e"), weight="need", out="_crowd",
+    ).select("request_id", "_crowd")
+    live = checkpoint(live.join(crowd, "request_id", "left").withColumn("settled", F.col("_crowd") <= F.col("cap")))
+    a = live.select(F.col("request_id").alias("a_id"), F.col("_ord").alias("a_ord"), *keys,
+                    F.col("start_ts").alias("a_s"), F.col("end_ts").alias("a_e"))
+    b = live.where(~F.col("settled")).select(F.col("request_id").alias("b_id"), F.col("_ord").alias("b_ord"), *keys,
+                                             F.col("start_ts").alias("b_s"), F.col("end_ts").alias("b_e"))
+    pairs = overlapping_pairs(a, b, keys, ("a_s", "a_e"), ("b_s", "b_e"), unit=unit,
+                              extra=F.col("a_ord") < F.col("b_ord")).select("a_id", "b_id")
+    return admit_in_order(live.select("request_id", "need", "cap", "settled"), pairs, max_rounds)

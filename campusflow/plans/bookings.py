@@ -11,7 +11,7 @@ from campusflow.functions.expr import first_reason, unparseable
 from campusflow.operators.conflicts import booked_in_slot, maintenance_hits, with_span
 from campusflow.operators.overlap import overlapping_pairs
 from campusflow.operators.reports import upcoming_events
-from campusflow.plans.admission import admit_in_order
+from campusflow.plans.admission import admit_overlapping
 from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key
 
 
@@ -60,26 +60,18 @@ def apply_bookings(
 
     The checks of ``booking_check``, where INSUFFICIENT also counts bookings
     accepted earlier in the batch whose slot overlaps, then UNKNOWN_EVENT
-    (the insert's reference). The batch is decided by ``admit_in_order``
-    over overlapping pairs of requests on the same resource (day buckets).
+    (the insert's reference). The batch is decided by ``admit_overlapping``
+    (bookings of one resource with overlapping slots compete; pairs per
+    resource-day, only for contended requests).
     """
     # Read three times below (live, orphans, result): materialize once.
     r = checkpoint(booking_check(events, venues, hosts, resources, bookings, maintenance, requests, as_of))
     ok = F.col("reason").isNull()
     live = r.where(ok & F.col("_event").isNotNull())
-    side = {
-        p: live.select(
-            F.col("request_id").alias(f"{p}_id"), F.col("_ord").alias(f"{p}_ord"), "resource_id",
-            F.col("start_ts").alias(f"{p}_s"), F.col("end_ts").alias(f"{p}_e"),
-        )
-        for p in ("a", "b")
-    }
-    pairs = overlapping_pairs(side["a"], side["b"], ["resource_id"], ("a_s", "a_e"), ("b_s", "b_e"), unit="DAY",
-                              extra=F.col("a_ord") < F.col("b_ord"))
-    status = admit_in_order(
-        live.select("request_id", F.col("quantity").alias("need"), (F.col("total") - F.col("booked")).alias("cap")),
-        pairs.select("a_id", "b_id"),
-        max_rounds,
+    status = admit_overlapping(
+        live.select("request_id", "_ord", "resource_id", "start_ts", "end_ts", F.col("quantity").alias("need"),
+                    (F.col("total") - F.col("booked")).alias("cap")),
+        ["resource_id"], "DAY", max_rounds,
     )
     # Requests passing every check but the event's: INSUFFICIENT if the
     # accepted batch bookings before them leave too little, else UNKNOWN_EVENT.

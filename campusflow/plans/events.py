@@ -11,7 +11,7 @@ from campusflow.functions.expr import NEW_EVENT_STATUS, empty_to_null, first_rea
 from campusflow.operators.conflicts import event_request_conflicts, with_event_span
 from campusflow.operators.overlap import overlap_load, overlapping_pairs
 from campusflow.operators.reports import available_venues, upcoming_events
-from campusflow.plans.admission import admit_in_order
+from campusflow.plans.admission import admit_overlapping
 from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key
 
 
@@ -31,9 +31,9 @@ def apply_new_events(
     accepted earlier in the batch) → UNKNOWN_HOST (the insert's reference).
     Accepted events are inserted as 'Scheduled'.
 
-    Batch conflicts are decided by ``admit_in_order`` over the overlapping
-    pairs of requests at the same venue (hour buckets), never by a per-venue
-    sequential fold.
+    Batch conflicts are decided by ``admit_overlapping`` (requests at the same
+    venue with overlapping times compete; pairs per venue-hour, only for
+    contended requests), never by a per-venue sequential fold.
     """
     r = with_event_span(requests).withColumn("_ord", order_key())
     open_v = available_venues(venues).select(F.col("id").alias("location_id"), "capacity")
@@ -53,18 +53,8 @@ def apply_new_events(
     r = checkpoint(r.withColumn("_static", static))
     cols = ["request_id", "_ord", "location_id", "start_ts", "end_ts"]
     live = r.where(F.col("_static").isNull() & F.col("_host").isNotNull()).select(*cols)
-    a = live.select(*[F.col(c).alias(f"a{c}" if c.startswith("_") else f"a_{c}") for c in cols]).withColumnRenamed(
-        "a_location_id", "location_id"
-    )
-    b = live.select(*[F.col(c).alias(f"b{c}" if c.startswith("_") else f"b_{c}") for c in cols]).withColumnRenamed(
-        "b_location_id", "location_id"
-    )
-    pairs = overlapping_pairs(a, b, ["location_id"], ("a_start_ts", "a_end_ts"), ("b_start_ts", "b_end_ts"),
-                              unit="HOUR", extra=F.col("a_ord") < F.col("b_ord"))
-    status = admit_in_order(
-        live.select("request_id", F.lit(1).alias("need"), F.lit(1).alias("cap")),
-        pairs.select(F.col("a_request_id").alias("a_id"), F.col("b_request_id").alias("b_id")),
-        max_rounds,
+    status = admit_overlapping(
+        live.withColumn("need", F.lit(1)).withColumn("cap", F.lit(1)), ["location_id"], "HOUR", max_rounds
     )
     # Requests that pass every check but the host's: CONFLICT if an accepted
     # batch event before them overlaps, else UNKNOWN_HOST.
