@@ -78,7 +78,7 @@ def admit_in_order(live: DataFrame, pairs: DataFrame, max_rounds: int | None = N
 
 
 def admit_overlapping(
-    live: DataFrame, keys: Sequence[str], unit: str, max_rounds: int | None = None
+    live: DataFrame, keys: Sequence[str], unit: str, max_rounds: int | None = None, group: str | None = None
 ) -> DataFrame:
     """Admission where requests compete when they share ``keys`` and their
     [start_ts, end_ts) spans overlap.
@@ -88,7 +88,9 @@ def admit_overlapping(
     accepted (their summed need, its own included, is at most its cap — a
     pair-free overlap load) is accepted at once and only appears as the
     earlier side of pairs; pairs are formed, per (key, ``unit`` bucket), only
-    for the requests that are really contended.
+    for the requests that are really contended. With ``group``, requests of
+    the same group never compete with each other (the crowd load still counts
+    them, which only makes the fast path stricter).
     """
     keys = list(keys)
     crowd = overlap_load(
@@ -98,9 +100,15 @@ def admit_overlapping(
     ).select("request_id", "_crowd")
     live = checkpoint(live.join(crowd, "request_id", "left").withColumn("settled", F.col("_crowd") <= F.col("cap")))
     a = live.select(F.col("request_id").alias("a_id"), F.col("_ord").alias("a_ord"), *keys,
-                    F.col("start_ts").alias("a_s"), F.col("end_ts").alias("a_e"))
-    b = live.where(~F.col("settled")).select(F.col("request_id").alias("b_id"), F.col("_ord").alias("b_ord"), *keys,
-                                             F.col("start_ts").alias("b_s"), F.col("end_ts").alias("b_e"))
-    pairs = overlapping_pairs(a, b, keys, ("a_s", "a_e"), ("b_s", "b_e"), unit=unit,
-                              extra=F.col("a_ord") < F.col("b_ord")).select("a_id", "b_id")
+                    F.col("start_ts").alias("a_s"), F.col("end_ts").alias("a_e"),
+                    *[g.alias("a_grp") for g in [F.col(group)] if group])
+    b = live.where(~F.coalesce(F.col("settled"), F.lit(False))).select(
+        F.col("request_id").alias("b_id"), F.col("_ord").alias("b_ord"), *keys,
+        F.col("start_ts").alias("b_s"), F.col("end_ts").alias("b_e"),
+        *[g.alias("b_grp") for g in [F.col(group)] if group],
+    )
+    extra = F.col("a_ord") < F.col("b_ord")
+    if group:
+        extra = extra & (F.col("a_grp") != F.col("b_grp"))
+    pairs = overlapping_pairs(a, b, keys, ("a_s", "a_e"), ("b_s", "b_e"), unit=unit, extra=extra).select("a_id", "b_id")
     return admit_in_order(live.select("request_id", "need", "cap", "settled"), pairs, max_rounds)

@@ -108,7 +108,9 @@ def apply_event_updates(
       its own venue conflicts with itself).
 
     Every request is checked against the state at the start of the batch;
-    changes accepted in the same batch are not checked against each other.
+    then, in batch order, an accepted time or venue change whose resulting
+    (venue, span) overlaps that of an earlier accepted change of another event
+    is refused as CONFLICT (slots freed by a change open in the next batch).
     Per event and field, the last accepted change is applied.
     """
     gate = upcoming_events(events, venues, hosts, as_of).exists()
@@ -154,12 +156,30 @@ def apply_event_updates(
         ((kind == 3) & (F.col("_o_max") > F.col("_cap")), "OVER_CAPACITY"),
         ((kind == 3) & (F.col("_conf3") > 0), "CONFLICT"),
     ])
-    d = decide(
+    d = checkpoint(decide(
         r.withColumn("_ord", order_key()), reason, "request_id", "request_ts", "event_id", "kind", "_ord",
         F.coalesce(empty_to_null("new_name"), F.col("_o_name")).alias("_nn"),
         F.coalesce(empty_to_null("new_description"), F.col("_o_desc")).alias("_nd"),
-        "_ns", "_ne", "new_location_id",
-    )
+        "_ns", "_ne", "new_location_id", "_o_loc", "_o_start", "_o_end",
+    ))
+    # Second stage: accepted time and venue changes must not collide with
+    # each other either. Each gives the event a resulting (venue, span); in
+    # batch order, one that overlaps an earlier accepted change of another
+    # event at that venue is refused (slots a change frees open in the next
+    # batch only).
+    moved = F.col("kind") == 2
+    moves = d.where(F.col("accepted") & F.col("kind").isin(2, 3)).select(
+        "request_id", "_ord", "event_id",
+        F.when(moved, F.col("_o_loc")).otherwise(F.col("new_location_id")).alias("location_id"),
+        F.when(moved, F.col("_ns")).otherwise(F.col("_o_start")).alias("start_ts"),
+        F.when(moved, F.col("_ne")).otherwise(F.col("_o_end")).alias("end_ts"),
+    ).where(F.col("location_id").isNotNull() & F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
+    clash = admit_overlapping(
+        moves.withColumn("need", F.lit(1)).withColumn("cap", F.lit(1)), ["location_id"], "HOUR", group="event_id"
+    ).where(~F.col("accepted")).select("request_id", F.lit(True).alias("_clash"))
+    d = d.join(clash, "request_id", "left").withColumn(
+        "reason", F.coalesce(F.col("reason"), F.when(F.col("_clash"), F.lit("CONFLICT")))
+    ).withColumn("accepted", F.col("reason").isNull())
     acc = d.where("accepted")
 
     def last(kind_no: int, value: Column, name: str) -> DataFrame:

@@ -319,7 +319,7 @@ _TICKETS = f"""
     lp as {_last("(select * from upd where new_price is not null and new_price >= 0)", "ticket_id", "new_price")},
     lq as {_last("(select * from upd where new_quantity is not null and new_quantity >= 0)", "ticket_id", "new_quantity")}"""
 
-_UPDATES = f"""
+_UPDATES = f"""recursive
     ur as (select q.*, e.id is not null as found, e.date as o_date, e.start_ts as o_start, e.end_ts as o_end,
                   e.location_id as o_loc, e.max_participants as o_max, v.capacity as cap
            from d_event_update_requests q left join d_events e on q.event_id = e.id
@@ -337,13 +337,31 @@ _UPDATES = f"""
                     where x.location_id = up.new_location_id and x.start_ts < up.o_end and x.end_ts > up.o_start) end
                as conf3
            from up),
-    ud as (select uc.*, case when not {UPCOMING} then 'EMPTY_LIST' when not found then 'EVENT_NOT_FOUND'
+    ud1 as (select uc.*, case when not {UPCOMING} then 'EMPTY_LIST' when not found then 'EVENT_NOT_FOUND'
              when kind is null or kind not in (1, 2, 3) then 'INVALID_CHOICE'
              when kind = 2 and (ns is null or ne is null) then 'UNPARSEABLE'
              when kind = 2 and ne <= ns then 'BAD_TIME' when kind = 2 and conf2 > 0 then 'CONFLICT'
              when kind = 3 and not exists (select 1 from d_venues where is_available = 1) then 'EMPTY_LIST'
              when kind = 3 and cap is null then 'INVALID_VENUE' when kind = 3 and o_max > cap then 'OVER_CAPACITY'
-             when kind = 3 and conf3 > 0 then 'CONFLICT' end as reason from uc)"""
+             when kind = 3 and conf3 > 0 then 'CONFLICT' end as reason1 from uc),
+    mv as (select request_id, request_ts, event_id,
+                  case when kind = 2 then o_loc else new_location_id end as loc,
+                  case when kind = 2 then ns else o_start end as s,
+                  case when kind = 2 then ne else o_end end as e
+           from ud1 where reason1 is null and kind in (2, 3)),
+    mq as (select *, row_number() over (partition by loc order by request_ts, request_id) as seq
+           from mv where loc is not null and s is not null and e is not null),
+    mwalk(loc, seq, acc, request_id, clash) as (
+      select distinct loc, 0::bigint, []::struct(s timestamp, e timestamp, ev bigint)[], null::bigint, null::boolean
+      from mq
+      union all
+      select w.loc, q.seq,
+             case when (C) then w.acc else list_append(w.acc, {{'s': q.s, 'e': q.e, 'ev': q.event_id}}) end,
+             q.request_id, (C)
+      from mwalk w join mq q on q.loc = w.loc and q.seq = w.seq + 1),
+    ud as (select ud1.*, coalesce(reason1, case when m.clash then 'CONFLICT' end) as reason
+           from ud1 left join mwalk m on m.request_id = ud1.request_id)""".replace(
+    "(C)", "(len(list_filter(w.acc, lambda a: a.s < q.e and a.e > q.s and a.ev <> q.event_id)) > 0)")
 
 _BCHECK = f"""
     br as (select q.*, try_strptime(start_text, {TS}) as s, try_strptime(end_text, {TS}) as e from d_booking_requests q),

@@ -329,3 +329,24 @@ def test_decisions_do_not_depend_on_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert one == seven
+
+
+def test_event_changes_do_not_collide_within_a_batch(spark):
+    from campusflow.plans.events import apply_event_updates
+
+    students, venues, hosts, _ = _world(spark)
+    venues = df(spark, "venues", [(1, "Hall", "B", 100, 1), (2, "Annex", "B", 100, 1)])
+    events = df(spark, "events", [
+        (100, "X", "", date(2024, 3, 2), h(24), h(25), 1, 7, "S", 50),
+        (101, "Y", "", date(2024, 3, 2), h(30), h(31), 1, 7, "S", 50),
+        (102, "Z", "", date(2024, 3, 2), h(24.5), h(25.5), 2, 7, "S", 50),
+    ])
+    reqs = df(spark, "event_update_requests", [
+        (1, h(0), 100, 2, None, None, "2024-03-02", "12:00:00", "13:00:00", None),  # X to 12-13 at Hall
+        (2, h(1), 101, 2, None, None, "2024-03-02", "12:30:00", "13:30:00", None),  # Y clashes with X's new slot
+        (3, h(2), 100, 2, None, None, "2024-03-02", "12:15:00", "13:00:00", None),  # X again: no clash with itself
+        (4, h(3), 102, 3, None, None, None, None, None, 1),  # Z to Hall at 9:30-10:30: X's old slot, freed next batch only
+    ])
+    got = {r["request_id"]: r["reason"]
+           for r in apply_event_updates(events, venues, hosts, reqs, AS_OF)["decisions"].collect()}
+    assert got == {1: None, 2: "CONFLICT", 3: None, 4: "CONFLICT"}
