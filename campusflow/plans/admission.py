@@ -101,11 +101,11 @@ def admit_overlapping(
     live = checkpoint(live.join(crowd, "request_id", "left").withColumn("settled", F.col("_crowd") <= F.col("cap")))
     a = live.select(F.col("request_id").alias("a_id"), F.col("_ord").alias("a_ord"), *keys,
                     F.col("start_ts").alias("a_s"), F.col("end_ts").alias("a_e"),
-                    *[g.alias("a_grp") for g in [F.col(group)] if group])
+                    *([F.col(group).alias("a_grp")] if group else []))
     b = live.where(~F.coalesce(F.col("settled"), F.lit(False))).select(
         F.col("request_id").alias("b_id"), F.col("_ord").alias("b_ord"), *keys,
         F.col("start_ts").alias("b_s"), F.col("end_ts").alias("b_e"),
-        *[g.alias("b_grp") for g in [F.col(group)] if group],
+        *([F.col(group).alias("b_grp")] if group else []),
     )
     extra = F.col("a_ord") < F.col("b_ord")
     if group:
