@@ -215,8 +215,12 @@ register("event_request_conflict_names")(
 register("maintenance_conflict_names")(
     lambda t: C.maintenance_conflict_names(C.with_span(t.maintenance_requests), t.bookings, t.events)
 )
+# location_id holds NULLs (events without a venue); integer columns with NULLs
+# convert to floats on Spark's pandas side but to nullable integers on
+# DuckDB's, so this output gives the id as text on both sides.
 register("events_after_update")(
     lambda t: PE.apply_event_updates(t.events, t.venues, t.hosts, t.event_update_requests, AS_OF)["events_after"]
+    .withColumn("location_id", F.col("location_id").cast("string"))
 )
 register("students_delta")(lambda t: PP.apply_new_students(t.students, t.student_requests)["students_delta"])
 register("hosts_delta")(lambda t: PP.apply_new_hosts(t.hosts, t.host_requests)["hosts_delta"])

@@ -610,7 +610,7 @@ _BODIES.update({
         select e.id, coalesce(k1.nn, e.name) as name, coalesce(k1.nd, e.description) as description,
                cast(coalesce(cast(k2.ns as date), e.date) as varchar) as date,
                coalesce(k2.ns, e.start_ts) as start_ts, coalesce(k2.ne, e.end_ts) as end_ts,
-               coalesce(k3.new_location_id, e.location_id) as location_id, e.organizer_id, e.status,
+               cast(coalesce(k3.new_location_id, e.location_id) as varchar) as location_id, e.organizer_id, e.status,
                e.max_participants
         from d_events e left join k1 on k1.event_id = e.id left join k2 on k2.event_id = e.id
         left join k3 on k3.event_id = e.id""",
