@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from campusflow.plans.bookings import apply_bookings
-from campusflow.plans.orders import apply_orders
+from campusflow.plans.orders import apply_cancellations, apply_orders
 from campusflow.sources.tables import REQUEST_SCHEMAS, STATE_SCHEMAS
 
 State = dict[str, DataFrame]
@@ -101,6 +101,32 @@ def booking_step(as_of: datetime | None) -> Step:
     return step
 
 
+def cancel_step(as_of: datetime | None) -> Step:
+    """Cancellations: registrations, ticket stock (refunds) and orders evolve."""
+
+    def step(state: State, batch: DataFrame) -> tuple[dict[str, DataFrame], State]:
+        out = apply_cancellations(state["participants"], state["events"], state["tickets"], state["orders"], batch,
+                                  as_of)
+        removed = out["orders_removed"].select("order_id")
+        return (
+            {"decisions": out["decisions"], "refunds_by_ticket": out["refunds_by_ticket"]},
+            {"participants": out["participants_after"], "tickets": out["tickets_after"],
+             "orders": state["orders"].join(removed, "order_id", "left_anti")},
+        )
+
+    return step
+
+
+def start_cancel_stream(
+    spark: SparkSession, request_dir: str, state_dir: str, checkpoint_location: str,
+    initial: Callable[[], State], as_of: datetime | None = None, files_per_batch: int = 1,
+    available_now: bool = True,
+) -> StreamingQuery:
+    return start_request_stream(spark, "cancel_requests", request_dir, state_dir, checkpoint_location, initial,
+                                ("participants", "tickets", "orders"), cancel_step(as_of), files_per_batch,
+                                available_now)
+
+
 def start_order_stream(
     spark: SparkSession, request_dir: str, state_dir: str, checkpoint_location: str,
     initial: Callable[[], State], as_of: datetime | None = None, files_per_batch: int = 1,

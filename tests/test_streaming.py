@@ -67,3 +67,22 @@ def test_booking_stream_equals_one_batch(spark, scratch):
     batch = apply_bookings(t.events, t.venues, t.hosts, t.resources, t.bookings, t.maintenance, t.booking_requests,
                            AS_OF)
     assert _decided(read_decisions(spark, state).collect()) == _decided(batch["decisions"].collect())
+
+
+def test_cancel_stream_equals_one_batch(spark, scratch):
+    from campusflow.plans.orders import apply_cancellations
+    from campusflow.streaming.order_stream import start_cancel_stream
+
+    t = FixtureTables(spark, SMALL)
+
+    def initial():
+        return {"participants": t.participants, "events": t.events, "tickets": t.tickets, "orders": t.orders}
+
+    stream_dir = _three_files(t.cancel_requests, scratch)
+    state = os.path.join(scratch, "state")
+    q = start_cancel_stream(spark, stream_dir, state, os.path.join(scratch, "ckpt"), initial, AS_OF)
+    q.awaitTermination(600)
+    batch = apply_cancellations(t.participants, t.events, t.tickets, t.orders, t.cancel_requests, AS_OF)
+    assert _decided(read_decisions(spark, state).collect()) == _decided(batch["decisions"].collect())
+    last = spark.read.parquet(os.path.join(state, "participants", "v=2"))
+    assert last.count() == batch["participants_after"].count()
