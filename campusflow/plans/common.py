@@ -49,6 +49,8 @@ def last_value_per_key(
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative step (reliable checkpoint in the
-    session's shared checkpoint folder, which survives executor loss)."""
+    """Materialize a step: cuts the lineage of an iterative round, or keeps a
+    result that is read several times from being recomputed (a reliable
+    checkpoint in the session's shared checkpoint folder, which survives the
+    loss of an executor)."""
     return df.checkpoint(eager=True)
