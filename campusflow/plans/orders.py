@@ -155,7 +155,8 @@ def apply_orders(
         "_acc", F.coalesce(F.col("_acc"), F.lit(False))
     )
     _log.info("order admission: %d rounds", rounds)
-    decisions = _reasons(acc, tickets)
+    # Four outputs derive from the decisions: materialize them once.
+    decisions = checkpoint(_reasons(acc, tickets))
     return _order_effects(decisions, tickets)
 
 
@@ -260,7 +261,8 @@ def apply_cancellations(
         (F.coalesce(F.col("_u0"), F.lit(0)) - F.col("_up_before") <= 0, "NO_UPCOMING"),
         (~F.col("_cand"), "NOT_REGISTERED"),
     ])
-    d = decide(r, reason, "request_id", "user_id", "event_id")
+    # Five outputs derive from the decisions: materialize them once.
+    d = checkpoint(decide(r, reason, "request_id", "user_id", "event_id"))
     done = d.where("accepted").select(*PAIR)
     participants_after = participants.join(done, PAIR, "left_anti")
     ticket_event = tickets.select(F.col("id").alias("ticket_id"), "event_id")
