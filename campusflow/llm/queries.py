@@ -10,7 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campusflow.llm import decontaminate, langid, licenses, neardup, packing, pii, secret_scan, urlfilter
+from campusflow.llm import (
+    decontaminate,
+    fingerprints,
+    langid,
+    licenses,
+    neardup,
+    packing,
+    pii,
+    secret_scan,
+    substrings,
+    urlfilter,
+)
 from campusflow.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +32,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(spark, documents(spark, sf_dir), benchmark)
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(spark, documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, documents(spark, sf_dir))
 
@@ -48,6 +63,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark, pages, spark.createDataFrame(URL_RULES, "action string, host string, path string"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(spark, documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir))
 
@@ -64,10 +83,12 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination,
+        op2_document_fingerprints,
         op3_language_id,
         op4_secret_scan,
         op5_license_scan,
         op6_url_filter,
+        op7_suffix_dedup,
         op8_best_fit_packing,
         op9_minhash_near_dedup,
         op10_pii,

@@ -3,15 +3,49 @@
 STAGES lists (name, function) in order; each function takes
 (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet
 to the shared checkpoint folder and reads again as the next stage's docs. All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents``; the last returns the
+packed pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from campusflow.llm import packing
-from campusflow.llm.common import Shared, documents
+from campusflow.llm import decontaminate, langid, neardup, packing, secret_scan
+from campusflow.llm.common import Shared, documents, prepare
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that are in none of the languages learned: null
+    texts, texts without a letter, and texts that every one-versus-rest
+    classifier refuses clearly. The model learns from all labelled rows."""
+    prepare(spark)
+    scored = langid.predict(docs, langid.train(docs), docs.columns)
+    return scored.where(~langid.rejected()).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (five-word shingles,
+    similarity 0.8): the one with the smallest doc_id, and one row of it if
+    rows repeat. Rows with a null doc_id belong to no group and stay."""
+    found = neardup.near_duplicates(spark, docs, words=5, percent=80)
+    kept = found.where("kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a copy of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    bad = decontaminate.contaminated(spark, docs, benchmark).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret found; n_chars follows the new text."""
+    prepare(spark)
+    return secret_scan.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +54,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
     ("best_fit_packing", best_fit_packing),
 ]
 
