@@ -124,11 +124,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of text replaced by ``mask`` (overlapping
     spans by one) and, where there is one, n_chars following the new text."""
     columns = docs.columns
-    found = scan(docs, tuple(columns)).withColumn("_spans", S.merged(F.col("found")))
-    text = F.when(F.col("text").isNotNull(), S.redacted(F.col("text"), F.col("_spans"), mask))
-    out = found.withColumn("text", text)
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*columns).alias("row"))
+    found = scan(rows, ("text", "row")).select("row", "text", S.merged(F.col("found")).alias("spans"))
+    text = F.when(F.col("text").isNotNull(), S.redacted(F.col("text"), F.col("spans"), mask))
+    found = found.select("row", "spans", text.alias("text"))
+    values = {c: F.col("row")[c] for c in columns} | {"text": F.col("text")}
     if "n_chars" in columns:
-        changed = F.size("_spans") > 0
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(F.size("spans") > 0, counted).otherwise(values["n_chars"])
+    return found.select(*[values[c].alias(c) for c in columns])

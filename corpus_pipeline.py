@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts, texts without a letter, and texts that every one-versus-rest
     classifier refuses clearly. The model learns from all labelled rows."""
     prepare(spark)
-    scored = langid.predict(docs, langid.train(docs), docs.columns)
-    return scored.where(~langid.rejected()).select(*docs.columns)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    scored = langid.predict(rows, langid.train(docs), ["row"])
+    return scored.where(~langid.rejected()).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
