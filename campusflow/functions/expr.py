@@ -11,7 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the source application: text formats, labels and states.
-TS_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss"  # the application's '%Y-%m-%d %H:%M:%S'
+TS_TEXT_FORMAT = "yyyy-M-d H:m:s"  # the application's '%Y-%m-%d %H:%M:%S'
+# What that format takes: one or two digits, any blanks between date and time, none outside.
+TS_TEXT_FORM = r"^(?!0000)[0-9]{4}-[0-9]{1,2}-( [1-9]|[0-9]{1,2})\s+[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\z"
 NOT_GIVEN = "N/A"
 YES, NO = "Yes", "No"
 AVAILABLE_TEXT, NOT_AVAILABLE_TEXT = "Available", "Not Available"
@@ -35,7 +37,9 @@ def add_minutes(ts: str | Column, minutes: str | Column) -> Column:
 
 def parse_ts(text: str | Column) -> Column:
     """Text in the application's datetime format → TIMESTAMP_NTZ, NULL when it does not parse."""
-    return F.try_to_timestamp(col(text), F.lit(TS_TEXT_FORMAT)).cast("timestamp_ntz")
+    plain = F.regexp_replace(F.regexp_replace(col(text), r"- ", "-"), r"\s+", " ")
+    parsed = F.try_to_timestamp(plain, F.lit(TS_TEXT_FORMAT)).cast("timestamp_ntz")
+    return F.when(col(text).rlike(TS_TEXT_FORM), parsed)
 
 
 def parse_date_time(date_text: str | Column, time_text: str | Column) -> Column:

@@ -56,7 +56,8 @@ def requests_bad_ticket(requests: DataFrame, tickets: DataFrame) -> DataFrame:
     """Order requests whose ticket is not on sale for the requested event
     (missing, of another event, or with no stock left)."""
     r = _event_ticket(requests, tickets)
-    bad = F.col("_t_event").isNull() | (F.col("_t_event") != F.col("event_id")) | ~(F.col("quantity") > 0)
+    on_sale = F.coalesce(F.col("quantity") > 0, F.lit(False))
+    bad = F.col("_t_event").isNull() | (F.col("_t_event") != F.col("event_id")) | ~on_sale
     return r.where(bad).select("request_id", "event_id", "ticket_id")
 
 

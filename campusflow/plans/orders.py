@@ -5,18 +5,19 @@ refuse" is not a running sum, since a refused request frees its amount for
 later ones. No per-event fold is used (a hot event would gather in one
 task); instead ``apply_orders`` decides a batch in rounds of grouped passes:
 
-* a refused request changes nothing, and stock only goes down, so a request
-  asking for more than a ticket's current remaining stock is refused for
-  good, however the requests before it turn out;
-* among undecided requests of a ticket, the prefix whose cumulative demand
-  fits the remaining stock is accepted, and the first one past it is
-  refused, as long as no earlier registration of the same (event, student)
-  is still undecided (a paid-and-registered request whose pair is already
-  registered is refused).
+* a request is accepted when it fits under what earlier requests of its ticket
+  have taken plus the most that earlier undecided ones can still take, and no
+  earlier completed request of its (event, student) pair is undecided;
+* it is refused when it does not fit under what earlier ones have taken alone,
+  or its pair is registered by an earlier one.
 
-The globally earliest undecided request is always decided, so rounds end.
-Cumulative demand per ticket is a split running sum (``running_sums``), so
-a hot ticket or event is spread over many tasks. Each round is checkpointed.
+Of the completed requests of one pair at most one is accepted, so repeats of a
+request (a double click) count only by what they exceed the first one: all
+first clicks of a sale are decided in the first round, their repeats in the
+second. The globally earliest undecided request is always decided, so rounds
+end. Demand per ticket is a split running sum (``running_sums``), so a hot
+ticket or event is spread over many tasks. A round reads the undecided requests
+and those accepted in the round before, and is checkpointed once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from campusflow.functions.expr import PAYMENT_COMPLETED, first_reason, payment_status
 from campusflow.operators.prefix import running_sums, time_block
@@ -101,52 +101,51 @@ def apply_orders(
     # Refused whatever the state: stock never grows, the gates and student list do not change.
     never = (
         ~F.col("_gates") | ~F.col("_own") | F.col("how_many").isNull() | (F.col("how_many") <= 0)
-        | ~(F.col("how_many") <= F.col("_q0")) | F.col("_student").isNull()
+        | ~F.coalesce(F.col("how_many") <= F.col("_q0"), F.lit(False)) | F.col("_student").isNull()
         | (F.col("_completed") & F.col("_reg0").isNotNull())
     )
     und = r.where(~never).select("request_id", "request_ts", "_ord", "ticket_id", "event_id", "user_id", "how_many",
                                  "_completed")
-    rem = checkpoint(
-        und.groupBy("ticket_id").agg(F.lit(0).alias("_d")).join(
-            tickets.select(F.col("id").alias("ticket_id"), F.col("quantity").alias("_rem")), "ticket_id", "inner"
-        ).drop("_d")
-    )
-    spark = r.sparkSession
+    und = und.join(tickets.select(F.col("id").alias("ticket_id"), F.col("quantity").alias("_left")), "ticket_id")
+    und = und.withColumn("_new", F.lit(False))
     took_parts: list[DataFrame] = []
-    regd = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in PAIR]))
 
     rounds = 0
-    while und.limit(1).count() > 0:
+    while not und.where("not _new").isEmpty():
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("order admission did not settle")
         _log.info("order admission round %d", rounds)
-        u = und.join(rem, "ticket_id", "inner").join(regd.withColumn("_regd", F.lit(True)), PAIR, "left")
-        drop_now = (F.col("_completed") & F.col("_regd").isNotNull()) | (F.col("how_many") > F.col("_rem"))
-        cand = u.where(~drop_now).drop("_regd")
-        cand = running_sums(cand.withColumn("_blk", _block()), ["ticket_id"], "_blk", ["request_ts", "request_id"],
-                            {"_cum": "how_many"})
-        first_c = cand.where("_completed").groupBy(*PAIR).agg(F.min("_ord").alias("_fc"))
-        cand = cand.join(first_c, PAIR, "left").withColumn(
-            "_blocked", F.col("_completed") & (F.col("_ord") > F.col("_fc"))
+        # ``_left`` is the stock that requests accepted up to the round before last left;
+        # ``_new`` marks those accepted in the last round.
+        done = und.where("_completed")
+        pair = done.groupBy(*PAIR).agg(
+            F.min(F.when(F.col("_new"), F.col("_ord"))).alias("_reg_at"),
+            F.min(F.when(~F.col("_new"), F.col("_ord"))).alias("_open_at"),
+        )
+        first = done.where("not _new").groupBy("ticket_id", *PAIR).agg(
+            F.min(F.struct("_ord", F.col("how_many").alias("n"))).alias("_first")
         )
-        stop = cand.where((F.col("_cum") > F.col("_rem")) | F.col("_blocked")).groupBy("ticket_id").agg(
-            F.min("_ord").alias("_stop")
+        repeat = F.col("_completed") & (F.col("_ord") > F.col("_first._ord"))
+        counts = (
+            F.when(F.col("_new") | (F.col("_completed") & (F.col("_reg_at") < F.col("_ord"))), F.lit(0))
+            .when(repeat, F.greatest(F.col("how_many") - F.col("_first.n"), F.lit(0)))
+            .otherwise(F.col("how_many"))
         )
-        cand = cand.join(stop, "ticket_id", "left")
-        take = F.col("_stop").isNull() | (F.col("_ord") < F.col("_stop"))
-        refuse = (F.col("_ord") == F.col("_stop")) & ~F.col("_blocked") & (F.col("_cum") > F.col("_rem"))
-        cand = checkpoint(cand.withColumn("_take", take).withColumn("_refuse", refuse))
-        took = cand.where("_take")
-        took_parts.append(took.select("request_id"))
-        regd = regd.unionByName(took.where("_completed").select(*PAIR))
-        used = took.groupBy("ticket_id").agg(F.sum("how_many").alias("_used"))
-        rem = checkpoint(
-            rem.join(used, "ticket_id", "left").select(
-                "ticket_id", (F.col("_rem") - F.coalesce(F.col("_used"), F.lit(0))).cast("int").alias("_rem")
-            )
+        u = und.join(pair, PAIR, "left").join(first, ["ticket_id", *PAIR], "left").withColumn("_blk", _block())
+        u = running_sums(
+            u.withColumn("_counts", counts).withColumn("_takes", F.when(F.col("_new"), F.col("how_many")).otherwise(0)),
+            ["ticket_id"], "_blk", ["request_ts", "request_id"], {"_may": "_counts", "_took": "_takes"}, inclusive=False,
         )
-        und = cand.where(~F.col("_take") & ~F.col("_refuse")).select(und.columns)
+        free = F.col("_left") - F.col("_took")
+        registered = F.col("_completed") & F.coalesce(F.col("_reg_at") < F.col("_ord"), F.lit(False))
+        waits = F.col("_completed") & F.coalesce(F.col("_open_at") < F.col("_ord"), F.lit(False))
+        take = ~F.col("_new") & ~registered & ~waits & (F.col("how_many") <= free - F.col("_may"))
+        refuse = ~F.col("_new") & (registered | (F.col("how_many") > free))
+        columns = [c for c in und.columns if c not in ("_left", "_new")]
+        u = checkpoint(u.select(*columns, free.alias("_left"), "_new", take.alias("_take"), refuse.alias("_refuse")))
+        took_parts.append(u.where("_take").select("request_id"))
+        und = u.where("not _new and not _refuse").select(*columns, "_left", F.col("_take").alias("_new"))
 
     accepted = took_parts[0] if took_parts else und.select("request_id")
     for part in took_parts[1:]:
@@ -190,7 +189,7 @@ def _reasons(r: DataFrame, tickets: DataFrame) -> DataFrame:
     reason = first_reason([
         (~F.col("_gate_e"), EMPTY_LIST),
         (no_tickets, "NO_TICKETS"),
-        (~F.col("_own") | ~(F.col("_stock_at") > 0), "INVALID_TICKET"),
+        (~F.col("_own") | ~F.coalesce(F.col("_stock_at") > 0, F.lit(False)), "INVALID_TICKET"),
         (F.col("how_many").isNull() | (F.col("how_many") <= 0), "NON_POSITIVE"),
         (F.col("how_many") > F.col("_stock_at"), "OVER_QUANTITY"),
         (~F.col("_gate_s"), EMPTY_LIST),

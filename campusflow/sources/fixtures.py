@@ -14,8 +14,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cached_property
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from campusflow.functions.expr import add_minutes
@@ -30,14 +29,18 @@ TEST_TABLES = (
 E = F.expr
 
 
+def _typed(text: Column, loose: int, odd: int) -> Column:
+    """A datetime text as typed by some: every ``loose``-th without leading
+    zeros and with two blanks, every ``odd``-th with a trailing blank."""
+    short = F.regexp_replace(F.regexp_replace(text, "([- :])0", "$1"), " ", "  ")
+    return F.when(E(f"event_id % {loose} = 0"), short).when(E(f"event_id % {odd} = 0"), F.concat(text, F.lit(" "))).otherwise(text)
+
+
 class FixtureTables:
     """Lazily built domain tables over one scale-factor folder.
 
-    The two derivations that cost a shuffle (the lineitem grouping behind
-    tickets, bookings and maintenance, and the first-activity window behind
-    participants) are persisted when first used, so that, as stored tables
-    would be, they are read rather than re-derived by every operator that
-    takes them.
+    Nothing is cached: a query that reads a table derives it from the test
+    tables, so its work is all its own.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -99,20 +102,18 @@ class FixtureTables:
 
     @cached_property
     def _li(self) -> DataFrame:
-        # (l_orderkey, l_linenumber) is not unique in the test data; the
-        # largest value of each column used below stands for the pair.
+        # (l_orderkey, l_linenumber) is not unique in the test data: ``copy``
+        # numbers the lines that share a pair, so that each has an id of its own.
         used = ("l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
-        return (
-            self.raw("lineitem")
-            .groupBy("l_orderkey", "l_linenumber")
-            .agg(*[F.max(c).alias(c) for c in used])
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
+        same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*used)
+        return self.raw("lineitem").select(
+            "l_orderkey", "l_linenumber", *used, (F.row_number().over(same) - 1).alias("copy")
+        ).withColumn("line_id", E("l_orderkey * 10 + l_linenumber + copy * 100000000000L"))
 
     @cached_property
     def tickets(self) -> DataFrame:
         return self._li.select(
-            E("l_orderkey * 10 + l_linenumber").alias("id"),
+            F.col("line_id").alias("id"),
             F.col("l_orderkey").alias("event_id"),
             F.col("l_returnflag").alias("ticket_type"),
             E("case when l_linenumber = 1 then 0.0 else l_extendedprice end").cast("double").alias("price"),
@@ -121,10 +122,10 @@ class FixtureTables:
 
     @cached_property
     def bookings(self) -> DataFrame:
-        li = self._li.where("l_linenumber <> 7")
+        li = self._li.where("l_linenumber <> 7 or l_returnflag <> 'R'")
         start = add_minutes("l_shipdate", E("480 + (l_orderkey * 37 + l_linenumber * 11) % 600"))
         return li.select(
-            E("l_orderkey * 10 + l_linenumber").alias("id"),
+            F.col("line_id").alias("id"),
             F.col("l_orderkey").alias("event_id"),
             F.col("l_suppkey").alias("resource_id"),
             E("cast(l_quantity as int) % 5 + 1").alias("quantity_booked"),
@@ -136,7 +137,7 @@ class FixtureTables:
     def maintenance(self) -> DataFrame:
         li = self._li.where("l_linenumber = 7 and l_returnflag = 'R'")
         return li.select(
-            E("l_orderkey * 10 + l_linenumber").alias("id"),
+            F.col("line_id").alias("id"),
             F.col("l_suppkey").alias("resource_id"),
             F.col("l_shipdate").alias("maintenance_start"),
             add_minutes("l_shipdate", E("60 + (l_orderkey * 53) % 4320")).alias("maintenance_end"),
@@ -181,7 +182,6 @@ class FixtureTables:
                 F.col("ts").alias("registration_time"),
                 E("case when event_type in ('view', 'signup') then 0 else 1 end").cast("int").alias("attendance_status"),
             )
-            .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
     @cached_property
@@ -246,9 +246,10 @@ class FixtureTables:
                 "case when event_id % 53 = 0 then '25:61:00' else concat(lpad(cast(floor(_sm / 60) as int), 2, '0'), ':', "
                 "lpad(cast(_sm % 60 as int), 2, '0'), ':00') end"
             ).alias("start_text"),
-            E("concat(lpad(cast(floor(_em / 60) as int), 2, '0'), ':', lpad(cast(_em % 60 as int), 2, '0'), ':00')").alias(
-                "end_text"
-            ),
+            E(
+                "case when event_id % 31 = 0 then concat(' ', cast(floor(_em / 60) as int), ':', cast(_em % 60 as int), ':0') "
+                "else concat(lpad(cast(floor(_em / 60) as int), 2, '0'), ':', lpad(cast(_em % 60 as int), 2, '0'), ':00') end"
+            ).alias("end_text"),
             E("case when event_id % 29 = 0 then 999999999 else user_id % 10 end").cast("bigint").alias("organizer_id"),
             E("(user_id * 3 + event_id) % 40").alias("location_id"),
             E("cast(10 + (event_id * 13) % 500 as int)").alias("max_participants"),
@@ -271,7 +272,10 @@ class FixtureTables:
                 "case when event_id % 6 = 0 then '' "
                 "else cast(date_add(date'1998-06-01', cast(event_id % 30 as int)) as string) end"
             ).alias("new_date_text"),
-            E(f"case when event_id % 47 = 0 then 'noon' else {hhmm.format(m='_sm')} end").alias("new_start_text"),
+            E(
+                "case when event_id % 47 = 0 then 'noon' when event_id % 23 = 0 then "
+                f"concat(cast(floor(_sm / 60) as int), ':', cast(_sm % 60 as int), ':0') else {hhmm.format(m='_sm')} end"
+            ).alias("new_start_text"),
             E(hhmm.format(m="_em")).alias("new_end_text"),
             E("(user_id * 11) % 40").alias("new_location_id"),
         )
@@ -288,7 +292,7 @@ class FixtureTables:
             F.col("ev").alias("event_id"),
             F.col("user_id").alias("resource_id"),
             E("cast(floor(value) as int) % 9 - 1").alias("quantity"),
-            F.col("_st").cast("string").alias("start_text"),
+            _typed(F.col("_st").cast("string"), 37, 41).alias("start_text"),
             F.when(F.expr("event_id % 47 = 0"), F.lit("soon")).otherwise(end.cast("string")).alias("end_text"),
         )
 
@@ -304,9 +308,9 @@ class FixtureTables:
             "request_id",
             "request_ts",
             F.col("user_id").alias("resource_id"),
-            F.when(F.expr("event_id % 59 = 0"), F.lit("1997-13-45 00:00:00")).otherwise(F.col("_st").cast("string")).alias(
-                "start_text"
-            ),
+            F.when(F.expr("event_id % 59 = 0"), F.lit("1997-13-45 00:00:00")).otherwise(
+                _typed(F.col("_st").cast("string"), 37, 41)
+            ).alias("start_text"),
             end.cast("string").alias("end_text"),
             F.col("props").alias("description"),
         )

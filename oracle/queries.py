@@ -70,16 +70,26 @@ def register_sql(name: str, body: str) -> None:
     _BODIES[name] = body
 
 TS = "'%Y-%m-%d %H:%M:%S'"
+# RE2 has no look-ahead: year 0000 is refused by its own condition.
+TS_FORM = r"'[0-9]{4}-[0-9]{1,2}-( [1-9]|[0-9]{1,2})\s+[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}'"
+
+
+def parsed(text: str) -> str:
+    """The datetime of a text as the application parses it, else NULL."""
+    return (
+        f"(case when regexp_full_match({text}, {TS_FORM}) and not starts_with({text}, '0000') "
+        f"then try_strptime(regexp_replace(replace({text}, '- ', '-'), '\\s+', ' '), {TS}) end)"
+    )
 
 
 def _span(view: str, cols: str, start: str = "start_text", end: str = "end_text") -> str:
-    return f"(select {cols}, try_strptime({start}, {TS}) as start_ts, try_strptime({end}, {TS}) as end_ts from {view})"
+    return f"(select {cols}, {parsed(start)} as start_ts, {parsed(end)} as end_ts from {view})"
 
 
 def _event_span(view: str, cols: str) -> str:
     return (
-        f"(select {cols}, try_strptime(date_text || ' ' || start_text, {TS}) as start_ts, "
-        f"try_strptime(date_text || ' ' || end_text, {TS}) as end_ts from {view})"
+        f"(select {cols}, {parsed("(date_text || ' ' || start_text)")} as start_ts, "
+        f"{parsed("(date_text || ' ' || end_text)")} as end_ts from {view})"
     )
 
 
@@ -129,7 +139,7 @@ def _bad_span(view: str, source: str, id_col: str, s: str, e: str) -> str:
 
 def _unparse(view: str, source: str, field: str, text: str) -> str:
     return (f"select '{source}' as source, request_id, '{field}' as field from {view} "
-            f"where ({text}) is not null and try_strptime({text}, {TS}) is null")
+            f"where ({text}) is not null and {parsed('(' + text + ')')} is null")
 
 
 _BODIES.update({
@@ -148,7 +158,7 @@ _BODIES.update({
         from d_events e join d_venues v on e.location_id = v.id where e.max_participants > v.capacity""",
     "requests_bad_ticket": """
         select r.request_id, r.event_id, r.ticket_id from d_order_requests r left join d_tickets t on r.ticket_id = t.id
-        where t.id is null or t.event_id <> r.event_id or not (t.quantity > 0)""",
+        where t.id is null or t.event_id <> r.event_id or not coalesce(t.quantity > 0, false)""",
     "unfillable_requests": """
         select r.request_id, r.ticket_id, r.how_many, t.quantity from d_order_requests r join d_tickets t on r.ticket_id = t.id
         where t.event_id = r.event_id and t.quantity > 0 and (r.how_many <= 0 or r.how_many > t.quantity)""",
@@ -269,8 +279,8 @@ _RSTATUS = """
            from d_resource_status_requests r)"""
 
 _MAINT = f"""
-    mr as (select request_id, resource_id, description, try_strptime(start_text, {TS}) as s,
-                  try_strptime(end_text, {TS}) as e from d_maintenance_requests),
+    mr as (select request_id, resource_id, description, {parsed('start_text')} as s,
+                  {parsed('end_text')} as e from d_maintenance_requests),
     mc as (select mr.*, case when s < e then (select count(*) from d_bookings b where b.resource_id = mr.resource_id
                   and b.event_id in (select id from d_events) and b.booking_start < mr.e and b.booking_end > mr.s) end
                   as conflicts from mr),
@@ -325,10 +335,10 @@ _UPDATES = f"""recursive
            from d_event_update_requests q left join d_events e on q.event_id = e.id
            left join (select id, capacity from d_venues where is_available = 1) v on q.new_location_id = v.id),
     up as (select ur.*,
-             try_strptime(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' ||
-                          coalesce(nullif(new_start_text, ''), strftime(o_start, '%H:%M:%S')), {TS}) as ns,
-             try_strptime(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' ||
-                          coalesce(nullif(new_end_text, ''), strftime(o_end, '%H:%M:%S')), {TS}) as ne
+             {parsed("(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' || "
+                     "coalesce(nullif(new_start_text, ''), strftime(o_start, '%H:%M:%S')))")} as ns,
+             {parsed("(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' || "
+                     "coalesce(nullif(new_end_text, ''), strftime(o_end, '%H:%M:%S')))")} as ne
            from ur),
     uc as (select up.*,
              case when kind = 2 and ns < ne then (select count(*) from d_events x where x.location_id = up.o_loc
@@ -364,7 +374,7 @@ _UPDATES = f"""recursive
     "(C)", "(len(list_filter(w.acc, lambda a: a.s < q.e and a.e > q.s and a.ev <> q.event_id)) > 0)")
 
 _BCHECK = f"""
-    br as (select q.*, try_strptime(start_text, {TS}) as s, try_strptime(end_text, {TS}) as e from d_booking_requests q),
+    br as (select q.*, {parsed('start_text')} as s, {parsed('end_text')} as e from d_booking_requests q),
     bc as (select br.*, res.quantity as total,
              case when s < e then cast(coalesce((select sum(b.quantity_booked) from d_bookings b
                     where b.resource_id = br.resource_id and b.booking_start < br.e and b.booking_end > br.s), 0)
@@ -489,8 +499,8 @@ _ORDER_REASON = """case when not q.up_gate then 'EMPTY_LIST'
 _ORDER_WALK = _ORDER_WALK.replace("{R}", _ORDER_REASON).replace("{{", "{").replace("}}", "}")
 
 _EVENT_WALK = f"""with recursive
-    er as (select q.*, try_strptime(date_text || ' ' || start_text, {TS}) as s,
-                  try_strptime(date_text || ' ' || end_text, {TS}) as e from d_event_requests q),
+    er as (select q.*, {parsed("(date_text || ' ' || start_text)")} as s,
+                  {parsed("(date_text || ' ' || end_text)")} as e from d_event_requests q),
     es as (select er.*, v.capacity, exists (select 1 from d_hosts h where h.id = er.organizer_id) as host_ok,
                   case when er.s < er.e then (select count(*) from d_events x where x.location_id = er.location_id
                        and x.start_ts < er.e and x.end_ts > er.s) end as stored_conf

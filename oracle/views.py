@@ -18,6 +18,11 @@ def _hhmm(m: str) -> str:
     )
 
 
+def _typed(text: str, loose: int, odd: int) -> str:
+    short = f"replace(regexp_replace({text}, '([- :])0', '\\1', 'g'), ' ', '  ')"
+    return f"(case when src_id % {loose} = 0 then {short} when src_id % {odd} = 0 then {text} || ' ' else {text} end)"
+
+
 # Ordered: each view may use the ones above it.
 VIEWS: dict[str, str] = {
     "d_venues": """
@@ -46,25 +51,23 @@ VIEWS: dict[str, str] = {
                o_orderstatus as status, cast(20 + o_orderkey % 400 as int) as max_participants
         from orders""",
     "d_li": """
-        select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey,
-               max(l_quantity) as l_quantity, max(l_extendedprice) as l_extendedprice,
-               max(l_discount) as l_discount, max(l_tax) as l_tax, max(l_returnflag) as l_returnflag,
-               max(l_linestatus) as l_linestatus, max(l_shipdate) as l_shipdate
-        from lineitem group by l_orderkey, l_linenumber""",
+        select *, l_orderkey * 10 + l_linenumber + (row_number() over (partition by l_orderkey, l_linenumber
+               order by l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate) - 1) * 100000000000 as line_id
+        from lineitem""",
     "d_tickets": """
-        select l_orderkey * 10 + l_linenumber as id, l_orderkey as event_id, l_returnflag as ticket_type,
+        select line_id as id, l_orderkey as event_id, l_returnflag as ticket_type,
                cast(case when l_linenumber = 1 then 0.0 else l_extendedprice end as double) as price,
                cast(l_quantity as int) - 1 as quantity
         from d_li""",
     "d_bookings": """
         select id, event_id, resource_id, quantity_booked, booking_start,
                booking_start + to_minutes(30 + (l_orderkey * 53) % 2880) as booking_end
-        from (select l_orderkey * 10 + l_linenumber as id, l_orderkey as event_id, l_suppkey as resource_id,
+        from (select line_id as id, l_orderkey as event_id, l_suppkey as resource_id,
                      cast(l_quantity as int) % 5 + 1 as quantity_booked, l_orderkey,
                      l_shipdate + to_minutes(480 + (l_orderkey * 37 + l_linenumber * 11) % 600) as booking_start
-              from d_li where l_linenumber <> 7)""",
+              from d_li where l_linenumber <> 7 or l_returnflag <> 'R')""",
     "d_maintenance": """
-        select l_orderkey * 10 + l_linenumber as id, l_suppkey as resource_id, l_shipdate as maintenance_start,
+        select line_id as id, l_suppkey as resource_id, l_shipdate as maintenance_start,
                l_shipdate + to_minutes(60 + (l_orderkey * 53) % 4320) as maintenance_end, l_returnflag as description
         from d_li where l_linenumber = 7 and l_returnflag = 'R'""",
     "d_resources": """
@@ -104,7 +107,8 @@ VIEWS: dict[str, str] = {
     "d_event_requests": f"""
         select request_id, request_ts, name, description, date_text,
                case when event_id % 53 = 0 then '25:61:00' else {_hhmm('_sm')} end as start_text,
-               {_hhmm('_em')} as end_text, organizer_id, location_id, max_participants
+               case when event_id % 31 = 0 then concat(' ', cast(floor(_em / 60) as int), ':', cast(_em % 60 as int), ':0')
+                    else {_hhmm('_em')} end as end_text, organizer_id, location_id, max_participants
         from (select event_id, event_id as request_id, ts as request_ts,
                      concat('Proposal ', cast(event_id as varchar)) as name, props as description,
                      cast(date '1998-06-01' + cast(event_id % 30 as int) as varchar) as date_text,
@@ -117,7 +121,9 @@ VIEWS: dict[str, str] = {
               from d_act where event_type = 'signup')""",
     "d_event_update_requests": f"""
         select request_id, request_ts, event_id, kind, new_name, new_description, new_date_text,
-               case when src_id % 47 = 0 then 'noon' else {_hhmm('_sm')} end as new_start_text,
+               case when src_id % 47 = 0 then 'noon'
+                    when src_id % 23 = 0 then concat(cast(floor(_sm / 60) as int), ':', cast(_sm % 60 as int), ':0')
+                    else {_hhmm('_sm')} end as new_start_text,
                {_hhmm('_em')} as new_end_text, new_location_id
         from (select event_id as src_id, event_id as request_id, ts as request_ts, ev as event_id,
                      cast(1 + event_id % 3 as int) as kind,
@@ -130,9 +136,9 @@ VIEWS: dict[str, str] = {
                           else 480 + (event_id * 41) % 600 + 30 + (event_id * 29) % 180 end as _em,
                      (user_id * 11) % 40 as new_location_id
               from d_act where event_type = 'click')""",
-    "d_booking_requests": """
+    "d_booking_requests": f"""
         select request_id, request_ts, event_id, resource_id, quantity,
-               cast(_st as varchar) as start_text,
+               {_typed("cast(_st as varchar)", 37, 41)} as start_text,
                case when src_id % 47 = 0 then 'soon'
                     when src_id % 19 = 0 then cast(_st as varchar)
                     else cast(_st + to_minutes(30 + (src_id * 53) % 2880) as varchar) end as end_text
@@ -140,9 +146,10 @@ VIEWS: dict[str, str] = {
                      user_id as resource_id, cast(floor(value) as int) % 9 - 1 as quantity,
                      timestamp '1997-06-01 00:00:00' + to_minutes((event_id % 60) * 1440 + (event_id * 41) % 1440) as _st
               from d_act where event_type = 'view')""",
-    "d_maintenance_requests": """
+    "d_maintenance_requests": f"""
         select request_id, request_ts, resource_id,
-               case when src_id % 59 = 0 then '1997-13-45 00:00:00' else cast(_st as varchar) end as start_text,
+               case when src_id % 59 = 0 then '1997-13-45 00:00:00'
+                    else {_typed("cast(_st as varchar)", 37, 41)} end as start_text,
                case when src_id % 23 = 0 then cast(_st + to_minutes(-60) as varchar)
                     else cast(_st + to_minutes(60 + (src_id * 31) % 4320) as varchar) end as end_text,
                description

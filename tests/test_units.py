@@ -350,3 +350,59 @@ def test_event_changes_do_not_collide_within_a_batch(spark):
     got = {r["request_id"]: r["reason"]
            for r in apply_event_updates(events, venues, hosts, reqs, AS_OF)["decisions"].collect()}
     assert got == {1: None, 2: "CONFLICT", 3: None, 4: "CONFLICT"}
+
+
+def test_double_submitted_orders_settle_in_three_rounds(spark):
+    """Every buyer clicks twice: first clicks are decided in round 1, repeats in round 2."""
+    from campusflow.plans.orders import apply_orders
+
+    n = 10_000
+    _, venues, hosts, events = _world(spark)
+    students = spark.range(1, n + 1).selectExpr(
+        "id", "cast(id as string) as srn", "'N' as name", "3 as semester", "'A' as section"
+    )
+    reqs = spark.range(0, 2 * n).selectExpr(
+        "id as request_id", "timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, id) as request_ts",
+        "cast(id div 2 + 1 as long) as user_id", "100L as event_id", "1L as ticket_id", "1 as how_many", "1 as paid",
+    )
+    tickets = df(spark, "tickets", [(1, 100, "Paid", 10.0, n)])
+    out = apply_orders(tickets, df(spark, "participants", []), students, events, venues, hosts, reqs, AS_OF, max_rounds=3)
+    got = {(r["reason"], r["count"]) for r in out["decisions"].groupBy("reason").count().collect()}
+    assert got == {(None, n), ("NO_TICKETS", 1), ("ALREADY_REGISTERED", n - 1)}
+
+
+def test_null_stock_is_never_on_sale(spark):
+    from campusflow.operators.rules import requests_bad_ticket
+    from campusflow.plans.orders import apply_orders
+
+    students, venues, hosts, events = _world(spark)
+    tickets = df(spark, "tickets", [(1, 100, "A", 5.0, None), (2, 100, "B", 5.0, 3), (3, 200, "A", 5.0, None)])
+    reqs = df(spark, "order_requests", [(1, h(0), 5, 100, 1, 1, 1), (2, h(0.1), 5, 200, 3, 1, 1), (3, h(0.2), 5, 100, 2, 1, 1)])
+    out = apply_orders(tickets, df(spark, "participants", []), students, events, venues, hosts, reqs, AS_OF)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in out["decisions"].collect()}
+    assert got == {1: (False, "INVALID_TICKET"), 2: (False, "NO_TICKETS"), 3: (True, None)}
+    assert {r["request_id"] for r in requests_bad_ticket(reqs, tickets).collect()} == {1, 2}
+
+
+def test_datetime_texts_as_strptime(spark):
+    import duckdb
+
+    from campusflow.functions.expr import parse_ts
+    from oracle.queries import parsed
+
+    texts = [
+        "2024-03-01 09:00:00", "2024-3-1 9:00:00", "2024-03-01 9:0:0", "2024-03-01  09:00:00", "2024-03-01 09:00:00 ", " 2024-03-01 09:00:00",
+        "2024-13-01 09:00:00", "2024-02-30 09:00:00", "24-03-01 09:00:00", "2024-03-01", "2024-03-01\t09:00:00", "noon", "", "2024-03-01 24:00:00",
+        "2024-03-01 09:60:00", "2024-03-01 09:00:61", "2024-03-01T09:00:00", "2024-03-001 09:00:00", "02024-03-01 09:00:00", "0000-01-01 00:00:00",
+    ]
+
+    def python(text):
+        try:
+            return datetime.strptime(text, "%Y-%m-%d %H:%M:%S")
+        except ValueError:
+            return None
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["p"] for r in frame.select("t", parse_ts("t").alias("p")).collect()} == {t: python(t) for t in texts}
+    got = {t: duckdb.execute(f"select {parsed('t')} from (select ?::varchar as t)", [t]).fetchone()[0] for t in texts}
+    assert got == {t: python(t) for t in texts}
