@@ -66,6 +66,12 @@ def yes_no(flag: str | Column) -> Column:
     return F.when(col(flag) == 1, F.lit(YES)).otherwise(F.lit(NO))
 
 
+def is_yes(answer: str | Column) -> Column:
+    """1 for a typed 'y' in either case, blanks around it aside; else 0."""
+    typed = F.lower(F.regexp_replace(col(answer).cast("string"), r"^\s+|\s+$", ""))
+    return F.coalesce((typed == "y").cast("int"), F.lit(0))
+
+
 def availability_text(flag: str | Column) -> Column:
     return F.when(col(flag) == 1, F.lit(AVAILABLE_TEXT)).otherwise(F.lit(NOT_AVAILABLE_TEXT))
 

@@ -19,9 +19,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from campusflow.operators import conflicts as C
 from campusflow.operators import reports as R
+from campusflow.operators import rules as V
 from campusflow.plans import assets, bookings, events, orders, people, registrations, tickets
-from campusflow.sources.tables import read_table, write_table
+from campusflow.sources.tables import read_table, read_with_rejects, write_table
 
 Tables = dict[str, DataFrame]
 
@@ -63,7 +65,49 @@ REPORTS: dict[str, Callable[[Tables, datetime | None], DataFrame]] = {
     "hosts_list": lambda t, a: R.hosts_list(t["hosts"], ordered=True),
     "upcoming_registrations": lambda t, a: R.upcoming_registrations(t["participants"], t["events"], t["venues"], a,
                                                                     ordered=True),
-    "feedback_report": lambda t, a: R.feedback_report(t["feedback"], t["students"]),
+    "feedback_report": lambda t, a: R.feedback_report(t["feedback"], t["students"], ordered=True),
+    "available_tickets": lambda t, a: R.available_tickets(t["tickets"], ordered=True),
+    "event_tickets": lambda t, a: R.event_tickets(t["tickets"], ordered=True),
+    "event_directory": lambda t, a: R.event_directory(t["events"], ordered=True),
+    "attendance_roster": lambda t, a: R.attendance_roster(t["participants"], t["students"], ordered=True),
+    "venue_conflicts": lambda t, a: C.venue_conflicts(t["events"]),
+    "booking_maintenance_conflicts": lambda t, a: C.booking_maintenance_conflicts(t["bookings"], t["maintenance"]),
+    "invalid_semester": lambda t, a: V.invalid_semester(t["students"]),
+    "invalid_rating": lambda t, a: V.invalid_rating(t["feedback"]),
+    "invalid_events": lambda t, a: V.invalid_spans(t["events"], "events", "id", "start_ts", "end_ts"),
+    "invalid_bookings": lambda t, a: V.invalid_spans(t["bookings"], "bookings", "id", "booking_start", "booking_end"),
+    "invalid_maintenance": lambda t, a: V.invalid_spans(
+        t["maintenance"], "maintenance", "id", "maintenance_start", "maintenance_end"),
+    "over_capacity_events": lambda t, a: V.over_capacity_events(t["events"], t["venues"]),
+    "duplicate_keys": lambda t, a: V.duplicate_keys(t["students"], t["hosts"], t["participants"]),
+    "orphan_rows": lambda t, a: V.orphan_rows(
+        t["participants"], t["feedback"], t["bookings"], t["orders"], t["students"], t["events"], t["tickets"],
+        t["resources"]),
+    "lowest_ticket": lambda t, a: V.lowest_ticket(t["tickets"]),
+    "first_feedback": lambda t, a: V.first_feedback(t["feedback"], t["participants"]),
+}
+
+# Reports over a table of requests: (request table, runner(tables, requests)).
+REQUEST_REPORTS: dict[str, tuple[str, Callable[[Tables, DataFrame], DataFrame]]] = {
+    "unknown_student_requests": ("order_requests", lambda t, r: R.unknown_student_requests(r, t["students"], ordered=True)),
+    "requests_bad_ticket": ("order_requests", lambda t, r: V.requests_bad_ticket(r, t["tickets"])),
+    "unfillable_requests": ("order_requests", lambda t, r: V.unfillable_requests(r, t["tickets"])),
+    "invalid_booking_quantity": ("booking_requests", lambda t, r: V.invalid_booking_quantity(r, t["resources"])),
+    "invalid_resource_quantity": ("resource_requests", lambda t, r: V.invalid_resource_quantity(r)),
+    "requests_bad_venue": ("event_requests", lambda t, r: V.requests_bad_venue(r, t["venues"])),
+    "event_request_conflicts": (
+        "event_requests", lambda t, r: C.event_request_conflicts(C.with_event_span(r), t["events"])),
+    "event_request_conflict_names": (
+        "event_requests", lambda t, r: C.event_request_conflict_names(C.with_event_span(r), t["events"])),
+    "maintenance_booking_conflicts": (
+        "maintenance_requests",
+        lambda t, r: C.maintenance_booking_conflicts(C.with_span(r), t["bookings"], t["events"])),
+    "maintenance_conflict_names": (
+        "maintenance_requests", lambda t, r: C.maintenance_conflict_names(C.with_span(r), t["bookings"], t["events"])),
+    "booked_in_slot": ("booking_requests", lambda t, r: C.booked_in_slot(C.with_span(r), t["bookings"])),
+    "resource_remaining": (
+        "booking_requests",
+        lambda t, r: C.resource_remaining(C.booked_in_slot(C.with_span(r), t["bookings"]), t["resources"])),
 }
 
 
@@ -84,14 +128,29 @@ def run_flow(spark: SparkSession, tables_root: str, flow: str, requests_path: st
              as_of: datetime | None = None) -> list[str]:
     """Run one flow and write all its outputs; returns the output names written."""
     kind, runner = FLOWS[flow]
-    outputs = runner(LazyTables(spark, tables_root), read_table(spark, kind, requests_path), as_of)
+    as_of = as_of or now(spark)
+    requests, rejects = read_with_rejects(spark, kind, requests_path)
+    outputs = runner(LazyTables(spark, tables_root), requests, as_of) | {"rejects": rejects}
     for name, df in outputs.items():
         write_table(df, f"{out.rstrip('/')}/{name}")
     return sorted(outputs)
 
 
-def run_report(spark: SparkSession, tables_root: str, report: str, out: str, as_of: datetime | None = None) -> None:
-    write_table(REPORTS[report](LazyTables(spark, tables_root), as_of), f"{out.rstrip('/')}/{report}")
+def now(spark: SparkSession) -> datetime:
+    """The run's one "now": every output of a run sees the same time."""
+    return spark.sql("SELECT localtimestamp() AS now").first()["now"]
+
+
+def run_report(spark: SparkSession, tables_root: str, report: str, out: str, as_of: datetime | None = None,
+               requests_path: str | None = None) -> None:
+    """Run one report; those over requests read ``requests_path``."""
+    tables = LazyTables(spark, tables_root)
+    if report in REQUEST_REPORTS:
+        kind, runner = REQUEST_REPORTS[report]
+        df = runner(tables, read_table(spark, kind, requests_path))
+    else:
+        df = REPORTS[report](tables, as_of or now(spark))
+    write_table(df, f"{out.rstrip('/')}/{report}")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -100,8 +159,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out", required=True, help="new folder for this run's outputs")
     g = p.add_mutually_exclusive_group(required=True)
     g.add_argument("--flow", choices=sorted(FLOWS))
-    g.add_argument("--report", choices=sorted(REPORTS))
-    p.add_argument("--requests", help="request table of the flow")
+    g.add_argument("--report", choices=sorted({*REPORTS, *REQUEST_REPORTS}))
+    p.add_argument("--requests", help="request table of the flow or report")
     p.add_argument("--as-of", help="'YYYY-MM-DD HH:MM:SS'; default: now")
     args = p.parse_args(argv)
     as_of = datetime.strptime(args.as_of, "%Y-%m-%d %H:%M:%S") if args.as_of else None
@@ -114,7 +173,9 @@ def main(argv: list[str] | None = None) -> None:
             p.error("--flow needs --requests")
         run_flow(spark, args.tables, args.flow, args.requests, args.out, as_of)
     else:
-        run_report(spark, args.tables, args.report, args.out, as_of)
+        if args.report in REQUEST_REPORTS and not args.requests:
+            p.error("this report needs --requests")
+        run_report(spark, args.tables, args.report, args.out, as_of, args.requests)
 
 
 if __name__ == "__main__":

@@ -103,14 +103,17 @@ def available_tickets(tickets: DataFrame, event_id: int | None = None, ordered:
     return event_tickets(tickets.where(F.col("quantity") > 0), event_id, ordered)
 
 
-def feedback_report(feedback: DataFrame, students: DataFrame, event_id: int | None = None) -> DataFrame:
+def feedback_report(
+    feedback: DataFrame, students: DataFrame, event_id: int | None = None, ordered: bool = False
+) -> DataFrame:
     """Feedback with the student's name and srn; feedback of unknown students is left out."""
     f = feedback if event_id is None else feedback.where(F.col("event_id") == event_id)
     s = students.select(F.col("id").alias("user_id"), F.col("name").alias("student_name"), "srn")
-    return f.join(s, "user_id", "inner").select(
+    out = f.join(s, "user_id", "inner").select(
         F.col("id").alias("feedback_id"), "event_id", "student_name", "srn", "rating",
         stars("rating").alias("stars"), "comments",
     )
+    return _sorted(out, ordered, "event_id", "feedback_id")
 
 
 def event_directory(events: DataFrame, ordered: bool = False) -> DataFrame:
@@ -118,13 +121,16 @@ def event_directory(events: DataFrame, ordered: bool = False) -> DataFrame:
     return _sorted(out, ordered, F.desc("date"), "id")
 
 
-def attendance_roster(participants: DataFrame, students: DataFrame, event_id: int | None = None) -> DataFrame:
+def attendance_roster(
+    participants: DataFrame, students: DataFrame, event_id: int | None = None, ordered: bool = False
+) -> DataFrame:
     """Registered students of each event with 'Yes'/'No' attendance (NULL reads 'No')."""
     p = participants if event_id is None else participants.where(F.col("event_id") == event_id)
     s = students.select(F.col("id").alias("user_id"), "name", "srn")
-    return p.join(s, "user_id", "inner").select(
+    out = p.join(s, "user_id", "inner").select(
         "event_id", F.col("user_id").alias("student_id"), "name", "srn", yes_no("attendance_status").alias("attended")
     )
+    return _sorted(out, ordered, "event_id", "name", "student_id")
 
 
 def participants_detail(
@@ -185,7 +191,7 @@ def upcoming_registrations(
     return _sorted(out, ordered, "user_id", "date", "event_id")
 
 
-def unknown_student_requests(requests: DataFrame, students: DataFrame) -> DataFrame:
+def unknown_student_requests(requests: DataFrame, students: DataFrame, ordered: bool = False) -> DataFrame:
     """Requests naming a student id that does not exist (the login check)."""
     s = students.select(F.col("id").alias("user_id"))
-    return requests.join(s, "user_id", "left_anti").select("request_id", "user_id")
+    return _sorted(requests.join(s, "user_id", "left_anti").select("request_id", "user_id"), ordered, "request_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from campusflow.functions.expr import NEW_RESOURCE_STATUS, UNDER_MAINTENANCE, first_reason, resource_flag, unparseable
 from campusflow.operators.conflicts import maintenance_booking_conflicts, with_span
-from campusflow.plans.common import EMPTY_LIST, decide, last_value_per_key, nonempty
+from campusflow.plans.common import checkpoint, decide, EMPTY_LIST, last_value_per_key, nonempty
 
 
 def apply_venue_flags(venues: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
@@ -89,7 +89,10 @@ def apply_maintenance(
         (F.col("conflicts") > 0, "BOOKED"),
         (F.col("_known").isNull(), "UNKNOWN_RESOURCE"),
     ])
-    decisions = decide(r, reason, "request_id", "resource_id", "start_ts", "end_ts", "description", "conflicts")
+    # Three outputs derive from the decisions: the overlap load is computed once.
+    decisions = checkpoint(
+        decide(r, reason, "request_id", "resource_id", "start_ts", "end_ts", "description", "conflicts")
+    )
     delta = decisions.where("accepted").select(
         "request_id", "resource_id", F.col("start_ts").alias("maintenance_start"),
         F.col("end_ts").alias("maintenance_end"), "description",

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campusflow.session import ensure_checkpoint_dir
+
 EMPTY_LIST = "EMPTY_LIST"
 
 
@@ -52,5 +54,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Materialize a step: cuts the lineage of an iterative round, or keeps a
     result that is read several times from being recomputed (a reliable
     checkpoint in the session's shared checkpoint folder, which survives the
-    loss of an executor)."""
+    loss of an executor). Its files go with the last reference to it (the
+    session cleans checkpoints, see ``session.get_spark``)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

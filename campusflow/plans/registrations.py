@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from campusflow.functions.expr import RATING_RANGE, first_reason
 from campusflow.operators.reports import completed_events
 from campusflow.operators.rules import outside
-from campusflow.plans.common import EMPTY_LIST, decide, nonempty, order_key
+from campusflow.plans.common import checkpoint, decide, EMPTY_LIST, nonempty, order_key
 
 KEY = ["event_id", "user_id"]
 
@@ -99,7 +99,7 @@ def apply_feedback(
     events: DataFrame, venues: DataFrame, hosts: DataFrame, as_of,
 ) -> dict[str, DataFrame]:
     """Feedback eligibility, then the rows to insert (submitted at the request time)."""
-    d = feedback_eligibility(requests, participants, feedback, students, events, venues, hosts, as_of)
+    d = checkpoint(feedback_eligibility(requests, participants, feedback, students, events, venues, hosts, as_of))
     delta = d.where("accepted").select(
         "request_id", *KEY, "rating", "comments", F.col("request_ts").alias("submitted_at")
     )

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campusflow.operators import conflicts as C
 from campusflow.operators import reports as R
 from campusflow.operators import rules as V
+from campusflow.operators.prefix import running_sums
 from campusflow.plans import assets as PA
 from campusflow.plans import bookings as PB
 from campusflow.plans import events as PE
@@ -23,6 +24,7 @@ from campusflow.plans import people as PP
 from campusflow.plans import registrations as PR
 from campusflow.plans import tickets as PT
 from campusflow.sources.fixtures import AS_OF, FixtureTables
+from campusflow.sources.tables import typed_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Callable[[FixtureTables], DataFrame]] = {}
@@ -46,15 +48,9 @@ def portable(df: DataFrame) -> DataFrame:
     )
 
 
-_FIXTURES: dict[tuple[int, str], FixtureTables] = {}
-
-
 def fixtures(spark: SparkSession, sf_dir: str) -> FixtureTables:
-    """One set of stand-in tables per session and folder."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _FIXTURES:
-        _FIXTURES[key] = FixtureTables(spark, sf_dir)
-    return _FIXTURES[key]
+    """The stand-in tables over a folder, derived anew by every query."""
+    return FixtureTables(spark, sf_dir)
 
 
 def all_queries() -> dict[str, Query]:
@@ -84,6 +80,33 @@ register("upcoming_registrations")(
 )
 register("unknown_student_requests")(lambda t: R.unknown_student_requests(t.order_requests, t.students))
 
+
+
+def _position(df: DataFrame, block: str, *order: str) -> DataFrame:
+    """The rows' places in the report's order over the whole table."""
+    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], block, list(order), {"position": "_one"})
+
+
+def _directory_order(t: FixtureTables) -> DataFrame:
+    days = R.event_directory(t.events).withColumn("_back", -F.unix_date("date"))
+    return _position(days, "_back", "_back", "id").select("id", "name", "position")
+
+
+def _upcoming_order(t: FixtureTables) -> DataFrame:
+    up = R.upcoming_events(t.events, t.venues, t.hosts, AS_OF)
+    up = up.withColumn("_day", F.unix_date("date"))
+    return _position(up, "_day", "_day", "start_ts", "event_id").select(F.col("event_id").alias("id"), "position")
+
+
+register("attendance_roster_order")(
+    lambda t: R.attendance_roster(t.participants, t.students).select(
+        "event_id", "student_id", "name",
+        F.row_number().over(Window.partitionBy("event_id").orderBy("name", "student_id")).cast("long").alias("position"),
+    )
+)
+register("event_directory_order")(_directory_order)
+register("upcoming_events_order")(_upcoming_order)
+
 # ------------------------------------------------------- overlap conflicts
 
 register("venue_conflicts")(lambda t: C.venue_conflicts(t.events))
@@ -132,6 +155,12 @@ register("unparseable_requests")(
         "maintenance_requests": (t.maintenance_requests, ["start_text", "end_text"]),
     })
 )
+register("typed_order_requests")(
+    lambda t: typed_rows("order_requests", t.order_request_texts, ("paid",))[0].withColumn(
+        "how_many", F.col("how_many").cast("string")  # holds NULLs, see events_after_update
+    )
+)
+register("order_request_rejects")(lambda t: typed_rows("order_requests", t.order_request_texts, ("paid",))[1])
 register("lowest_ticket")(lambda t: V.lowest_ticket(t.tickets))
 register("first_feedback")(lambda t: V.first_feedback(t.feedback, t.participants))
 
@@ -172,8 +201,8 @@ register("resources_after")(
 )
 register("resources_delta")(lambda t: PA.apply_new_resources(t.resource_requests)["resources_delta"])
 register("maintenance_decisions")(
-    lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["decisions"].drop(
-        "conflicts"
+    lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["decisions"].withColumn(
+        "conflicts", F.coalesce("conflicts", F.lit(0))
     )
 )
 register("resources_after_maintenance")(
@@ -228,4 +257,6 @@ register("bookings_delta")(lambda t: _bookings(t)["bookings_delta"])
 register("maintenance_delta")(
     lambda t: PA.apply_maintenance(t.resources, t.bookings, t.events, t.maintenance_requests)["maintenance_delta"]
 )
-register("participants_delta")(lambda t: _orders(t)["participants_delta"].drop("attendance_status"))
+register("participants_delta")(
+    lambda t: _orders(t)["participants_delta"].withColumn("attendance_status", F.col("attendance_status").cast("string"))
+)

@@ -18,6 +18,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files of steps that nothing refers to any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,7 +45,6 @@ def get_spark(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -53,7 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
     as it is. Only a local-mode session (tests) without one gets a fresh
     folder of its own; a cluster session without one is an error, since a
-    machine-local folder would not survive the loss of an executor.
+    machine-local folder would not survive the loss of an executor. Only jobs
+    that materialize a step ask for it; a report needs no folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()

@@ -225,6 +225,18 @@ class FixtureTables:
             E("case when event_type = 'error' then 0 else 1 end").cast("int").alias("paid"),
         )
 
+    @cached_property
+    def order_request_texts(self) -> DataFrame:
+        """The order requests as typed: amounts and the paid answer as text."""
+        return self.order_requests.withColumns({
+            "how_many": E(
+                "case when request_id % 43 = 0 then 'two' when request_id % 41 = 0 then '1.5' when request_id % 37 = 0 then '' "
+                "when request_id % 31 = 0 then null when request_id % 29 = 0 then concat(' ', how_many, ' ') "
+                "else cast(how_many as string) end"
+            ),
+            "paid": E("case when paid = 0 then 'n' when request_id % 3 = 0 then ' Y ' else 'y' end"),
+        })
+
     @cached_property
     def cancel_requests(self) -> DataFrame:
         return self._req("'purchase'").select(

@@ -10,8 +10,11 @@ TIME type by default.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from campusflow.functions.expr import is_yes, parse_date_time
+
 _L, _I, _S, _D = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType()
 _TS, _DT, _B = T.TimestampNTZType(), T.DateType(), T.BooleanType()
 
@@ -83,18 +86,78 @@ REQUEST_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Read one state or request table with its declared schema (no inference).
+def schema_of(name: str) -> T.StructType:
+    return STATE_SCHEMAS.get(name) or REQUEST_SCHEMAS[name]
+
+
+def shaped(name: str, df: DataFrame) -> DataFrame:
+    """``df`` with the columns that its application shape lacks: an event's
+    start and end built from its date and times, as the application stores
+    them. A declared column that is then still absent is an error."""
+    if name == "events" and "start_ts" not in df.columns and {"date", "start_time", "end_time"} <= set(df.columns):
+        day = F.col("date").cast("string")
+        df = df.withColumns({
+            "start_ts": parse_date_time(day, F.col("start_time").cast("string")),
+            "end_ts": parse_date_time(day, F.col("end_time").cast("string")),
+        })
+    absent = [f.name for f in schema_of(name).fields if f.name not in df.columns]
+    if absent:
+        raise ValueError(f"{name}: the source lacks the columns {', '.join(absent)}")
+    return df
+
 
-    Parquet and ORC carry their own schema, which is then checked by
-    ``select`` of the declared columns; CSV/JSON are read with the schema.
+def typed_rows(name: str, df: DataFrame, answers: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows in the declared types, and the rejected values.
+
+    Values are cast with ``try_cast``; ``answers`` are typed yes/no columns. A
+    row with a given value that does not parse is left out of the rows and
+    gives one reject (key, column, value) for each such value; the key is the
+    table's first declared column, as text in the rejects unless it is valid.
+    """
+    schema, df = schema_of(name), shaped(name, df)
+    values = {
+        f.name: is_yes(f.name) if f.name in answers else F.col(f.name).try_cast(f.dataType) for f in schema.fields
+    }
+    bad = {c: F.col(c).isNotNull() & v.isNull() for c, v in values.items() if c not in answers}
+    any_bad = F.lit(False)
+    for b in bad.values():
+        any_bad = any_bad | b
+    rows = df.where(~any_bad).select(*[v.alias(c) for c, v in values.items()])
+    key = schema.fields[0].name
+    wrong = F.array_compact(F.array(*[
+        F.when(b, F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c, b in bad.items()
+    ]))
+    rejects = df.where(any_bad).select(values[key].alias(key), F.explode(wrong).alias("w")).select(key, "w.column", "w.value")
+    return rows, rejects
+
+
+def read_with_rejects(
+    spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str
+) -> tuple[DataFrame, DataFrame]:
+    """One stored state or request table in its declared types, and its
+    rejected values (see ``typed_rows``).
+
+    CSV and JSON are read as text, so that a malformed number is a reject and
+    not a NULL; parquet and ORC carry their own types, which are cast where
+    they differ.
     """
-    schema = STATE_SCHEMAS.get(name) or REQUEST_SCHEMAS[name]
     reader = spark.read.options(**options)
-    if fmt in ("csv", "json"):
-        return reader.schema(schema).format(fmt).load(path)
-    df = reader.format(fmt).load(path)
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    if fmt == "csv":
+        names = options.get("header", "false").lower() == "true"
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema_of(name).fields])
+        df = reader.csv(path) if names else reader.schema(text).csv(path)
+    elif fmt == "json":
+        df = reader.option("primitivesAsString", "true").json(path)
+        for f in schema_of(name).fields:  # a key that no row has
+            df = df if f.name in df.columns else df.withColumn(f.name, F.lit(None).cast("string"))
+    else:
+        df = reader.format(fmt).load(path)
+    return typed_rows(name, df)
+
+
+def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """The well-formed rows of ``read_with_rejects``."""
+    return read_with_rejects(spark, name, path, fmt, **options)[0]
 
 
 def read_jdbc_table(
@@ -103,28 +166,23 @@ def read_jdbc_table(
     url: str,
     table: str,
     properties: dict[str, str],
-    partition_column: str = "id",
-    lower_bound: int = 0,
-    upper_bound: int = 1_000_000,
+    partition_column: str | None = None,
     num_partitions: int = 64,
-) -> DataFrame:
-    """Read a table straight from the operational database.
+) -> tuple[DataFrame, DataFrame]:
+    """A table straight from the operational database, and its rejects.
 
-    The read is split on ``partition_column`` into ``num_partitions`` range
-    queries, so that a large table does not come through one connection.
-    Needs the database's JDBC driver on the classpath.
+    With a ``partition_column`` the read is split into ``num_partitions`` range
+    queries between that column's measured bounds, so that a large table does
+    not come through one connection; tables without a number column are read
+    through one. Needs the database's JDBC driver on the classpath.
     """
-    df = spark.read.jdbc(
-        url=url,
-        table=table,
-        column=partition_column,
-        lowerBound=lower_bound,
-        upperBound=upper_bound,
-        numPartitions=num_partitions,
-        properties=properties,
-    )
-    schema = STATE_SCHEMAS[name]
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns])
+    split = {}
+    if partition_column:
+        bounds = f"(SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi FROM {table}) b"
+        lo, hi = spark.read.jdbc(url=url, table=bounds, properties=properties).first()
+        if lo is not None:
+            split = {"column": partition_column, "lowerBound": lo, "upperBound": hi + 1, "numPartitions": num_partitions}
+    return typed_rows(name, spark.read.jdbc(url=url, table=table, properties=properties, **split))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:

@@ -74,6 +74,11 @@ TS = "'%Y-%m-%d %H:%M:%S'"
 TS_FORM = r"'[0-9]{4}-[0-9]{1,2}-( [1-9]|[0-9]{1,2})\s+[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}'"
 
 
+def _whole(text: str) -> str:
+    """The whole number that a text names, blanks around it aside, else NULL."""
+    return f"(case when regexp_full_match(trim({text}, ' '), '[+-]?[0-9]+') then try_cast(trim({text}, ' ') as int) end)"
+
+
 def parsed(text: str) -> str:
     """The datetime of a text as the application parses it, else NULL."""
     return (
@@ -159,6 +164,22 @@ _BODIES.update({
     "requests_bad_ticket": """
         select r.request_id, r.event_id, r.ticket_id from d_order_requests r left join d_tickets t on r.ticket_id = t.id
         where t.id is null or t.event_id <> r.event_id or not coalesce(t.quantity > 0, false)""",
+    "typed_order_requests": f"""
+        select request_id, request_ts, user_id, event_id, ticket_id, cast({_whole("how_many")} as varchar) as how_many,
+               cast(case when lower(trim(paid, ' ')) = 'y' then 1 else 0 end as int) as paid
+        from d_order_request_texts where how_many is null or {_whole("how_many")} is not null""",
+    "order_request_rejects": f"""
+        select request_id, 'how_many' as "column", how_many as value from d_order_request_texts
+        where how_many is not null and {_whole("how_many")} is null""",
+    "attendance_roster_order": """
+        select p.event_id, s.id as student_id, s.name,
+               row_number() over (partition by p.event_id order by s.name, s.id) as position
+        from d_participants p join d_students s on p.user_id = s.id""",
+    "event_directory_order": """
+        select id, name, row_number() over (order by date desc, id) as position from d_events""",
+    "upcoming_events_order": f"""
+        select e.id, row_number() over (order by e.date, e.start_ts, e.id) as position
+        from d_events e join d_hosts h on h.id = e.organizer_id where e.end_ts > {AS_OF_SQL}""",
     "unfillable_requests": """
         select r.request_id, r.ticket_id, r.how_many, t.quantity from d_order_requests r join d_tickets t on r.ticket_id = t.id
         where t.event_id = r.event_id and t.quantity > 0 and (r.how_many <= 0 or r.how_many > t.quantity)""",
@@ -424,7 +445,7 @@ _BODIES.update({
         select request_id, name, type, quantity, description, 1 as is_available, 'Available' as maintenance_status
         from d_resource_requests where quantity is not null and quantity >= 0""",
     "maintenance_decisions": f"""with {_MAINT}
-        select request_id, resource_id, reason, reason is null as accepted from md""",
+        select request_id, resource_id, coalesce(conflicts, 0) as conflicts, reason, reason is null as accepted from md""",
     "resources_after_maintenance": f"""with {_MAINT}
         select s.id, s.name, s.type, s.quantity, s.description,
                case when c.resource_id is not null then 0 else s.is_available end as is_available,
@@ -639,6 +660,6 @@ _BODIES.update({
         select request_id, resource_id, s as maintenance_start, e as maintenance_end, description
         from md where reason is null""",
     "participants_delta": _ORDER_WALK + """
-        select event_id, user_id, request_ts as registration_time from od
+        select event_id, user_id, request_ts as registration_time, cast(null as varchar) as attendance_status from od
         where reason is null and payment_status = 'Completed'""",
 })

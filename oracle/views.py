@@ -101,6 +101,14 @@ VIEWS: dict[str, str] = {
                ev * 10 + 1 + event_id % 7 as ticket_id, cast(1 + event_id % 6 as int) as how_many,
                cast(case when event_type = 'error' then 0 else 1 end as int) as paid
         from d_act""",
+    "d_order_request_texts": """
+        select request_id, request_ts, user_id, event_id, ticket_id,
+               case when request_id % 43 = 0 then 'two' when request_id % 41 = 0 then '1.5'
+                    when request_id % 37 = 0 then '' when request_id % 31 = 0 then null
+                    when request_id % 29 = 0 then concat(' ', how_many, ' ')
+                    else cast(how_many as varchar) end as how_many,
+               case when paid = 0 then 'n' when request_id % 3 = 0 then ' Y ' else 'y' end as paid
+        from d_order_requests""",
     "d_cancel_requests": """
         select event_id as request_id, ts as request_ts, user_id, ev as event_id
         from d_act where event_type = 'purchase'""",
