@@ -137,7 +137,7 @@ register("invalid_intervals")(
     )
 )
 register("over_capacity_events")(lambda t: V.over_capacity_events(t.events, t.venues))
-register("requests_bad_ticket")(lambda t: V.requests_bad_ticket(t.order_requests, t.tickets))
+register("requests_bad_ticket")(lambda t: V.requests_bad_ticket(t.order_requests, t.tickets_unset))
 register("unfillable_requests")(lambda t: V.unfillable_requests(t.order_requests, t.tickets))
 register("invalid_booking_quantity")(lambda t: V.invalid_booking_quantity(t.booking_requests, t.resources))
 register("invalid_resource_quantity")(lambda t: V.invalid_resource_quantity(t.resource_requests))
@@ -168,7 +168,7 @@ register("first_feedback")(lambda t: V.first_feedback(t.feedback, t.participants
 
 
 def _orders(t: FixtureTables) -> dict[str, DataFrame]:
-    return PO.apply_orders(t.tickets, t.participants, t.students, t.events, t.venues, t.hosts, t.order_requests, AS_OF)
+    return PO.apply_orders(t.tickets_unset, t.participants, t.students, t.events, t.venues, t.hosts, t.order_requests, AS_OF)
 
 
 def _cancels(t: FixtureTables) -> dict[str, DataFrame]:
@@ -181,7 +181,9 @@ def _feedback(t: FixtureTables) -> dict[str, DataFrame]:
 
 
 register("order_decisions")(lambda t: _orders(t)["decisions"])
-register("ticket_stock_after")(lambda t: _orders(t)["tickets_after"])
+register("ticket_stock_after")(
+    lambda t: _orders(t)["tickets_after"].withColumn("quantity", F.col("quantity").cast("string"))  # holds NULLs
+)
 register("orders_delta")(lambda t: _orders(t)["orders_delta"])
 register("order_payment_status")(lambda t: PO.order_payment_status(t.order_requests, t.tickets))
 register("cancel_decisions")(lambda t: _cancels(t)["decisions"])
@@ -192,6 +194,7 @@ register("attendance_decisions")(
 )
 register("attendance_after")(
     lambda t: PR.apply_attendance(t.events, t.participants, t.students, t.attendance_requests)["participants_after"]
+    .withColumn("attendance_status", F.col("attendance_status").cast("string"))  # holds NULLs
 )
 register("venue_flag_decisions")(lambda t: PA.apply_venue_flags(t.venues, t.venue_flag_requests)["decisions"])
 register("venues_after")(lambda t: PA.apply_venue_flags(t.venues, t.venue_flag_requests)["venues_after"])

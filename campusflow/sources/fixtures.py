@@ -120,6 +120,11 @@ class FixtureTables:
             E("cast(l_quantity as int) - 1").alias("quantity"),
         )
 
+    @cached_property
+    def tickets_unset(self) -> DataFrame:
+        """The tickets, of which some have no stock set."""
+        return self.tickets.withColumn("quantity", E("case when event_id % 11 = 3 and id % 10 = 5 then null else quantity end"))
+
     @cached_property
     def bookings(self) -> DataFrame:
         li = self._li.where("l_linenumber <> 7 or l_returnflag <> 'R'")
@@ -171,7 +176,8 @@ class FixtureTables:
 
     @cached_property
     def participants(self) -> DataFrame:
-        a = self._activity.where("event_type <> 'error'")
+        # A third of the pairs is not registered yet: their order requests can be.
+        a = self._activity.where("event_type <> 'error' and (ev + user_ref) % 3 <> 0")
         first = Window.partitionBy("ev", "user_ref").orderBy("ts", "event_id")
         return (
             a.withColumn("_rn", F.row_number().over(first))
@@ -180,7 +186,9 @@ class FixtureTables:
                 F.col("ev").alias("event_id"),
                 F.col("user_ref").alias("user_id"),
                 F.col("ts").alias("registration_time"),
-                E("case when event_type in ('view', 'signup') then 0 else 1 end").cast("int").alias("attendance_status"),
+                E(
+                    "case when event_id % 13 = 0 then null when event_type in ('view', 'signup') then 0 else 1 end"
+                ).cast("int").alias("attendance_status"),
             )
         )
 
@@ -215,15 +223,20 @@ class FixtureTables:
 
     @cached_property
     def order_requests(self) -> DataFrame:
-        return self._activity.select(
+        once = self._activity.select(
             F.col("event_id").alias("request_id"),
             F.col("ts").alias("request_ts"),
             F.col("user_ref").alias("user_id"),
             F.col("ev").alias("event_id"),
             E("ev * 10 + 1 + event_id % 7").alias("ticket_id"),
-            E("cast(1 + event_id % 6 as int)").alias("how_many"),
+            E("cast(case when event_id % 83 = 0 then 0 else 1 + event_id % 6 end as int)").alias("how_many"),
             E("case when event_type = 'error' then 0 else 1 end").cast("int").alias("paid"),
         )
+        # Some buyers click twice.
+        again = once.where("request_id % 5 = 0").withColumns({
+            "request_id": E("request_id + 1000000000"), "request_ts": add_minutes("request_ts", F.lit(1)),
+        })
+        return once.unionByName(again)
 
     @cached_property
     def order_request_texts(self) -> DataFrame:
@@ -240,7 +253,9 @@ class FixtureTables:
     @cached_property
     def cancel_requests(self) -> DataFrame:
         return self._req("'purchase'").select(
-            "request_id", "request_ts", "user_id", F.col("ev").alias("event_id")
+            "request_id", "request_ts",
+            E("case when event_id % 89 = 0 then user_id + 500000000 else user_id end").alias("user_id"),
+            F.col("ev").alias("event_id"),
         )
 
     @cached_property
@@ -276,8 +291,8 @@ class FixtureTables:
         return r.select(
             "request_id",
             "request_ts",
-            F.col("ev").alias("event_id"),
-            E("cast(1 + event_id % 3 as int)").alias("kind"),
+            E("case when event_id % 67 = 0 then ev + 1000000000 else ev end").alias("event_id"),
+            E("cast(case when event_id % 61 = 0 then 9 else 1 + event_id % 3 end as int)").alias("kind"),
             E("case when event_id % 4 = 0 then '' else concat('Renamed ', cast(event_id as string)) end").alias("new_name"),
             E("case when event_id % 5 = 0 then '' else props end").alias("new_description"),
             E(
@@ -301,7 +316,7 @@ class FixtureTables:
         return r.select(
             "request_id",
             "request_ts",
-            F.col("ev").alias("event_id"),
+            E("case when event_id % 71 = 0 then ev + 1000000000 else ev end").alias("event_id"),
             F.col("user_id").alias("resource_id"),
             E("cast(floor(value) as int) % 9 - 1").alias("quantity"),
             _typed(F.col("_st").cast("string"), 37, 41).alias("start_text"),
@@ -352,7 +367,9 @@ class FixtureTables:
 
     @cached_property
     def attendance_requests(self) -> DataFrame:
-        return self._req("'view'").select("request_id", "request_ts", F.col("ev").alias("event_id"), "user_id")
+        return self._req("'view'").select(
+            "request_id", "request_ts", E("case when event_id % 53 = 0 then ev + 1000 else ev end").alias("event_id"), "user_id"
+        )
 
     @cached_property
     def venue_flag_requests(self) -> DataFrame:

@@ -162,7 +162,7 @@ _BODIES.update({
         select e.id as event_id, e.location_id, e.max_participants, v.capacity
         from d_events e join d_venues v on e.location_id = v.id where e.max_participants > v.capacity""",
     "requests_bad_ticket": """
-        select r.request_id, r.event_id, r.ticket_id from d_order_requests r left join d_tickets t on r.ticket_id = t.id
+        select r.request_id, r.event_id, r.ticket_id from d_order_requests r left join d_tickets_unset t on r.ticket_id = t.id
         where t.id is null or t.event_id <> r.event_id or not coalesce(t.quantity > 0, false)""",
     "typed_order_requests": f"""
         select request_id, request_ts, user_id, event_id, ticket_id, cast({_whole("how_many")} as varchar) as how_many,
@@ -422,7 +422,7 @@ _BODIES.update({
     "attendance_decisions": f"with {_ATTEND}\nselect request_id, event_id, user_id, reason, reason is null as accepted from ad",
     "attendance_after": f"""with {_ATTEND}
         select p.event_id, p.user_id, p.registration_time,
-               case when m.event_id is not null then 1 else p.attendance_status end as attendance_status
+               cast(case when m.event_id is not null then 1 else p.attendance_status end as varchar) as attendance_status
         from d_participants p
         left join (select distinct event_id, user_id from ad where reason is null) m
           on p.event_id = m.event_id and p.user_id = m.user_id""",
@@ -489,9 +489,9 @@ _ORDER_WALK = f"""with recursive
                   {UPCOMING} as up_gate, exists (select 1 from d_students) as st_gate,
                   case when t.price * r.how_many <= 0 then 'Completed' when r.paid = 1 then 'Completed'
                        else 'Pending' end as pay
-           from d_order_requests r left join d_tickets t on t.id = r.ticket_id),
+           from d_order_requests r left join d_tickets_unset t on t.id = r.ticket_id),
     oinit as (select e.event_id,
-                     coalesce((select list({{'tid': t.id, 'q': t.quantity}}) from d_tickets t
+                     coalesce((select list({{'tid': t.id, 'q': t.quantity}}) from d_tickets_unset t
                                where t.event_id = e.event_id), []) as stock,
                      coalesce((select list(p.user_id) from d_participants p where p.event_id = e.event_id), []) as regs
               from (select distinct event_id from oq) e),
@@ -594,8 +594,9 @@ _BODIES.update({
         select request_id, event_id, ticket_id, user_id, how_many, payment_status, reason, reason is null as accepted
         from od""",
     "ticket_stock_after": _ORDER_WALK + """
-        select t.id, t.event_id, t.ticket_type, t.price, cast(t.quantity - coalesce(u.used, 0) as int) as quantity
-        from d_tickets t left join (select ticket_id, sum(how_many) as used from od where reason is null
+        select t.id, t.event_id, t.ticket_type, t.price,
+               cast(cast(t.quantity - coalesce(u.used, 0) as int) as varchar) as quantity
+        from d_tickets_unset t left join (select ticket_id, sum(how_many) as used from od where reason is null
                                     group by ticket_id) u on u.ticket_id = t.id""",
     "orders_delta": _ORDER_WALK + """
         select request_id, ticket_id, user_id, request_ts as order_time, payment_status,

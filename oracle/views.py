@@ -59,6 +59,10 @@ VIEWS: dict[str, str] = {
                cast(case when l_linenumber = 1 then 0.0 else l_extendedprice end as double) as price,
                cast(l_quantity as int) - 1 as quantity
         from d_li""",
+    "d_tickets_unset": """
+        select id, event_id, ticket_type, price,
+               case when event_id % 11 = 3 and id % 10 = 5 then null else quantity end as quantity
+        from d_tickets""",
     "d_bookings": """
         select id, event_id, resource_id, quantity_booked, booking_start,
                booking_start + to_minutes(30 + (l_orderkey * 53) % 2880) as booking_end
@@ -85,9 +89,10 @@ VIEWS: dict[str, str] = {
         from events""",
     "d_participants": """
         select ev as event_id, user_ref as user_id, ts as registration_time,
-               cast(case when event_type in ('view', 'signup') then 0 else 1 end as int) as attendance_status
+               cast(case when event_id % 13 = 0 then null when event_type in ('view', 'signup') then 0 else 1 end as int)
+                 as attendance_status
         from (select *, row_number() over (partition by ev, user_ref order by ts, event_id) as rn
-              from d_act where event_type <> 'error') where rn = 1""",
+              from d_act where event_type <> 'error' and (ev + user_ref) % 3 <> 0) where rn = 1""",
     "d_feedback": """
         select event_id as id, ev as event_id, user_id, cast(floor(value) as int) % 6 as rating,
                case when event_id % 3 = 0 then null else props end as comments, ts as submitted_at
@@ -96,11 +101,17 @@ VIEWS: dict[str, str] = {
         select event_id as order_id, ev * 10 + 1 + event_id % 7 as ticket_id, user_id, ts as order_time,
                case when event_type = 'purchase' then 'Completed' else 'Pending' end as payment_status
         from d_act where event_type in ('purchase', 'click')""",
-    "d_order_requests": """
+    "d_order_once": """
         select event_id as request_id, ts as request_ts, user_ref as user_id, ev as event_id,
-               ev * 10 + 1 + event_id % 7 as ticket_id, cast(1 + event_id % 6 as int) as how_many,
+               ev * 10 + 1 + event_id % 7 as ticket_id,
+               cast(case when event_id % 83 = 0 then 0 else 1 + event_id % 6 end as int) as how_many,
                cast(case when event_type = 'error' then 0 else 1 end as int) as paid
         from d_act""",
+    "d_order_requests": """
+        select * from d_order_once
+        union all
+        select request_id + 1000000000, request_ts + to_minutes(1), user_id, event_id, ticket_id, how_many, paid
+        from d_order_once where request_id % 5 = 0""",
     "d_order_request_texts": """
         select request_id, request_ts, user_id, event_id, ticket_id,
                case when request_id % 43 = 0 then 'two' when request_id % 41 = 0 then '1.5'
@@ -110,7 +121,8 @@ VIEWS: dict[str, str] = {
                case when paid = 0 then 'n' when request_id % 3 = 0 then ' Y ' else 'y' end as paid
         from d_order_requests""",
     "d_cancel_requests": """
-        select event_id as request_id, ts as request_ts, user_id, ev as event_id
+        select event_id as request_id, ts as request_ts,
+               case when event_id % 89 = 0 then user_id + 500000000 else user_id end as user_id, ev as event_id
         from d_act where event_type = 'purchase'""",
     "d_event_requests": f"""
         select request_id, request_ts, name, description, date_text,
@@ -133,8 +145,9 @@ VIEWS: dict[str, str] = {
                     when src_id % 23 = 0 then concat(cast(floor(_sm / 60) as int), ':', cast(_sm % 60 as int), ':0')
                     else {_hhmm('_sm')} end as new_start_text,
                {_hhmm('_em')} as new_end_text, new_location_id
-        from (select event_id as src_id, event_id as request_id, ts as request_ts, ev as event_id,
-                     cast(1 + event_id % 3 as int) as kind,
+        from (select event_id as src_id, event_id as request_id, ts as request_ts,
+                     case when event_id % 67 = 0 then ev + 1000000000 else ev end as event_id,
+                     cast(case when event_id % 61 = 0 then 9 else 1 + event_id % 3 end as int) as kind,
                      case when event_id % 4 = 0 then '' else concat('Renamed ', cast(event_id as varchar)) end as new_name,
                      case when event_id % 5 = 0 then '' else props end as new_description,
                      case when event_id % 6 = 0 then ''
@@ -150,7 +163,8 @@ VIEWS: dict[str, str] = {
                case when src_id % 47 = 0 then 'soon'
                     when src_id % 19 = 0 then cast(_st as varchar)
                     else cast(_st + to_minutes(30 + (src_id * 53) % 2880) as varchar) end as end_text
-        from (select event_id as src_id, event_id as request_id, ts as request_ts, ev as event_id,
+        from (select event_id as src_id, event_id as request_id, ts as request_ts,
+                     case when event_id % 71 = 0 then ev + 1000000000 else ev end as event_id,
                      user_id as resource_id, cast(floor(value) as int) % 9 - 1 as quantity,
                      timestamp '1997-06-01 00:00:00' + to_minutes((event_id % 60) * 1440 + (event_id * 41) % 1440) as _st
               from d_act where event_type = 'view')""",
@@ -177,7 +191,8 @@ VIEWS: dict[str, str] = {
                cast(case when event_id % 5 = 0 then null else cast(floor(value) as int) % 60 - 5 end as int) as new_quantity
         from d_act where event_type = 'click'""",
     "d_attendance_requests": """
-        select event_id as request_id, ts as request_ts, ev as event_id, user_id
+        select event_id as request_id, ts as request_ts,
+               case when event_id % 53 = 0 then ev + 1000 else ev end as event_id, user_id
         from d_act where event_type = 'view'""",
     "d_venue_flag_requests": """
         select event_id as request_id, ts as request_ts, user_id * 20 as venue_id,

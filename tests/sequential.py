@@ -35,7 +35,7 @@ def replay_orders(tickets: list[dict], registered: set, students: set, has_upcom
         if not has_upcoming:
             refuse("EMPTY_LIST")
             continue
-        on_sale = [tid for tid in by_event.get(q["event_id"], []) if stock[tid] > 0]
+        on_sale = [tid for tid in by_event.get(q["event_id"], []) if (stock[tid] or 0) > 0]
         if not on_sale:
             refuse("NO_TICKETS")
             continue
@@ -69,7 +69,7 @@ def replay_orders(tickets: list[dict], registered: set, students: set, has_upcom
 
 
 def simulate_orders(con: duckdb.DuckDBPyConnection) -> dict[int, tuple[bool, str | None]]:
-    tickets = fetch(con, "select * from d_tickets")
+    tickets = fetch(con, "select * from d_tickets_unset")
     registered = {(r["event_id"], r["user_id"]) for r in fetch(con, "select event_id, user_id from d_participants")}
     students = {r["id"] for r in fetch(con, "select id from d_students")}
     has_upcoming = bool(fetch(con, f"""
