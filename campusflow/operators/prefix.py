@@ -14,6 +14,8 @@ column that grows with the order (for example the hour of a timestamp):
    offsets side moves).
 
 A key with a third of all rows is spread over as many tasks as it has blocks.
+Blocks by the clock (``time_block``) do not cut the rows of one moment; measured
+ranges of the order (``plans.common.order_ranges``) do.
 """
 
 from __future__ import annotations

@@ -50,6 +50,14 @@ def last_value_per_key(
     )
 
 
+def order_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str = "_blk") -> DataFrame:
+    """``df`` materialized in measured ranges of (keys, order), numbered by
+    ``block``: the blocks of ``running_sums``. A key with very many rows, also
+    with one timestamp, spans as many ranges as its share of the rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(n, *keys, *order).withColumn(block, F.spark_partition_id()))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialize a step: cuts the lineage of an iterative round, or keeps a
     result that is read several times from being recomputed (a reliable

@@ -29,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions.expr import PAYMENT_COMPLETED, first_reason, payment_status
-from campusflow.operators.prefix import running_sums, time_block
+from campusflow.operators.prefix import running_sums
 from campusflow.operators.reports import upcoming_events
 from campusflow.operators.rules import lowest_ticket
-from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, nonempty, order_key
+from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, nonempty, order_key, order_ranges
 
 PAIR = ["event_id", "user_id"]
+ORDER = ["request_ts", "request_id"]
 _log = logging.getLogger(__name__)
 
 
@@ -55,12 +56,6 @@ def order_payment_status(requests: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def _block(c: str = "request_ts") -> Column:
-    # Minute blocks: a sale opening can put a third of a batch on one ticket
-    # within one hour; per minute it is still cut into many blocks.
-    return time_block(c, "MINUTE")
-
-
 def apply_orders(
     tickets: DataFrame, participants: DataFrame, students: DataFrame, events: DataFrame, venues: DataFrame,
     hosts: DataFrame, requests: DataFrame, as_of: datetime | None = None, max_rounds: int | None = None,
@@ -96,7 +91,7 @@ def apply_orders(
         .withColumn("_gate_s", gate_students)
         .withColumn("_gates", F.col("_gate_e") & F.col("_gate_s"))
     )
-    r = checkpoint(r)
+    r = order_ranges(r, ["ticket_id"], ORDER)
     _log.info("order admission: requests joined with state")
     # Refused whatever the state: stock never grows, the gates and student list do not change.
     never = (
@@ -105,7 +100,7 @@ def apply_orders(
         | (F.col("_completed") & F.col("_reg0").isNotNull())
     )
     und = r.where(~never).select("request_id", "request_ts", "_ord", "ticket_id", "event_id", "user_id", "how_many",
-                                 "_completed")
+                                 "_completed", "_blk")
     und = und.join(tickets.select(F.col("id").alias("ticket_id"), F.col("quantity").alias("_left")), "ticket_id")
     und = und.withColumn("_new", F.lit(False))
     took_parts: list[DataFrame] = []
@@ -132,10 +127,10 @@ def apply_orders(
             .when(repeat, F.greatest(F.col("how_many") - F.col("_first.n"), F.lit(0)))
             .otherwise(F.col("how_many"))
         )
-        u = und.join(pair, PAIR, "left").join(first, ["ticket_id", *PAIR], "left").withColumn("_blk", _block())
+        u = und.join(pair, PAIR, "left").join(first, ["ticket_id", *PAIR], "left")
         u = running_sums(
             u.withColumn("_counts", counts).withColumn("_takes", F.when(F.col("_new"), F.col("how_many")).otherwise(0)),
-            ["ticket_id"], "_blk", ["request_ts", "request_id"], {"_may": "_counts", "_took": "_takes"}, inclusive=False,
+            ["ticket_id"], "_blk", ORDER, {"_may": "_counts", "_took": "_takes"}, inclusive=False,
         )
         free = F.col("_left") - F.col("_took")
         registered = F.col("_completed") & F.coalesce(F.col("_reg_at") < F.col("_ord"), F.lit(False))
@@ -164,7 +159,7 @@ def _reasons(r: DataFrame, tickets: DataFrame) -> DataFrame:
     # Stock of the request's own ticket just before it: initial minus earlier accepted takes.
     own = r.where(F.col("_own"))
     own = running_sums(
-        own.withColumn("_blk", _block()), ["ticket_id"], "_blk", ["request_ts", "request_id"],
+        own, ["ticket_id"], "_blk", ORDER,
         {"_taken_before": F.when(F.col("_acc"), F.col("how_many")).otherwise(0)}, inclusive=False,
     ).withColumn("_stock_at", F.col("_q0") - F.col("_taken_before"))
     own = checkpoint(own.select(
@@ -253,7 +248,7 @@ def apply_cancellations(
         .withColumn("_cand", F.col("_reg").isNotNull() & (F.col("_ord") == F.col("_first")))
     )
     r = running_sums(
-        r.withColumn("_blk", _block()), ["user_id"], "_blk", ["request_ts", "request_id"],
+        order_ranges(r, ["user_id"], ORDER), ["user_id"], "_blk", ORDER,
         {"_up_before": (F.col("_cand") & F.col("_up").isNotNull()).cast("long")}, inclusive=False,
     )
     reason = first_reason([

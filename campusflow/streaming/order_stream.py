@@ -10,6 +10,9 @@ writes version ``k`` plus its outputs under paths keyed by ``k``, in
 overwrite mode. A micro-batch replayed after a failure therefore rewrites
 exactly its own outputs, and the stream's checkpoint (``checkpointLocation``)
 records which files each micro-batch took.
+
+A table that only grows (registrations, bookings) is kept as a base plus the
+rows each micro-batch added; every COMPACT micro-batches a new base is written.
 """
 
 from __future__ import annotations
@@ -26,14 +29,33 @@ from campusflow.plans.orders import apply_cancellations, apply_orders
 from campusflow.sources.tables import REQUEST_SCHEMAS, STATE_SCHEMAS
 
 State = dict[str, DataFrame]
-# step(state, batch) -> (outputs to keep per micro-batch, new versions of the evolving tables)
+# step(state, batch) -> (outputs to keep per micro-batch, new versions of the evolving tables;
+# for a table of ``growing`` the rows added)
 Step = Callable[[State, DataFrame], tuple[dict[str, DataFrame], State]]
 
+#: Micro-batches after which a growing table's base is written anew.
+COMPACT = 50
+
 
 def state_path(state_dir: str, table: str, version: int) -> str:
     return f"{state_dir.rstrip('/')}/{table}/v={version}"
 
 
+def grown(
+    spark: SparkSession, state_dir: str, table: str, batch_id: int, first: DataFrame, compacted: int | None = None
+) -> DataFrame:
+    """A growing table as micro-batch ``batch_id`` finds it: the last base
+    (``first`` before any was written; ``compacted`` is being written now and
+    does not count) and the rows added since."""
+    schema = STATE_SCHEMAS[table]
+    base = batch_id // COMPACT * COMPACT - 1
+    if base == compacted:
+        base -= COMPACT
+    rows = spark.read.schema(schema).parquet(state_path(state_dir, table, base)) if base >= 0 else first
+    added = [state_path(state_dir, f"{table}_added", v) for v in range(base + 1, batch_id)]
+    return rows.unionByName(spark.read.schema(schema).parquet(*added)) if added else rows
+
+
 def start_request_stream(
     spark: SparkSession,
     request_kind: str,
@@ -45,9 +67,11 @@ def start_request_stream(
     step: Step,
     files_per_batch: int = 1,
     available_now: bool = True,
+    growing: tuple[str, ...] = (),
 ) -> StreamingQuery:
     """Start a stream of ``request_kind`` files; ``evolving`` names the state
-    tables that ``step`` returns new versions of."""
+    tables that ``step`` returns new versions of, ``growing`` those that it
+    returns added rows of."""
     requests = (
         spark.readStream.schema(REQUEST_SCHEMAS[request_kind])
         .option("maxFilesPerTrigger", files_per_batch)
@@ -61,6 +85,8 @@ def start_request_stream(
                 state[table] = spark.read.schema(STATE_SCHEMAS[table]).parquet(
                     state_path(state_dir, table, batch_id - 1)
                 )
+        for table in growing:
+            state[table] = grown(spark, state_dir, table, batch_id, state[table])
         outputs, new_state = step(state, batch)
         for name, df in outputs.items():
             df.write.mode("overwrite").parquet(state_path(state_dir, name, batch_id))
@@ -68,6 +94,12 @@ def start_request_stream(
             new_state[table].select(*STATE_SCHEMAS[table].fieldNames()).write.mode("overwrite").parquet(
                 state_path(state_dir, table, batch_id)
             )
+        for table in growing:
+            added = new_state[table].select(*STATE_SCHEMAS[table].fieldNames())
+            added.write.mode("overwrite").parquet(state_path(state_dir, f"{table}_added", batch_id))
+            if (batch_id + 1) % COMPACT == 0:
+                whole = grown(spark, state_dir, table, batch_id + 1, initial()[table], compacted=batch_id)
+                whole.write.mode("overwrite").parquet(state_path(state_dir, table, batch_id))
 
     writer = requests.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -82,8 +114,7 @@ def order_step(as_of: datetime | None) -> Step:
                            state["venues"], state["hosts"], batch, as_of)
         return (
             {"decisions": out["decisions"], "orders_delta": out["orders_delta"]},
-            {"tickets": out["tickets_after"],
-             "participants": state["participants"].unionByName(out["participants_delta"])},
+            {"tickets": out["tickets_after"], "participants": out["participants_delta"]},
         )
 
     return step
@@ -96,7 +127,7 @@ def booking_step(as_of: datetime | None) -> Step:
         out = apply_bookings(state["events"], state["venues"], state["hosts"], state["resources"], state["bookings"],
                              state["maintenance"], batch, as_of)
         added = out["bookings_delta"].withColumnRenamed("request_id", "id")
-        return {"decisions": out["decisions"]}, {"bookings": state["bookings"].unionByName(added)}
+        return {"decisions": out["decisions"]}, {"bookings": added}
 
     return step
 
@@ -133,7 +164,8 @@ def start_order_stream(
     available_now: bool = True,
 ) -> StreamingQuery:
     return start_request_stream(spark, "order_requests", request_dir, state_dir, checkpoint_location, initial,
-                                ("tickets", "participants"), order_step(as_of), files_per_batch, available_now)
+                                ("tickets",), order_step(as_of), files_per_batch, available_now,
+                                growing=("participants",))
 
 
 def start_booking_stream(
@@ -142,7 +174,7 @@ def start_booking_stream(
     available_now: bool = True,
 ) -> StreamingQuery:
     return start_request_stream(spark, "booking_requests", request_dir, state_dir, checkpoint_location, initial,
-                                ("bookings",), booking_step(as_of), files_per_batch, available_now)
+                                (), booking_step(as_of), files_per_batch, available_now, growing=("bookings",))
 
 
 def read_decisions(spark: SparkSession, state_dir: str) -> DataFrame:

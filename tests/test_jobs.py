@@ -20,7 +20,7 @@ def test_orders_job_over_stored_tables(spark, scratch):
     t.order_requests.write.parquet(requests)
     out = os.path.join(scratch, "run1")
     written = run_flow(spark, tables, "orders", requests, out, AS_OF)
-    assert written == ["decisions", "orders_delta", "participants_delta", "tickets_after"]
+    assert written == ["decisions", "orders_delta", "participants_delta", "rejects", "tickets_after"]
     got = {(r["request_id"], r["accepted"], r["reason"]) for r in spark.read.parquet(os.path.join(out, "decisions")).collect()}
     direct = apply_orders(t.tickets, t.participants, t.students, t.events, t.venues, t.hosts, t.order_requests, AS_OF)
     assert got == {(r["request_id"], r["accepted"], r["reason"]) for r in direct["decisions"].collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,11 @@ def _decided(rows) -> set:
     return {(r["request_id"], r["accepted"], r["reason"]) for r in rows}
 
 
-def test_order_stream_equals_one_batch(spark, scratch):
+@pytest.mark.parametrize("compact", [50, 1])
+def test_order_stream_equals_one_batch(spark, scratch, monkeypatch, compact):
+    from campusflow.streaming import order_stream
+
+    monkeypatch.setattr(order_stream, "COMPACT", compact)
     t = FixtureTables(spark, SMALL)
 
     def initial():

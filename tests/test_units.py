@@ -406,3 +406,19 @@ def test_datetime_texts_as_strptime(spark):
     assert {r["t"]: r["p"] for r in frame.select("t", parse_ts("t").alias("p")).collect()} == {t: python(t) for t in texts}
     got = {t: duckdb.execute(f"select {parsed('t')} from (select ?::varchar as t)", [t]).fetchone()[0] for t in texts}
     assert got == {t: python(t) for t in texts}
+
+
+def test_order_ranges_cut_one_key_with_one_timestamp(spark):
+    from campusflow.plans.common import order_ranges
+
+    rows = spark.range(20_000).selectExpr(
+        "1L as k", "timestamp_ntz'2024-03-01 09:00:00' as request_ts", "pmod(hash(id), 1000003) * 20000L + id as request_id", "id % 7 as v"
+    )
+    blocks = order_ranges(rows, ["k"], ["request_ts", "request_id"])
+    sizes = [r["count"] for r in blocks.groupBy("_blk").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 10_000
+    got = running_sums(blocks, ["k"], "_blk", ["request_ts", "request_id"], {"s": "v"})
+    plain = Window.partitionBy("k").orderBy("request_ts", "request_id")
+    want = rows.withColumn("w", F.sum("v").over(plain))
+    assert got.join(want.select("request_id", "w"), "request_id").where("s <> w").count() == 0
+    assert got.count() == 20_000
