@@ -14,72 +14,155 @@ number of pieces, so a length shared by a third of all pieces is split too.
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from campusflow.llm.common import Shared
+from campusflow.llm.wordhash import batches
 
 CAPACITY = 2048
 #: Pieces per salt of one length: what one window group holds at most, on average.
 PER_SALT = 100_000
 MIN_SALTS = 256
 #: Distinct words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 500_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
 
+class _Numbers(dict):
+    """Numbers words by first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _grown(array: np.ndarray, least: int) -> np.ndarray:
+    while len(array) < least:
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
+
+
 class WordTokenizer:
     """Token ids of whole texts, remembering the ids of each blank-separated
-    word. Valid for tokenizers that never join text across blanks (their
-    pre-tokenizer drops white space, as word_bpe_49k's does)."""
+    word. Valid for tokenizers that lower-case, drop white space and keep
+    letters apart from punctuation, as word_bpe_49k does.
+
+    Words are kept as bytes with A-Z lower-cased; texts with a ``<|``, which
+    may begin a special token, are encoded as they are. The words beyond
+    MEMORY are encoded together for each batch and then forgotten.
+    """
+
+    JOINED = 500
+    STOPS = (b".", b",")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, "<u4")
-        self.used = 0
-        self.offset = np.zeros(1 << 12, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        for enc, word in zip(self.tokenizer.encode_batch(words, add_special_tokens=False), words):
-            ids, at = enc.ids, len(self.index)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if at + 2 > len(self.offset):
-                self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.offset[at + 1] = self.used
-            self.index[word] = at
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        if len(self.index) > MEMORY:
-            self.forget()
-        get = self.index.get
-        known = [get(w, -1) for w in words]
-        if -1 in known:
-            self.learn(list({w for w, k in zip(words, known) if k < 0}))
-            get = self.index.get
-            known = [get(w) for w in words]
-        at = np.array(known, np.int64)
-        first, sizes = self.offset[at], self.offset[at + 1] - self.offset[at]
+        self.number = _Numbers()
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 1
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.number[b""]  # word 0 is the closing id of a document
+        self.size[0] = 1
+        self._learn(list(self.STOPS))
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """The tokenizer of this worker process, which remembers its words
+        from task to task."""
+        if path not in _tokenizers:
+            _tokenizers[path] = cls(path)
+        return _tokenizers[path]
+
+    def _store(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.flat = _grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin, self.size = _grown(self.begin, len(self.number)), _grown(self.size, len(self.number))
+        self.begin[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.used += len(ids)
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, one after the other, and their ends."""
+        sizes = self.size[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(first - (ends - sizes), sizes) + np.arange(total)
-        return self.flat[where]
+        return self.flat[np.repeat(self.begin[numbers] - (ends - sizes), sizes) + np.arange(total)], ends
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids."""
+        if any("<|" in w for w in words) or not unicodedata.is_normalized("NFC", "".join(words)):
+            found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], "<u4")
+        groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        sizes, ids = [], []
+        for group in groups:
+            e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            at = np.array(e.word_ids, np.int64)
+            if not all(map(str.isalpha, group)) or at[-1] != len(group) - 1:
+                ends = np.cumsum([len(w) + 1 for w in group])
+                at = np.searchsorted(ends, np.array([o[0] for o in e.offsets], np.int64), side="right")
+            sizes.append(np.bincount(at, minlength=len(group)))
+            ids.append(np.array(e.ids, "<u4"))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encode new words; a word and its closing stop are encoded apart."""
+        number, whole, stopped = self.number, {}, []
+        for word in fresh:
+            text = word.decode("utf-8", "replace")
+            if word[-1:] in self.STOPS and text[:-1].isalpha():
+                known = len(number)
+                stem = number[word[:-1]]
+                if stem == known:
+                    whole[stem] = text[:-1]
+                stopped.append((number[word], stem, number[word[-1:]]))
+            else:
+                whole[number[word]] = text
+        letters = [(n, w) for n, w in whole.items() if w.isalpha()]
+        others = [(n, w) for n, w in whole.items() if not w.isalpha()]
+        for part in (letters, others):
+            if part:
+                self._store(np.array([n for n, _ in part]), *self._encode([w for _, w in part]))
+        if stopped:
+            both = np.array(stopped, np.int64)
+            ids, ends = self.ids_of(both[:, 1:].ravel())
+            self._store(both[:, 0], self.size[both[:, 1]] + self.size[both[:, 2]], ids)
+
+    def batch(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, a 0 after each text's, and the bounds of the texts."""
+        words, counts = [], []
+        for text in texts:
+            before = len(words)
+            if text is not None:
+                words += [text] if b"<|" in text else text.lower().split()
+            words.append(b"")
+            counts.append(len(words) - before)
+        known = len(self.number)
+        at = np.array(list(map(self.number.__getitem__, words)), np.int64)
+        fresh = list(itertools.islice(self.number, known, None)) if len(self.number) > known else []
+        kept = known, self.used
+        if fresh:
+            self._learn(fresh)
+        ids, ends = self.ids_of(at)
+        bound = np.concatenate([[0], ends[np.cumsum(counts) - 1]]) if counts else np.zeros(1, np.int64)
+        if len(self.number) > MEMORY:
+            for word in list(itertools.islice(self.number, kept[0], None)):
+                del self.number[word]
+            self.used = kept[1]
+        return ids, bound
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer_path() -> str:
@@ -93,20 +176,29 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
     and a closing 0, cut every ``capacity`` tokens. A null text counts as
     empty and gives the closing 0 alone; each repeated row gives its pieces."""
 
-    def run(batches):
-        word_ids = WordTokenizer(tokenizer or tokenizer_path())
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text):
-                body = word_ids.ids(text) if isinstance(text, str) else np.empty(0, "<u4")
-                ids = np.append(body, np.array([0], "<u4")).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "piece": "int32"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECE)
+    def run(tables):
+        import pyarrow as pa
+
+        words = WordTokenizer.of(tokenizer or tokenizer_path())
+        for table in tables:
+            texts = table.column("text").to_pylist()
+            for a, b in batches(texts):
+                ids, bound = words.batch(texts[a:b])
+                sizes = bound[1:] - bound[:-1]
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[row] - start)
+                first = bound[row] + start
+                crc = [zlib.crc32(ids[i : i + n]) for i, n in zip(first.tolist(), length.tolist())]
+                doc_id = table.column("doc_id").slice(a, b - a).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, PIECE)
 
 
 class _Bins:

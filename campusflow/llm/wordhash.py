@@ -91,7 +91,7 @@ def batches(texts, most: int = 4 << 20):
     """Index ranges of consecutive texts of about ``most`` characters."""
     begin = size = 0
     for i, t in enumerate(texts):
-        size += len(t) if isinstance(t, str) else 0
+        size += len(t) if isinstance(t, (str, bytes)) else 0
         if size >= most:
             yield begin, i + 1
             begin, size = i + 1, 0
