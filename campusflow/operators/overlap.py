@@ -40,6 +40,13 @@ def _c(name: str | Column) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
+def time_buckets(start: str, end: str, unit: str) -> Column:
+    """The starts of the time buckets that a valid span [start, end) touches."""
+    s, e = F.col(start), F.col(end)
+    last = F.date_trunc(unit, e - F.expr("interval 1 microsecond"))
+    return F.sequence(F.date_trunc(unit, s), last, F.expr(f"interval 1 {unit.lower()}"))
+
+
 def _explode_buckets(df: DataFrame, start: str, end: str, unit: str) -> DataFrame:
     """One row per time bucket an interval touches.
 

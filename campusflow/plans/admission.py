@@ -28,11 +28,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.operators.overlap import overlap_load, overlapping_pairs
+from campusflow.operators.overlap import overlap_load, overlapping_pairs, time_buckets
 from campusflow.plans.common import checkpoint
 
 _log = logging.getLogger(__name__)
 
+#: Undecided requests of a (key, bucket) beyond which no pairs are formed.
+CROWD = 500
+#: Share of undecided requests that a round without pairs may leave at most.
+SHRINK = 0.8
+
 
 def admit_in_order(live: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``live``: request_id, need, cap and optionally ``settled`` (TRUE for
@@ -77,6 +82,47 @@ def admit_in_order(live: DataFrame, pairs: DataFrame, max_rounds: int | None = N
     return status.select("request_id", F.col("_acc").alias("accepted"))
 
 
+def shed_crowds(live: DataFrame, keys: Sequence[str], unit: str, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Decide requests without pairs until no (key, ``unit`` bucket) holds more
+    than ``crowd`` undecided ones.
+
+    Per round, a request that is the first undecided one in every bucket it
+    touches has all its earlier competitors decided: it is accepted if it
+    fits. The load of those accepted is then taken off the caps of the rest
+    (pair-free ``overlap_load``; they all come later), and what no longer fits
+    is refused. A crowd on one slot is gone once the slot is full; rounds that
+    leave more than SHRINK of the requests undecided are not worth going on
+    with (many small requests side by side), the pairs decide those. Returns the
+    undecided requests, with their caps reduced, and the accepted ones.
+    """
+    keys, und, accepted = list(keys), live, []
+    buckets = time_buckets("start_ts", "end_ts", unit)
+    left = None
+    while True:
+        spots = und.select(*keys, F.explode(buckets).alias("_bucket"), "_ord", "request_id").groupBy(*keys, "_bucket")
+        first = F.min(F.struct("_ord", "request_id"))["request_id"]
+        spots = checkpoint(spots.agg(F.count(F.lit(1)).alias("_n"), first.alias("request_id")))
+        before, left = left, und.count()
+        slow = before is not None and left > SHRINK * before
+        if slow or spots.where(F.col("_n") > crowd).isEmpty():
+            return und, accepted
+        _log.info("admission: crowded buckets, round %d", len(accepted) + 1)
+        heads = spots.groupBy("request_id").agg(F.count(F.lit(1)).alias("_firsts"))
+        und = checkpoint(
+            und.join(heads, "request_id", "left").withColumn("_head", F.coalesce(F.col("_firsts") == F.size(buckets), F.lit(False)))
+        )
+        taken = und.where(F.col("_head") & (F.col("need") <= F.col("cap")))
+        accepted.append(taken.select("request_id"))
+        rest = und.where(~F.col("_head")).select(live.columns)
+        load = overlap_load(
+            rest.select("request_id", *keys, "start_ts", "end_ts"),
+            taken.select(*keys, F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"), "need"),
+            keys, "request_id", ("start_ts", "end_ts"), ("_s", "_e"), weight="need", out="_held",
+        ).select("request_id", "_held")
+        rest = rest.join(load, "request_id").withColumn("cap", F.col("cap") - F.coalesce(F.col("_held"), F.lit(0)))
+        und = checkpoint(rest.where(F.col("need") <= F.col("cap")).select(live.columns))
+
+
 def admit_overlapping(
     live: DataFrame, keys: Sequence[str], unit: str, max_rounds: int | None = None, group: str | None = None
 ) -> DataFrame:
@@ -88,11 +134,31 @@ def admit_overlapping(
     accepted (their summed need, its own included, is at most its cap — a
     pair-free overlap load) is accepted at once and only appears as the
     earlier side of pairs; pairs are formed, per (key, ``unit`` bucket), only
-    for the requests that are really contended. With ``group``, requests of
+    for the requests that are really contended. Buckets with more than CROWD
+    undecided requests are worked off without pairs first (``shed_crowds``;
+    not with ``group``). With ``group``, requests of
     the same group never compete with each other (the crowd load still counts
     them, which only makes the fast path stricter).
     """
     keys = list(keys)
+    if group is None:
+        every = live
+        live, shed = shed_crowds(live, keys, unit, CROWD)
+        if shed:
+            taken = shed[0]
+            for part in shed[1:]:
+                taken = taken.unionByName(part)
+            taken = taken.unionByName(
+                _admit_by_pairs(live, keys, unit, max_rounds, None).where("accepted").select("request_id")
+            ).withColumn("accepted", F.lit(True))
+            status = every.select("request_id").join(taken, "request_id", "left")
+            return status.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    return _admit_by_pairs(live, keys, unit, max_rounds, group)
+
+
+def _admit_by_pairs(
+    live: DataFrame, keys: list[str], unit: str, max_rounds: int | None, group: str | None
+) -> DataFrame:
     crowd = overlap_load(
         live.select("request_id", *keys, "start_ts", "end_ts"),
         live.select(*keys, F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"), "need"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -260,7 +261,11 @@ def test_hot_ticket_orders_match_replay(spark):
     assert got == want
 
 
-def test_hot_venue_new_events_match_replay(spark):
+@pytest.mark.parametrize("crowd", [500, 5])
+def test_hot_venue_new_events_match_replay(spark, monkeypatch, crowd):
+    from campusflow.plans import admission
+
+    monkeypatch.setattr(admission, "CROWD", crowd)
     from campusflow.plans.events import apply_new_events
 
     rnd = random.Random(9)
@@ -287,7 +292,11 @@ def test_hot_venue_new_events_match_replay(spark):
     assert got == want
 
 
-def test_hot_resource_bookings_match_replay(spark):
+@pytest.mark.parametrize("crowd", [500, 20])
+def test_hot_resource_bookings_match_replay(spark, monkeypatch, crowd):
+    from campusflow.plans import admission
+
+    monkeypatch.setattr(admission, "CROWD", crowd)
     from campusflow.plans.bookings import apply_bookings
 
     rnd = random.Random(13)
@@ -316,6 +325,29 @@ def test_hot_resource_bookings_match_replay(spark):
     assert got == want
 
 
+def test_crowd_on_one_venue_hour_is_decided_without_pairs(spark):
+    """10,000 requests for one hour of one venue: a few rounds, no pairs of a crowd."""
+    from campusflow.plans import admission
+
+    rnd = random.Random(3)
+    rows, accepted, want = [], [], set()
+    for i in range(10_000):
+        s = h(9) + timedelta(minutes=rnd.randint(0, 45))
+        e = min(s + timedelta(minutes=rnd.randint(5, 30)), h(10))
+        rows.append((i, i, 1, s, e, 1, 1))
+        if not any(a < e and b > s for a, b in accepted):
+            accepted.append((s, e))
+            want.add(i)
+    live = spark.createDataFrame(
+        rows, "request_id long, _ord long, location_id long, start_ts timestamp_ntz, end_ts timestamp_ntz, need int, cap int"
+    )
+    rest, shed = admission.shed_crowds(live, ["location_id"], "HOUR", admission.CROWD)
+    assert len(shed) <= 8 and rest.count() <= admission.CROWD
+    status = admission.admit_overlapping(live, ["location_id"], "HOUR")
+    assert {r["request_id"] for r in status.where("accepted").collect()} == want
+    assert status.count() == 10_000
+
+
 def test_decisions_do_not_depend_on_partitioning(spark):
     import __spark_entry__ as entry
     from tests.conftest import SMALL
