@@ -74,9 +74,9 @@ def base_spans(text: Column) -> list[Column]:
     """The base spans of each kind, as arrays of (start, end, hit, part)."""
     return [
         S.matches(text, EMAIL),
-        F.filter(S.matches(text, IP), lambda s: _byte_parts(s["hit"])),
-        F.filter(S.matches(text, CARD), lambda s: _is_card(s["hit"])),
-        F.filter(S.matches(text, PHONE), lambda s: F.length(_digits(s["hit"])).between(10, 15)),
+        S.matches(text, IP, 0, lambda hit, _: _byte_parts(hit)),
+        S.matches(text, CARD, 0, lambda hit, _: _is_card(hit)),
+        S.matches(text, PHONE, 0, lambda hit, _: F.length(_digits(hit)).between(10, 15)),
     ]
 
 
@@ -112,7 +112,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     email, ip, card, phone = base_spans(text)
     found = docs.select(
         "doc_id", text.alias("_text"), email.alias("_email"), ip.alias("_ip"), card.alias("_card"), phone.alias("_phone"),
-        F.filter(S.matches(text, NUMBER), lambda s: F.length(_digits(s["hit"])) >= NUMBER_LEAST).alias("_number"),
+        S.matches(text, NUMBER, 0, lambda hit, _: F.length(_digits(hit)) >= NUMBER_LEAST).alias("_number"),
         S.matches(text, MAIL).alias("_mail"),
     )
     tags = [S.tagged(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:4])]

@@ -94,10 +94,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(
         F.col("doc_id"), *[F.col(c) for c in keep if c != "doc_id"],
-        F.filter(S.matches(text, ASSIGN, 2), lambda s: F.length(s["part"]) >= ASSIGN_LEAST).alias("_assign"),
-        F.filter(S.matches(text, ACCESS), lambda s: s["end"] - s["start"] >= ACCESS_LEAST).alias("_access"),
+        S.matches(text, ASSIGN, 2, lambda _, value: F.length(value) >= ASSIGN_LEAST).alias("_assign"),
+        S.matches(text, ACCESS, 0, lambda hit, _: F.length(hit) >= ACCESS_LEAST).alias("_access"),
         S.matches(text, HEX).alias("_hex"),
-        F.filter(S.matches(text, CANDIDATE), lambda s: _entropic(s["hit"])).alias("_strings"),
+        S.matches(text, CANDIDATE, 0, lambda hit, _: _entropic(hit)).alias("_strings"),
     )
     base = F.array_sort(F.concat(S.tagged(F.col("_assign"), 0), S.tagged(F.col("_access"), 1), S.tagged(F.col("_hex"), 2)))
     out = out.withColumn("base", base).withColumn("_more", S.tagged(S.outside(F.col("_strings"), F.col("base")), 3))

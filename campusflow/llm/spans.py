@@ -8,6 +8,8 @@ match's place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ def empty() -> Column:
     return F.array().cast(SPAN)
 
 
-def matches(text: Column, pattern: str, part: int = 0) -> Column:
-    """All matches as (start, end, hit, part); part is the given group."""
+def matches(text: Column, pattern: str, part: int = 0, keep: Callable[[Column, Column], Column] | None = None) -> Column:
+    """All matches as (start, end, hit, part) for which ``keep`` (of hit and
+    part) holds; part is the given group. Only kept ones are collected, so a
+    text with very many others costs no more than its length."""
     p = F.lit(pattern)
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
@@ -31,10 +35,11 @@ def matches(text: Column, pattern: str, part: int = 0) -> Column:
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        wanted = F.coalesce(keep(x["hit"], x["part"]), F.lit(False)) if keep else F.lit(True)
         found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part")))
         return F.struct(
             end.alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).cast(SPAN).alias("out"),
+            F.when(x["hit"].isNull() | ~wanted, acc["out"]).otherwise(F.concat(acc["out"], found)).cast(SPAN).alias("out"),
         )
 
     return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(empty())
