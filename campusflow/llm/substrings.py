@@ -2,7 +2,7 @@
 document has too.
 
 1. Anchors. Every WINDOW-byte string holds the smallest hash of its K-byte
-   strings, so equal strings hold equal anchors; about one byte in 18 is one.
+   strings, so equal strings hold equal anchors; about one byte in 14 is one.
    Anchors are dealt by hash, sorted, and those of a single document go.
 2. Contexts. Each occurrence of a shared anchor carries the bytes around it
    that WINDOW-byte strings with it can cover.
@@ -31,12 +31,12 @@ from campusflow.llm.common import Shared
 from campusflow.llm.wordhash import BASE, BASE_INV, BYTE_VALUE, U, batches, mix, powers, prefix_hashes
 
 WINDOW = 50
-K = 16
+K = 24
 SPAN = WINDOW - K + 1
 SIDE = WINDOW - K
 WIDTH = 2 * SIDE + K
 #: Occurrences of an anchor from which it is split by strings.
-HOT = 20_000
+HOT = 50_000
 #: Context rows sorted at a time.
 CHUNK = 20_000
 
@@ -150,7 +150,9 @@ def _contexts(docs: DataFrame) -> DataFrame:
                         [
                             pa.array(found[part].view(np.int64)), pa.array(ids[a:b][row[part]]), pa.array(keys[a:b][row[part]]),
                             pa.array(at[part]), pa.array(left[part].astype(np.int32)), pa.array(right[part].astype(np.int32)),
-                            pa.array([x.tobytes() for x in body], pa.binary()),
+                            pa.FixedSizeBinaryArray.from_buffers(
+                                pa.binary(WIDTH), len(body), [None, pa.py_buffer(np.ascontiguousarray(body))]
+                            ).cast(pa.binary()),
                         ],
                         names=names,
                     )
@@ -229,45 +231,56 @@ class Suffixes:
 def repeats(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(context, begin) of every WINDOW-byte string of the contexts (sorted by
     group) that a context of the same group from a smaller document has."""
+    columns = np.arange(SIDE + 1)
+    inside = (columns >= (SIDE - left)[:, None]) & (columns + WINDOW <= (SIDE + K + right)[:, None])
+    # Equal contexts of a group count once, for their smallest document.
     found = Suffixes(rows)
-    full = np.full(len(rows), WIDTH)
-    whole = found.part(np.arange(len(rows)), np.zeros(len(rows), np.int64), full)
-    # Groups whose contexts are all equal need no sort.
+    whole = found.part(np.arange(len(rows)), np.zeros(len(rows), np.int64), np.full(len(rows), WIDTH))
+    whole = whole * U(BASE) + (left * 64 + right).astype(U)
+    order = np.lexsort((doc, whole, group))
+    new = np.append(True, (group[order][1:] != group[order][:-1]) | (whole[order][1:] != whole[order][:-1]))
+    heads = order[new]
+    head = np.empty(len(rows), np.int64)
+    head[order] = np.repeat(heads, np.diff(np.flatnonzero(new), append=len(order)))
+    if (rows != rows[head]).any() or (left != left[head]).any() or (right != right[head]).any():
+        return _by_bytes(group, doc, inside, rows)
+    removed = np.zeros(inside.shape, bool)
+    removed[heads] = _distinct_repeats(group[heads], doc[heads], inside[heads], rows[heads])
+    copies = np.flatnonzero(head != np.arange(len(rows)))
+    later = (doc[copies] > doc[head[copies]])[:, None]
+    removed[copies] = np.where(later, inside[copies], removed[head[copies]])
+    return np.nonzero(removed)
+
+
+def _distinct_repeats(group: np.ndarray, doc: np.ndarray, inside: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The strings (a row's column) of different contexts, sorted by group,
+    that a context of the same group from a smaller document has."""
+    found = Suffixes(rows)
+    removed = np.zeros(inside.shape, bool)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(starts, append=len(group))
-    key = whole * U(BASE) + (left * 64 + right).astype(U)
-    alike = np.minimum.reduceat(key, starts) == np.maximum.reduceat(key, starts)
-    same = np.flatnonzero(np.repeat(alike, sizes))
-    alike[np.searchsorted(starts, same[(rows[same] != rows[np.repeat(starts, sizes)[same]]).any(axis=1)], side="right") - 1] = False
-    least = np.repeat(np.minimum.reduceat(doc, starts), sizes)
-    removed_row, removed_begin = [], []
-    columns = np.arange(SIDE + 1)
-    inside = (columns >= (SIDE - left)[:, None]) & (columns + WINDOW <= (SIDE + K + right)[:, None])
-    simple = np.repeat(alike, sizes)
-    x, o = np.nonzero(inside & (simple & (doc > least))[:, None])
-    removed_row.append(x)
-    removed_begin.append(o)
-    rest = inside & (~simple & (np.repeat(sizes, sizes) > 1))[:, None]
+    rest = inside & (np.repeat(sizes, sizes) > 1)[:, None]
     begin, x = np.nonzero(rest.T)
-    if len(x):
-        segment = begin * len(rows) + np.repeat(np.arange(len(starts)), sizes)[x]
-        order = found.sort(x, begin, segment)
-        x, begin, segment = x[order], begin[order], segment[order]
-        joined = np.zeros(len(x), bool)
-        near = np.flatnonzero(segment[1:] == segment[:-1]) + 1
-        joined[near] = found.extension(x[near], x[near - 1], begin[near]) >= WINDOW
-        checked = np.flatnonzero(joined)
-        for k in range(0, len(checked), 1 << 16):
-            at = checked[k : k + (1 << 16)]
-            index = begin[at][:, None] + np.arange(WINDOW)
-            if (rows[x[at][:, None], index] != rows[x[at - 1][:, None], index]).any():
-                return _by_bytes(group, doc, inside, rows)
-        heads = np.flatnonzero(~joined)
-        smallest = np.repeat(np.minimum.reduceat(doc[x], heads), np.diff(heads, append=len(x)))
-        late = doc[x] > smallest
-        removed_row.append(x[late])
-        removed_begin.append(begin[late])
-    return np.concatenate(removed_row), np.concatenate(removed_begin)
+    if not len(x):
+        return removed
+    segment = begin * len(rows) + np.repeat(np.arange(len(starts)), sizes)[x]
+    order = found.sort(x, begin, segment)
+    x, begin, segment = x[order], begin[order], segment[order]
+    joined = np.zeros(len(x), bool)
+    near = np.flatnonzero(segment[1:] == segment[:-1]) + 1
+    joined[near] = found.extension(x[near], x[near - 1], begin[near]) >= WINDOW
+    checked = np.flatnonzero(joined)
+    for k in range(0, len(checked), 1 << 16):
+        at = checked[k : k + (1 << 16)]
+        index = begin[at][:, None] + np.arange(WINDOW)
+        if (rows[x[at][:, None], index] != rows[x[at - 1][:, None], index]).any():
+            removed[_by_bytes(group, doc, inside, rows)] = True
+            return removed
+    heads = np.flatnonzero(~joined)
+    smallest = np.repeat(np.minimum.reduceat(doc[x], heads), np.diff(heads, append=len(x)))
+    late = doc[x] > smallest
+    removed[x[late], begin[late]] = True
+    return removed
 
 
 def _by_bytes(group, doc, inside, rows) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +290,7 @@ def _by_bytes(group, doc, inside, rows) -> tuple[np.ndarray, np.ndarray]:
     for x, o in places:
         key = (group[x], o, rows[x, o : o + WINDOW].tobytes())
         first[key] = min(first.get(key, doc[x]), doc[x])
-    late = [(x, o) for x, o in places if doc[x] > first[group[x], o, rows[x, o : o + WINDOW].tobytes()]]
+    late = [(int(x), int(o)) for x, o in places if doc[x] > first[group[x], o, rows[x, o : o + WINDOW].tobytes()]]
     return np.array([x for x, _ in late], np.int64), np.array([o for _, o in late], np.int64)
 
 
@@ -290,13 +303,20 @@ def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[heads], end[np.append(heads[1:], len(end)) - 1]
 
 
+def _bytes_of(contexts) -> np.ndarray:
+    """The rows of a binary column whose values all have WIDTH bytes."""
+    data = np.frombuffer(contexts.buffers()[2], np.uint8) if len(contexts) else np.empty(0, np.uint8)
+    begin = np.frombuffer(contexts.buffers()[1], np.int32)[contexts.offset] if len(contexts) else 0
+    return data[begin : begin + len(contexts) * WIDTH].reshape(-1, WIDTH)
+
+
 def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     """(doc_id, body_hash, begin, end) of removed bytes, from the contexts."""
     import pyarrow as pa
 
     def emit(columns):
         group, doc, key, at, left, right, body = columns
-        rows = np.frombuffer(b"".join(body), np.uint8).reshape(-1, WIDTH)
+        rows = body
         for lo, hi in _chunks(group):
             part = slice(lo, hi)
             x, o = repeats(group[part], doc[part], left[part], right[part], rows[part])
@@ -325,11 +345,11 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     def read(table):
         return [
             *(table.column(c).to_numpy() for c in ("hash", "doc_id", "body_hash", "at", "left", "right")),
-            table.column("context").to_pylist(),
+            _bytes_of(table.column("context")),
         ]
 
     def join(x, y):
-        return [p + q if isinstance(p, list) else np.concatenate([p, q]) for p, q in zip(x, y)]
+        return [np.concatenate([p, q]) for p, q in zip(x, y)]
 
     def run(tables):
         waiting = None
@@ -422,6 +442,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if hot.isEmpty():
         spans = _sorted_repeats(found)
     else:
+        found = shared.table(found)
         spans = _sorted_repeats(found.join(hot, "hash", "left_anti")).unionByName(_hot_repeats(found.join(hot, "hash")))
     spans = spans.groupBy("doc_id", "body_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = places.select("doc_id", "body_hash", "body").join(spans, ["doc_id", "body_hash"])
