@@ -11,52 +11,17 @@ in the query, so urls are judged without a join; built-in functions only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from campusflow.llm.bloom import Level, bloom_level
 from campusflow.llm.common import Shared
 
-HASHES = 4
-BITS = 8
-#: The largest level (bytes) that goes into a query as a literal.
-LITERAL_BYTES = 16 << 20
 LEVELS = 64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@dataclass(frozen=True)
-class Level:
-    number: int
-    bits: int
-    data: bytes
-
-    def positions(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(j)), F.lit(self.bits)) for j in range(HASHES)]
-
-    def passes(self, key: Column) -> Column:
-        out = F.lit(True)
-        for at in self.positions(key):
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-            out = out & (F.call_function("shiftright", byte.cast("int"), F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return out
-
-
-def _level(keys: DataFrame, count: int, number: int) -> Level:
-    bits = max(64, count * BITS)
-    if bits // 8 > LITERAL_BYTES:
-        raise ValueError(f"{count} keys exceed a literal of {LITERAL_BYTES} bytes; judge them with listed_by_join")
-    level = Level(number, bits, b"")
-    at = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("at"))
-    byte = F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("at", F.lit(8)).cast("int")))
-    data = bytearray(-(-bits // 8))
-    for row in at.groupBy(F.floor(F.col("at") / 8).alias("byte")).agg(byte.alias("value")).collect():
-        data[row["byte"]] = row["value"]
-    return Level(number, bits, bytes(data))
-
-
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels that decide exactly, for every ``key`` of ``universe`` and every
     listed one, whether it is listed. The driver receives the bits of the
@@ -68,7 +33,7 @@ def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
         count = inside.count()
         if not count:
             return levels
-        level = _level(inside, count, len(levels))
+        level = bloom_level(inside, count, len(levels))
         levels.append(level)
         inside, outside = outside.where(level.passes(F.col("key"))), inside
     raise RuntimeError("the cascade does not end; the same key is on both sides")
