@@ -12,7 +12,9 @@ document has too.
    comparison takes a logarithmic number of steps and one byte. Neighbours with
    a common extension of WINDOW bytes form a class (checked byte by byte; a
    hash collision sends the chunk to a sort of the bytes themselves), and the
-   strings of a class are removed in all documents but the smallest one.
+   strings of a class are removed in all documents but the smallest one. In
+   groups of at most PAIRED different contexts the extensions to both sides of
+   the anchor are searched for two contexts at a time instead.
    Anchors with more than HOT occurrences (the ends of a passage that very
    many documents share) are decided by a partial minimum over their strings
    instead, so no group is gathered in one task.
@@ -39,6 +41,8 @@ WIDTH = 2 * SIDE + K
 HOT = 50_000
 #: Context rows sorted at a time.
 CHUNK = 20_000
+#: Groups of at most so many different contexts are compared two by two.
+PAIRED = 24
 
 
 def _slide(values: np.ndarray, n: int, pick) -> np.ndarray:
@@ -119,36 +123,42 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(share, "doc_id long, hash long, nth long")
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The part of the hashes that travels with the documents; the whole ones
+    tell contexts apart later."""
+    return (hashes & U(0x7FFFFFFF)).astype(np.int32)
+
+
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, body_hash, at, left, right, context) of the occurrences
+    """(hash, doc_id, row, at, left, right, context) of the occurrences
     of the anchors in ``hashes``; left and right tell how many bytes of the
     sides are there, the rest is zero."""
     import pyarrow as pa
 
-    names = ["hash", "doc_id", "body_hash", "at", "left", "right", "context"]
+    names = ["hash", "doc_id", "row", "at", "left", "right", "context"]
 
     def run(tables):
         for table in tables:
-            ids, keys = table.column("doc_id").to_numpy(), table.column("body_hash").to_numpy()
+            ids, keys = table.column("doc_id").to_numpy(), table.column("row").to_numpy()
             blobs, hashes = table.column("body").to_pylist(), table.column("hashes")
             for a, b in batches(blobs, 2 << 20):
-                row, at, found = anchors(blobs[a:b])
+                which, at, found = anchors(blobs[a:b])
                 wanted = np.unique(np.concatenate([hashes[k].values.to_numpy() for k in range(a, b)]))
-                hit = np.isin(found.view(np.int64), wanted)
-                row, at, found = row[hit], at[hit], found[hit]
+                hit = np.isin(_short(found), wanted)
+                which, at, found = which[hit], at[hit], found[hit]
                 sizes = np.array([len(x) for x in blobs[a:b]], np.int64)
                 data = np.frombuffer(b"".join(blobs[a:b]), np.uint8)
-                left, right = np.minimum(at, SIDE), np.minimum(sizes[row] - at - K, SIDE)
-                for lo in range(0, len(row), 4096):
+                left, right = np.minimum(at, SIDE), np.minimum(sizes[which] - at - K, SIDE)
+                for lo in range(0, len(which), 4096):
                     part = slice(lo, lo + 4096)
-                    place = (np.cumsum(sizes) - sizes)[row[part]] + at[part] - SIDE
+                    place = (np.cumsum(sizes) - sizes)[which[part]] + at[part] - SIDE
                     index = place[:, None] + np.arange(WIDTH)
                     body = np.take(data, np.clip(index, 0, len(data) - 1))
                     column = np.arange(WIDTH)
                     body[(column < (SIDE - left[part])[:, None]) | (column >= (SIDE + K + right[part])[:, None])] = 0
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(found[part].view(np.int64)), pa.array(ids[a:b][row[part]]), pa.array(keys[a:b][row[part]]),
+                            pa.array(found[part].view(np.int64)), pa.array(ids[a:b][which[part]]), pa.array(keys[a:b][which[part]]),
                             pa.array(at[part]), pa.array(left[part].astype(np.int32)), pa.array(right[part].astype(np.int32)),
                             pa.FixedSizeBinaryArray.from_buffers(
                                 pa.binary(WIDTH), len(body), [None, pa.py_buffer(np.ascontiguousarray(body))]
@@ -157,7 +167,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
                         names=names,
                     )
 
-    return docs.mapInArrow(run, "hash long, doc_id long, body_hash long, at long, left int, right int, context binary")
+    return docs.mapInArrow(run, "hash long, doc_id long, row long, at long, left int, right int, context binary")
 
 
 class Suffixes:
@@ -186,6 +196,17 @@ class Suffixes:
             high = np.where(open_ & ~same, middle - 1, high)
         return low
 
+    def extension_back(self, x: np.ndarray, y: np.ndarray, end: int) -> np.ndarray:
+        """The common extension of rows x and y to the left of ``end``."""
+        low = np.zeros(len(x), np.int64)
+        high = np.full(len(x), end, np.int64)
+        while (open_ := low < high).any():
+            middle = (low + high + 1) // 2
+            same = self.part(x, end - middle, middle) == self.part(y, end - middle, middle)
+            low = np.where(open_ & same, middle, low)
+            high = np.where(open_ & ~same, middle - 1, high)
+        return low
+
     def before(self, x: np.ndarray, y: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as the first WINDOW bytes of x sort before, with or after y's."""
         n = self.extension(x, y, begin)
@@ -256,10 +277,11 @@ def _distinct_repeats(group: np.ndarray, doc: np.ndarray, inside: np.ndarray, ro
     """The strings (a row's column) of different contexts, sorted by group,
     that a context of the same group from a smaller document has."""
     found = Suffixes(rows)
-    removed = np.zeros(inside.shape, bool)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(starts, append=len(group))
-    rest = inside & (np.repeat(sizes, sizes) > 1)[:, None]
+    size = np.repeat(sizes, sizes)
+    removed = _paired_repeats(found, np.where(size <= PAIRED, np.repeat(np.arange(len(starts)), sizes), -1), doc, inside)
+    rest = inside & (size > PAIRED)[:, None]
     begin, x = np.nonzero(rest.T)
     if not len(x):
         return removed
@@ -283,6 +305,42 @@ def _distinct_repeats(group: np.ndarray, doc: np.ndarray, inside: np.ndarray, ro
     return removed
 
 
+def _paired_repeats(found: Suffixes, group: np.ndarray, doc: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The same for small groups (others have group -1): the common extensions
+    of two contexts to the left and right of the anchor give all the strings
+    that they share."""
+    rows = found.rows
+    marks = np.zeros((len(rows), SIDE + 2), np.int32)
+    for d in range(1, PAIRED):
+        x = np.flatnonzero((group[d:] == group[:-d]) & (group[d:] >= 0))
+        if not len(x):
+            break
+        y = x + d
+        x, y = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
+        x, y = x[doc[x] > doc[y]], y[doc[x] > doc[y]]
+        right = found.extension(x, y, np.full(len(x), SIDE), K + SIDE)
+        left = found.extension_back(x, y, SIDE)
+        first, last = SIDE - left, right + SIDE - WINDOW
+        hit = np.flatnonzero(first <= last)
+        x, y, first, last = x[hit], y[hit], first[hit], last[hit]
+        columns = np.arange(WIDTH)
+        shared = (columns >= first[:, None]) & (columns < (last + WINDOW)[:, None])
+        wrong = ((rows[x] != rows[y]) & shared).any(axis=1)
+        for k in np.flatnonzero(wrong):  # a collision: the strings themselves
+            equal = [o for o in range(SIDE + 1) if (rows[x[k], o : o + WINDOW] == rows[y[k], o : o + WINDOW]).all()]
+            for o in equal:
+                if inside[x[k], o] and inside[y[k], o]:
+                    marks[x[k], o] += 1
+                    marks[x[k], o + 1] -= 1
+        # Padding never counts: a string must lie inside both contexts.
+        low = np.maximum(first, np.maximum(inside[x].argmax(axis=1), inside[y].argmax(axis=1)))
+        high = np.minimum(last, SIDE - np.maximum(inside[x][:, ::-1].argmax(axis=1), inside[y][:, ::-1].argmax(axis=1)))
+        good = ~wrong & (low <= high) & inside[x].any(axis=1) & inside[y].any(axis=1)
+        np.add.at(marks, (x[good], low[good]), 1)
+        np.add.at(marks, (x[good], high[good] + 1), -1)
+    return marks[:, :-1].cumsum(axis=1) > 0
+
+
 def _by_bytes(group, doc, inside, rows) -> tuple[np.ndarray, np.ndarray]:
     """``repeats`` without hashes, for a chunk in which two collided."""
     first: dict = {}
@@ -311,7 +369,7 @@ def _bytes_of(contexts) -> np.ndarray:
 
 
 def _sorted_repeats(contexts: DataFrame) -> DataFrame:
-    """(doc_id, body_hash, begin, end) of removed bytes, from the contexts."""
+    """(doc_id, row, begin, end) of removed bytes, from the contexts."""
     import pyarrow as pa
 
     def emit(columns):
@@ -322,8 +380,6 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
             x, o = repeats(group[part], doc[part], left[part], right[part], rows[part])
             if not len(x):
                 continue
-            order = np.lexsort((o, x))
-            x, o = x[order], o[order]
             # Neighbouring strings of one context overlap: one interval each run.
             new = np.append(True, (x[1:] != x[:-1]) | (o[1:] - o[:-1] > WINDOW))
             heads = np.flatnonzero(new)
@@ -331,7 +387,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
             place = at[part][x[heads]] - SIDE
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc[part][x[heads]]), pa.array(key[part][x[heads]]), pa.array(place + o[heads]), pa.array(place + o[tails] + WINDOW)],
-                names=["doc_id", "body_hash", "begin", "end"],
+                names=["doc_id", "row", "begin", "end"],
             )
 
     def _chunks(group):
@@ -344,7 +400,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
 
     def read(table):
         return [
-            *(table.column(c).to_numpy() for c in ("hash", "doc_id", "body_hash", "at", "left", "right")),
+            *(table.column(c).to_numpy() for c in ("hash", "doc_id", "row", "at", "left", "right")),
             _bytes_of(table.column("context")),
         ]
 
@@ -368,7 +424,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
             yield from emit(waiting)
 
     dealt = contexts.repartition("hash").sortWithinPartitions("hash", "doc_id")
-    return dealt.mapInArrow(run, "doc_id long, body_hash long, begin long, end long")
+    return dealt.mapInArrow(run, "doc_id long, row long, begin long, end long")
 
 
 def _hot_repeats(contexts: DataFrame) -> DataFrame:
@@ -379,7 +435,7 @@ def _hot_repeats(contexts: DataFrame) -> DataFrame:
     strings = strings.withColumn("string", F.substring("context", F.col("o") + 1, F.lit(WINDOW))).drop("context")
     least = strings.groupBy("hash", "o", "string").agg(F.min("doc_id").alias("least"))
     late = strings.join(least, ["hash", "o", "string"]).where("doc_id > least")
-    return late.select("doc_id", "body_hash", (F.col("at") - SIDE + F.col("o")).alias("begin"), (F.col("at") - SIDE + F.col("o") + WINDOW).alias("end"))
+    return late.select("doc_id", "row", (F.col("at") - SIDE + F.col("o")).alias("begin"), (F.col("at") - SIDE + F.col("o") + WINDOW).alias("end"))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -433,10 +489,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     searched = docs.where(F.col("doc_id").isNotNull() & (F.length("body") >= WINDOW))
     several, several_path = shared.write(_shared_anchors(searched.select("doc_id", "body")))
     hot = shared.table(several.where(F.col("nth") == HOT).select("hash"))
-    wanted = several.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
+    short = F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    wanted = several.groupBy("doc_id").agg(F.collect_list(short).alias("hashes"))
     single = status.where("doc_id = least").select("doc_id", "body_hash").distinct()
     wanted = wanted.join(single, "doc_id")
-    places = shared.table(searched.join(wanted, ["doc_id", "body_hash"]))
+    places = searched.join(wanted, ["doc_id", "body_hash"])
+    places = shared.table(places.withColumn("row", F.monotonically_increasing_id()))
     shared.drop(several_path)
     found = _contexts(places)
     if hot.isEmpty():
@@ -444,8 +502,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     else:
         found = shared.table(found)
         spans = _sorted_repeats(found.join(hot, "hash", "left_anti")).unionByName(_hot_repeats(found.join(hot, "hash")))
-    spans = spans.groupBy("doc_id", "body_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    cut = places.select("doc_id", "body_hash", "body").join(spans, ["doc_id", "body_hash"])
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    cut = places.select("row", "doc_id", "body_hash", "body").join(spans, "row")
     cut = _cut(cut).dropDuplicates(["doc_id", "body_hash"])
 
     out = status.join(cut, ["doc_id", "body_hash"], "left")
