@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
-
-1. Seeds are the SEED-word n-grams of the benchmark items. One scan of the
-   corpus finds every occurrence of any seed (sorted hashes, in blocks of
-   SEED_BLOCK seeds, so what a task holds is bounded however large the
-   benchmark is).
-2. A seed is rare for an item unless its document frequency exceeds RARE times
-   the median over the item's seeds: phrases of everyday language go, the seeds
-   of an item that leaked a million times all stay.
-3. Rare seeds join passages to items. Occurrences on nearby diagonals make one
-   candidate (document, item, region), by a partial count.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
+
+1. Seeds are the SEED-word n-grams of the benchmark items. The items are dealt
+   into blocks of about SEED_BLOCK seeds, and one scan of the corpus per block
+   finds every occurrence of any seed (sorted hashes), so what a task holds is
+   bounded however large the benchmark is.
+2. Occurrences on nearby diagonals make one candidate (document, item, region).
+   No seed is dropped, however many documents hold it: a copy may have kept
+   only seeds that are common in the corpus. Candidates are made and judged
+   inside the scan, so frequent seeds cost alignments but no rows.
+3. A score needs its matches: a region that holds too few of the item's words
+   for THRESHOLD is passed over without an alignment, which loses nothing.
 4. The item is aligned with the region's words (match 2, mismatch -1, gap -1).
    score is the alignment score over that of a full match; pairs from
    THRESHOLD on are contaminated, so edited and paraphrased copies count.
@@ -26,10 +27,10 @@ from campusflow.llm.wordhash import batches, ngrams, text_words
 
 SEED = 4
 SEED_BLOCK = 1_000_000
-RARE = 8
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Cells (pairs x window words) aligned at a time.
+#: Cells (pairs x window words) aligned at a time; seed occurrences x items
+#: expanded at a time.
 CELLS = 1 << 20
 
 HIT = "doc_id long, item_id long, score double, seeds long, doc_start long, doc_end long"
@@ -53,43 +54,64 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return items.where("item_id is not null").mapInPandas(run, "item_id long, n_words long, words binary")
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            for item, blob in zip(f.item_id, f.words):
-                grams = ngrams(np.frombuffer(blob, np.uint64), SEED).view(np.int64)
-                yield pd.DataFrame({"item_id": item, "seed": grams, "item_at": np.arange(len(grams))})
-
-    return items.mapInPandas(run, "item_id long, seed long, item_at long")
-
-
-def occurrences(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
-    """(doc_id, seed, doc_at, first) for every occurrence of the given sorted
-    seeds; first is 1 at a seed's first occurrence in the row's text."""
-
-    def run(frames):
-        for f in frames:
-            texts = f.text.tolist()
-            for a, b in batches(texts):
-                hashes, bound = text_words(texts[a:b])
-                grams = ngrams(hashes, SEED)
-                if not len(grams):
-                    continue
-                at = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-                hit = np.flatnonzero(seeds[at] == grams)
-                row = np.searchsorted(bound, hit, side="right") - 1
-                inside = hit + SEED <= bound[row + 1]
-                hit, row = hit[inside], row[inside]
-                first = np.zeros(len(hit), np.int64)
-                first[np.unique(np.stack([row, at[hit]]), axis=1, return_index=True)[1]] = 1
-                yield pd.DataFrame({
-                    "doc_id": f.doc_id.to_numpy()[a:b][row],
-                    "seed": grams[hit].view(np.int64),
-                    "doc_at": hit - bound[row],
-                    "first": first,
-                })
-
-    return docs.mapInPandas(run, "doc_id long, seed long, doc_at long, first long")
+class Block:
+    """Items (item_id, words) with the places of their seeds: ``items`` and
+    ``places`` from first[k] to first[k + 1] are those of the k-th seed."""
+
+    def __init__(self, item_ids, words: list[bytes]):
+        arrays = [np.frombuffer(w, np.uint64) for w in words]
+        self.item_ids = np.asarray(item_ids, np.int64)
+        self.words = np.concatenate(arrays)
+        self.bound = np.concatenate([[0], np.cumsum([len(x) for x in arrays])])
+        grams = [ngrams(x, SEED) for x in arrays]
+        counts = [len(g) for g in grams]
+        every = np.concatenate(grams)
+        order = np.argsort(every, kind="stable")
+        self.seeds, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+        self.items = np.repeat(np.arange(len(grams), dtype=np.int32), counts)[order]
+        self.places = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])[order]
+
+    def sizes(self, items: np.ndarray) -> np.ndarray:
+        return self.bound[items + 1] - self.bound[items]
+
+    def candidates(self, hashes: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, region, seeds) of the regions of several texts (their
+        words' hashes and bounds) with any seed, and how many are there."""
+        grams = ngrams(hashes, SEED)
+        at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
+        hit = np.flatnonzero(self.seeds[at] == grams)
+        row = np.searchsorted(bound, hit, side="right") - 1
+        inside = hit + SEED <= bound[row + 1]
+        hit, row = hit[inside], row[inside]
+        at = at[hit]
+        regions = int((bound[1:] - bound[:-1]).max()) + 2
+        times = self.first[at + 1] - self.first[at]
+        done = np.cumsum(times)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        begin = 0
+        while begin < len(hit):
+            end = max(begin + 1, int(np.searchsorted(done, done[begin] - times[begin] + CELLS, side="right")))
+            n = times[begin:end]
+            from_seed = np.repeat(self.first[at[begin:end]], n)
+            entry = from_seed + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, text = self.items[entry].astype(np.int64), np.repeat(row[begin:end], n)
+            diagonal = np.repeat(hit[begin:end], n) - bound[text] - self.places[entry]
+            # A diagonal begins at most one item's length before the text.
+            region = diagonal // self.sizes(item) + 1
+            keys, back = np.unique(np.concatenate([keys, (text * len(self.item_ids) + item) * regions + region]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, np.ones(len(text), np.int64)]), len(keys)).astype(np.int64)
+            begin = end
+        pair, region = keys // regions, keys % regions - 1
+        return pair // len(self.item_ids), pair % len(self.item_ids), region, counts
+
+
+def padded(words: np.ndarray, start: np.ndarray, end: np.ndarray, fill: int, back: bool = False) -> np.ndarray:
+    """words[start:end] (``back``: last first) as rows, filled up to one width."""
+    at = np.arange(int((end - start).max()))
+    place = end[:, None] - 1 - at if back else start[:, None] + at
+    inside = at < (end - start)[:, None]
+    return np.where(inside, words[np.where(inside, place, 0)], np.uint64(fill))
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +122,12 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     for k, (i, w) in enumerate(zip(items, windows)):
         x[k, : len(i)] = i
         y[k, : len(w)] = w
+    return _align(x, y)
+
+
+def _align(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` of the rows of x (items, filled up with 0) and y (1)."""
+    (n, most), width = x.shape, y.shape[1]
     lost = -GAP * np.arange(width, dtype=np.int32)
     h = np.zeros((n, width + 1), np.int32)
     best, end = np.zeros(n, np.int32), np.zeros(n, np.int64)
@@ -114,50 +142,74 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def _aligned(candidates: DataFrame) -> DataFrame:
-    """Candidates (doc_id, text, places) aligned with the words of their region."""
+def possible(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether as many words of each item are in its window as THRESHOLD needs
+    matches (never false when they are: words are told apart by some bits)."""
+    slots = 1 << (8 * y.shape[1]).bit_length()
+    there = np.zeros((len(y), slots), bool)
+    row = np.arange(len(y))[:, None]
+    there[row, (y & np.uint64(slots - 1)).astype(np.int64)] = True
+    shared = there[row, (x & np.uint64(slots - 1)).astype(np.int64)] & (np.arange(x.shape[1]) < sizes[:, None])
+    return shared.sum(axis=1) >= THRESHOLD * sizes
+
+
+def _aligned(block: Block, hashes: np.ndarray, bound: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """(text, item, score, seeds, doc_start, doc_end) of the candidates of
+    several texts that reach THRESHOLD, in parts."""
+    text, item, region, seeds = block.candidates(hashes, bound)
+    sizes = block.sizes(item)
+    start = bound[text] + np.maximum(0, (region - 1) * sizes)
+    end = np.minimum(bound[text + 1], bound[text] + (region + 3) * sizes)
+    order = np.flatnonzero(start < end)
+    order = order[np.argsort(sizes[order], kind="stable")]
+    out, at = [], 0
+    while at < len(order):
+        ahead = order[at : at + CELLS // (4 * int(sizes[order[at]])) + 1]
+        fit = int(np.searchsorted(np.arange(1, len(ahead) + 1) * 4 * sizes[ahead], CELLS, side="right"))
+        part = ahead[: max(1, fit)]
+        at += len(part)
+        x = padded(block.words, block.bound[item[part]], block.bound[item[part] + 1], 0)
+        y = padded(hashes, start[part], end[part], 1)
+        good = possible(x, y, sizes[part])
+        if not good.any():
+            continue
+        part, x, y = part[good], x[good], y[good]
+        best, last = _align(x, y)
+        share = best / (MATCH * sizes[part])
+        good = share >= THRESHOLD
+        if not good.any():
+            continue
+        part, share, last = part[good], share[good], last[good]
+        # The copy begins where the alignment of both read backwards ends.
+        x = padded(block.words, block.bound[item[part]], block.bound[item[part] + 1], 0, back=True)
+        y = padded(hashes, start[part], start[part] + last + 1, 1, back=True)
+        back = _align(x, y)[1]
+        begin = start[part] - bound[text[part]]
+        out.append((text[part], item[part], share, seeds[part], begin + last - back, begin + last + 1))
+    return out
+
+
+def copies(docs: DataFrame, block: Block) -> DataFrame:
+    """The copies of a block's items in every row of ``docs``."""
 
     def run(frames):
         for f in frames:
             texts = f.text.tolist()
             for a, b in batches(texts):
                 hashes, bound = text_words(texts[a:b])
-                pairs = []
-                for doc_id, places, lo, hi in zip(f.doc_id[a:b], f.places[a:b], bound[:-1], bound[1:]):
-                    for p in places:
-                        item = np.frombuffer(p["words"], np.uint64)
-                        m = len(item)
-                        begin = max(0, (p["region"] - 1) * m)
-                        window = hashes[lo + begin : min(hi, lo + (p["region"] + 3) * m)]
-                        if len(window):
-                            pairs.append((doc_id, p["item_id"], p["seeds"], begin, item, window))
-                pairs.sort(key=lambda p: len(p[4]))
-                at = 0
-                while at < len(pairs):
-                    to = at + 1
-                    while to < len(pairs) and (to + 1 - at) * 4 * len(pairs[to][4]) <= CELLS:
-                        to += 1
-                    yield _scored(pairs[at:to])
-                    at = to
-
-    return candidates.mapInPandas(run, HIT)
-
-
-def _scored(pairs) -> pd.DataFrame:
-    best, end = align([p[4] for p in pairs], [p[5] for p in pairs])
-    rows = []
-    for (doc_id, item_id, seeds, begin, item, window), score, last in zip(pairs, best, end):
-        share = float(score) / (MATCH * len(item))
-        if share >= THRESHOLD:
-            back = align([item[::-1]], [window[: last + 1][::-1]])[1][0]
-            rows.append((doc_id, item_id, share, seeds, begin + last - back, begin + last + 1))
-    return pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "seeds", "doc_start", "doc_end"])
+                for text, item, *found in _aligned(block, hashes, bound):
+                    yield pd.DataFrame(dict(zip(
+                        ["doc_id", "item_id", "score", "seeds", "doc_start", "doc_end"],
+                        [f.doc_id.to_numpy()[a:b][text], block.item_ids[item], *found],
+                    )))
+
+    return docs.mapInPandas(run, HIT)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, seeds, doc_start, doc_end): every document that
     holds a copy of a benchmark item, with the best copy's score (THRESHOLD to
-    1), the rare seeds found there and its place in words (end exclusive).
+    1), the seeds found there and its place in words (end exclusive).
 
     Null and empty texts hold and are nothing; items of fewer than SEED words
     are no evidence and are not searched; rows with a null id are left out;
@@ -168,30 +220,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id is not null and text is not null")
     items = shared.table(item_words(benchmark))
-    seeds = shared.table(item_seeds(items))
-    distinct = seeds.select("seed").distinct()
-    blocks = max(1, -(-distinct.count() // SEED_BLOCK))
-    found = None
+    total = items.agg(F.sum(F.col("n_words") - SEED + 1)).first()[0] or 0
+    blocks = max(1, -(-total // SEED_BLOCK))
+    hits = spark.createDataFrame([], HIT)
     for k in range(blocks):
-        block = distinct.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k).toPandas().seed.to_numpy("int64")
-        if len(block):
-            part = occurrences(docs, np.sort(block.view(np.uint64)))
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], HIT)
-    found = shared.table(found)
-
-    frequency = found.groupBy("seed").agg(F.sum("first").alias("documents"))
-    known = shared.table(seeds.join(frequency, "seed"))
-    usual = known.groupBy("item_id").agg(F.percentile_approx("documents", 0.5, 1000).alias("usual"))
-    rare = known.join(usual, "item_id").where(F.col("documents") <= RARE * F.col("usual"))
-    rare = rare.join(items.select("item_id", "n_words"), "item_id")
-
-    region = F.floor((F.col("doc_at") - F.col("item_at")) / F.col("n_words"))
-    places = found.join(rare.select("seed", "item_id", "item_at", "n_words"), "seed")
-    places = places.groupBy("doc_id", "item_id", region.alias("region")).agg(F.count(F.lit(1)).alias("seeds"))
-    places = places.join(items.select("item_id", "words"), "item_id")
-    places = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "region", "seeds", "words")).alias("places"))
-    hits = _aligned(docs.join(places, "doc_id").select("doc_id", "text", "places"))
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "words").toPandas()
+        if len(part):
+            hits = hits.unionByName(copies(docs, Block(part.item_id, part.words.tolist())))
     best = F.max(F.struct("score", "seeds", "doc_start", "doc_end"))
     return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

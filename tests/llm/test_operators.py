@@ -54,6 +54,30 @@ def test_decontamination_finds_exact_and_edited_copies(spark):
     assert 0.7 < out[2].score < 1.0
 
 
+@pytest.mark.parametrize("copies", [5, 100])
+def test_decontamination_finds_a_copy_however_often_it_was_copied(spark, copies):
+    words = [f"word{k}" for k in range(40)]
+    edited = " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(words))
+    docs = [(0, "before " + " ".join(words))] + [(1 + k, f"text number {k} {edited} goes on") for k in range(copies)]
+    bench = spark.createDataFrame([(10, " ".join(words))], "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(out) == set(range(copies + 1))
+    assert out[1].score == (32 * 2 - 7) / 80 and (out[1].doc_start, out[1].doc_end) == (3, 42)
+
+
+def test_decontamination_passes_over_only_what_cannot_score():
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    for share in (0.2, 0.45, 0.5, 0.55, 0.9):
+        item = rng.choice(words[:150], 40).astype(np.uint64)
+        window = rng.choice(words[150:], 160).astype(np.uint64)
+        n = round(share * 40)
+        window[60 : 60 + n] = item[:n]
+        held = decontaminate.possible(item[None], window[None], np.array([40]))[0]
+        assert held or decontaminate.align([item], [window])[0][0] < decontaminate.THRESHOLD * 2 * 40
+        assert held or share < 0.5
+
+
 def test_decontamination_finds_every_exact_copy(spark, texts):
     out = rows(QUERIES["op1_benchmark_decontamination"](spark, SMALL).select("doc_id", "item_id"))
     items = rows(spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text"))
