@@ -220,6 +220,17 @@ def test_pii_cases_and_candidates(spark):
         assert out[i].base_sha256 == brute.sha(brute.personal(t), pii.KINDS), t
 
 
+def test_pii_adds_what_the_base_patterns_miss(spark):
+    personal = ["phone 555 010 9999", "call me: 020 5550 1099", "123-45-6789", "my SSN is 123-45-6789", "write to jane.doe [at] example.org", "IBAN DE89 3704 0044 0532 0130 00", "card 4222222222222", "(555) 010-9999"]
+    others = ["order number 555 010 9999", "order 5550109999", "we counted 5550109999 of them", "invoice 123-45-6789", "on 2024-01-15 it rained", "let us meet [at] noon", "item x12345678", "about 3.141592653"]
+    rows = list(enumerate(personal + others)) + [(100 + k, f"order {5550100000 + k}") for k in range(50)]
+    # Formats that are common in a corpus are not refused for it.
+    rows += [(200 + k, f"phone 555 01{k % 10} {1000 + k}") for k in range(50)]
+    out = {r.doc_id: r for r in pii.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert out[i].n_other == (1 if t in personal or i >= 200 else 0), t
+
+
 def test_boosting_learns_the_confirmed_codes():
     x = pii.feature_table()
     total = np.full(len(x), 10.0)
