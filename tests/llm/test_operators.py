@@ -259,6 +259,16 @@ def test_license_scan(spark):
     assert {k[0] for k in out} == {1, 2, 4, 6}
 
 
+def test_license_scan_joins_wrapped_notices(spark):
+    gpl = ["// This program is free software: you can redistribute it and/or modify", "// it under the terms of the GNU General Public License as published by", "// the Free Software Foundation"]
+    bsd = ["# Redistribution and use in source and binary", "# forms, with or without modification, are", "# permitted provided that the following", "# conditions are met"]
+    two = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    texts = ["\n".join(["int a;", "", *gpl, "", "int b;"]), "\n".join(["plain words", *bsd, "", "x"]), "\n".join(two)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted((r.doc_id, r.paragraph, r.family, texts[r.doc_id][r.start : r.end]) for r in licenses.scan(spark, docs).collect())
+    assert out == [(0, 2, "gpl", "\n".join(gpl)), (1, 1, "bsd", "\n".join(bsd)), (2, 0, "mit", two[0]), (2, 1, "apache-2.0", two[1])]
+
+
 def test_url_filter_equals_sql(spark):
     out = sorted(rows(QUERIES["op6_url_filter"](spark, SMALL)))
     duck = duckdb.connect()
