@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from campusflow.llm import (
+    alignment,
     decontaminate,
     fingerprints,
     langid,
@@ -81,6 +82,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark, documents(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.report(spark, documents(spark, sf_dir), a, b)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return resample.resample(spark, documents(spark, sf_dir), benchmark, runs=1, buckets=10_000, percent=10)
@@ -104,6 +112,7 @@ QUERIES: dict[str, Query] = {
         op8_best_fit_packing,
         op9_minhash_near_dedup,
         op10_pii,
+        op11_tokenizer_alignment,
         op12_importance_resampling,
         op13_exact_top_k,
     )
