@@ -13,6 +13,9 @@ Its alignment depends on nothing else and is remembered by the worker; a window
 met again costs one look-up, and new ones are aligned together from the sorted
 union of both sides' ends.
 
+Encoding remembers words in the same way: both tokenizers begin a new token at
+a space between two words, so a text's ids are those of its words.
+
 The links of each text are stored as distinct id pairs with multiplicities;
 their corpus counts are one partial aggregation. The counts come back to the
 texts as broadcast blocks of a fixed number of pairs, so no link is shuffled
@@ -23,8 +26,11 @@ more blocks, each added to the sums of the blocks before.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import math
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,8 @@ from pyspark.sql import functions as F
 from campusflow.llm.common import Shared
 from campusflow.llm.wordhash import batches as batches_of
 
-#: Windows, and bytes of their ids, that a worker remembers.
-MEMORY = 150_000
+#: Words and windows, and bytes of them, that a worker remembers.
+MEMORY = 250_000
 MEMORY_BYTES = 16 << 20
 #: Characters encoded at once.
 AT_ONCE = 1 << 20
@@ -58,6 +64,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+#: A space where both tokenizers begin a new token whatever stands around it:
+#: between a byte that is no space and a printable ASCII one. The pre-tokenizer
+#: of a byte-level BPE begins a piece at the last space before a visible
+#: character, and sentencepiece has no piece with a space after another letter.
+CUT = re.compile(rb"(?<=[^ ]) (?=[!-~])")
+
+
 class ByteLevel:
     """Tokenizer A: ids of texts with a space before, and each id's bytes."""
 
@@ -71,6 +84,9 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
             self.bytes[k] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
+        described = json.loads(self.tokenizer.to_str())
+        pre = described["pre_tokenizer"] or {}
+        self.cuttable = not described["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
@@ -85,18 +101,61 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [(k, self.model.id_to_piece(k)) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(MARK, " ").encode() for k, p in names]
+        self.cuttable = not any(MARK in p.lstrip(MARK) for _, p in names)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
 class _Numbers(dict):
-    """Numbers windows by first use."""
+    """Numbers keys by first use and counts the uses."""
+
+    def __init__(self, keys=()):
+        super().__init__((k, n) for n, k in enumerate(keys))
+        self.uses = np.zeros(len(self), np.int64)
 
     def __missing__(self, key):
         n = self[key] = len(self)
         return n
 
+    def used(self, numbers: np.ndarray) -> None:
+        uses = np.bincount(numbers, minlength=len(self))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+
+    def often(self) -> np.ndarray:
+        """Numbers of the most used keys, half the memory at most, in order."""
+        repeated = np.flatnonzero(self.uses > 1)
+        return np.sort(repeated[np.argsort(-self.uses[repeated], kind="stable")[: MEMORY // 2]])
+
+    def only(self, numbers: np.ndarray) -> _Numbers:
+        keys = list(self)
+        return _Numbers(keys[k] for k in numbers.tolist())
+
+
+class _Rows:
+    """Rows of integers, one after the other, by number."""
+
+    def __init__(self):
+        self.flat, self.used, self.n = np.zeros(1 << 12, np.int64), 0, 0
+        self.begin, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = _grown(self.flat, flat, self.used)
+        self.begin = _grown(self.begin, self.used + np.cumsum(sizes) - sizes, self.n)
+        self.size = _grown(self.size, sizes, self.n)
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def only(self, numbers: np.ndarray) -> _Rows:
+        out = _Rows()
+        out.add(*self.of(numbers))
+        return out
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some numbers joined, and their sizes."""
+        sizes = self.size[numbers]
+        return self.flat[_runs(self.begin[numbers], sizes)], sizes
+
 
 def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0] .. begin[0]+size[0]-1, begin[1] .. and so on."""
@@ -111,14 +170,114 @@ def _grown(array: np.ndarray, more: np.ndarray, used: int) -> np.ndarray:
     return array
 
 
+def _sizes(tokens: list[bytes]) -> np.ndarray:
+    return np.array([len(x) for x in tokens], np.int64)
+
+
+class Encoder:
+    """Ids of whole texts by both tokenizers, remembering those of each word.
+
+    A text's ids are those of its words (``CUT``) one after the other; new
+    words are encoded joined, and their ids told apart by the bytes they spell.
+    """
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+        self.sizes = _sizes(a.bytes), _sizes(b.bytes)
+        self.cuttable = a.cuttable and b.cuttable
+        self.number, self.held = _Numbers(), 0
+        self.ids, self.spelt = (_Rows(), _Rows()), np.zeros(1 << 10, np.int64)
+
+    def forget(self) -> None:
+        """Keep only the words used most, if there are too many."""
+        if len(self.number) > MEMORY or self.held > MEMORY_BYTES:
+            often = self.number.often()
+            self.number = self.number.only(often)
+            self.ids, self.spelt = tuple(rows.only(often) for rows in self.ids), self.spelt[often]
+            self.held = sum(map(len, self.number))
+
+    def _ids(self, side: int, text: bytes) -> np.ndarray:
+        """Ids of a text that begins with a space."""
+        (found,) = (self.a, self.b)[side].encode([text[1:].decode()])
+        return np.array(found, np.int64)
+
+    def _joined_ids(self, side: int, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words one after the other, how many each has, and whether
+        they spell the word."""
+        text, ends = b"".join(words), np.cumsum(_sizes(words))
+        ids = self._ids(side, text)
+        spelt = b"".join(map((self.a, self.b)[side].bytes.__getitem__, ids.tolist())) == text
+        if spelt or len(words) == 1:
+            token_ends = np.cumsum(self.sizes[side][ids])
+            cuts = np.searchsorted(token_ends, ends) + 1 if spelt else np.array([len(ids)])
+            return ids, np.diff(np.append(0, cuts)), np.full(len(words), int(spelt))
+        half = len(words) // 2
+        parts = self._joined_ids(side, words[:half]), self._joined_ids(side, words[half:])
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words. A word that begins a text may begin with more than
+        one space or one that is no cut: those are encoded by themselves."""
+        alone = np.array([not SPACE < w[1:2] <= b"~" for w in words]) | (not self.cuttable)
+        groups = [[k] for k in np.flatnonzero(alone).tolist()]
+        if not alone.all():
+            groups.append(np.flatnonzero(~alone).tolist())
+        spelt = np.ones(len(words), np.int64)
+        for side in (0, 1):
+            sizes, found = np.zeros(len(words), np.int64), []
+            for group in groups:
+                ids, many, whole = self._joined_ids(side, [words[k] for k in group])
+                sizes[group] = many
+                spelt[group] &= whole
+                found.append((group, ids))
+            begin, flat = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.int64)
+            for group, ids in found:
+                flat[_runs(begin[group], sizes[group])] = ids
+            self.ids[side].add(flat, sizes)
+        self.spelt = _grown(self.spelt, spelt, len(self.number) - len(words))
+
+    def encode(self, texts: list[bytes]):
+        """Texts (not empty, UTF-8) -> which of them both tokenizers spell
+        back, and of these the ids of both sides and how many each has."""
+        self.forget()
+        known, numbers, bounds = len(self.number), [], [0]
+        for text in texts:
+            words = CUT.split(SPACE + text) if self.cuttable else [SPACE + text]
+            words[1:] = [SPACE + w for w in words[1:]]
+            numbers += map(self.number.__getitem__, words)
+            bounds.append(len(numbers))
+        fresh = list(itertools.islice(self.number, known, None))
+        if fresh:
+            self.held += sum(map(len, fresh))
+            self._learn(fresh)
+        numbers, bounds = np.array(numbers, np.int64), np.array(bounds)
+        self.number.used(numbers)
+        bad = np.concatenate([[0], np.cumsum(1 - self.spelt[numbers])])
+        good = bad[bounds[1:]] == bad[bounds[:-1]]
+        kept = np.repeat(good, np.diff(bounds))
+        text_of = np.repeat(np.cumsum(good) - 1, np.diff(bounds))[kept]
+        out = []
+        for rows in self.ids:
+            ids, sizes = rows.of(numbers[kept])
+            out += [ids, np.bincount(text_of, sizes, int(good.sum())).astype(np.int64)]
+        return np.flatnonzero(good), *out
+
+
 class Aligner:
-    """Aligns texts; remembers windows between calls."""
+    """Aligns texts; remembers words and windows between calls."""
 
     def __init__(self, a, b):
         self.a, self.b = a, b
-        self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (a, b))
+        self.encoder = Encoder(a, b)
+        self.size_a, self.size_b = self.encoder.sizes
         self.space_a, self.space_b = (np.array([x[:1] == SPACE for x in t.bytes]) for t in (a, b))
-        self.forget()
+        # What a token adds to a text of groups: inside a side, and at its end.
+        named = [[str(k) + end for k in range(len(t.bytes))] for t, ends in ((a, ",|"), (b, ",;")) for end in ends]
+        self.named = [x for part in named for x in part]
+        self.named_size = _sizes(self.named)
+        self.number, self.held = _Numbers(), 0
+        self.text: list[str] = []
+        self.groups, self.links = np.zeros(1 << 10, np.int64), _Rows()
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> Aligner:
@@ -128,102 +287,103 @@ class Aligner:
         return _aligners[a_path, b_path]
 
     def forget(self) -> None:
-        self.number, self.held = _Numbers(), 0
-        self.text: list[str] = []
-        self.groups, self.begin, self.size = (np.zeros(1 << 10, np.int64) for _ in range(3))
-        self.links, self.used = np.zeros(1 << 12, np.int64), 0
-
-    def _learn(self, a, b, i0, i1, j0, j1) -> None:
-        """Align new windows a[i0:i1], b[j0:j1], which follow the known ones."""
-        many = np.arange(len(i0))
-        a, b = a[_runs(i0, i1 - i0)], b[_runs(j0, j1 - j0)]
-        of_a = np.repeat(many, i1 - i0)
+        """Keep only the windows used most, if there are too many."""
+        if len(self.number) > MEMORY or self.held > MEMORY_BYTES:
+            often = self.number.often()
+            self.number = self.number.only(often)
+            self.text = [self.text[k] for k in often.tolist()]
+            self.groups, self.links = self.groups[often], self.links.only(often)
+            self.held = sum(map(len, self.number))
+
+    def _learn(self, a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray) -> None:
+        """Align new windows: their ids joined, and how many each has."""
+        n = len(many_a)
+        window_a = np.repeat(np.arange(n), many_a)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # Every stretch between ends belongs to one token of each side.
         ends = np.union1d(ends_a, ends_b)
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        links = a[at_a] * len(self.size_b) + b[at_b]
-        per_window = np.bincount(of_a[at_a], minlength=len(many))
-        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1
-        groups = np.bincount(of_a[last_a - 1], minlength=len(many))
-        known, first_a, first_b, texts = len(self.text), 0, 0, []
-        ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        for x, y in zip(last_a.tolist(), last_b.tolist()):
-            texts.append(f"{','.join(ids_a[first_a:x])}|{','.join(ids_b[first_b:y])}")
-            first_a, first_b = x, y
-        ends = np.cumsum(groups).tolist()
-        self.text += [";".join(texts[x:y]) for x, y in zip([0, *ends], ends)]
-        self.begin = _grown(self.begin, self.used + np.cumsum(per_window) - per_window, known)
-        self.size, self.groups = _grown(self.size, per_window, known), _grown(self.groups, groups, known)
-        self.links = _grown(self.links, links, self.used)
-        self.used += len(links)
-
-    def windows(self, a: np.ndarray, b: np.ndarray, anchors_a: np.ndarray, anchors_b: np.ndarray) -> np.ndarray:
-        """Numbers of the windows that begin at token positions of both sides."""
-        if len(self.number) > MEMORY or self.held > MEMORY_BYTES:
-            self.forget()
-        buffer_a, buffer_b = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
-        i, j = np.append(anchors_a, len(a)), np.append(anchors_b, len(b))
-        cut_a, cut_b = (4 * i).tolist(), (4 * j).tolist()
+        self.links.add(a[at_a] * len(self.size_b) + b[at_b], np.bincount(window_a[at_a], minlength=n))
+        shared_a, shared_b = np.isin(ends_a, ends_b), np.isin(ends_b, ends_a)
+        self.groups = _grown(self.groups, np.bincount(window_a[shared_a], minlength=n), len(self.text))
+        # Texts of all windows in one: the tokens in the order of their groups.
+        group_a = np.cumsum(shared_a) - shared_a
+        group_b = np.cumsum(shared_b) - shared_b
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
+        size_a, size_b = len(self.size_a), len(self.size_b)
+        names = np.empty(len(a) + len(b), np.int64)
+        names[place_a] = a + size_a * shared_a
+        names[place_b] = 2 * size_a + b + size_b * shared_b
+        text = "".join(map(self.named.__getitem__, names.tolist()))
+        cuts = np.concatenate([[0], np.cumsum(self.named_size[names])[np.cumsum(many_a + many_b) - 1]]).tolist()
+        self.text += [text[x : y - 1] for x, y in zip(cuts, cuts[1:])]
+
+    def windows(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> np.ndarray:
+        """Numbers of the windows that begin at token positions of both sides,
+        the first at the first tokens."""
+        self.forget()
+        many_a, many_b = np.diff(np.append(first_a, len(a))), np.diff(np.append(first_b, len(b)))
+        # A window's key: the ids of both sides, and -1 between them.
+        size = many_a + many_b + 1
+        starts = np.cumsum(size) - size
+        joined = np.full(int(size.sum()), -1, "<i4")
+        joined[_runs(starts, many_a)] = a
+        joined[_runs(starts + many_a + 1, many_b)] = b
+        buffer, cuts = joined.tobytes(), np.append(4 * starts, 4 * len(joined)).tolist()
         known = len(self.number)
-        number = self.number
-        found = np.array([number[buffer_a[w:x], buffer_b[y:z]] for w, x, y, z in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])], np.int64)
-        numbers, first = np.unique(found, return_index=True)
-        new = first[numbers >= known]
+        found = np.array([self.number[buffer[x:y]] for x, y in zip(cuts, cuts[1:])], np.int64)
+        self.number.used(found)
+        # New numbers in order, and where each was met first.
+        later = np.flatnonzero(found >= known)
+        new = later[np.unique(found[later], return_index=True)[1]]
         if len(new):
-            self.held += 4 * int((i[new + 1] - i[new] + j[new + 1] - j[new]).sum())
-            self._learn(a, b, i[new], i[new + 1], j[new], j[new + 1])
+            self.held += 4 * int(size[new].sum())
+            self._learn(a[_runs(first_a[new], many_a[new])], b[_runs(first_b[new], many_b[new])], many_a[new], many_b[new])
         return found
 
-    def encode(self, texts: list[bytes | None]):
-        """Positions and ids of the texts that both tokenizers spell alike."""
-        decoded = []
-        for k, data in enumerate(texts):
-            try:
-                decoded.append((k, data.decode() if data else ""))
-            except UnicodeDecodeError:
-                decoded.append((k, ""))
-        decoded = [(k, t) for k, t in decoded if t]
-        a, b = (t.encode([t for _, t in decoded]) for t in (self.a, self.b))
-        spelt_a, spelt_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
-        return [
-            (k, x, y) for (k, _), x, y in zip(decoded, a, b)
-            if b"".join(map(spelt_a, x)) == SPACE + texts[k] == b"".join(map(spelt_b, y))
-        ]
-
     def align(self, texts: list[bytes | None]):
         """For each text: (n_a, n_b, n_groups, groups, pairs, times), zeros and
         empty for those without tokens. A pair is a * (number of B ids) + b."""
         empty = np.empty(0, np.int64)
         out = [(0, 0, 0, "", empty, empty)] * len(texts)
-        spelt = self.encode(texts)
-        if not spelt:
+        given = [k for k, t in enumerate(texts) if t and _is_utf8(t)]
+        good, a, n_a, b, n_b = self.encoder.encode([texts[k] for k in given])
+        if not len(good):
             return out
-        n_a, n_b = (np.array([len(s[side]) for s in spelt]) for side in (1, 2))
-        a, b = (np.concatenate([np.array(s[side], np.int64) for s in spelt]) for side in (1, 2))
         start_a, start_b = np.cumsum(self.size_a[a]) - self.size_a[a], np.cumsum(self.size_b[b]) - self.size_b[b]
         spaced_a, spaced_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
-        _, x, y = np.intersect1d(start_a[spaced_a], start_b[spaced_b], assume_unique=True, return_indices=True)
-        anchors_a, anchors_b = spaced_a[x], spaced_b[y]
-        window = self.windows(a, b, anchors_a, anchors_b)
+        # Anchors: both sides begin a token with a space here, so both end one.
         # A text begins with a space in both, so it begins a window.
-        text_of = np.searchsorted(np.cumsum(n_a), anchors_a, side="right")
-        groups = np.bincount(text_of, self.groups[window], len(spelt)).astype(np.int64)
-        bounds = np.searchsorted(text_of, np.arange(len(spelt) + 1)).tolist()
-        size = self.size[window]
-        linked = self.links[_runs(self.begin[window], size)]
+        _, x, y = np.intersect1d(start_a[spaced_a], start_b[spaced_b], assume_unique=True, return_indices=True)
+        first_a, first_b = spaced_a[x], spaced_b[y]
+        window = self.windows(a, b, first_a, first_b)
+        text_of = np.searchsorted(np.cumsum(n_a), first_a, side="right")
+        groups = np.bincount(text_of, self.groups[window], len(good)).astype(np.int64)
+        bounds = np.searchsorted(text_of, np.arange(len(good) + 1)).tolist()
+        linked, size = self.links.of(window)
         codes = len(self.size_a) * len(self.size_b)
-        keys, times = np.unique(np.repeat(text_of, size) * codes + linked, return_counts=True)
-        pair_bounds = np.searchsorted(keys, np.arange(len(spelt) + 1) * codes)
+        keys = np.sort(np.repeat(text_of, size) * codes + linked)
+        changes = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times, keys = np.diff(np.append(changes, len(keys))), keys[changes]
+        pair_bounds = np.searchsorted(keys, np.arange(len(good) + 1) * codes)
         numbers, remembered = window.tolist(), self.text.__getitem__
-        for n, (k, _, _) in enumerate(spelt):
+        for n, k in enumerate(good.tolist()):
             text = ";".join(map(remembered, numbers[bounds[n] : bounds[n + 1]]))
             part = slice(pair_bounds[n], pair_bounds[n + 1])
-            out[k] = (int(n_a[n]), int(n_b[n]), int(groups[n]), text, keys[part] - n * codes, times[part])
+            out[given[k]] = (int(n_a[n]), int(n_b[n]), int(groups[n]), text, keys[part] - n * codes, times[part])
         return out
 
 
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
