@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions.expr import parse_date_time, parse_ts
-from campusflow.operators.overlap import overlap_load, overlapping_pairs
+from campusflow.operators.overlap import first_overlapping, overlap_load, overlapping_pairs, overlapping_pairs_within
 
 
 def with_event_span(requests: DataFrame, date_col: str = "date_text", start_col: str = "start_text",
@@ -25,17 +25,10 @@ def with_span(requests: DataFrame, start_col: str = "start_text", end_col: str =
 def venue_conflicts(events: DataFrame) -> DataFrame:
     """Every pair of events at the same venue whose times overlap (a.id < b.id).
 
-    Events without a venue never conflict. Hour buckets: events last hours,
-    so a pair is compared only when both touch the same venue-hour.
+    Events without a venue never conflict.
     """
-    e = events.where(F.col("location_id").isNotNull()).select("id", "location_id", "start_ts", "end_ts")
-    a = e.select(F.col("id").alias("event_id_a"), "location_id", F.col("start_ts").alias("a_start"),
-                 F.col("end_ts").alias("a_end"))
-    b = e.select(F.col("id").alias("event_id_b"), "location_id", F.col("start_ts").alias("b_start"),
-                 F.col("end_ts").alias("b_end"))
-    pairs = overlapping_pairs(a, b, ["location_id"], ("a_start", "a_end"), ("b_start", "b_end"), unit="HOUR",
-                              extra=F.col("event_id_a") < F.col("event_id_b"))
-    return pairs.select("location_id", "event_id_a", "event_id_b")
+    placed = events.where(F.col("location_id").isNotNull())
+    return overlapping_pairs_within(placed, ["location_id"], "id", ("start_ts", "end_ts"), ("event_id_a", "event_id_b"))
 
 
 def event_request_conflicts(requests: DataFrame, events: DataFrame, location_col: str = "location_id") -> DataFrame:
@@ -50,14 +43,11 @@ def event_request_conflicts(requests: DataFrame, events: DataFrame, location_col
 
 
 def booking_maintenance_conflicts(bookings: DataFrame, maintenance: DataFrame) -> DataFrame:
-    """Every stored booking that overlaps a stored maintenance window of its resource.
-
-    Day buckets: bookings and maintenance last up to a few days.
-    """
+    """Every stored booking that overlaps a stored maintenance window of its resource."""
     b = bookings.select(F.col("id").alias("booking_id"), "resource_id", "booking_start", "booking_end")
     m = maintenance.select(F.col("id").alias("maintenance_id"), "resource_id", "maintenance_start", "maintenance_end")
     pairs = overlapping_pairs(b, m, ["resource_id"], ("booking_start", "booking_end"),
-                              ("maintenance_start", "maintenance_end"), unit="DAY")
+                              ("maintenance_start", "maintenance_end"))
     return pairs.select("resource_id", "booking_id", "maintenance_id")
 
 
@@ -105,33 +95,22 @@ def resource_remaining(booked: DataFrame, resources: DataFrame) -> DataFrame:
 def event_request_conflict_names(requests: DataFrame, events: DataFrame) -> DataFrame:
     """For each request with a valid span that overlaps stored events at its
     venue: the first of them (lowest id) and its name, for the refusal message.
-
-    Pairs are formed per (venue, hour bucket); ``min_by`` keeps one per
-    request with a partial aggregate.
-    """
-    p = requests.where(F.col("start_ts") < F.col("end_ts")).select(
-        "request_id", "location_id", F.col("start_ts").alias("r_s"), F.col("end_ts").alias("r_e")
-    )
-    e = events.where(F.col("location_id").isNotNull()).select(
-        F.col("id").alias("event_id"), F.col("name").alias("event_name"), "location_id",
-        F.col("start_ts").alias("e_s"), F.col("end_ts").alias("e_e"),
+    The lowest id comes from the minima of the time index, never from pairs."""
+    stored = events.select(F.col("id").alias("event_id"), "location_id", F.col("start_ts").alias("e_s"), F.col("end_ts").alias("e_e"))
+    first = first_overlapping(requests, stored, ["location_id"], "request_id", ("start_ts", "end_ts"), ("e_s", "e_e"), "event_id")
+    return first.join(events.select(F.col("id").alias("event_id"), F.col("name").alias("event_name")), "event_id").select(
+        "request_id", "event_id", "event_name"
     )
-    pairs = overlapping_pairs(p, e, ["location_id"], ("r_s", "r_e"), ("e_s", "e_e"), unit="HOUR")
-    first = pairs.groupBy("request_id").agg(F.min_by(F.struct("event_id", "event_name"), F.col("event_id")).alias("_f"))
-    return first.select("request_id", "_f.event_id", "_f.event_name")
 
 
 def maintenance_conflict_names(requests: DataFrame, bookings: DataFrame, events: DataFrame) -> DataFrame:
     """For each maintenance request with a valid span that overlaps bookings of
-    its resource (of existing events): the first such booking and its event's name."""
-    p = requests.where(F.col("start_ts") < F.col("end_ts")).select(
-        "request_id", "resource_id", F.col("start_ts").alias("r_s"), F.col("end_ts").alias("r_e")
-    )
-    b = bookings.join(events.select(F.col("id").alias("event_id"), F.col("name").alias("event_name")), "event_id",
-                      "inner").select(F.col("id").alias("booking_id"), "event_name", "resource_id",
-                                      F.col("booking_start").alias("b_s"), F.col("booking_end").alias("b_e"))
-    pairs = overlapping_pairs(p, b, ["resource_id"], ("r_s", "r_e"), ("b_s", "b_e"), unit="DAY")
-    first = pairs.groupBy("request_id").agg(
-        F.min_by(F.struct("booking_id", "event_name"), F.col("booking_id")).alias("_f")
+    its resource (of existing events): the first such booking (lowest id) and
+    its event's name."""
+    known = events.select(F.col("id").alias("event_id"), F.col("name").alias("event_name"))
+    live = bookings.select(F.col("id").alias("booking_id"), "event_id", "resource_id", "booking_start", "booking_end")
+    live = live.join(known, "event_id")
+    first = first_overlapping(
+        requests, live, ["resource_id"], "request_id", ("start_ts", "end_ts"), ("booking_start", "booking_end"), "booking_id"
     )
-    return first.select("request_id", "_f.booking_id", "_f.event_name")
+    return first.join(live.select("booking_id", "event_name"), "booking_id").select("request_id", "booking_id", "event_name")

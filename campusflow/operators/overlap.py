@@ -2,13 +2,16 @@
 
 Overlap is half-open: ``a.start < b.end AND a.end > b.start``.
 
-Two shapes:
+Three shapes:
 
 * ``overlapping_pairs`` — when the result *is* the pairs (conflict reports).
-  Each interval is exploded into the time buckets it touches and the join key
-  is (key, bucket), so a busy venue or resource is cut into many small join
-  keys and only intervals near each other in time are compared. A pair is
-  kept only in its first common bucket, so no ``distinct`` is needed.
+  Two spans overlap when one begins inside the other, so each span gives the
+  cells of its own scale that it touches and, for every scale of the other
+  side, the one cell that holds its start (``timeindex``): a handful of rows
+  however long it is. The join key is (key, scale, cell), so a busy venue or
+  resource is cut into many small join keys; a pair meets once.
+* ``first_overlapping`` — when one stored span per probe is needed (the first
+  conflict): minima over the cells of the time index, no pairs.
 * ``overlap_load`` — when only the number or the summed weight of overlapping
   stored intervals per probe is needed (conflict tests, booked quantity). No
   pairs are formed at all: for valid stored intervals
@@ -17,10 +20,14 @@ Two shapes:
         = Σ w [b.start < p.end] − Σ w [b.end <= p.start]
 
   and both terms are running sums over the endpoints sorted per key, which
-  ``running_sums`` computes without a hot key landing in one task. Stored
-  intervals with end <= start (possible in bad data) break the identity; they
-  are few, and are matched with ``overlapping_pairs`` instead (AQE removes
-  that join at run time when there are none).
+  ``running_sums`` computes without a hot key landing in one task.
+  ``overlap_load_before`` counts only what comes before the probe in a batch
+  order: running sums along the order inside each cell of the time index.
+
+Stored intervals with end <= start (possible in bad data) overlap what holds
+both their ends inside. They are few, and where the identities above do not
+hold they are matched with ``overlapping_pairs`` instead (AQE removes that
+join at run time when there are none).
 """
 
 from __future__ import annotations
@@ -31,63 +38,112 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions.expr import overlaps
+from campusflow.operators import timeindex as T
 from campusflow.operators.prefix import running_sums, time_block
-
-_BUCKET = "_bucket"
+from campusflow.plans.common import checkpoint
 
 
 def _c(name: str | Column) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
-def time_buckets(start: str, end: str, unit: str) -> Column:
-    """The starts of the time buckets that a valid span [start, end) touches."""
-    s, e = F.col(start), F.col(end)
-    last = F.date_trunc(unit, e - F.expr("interval 1 microsecond"))
-    return F.sequence(F.date_trunc(unit, s), last, F.expr(f"interval 1 {unit.lower()}"))
-
-
-def _explode_buckets(df: DataFrame, start: str, end: str, unit: str) -> DataFrame:
-    """One row per time bucket an interval touches.
-
-    A valid interval [start, end) covers the buckets of start .. end-1µs; a
-    reversed one (end <= start) can only overlap intervals that contain
-    [end, start], so it covers the buckets of end .. start. NULL bounds give
-    no rows (they overlap nothing).
-    """
-    s, e = F.col(start), F.col(end)
-    valid = s < e
-    lo = F.when(valid, s).otherwise(e)
-    hi = F.when(valid, e - F.expr("interval 1 microsecond")).otherwise(s)
-    step = F.expr(f"interval 1 {unit.lower()}")
-    return df.withColumn(_BUCKET, F.explode(F.sequence(F.date_trunc(unit, lo), F.date_trunc(unit, hi), step)))
-
-
 def overlapping_pairs(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     left_span: tuple[str, str],
     right_span: tuple[str, str],
-    unit: str = "HOUR",
     extra: Column | None = None,
 ) -> DataFrame:
     """All (left, right) row pairs with equal ``keys`` and overlapping spans, once each.
 
-    Column names of the two sides must differ except for ``keys``. ``unit``
-    is the bucket width (a Spark ``date_trunc`` unit): near the typical
-    interval length keeps both the explosion and the per-bucket candidates
-    small.
+    Column names of the two sides must differ except for ``keys``. NULL keys
+    and bounds match nothing; a reversed span (end <= start) overlaps the
+    spans that hold both its ends inside.
     """
+    keys = list(keys)
     ls, le = left_span
     rs, re_ = right_span
-    lb = _explode_buckets(left.where(F.col(ls).isNotNull() & F.col(le).isNotNull()), ls, le, unit)
-    rb = _explode_buckets(right.where(F.col(rs).isNotNull() & F.col(re_).isNotNull()), rs, re_, unit)
-    first_common = F.date_trunc(unit, F.greatest(F.least(F.col(ls), F.col(le)), F.least(F.col(rs), F.col(re_))))
-    cond = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re_)) & (F.col(_BUCKET) == first_common)
+    lb = left.where(F.col(ls).isNotNull() & F.col(le).isNotNull()).withColumns({"_llo": T.address(ls), "_lhi": T.address(le)})
+    rb = right.where(F.col(rs).isNotNull() & F.col(re_).isNotNull()).withColumns({"_rlo": T.address(rs), "_rhi": T.address(re_)})
+    # Each side is read for its scales and for its rows: materialize both once.
+    lb, rb = checkpoint(lb), checkpoint(rb)
+    # Role 1: the left span holds the right one's start; role 2: the other way round.
+    left_cells = T.in_roles(lb, "_llo", "_lhi", 1, 2, T.scales(rb, "_rlo", "_rhi")).drop("_llo", "_lhi")
+    right_cells = T.in_roles(rb, "_rlo", "_rhi", 2, 1, T.scales(lb, "_llo", "_lhi")).drop("_rlo", "_rhi")
+    # Equal starts: the pair counts in role 2 only, unless the left span is reversed.
+    once = F.when(F.col(T.ROLE) == 1, F.col(rs) > F.col(ls)).otherwise(F.col(ls) >= F.col(rs))
+    cond = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re_)) & once
     if extra is not None:
         cond = cond & extra
-    return lb.join(rb, [*keys, _BUCKET], "inner").where(cond).drop(_BUCKET)
+    cell = [T.ROLE, T.LEVEL, T.CELL]
+    return left_cells.join(right_cells, [*keys, *cell], "inner").where(cond).drop(*cell)
+
+
+def overlapping_pairs_within(df: DataFrame, keys: Sequence[str], row_id: str, span: tuple[str, str], out: tuple[str, str]) -> DataFrame:
+    """(keys, smaller id, larger id) of all pairs of rows of one table with
+    equal ``keys`` and overlapping spans, once each; ``row_id`` is unique.
+
+    The row that begins later (of equal ones that with the larger id) begins
+    inside the other, so one side gives its start and the other its span.
+    """
+    keys = list(keys)
+    ss, se = span
+    rows = df.where(F.col(ss).isNotNull() & F.col(se).isNotNull()).select(
+        *keys, F.col(row_id).alias("_id"), F.col(ss).alias("_s"), F.col(se).alias("_e"), T.address(ss).alias("_lo"), T.address(se).alias("_hi")
+    )
+    rows = checkpoint(rows)
+    later = T.stab(rows, "_lo", T.scales(rows, "_lo", "_hi")).drop("_lo", "_hi")
+    held = T.own_cells(rows, "_lo", "_hi").select(
+        *keys, T.LEVEL, T.CELL, F.col("_id").alias("_hid"), F.col("_s").alias("_hs"), F.col("_e").alias("_he")
+    )
+    after = (F.col("_s") > F.col("_hs")) | ((F.col("_s") == F.col("_hs")) & ((F.col("_id") > F.col("_hid")) | (F.col("_e") <= F.col("_s"))))
+    pairs = later.join(held, [*keys, T.LEVEL, T.CELL]).where(after & overlaps(F.col("_s"), F.col("_e"), F.col("_hs"), F.col("_he")))
+    return pairs.select(*keys, F.least("_id", "_hid").alias(out[0]), F.greatest("_id", "_hid").alias(out[1]))
+
+
+def first_overlapping(
+    probes: DataFrame,
+    stored: DataFrame,
+    keys: Sequence[str],
+    probe_id: str,
+    probe_span: tuple[str, str],
+    stored_span: tuple[str, str],
+    value: str,
+) -> DataFrame:
+    """(probe_id, value): the smallest ``value`` of the ``stored`` rows with the
+    same keys whose span overlaps the probe's valid span; no row where none does."""
+    keys = list(keys)
+    ps, pe = probe_span
+    ss, se = stored_span
+    pr = checkpoint(probes.where(F.col(ps) < F.col(pe)).select(probe_id, *keys, F.col(ps).alias("_ps"), F.col(pe).alias("_pe")))
+    st = stored.select(*keys, F.col(ss).alias("_s"), F.col(se).alias("_e"), value)
+    # Both sides are read several times below: materialize what is left of them.
+    near = checkpoint(_inside_envelope(pr, st, keys))
+    found = T.min_over_overlapping(
+        pr.withColumns({"_lo": T.address("_ps"), "_hi": T.address("_pe")}),
+        near.where("_s < _e").withColumns({"_lo": T.address("_s"), "_hi": T.address("_e")}),
+        keys, probe_id, value,
+    )
+    reversed_ = _around_reversed(pr, near.where("_s >= _e"), keys).select(probe_id, value)
+    return found.unionByName(reversed_).groupBy(probe_id).agg(F.min(value).alias(value))
+
+
+def _around_reversed(pr: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of probes (_ps, _pe) and reversed spans (_s, _e) that lie inside them."""
+    cells = T.own_cells(pr.withColumns({"_lo": T.address("_ps"), "_hi": T.address("_pe")}), "_lo", "_hi").drop("_lo", "_hi")
+    points = T.stab(bad.withColumn("_lo", T.address("_s")), "_lo", T.every_scale()).drop("_lo")
+    pairs = cells.join(points, [*keys, T.LEVEL, T.CELL])
+    return pairs.where(overlaps(F.col("_s"), F.col("_e"), F.col("_ps"), F.col("_pe"))).drop(T.LEVEL, T.CELL)
+
+
+def _inside_envelope(pr: DataFrame, st: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored spans (_s, _e) inside a key's probe envelope [min start, max
+    end): no other can overlap a probe. The envelope is one row per key;
+    history outside it is dropped before anything is shuffled by time."""
+    envelope = pr.groupBy(*keys).agg(F.min("_ps").alias("_lo"), F.max("_pe").alias("_hi"))
+    near = st.join(envelope, keys, "inner")
+    return near.where((F.col("_e") > F.col("_lo")) & (F.col("_s") < F.col("_hi"))).drop("_lo", "_hi")
 
 
 def overlap_load(
@@ -100,7 +156,6 @@ def overlap_load(
     weight: str | Column | None = None,
     out: str = "load",
     block_unit: str = "HOUR",
-    pair_unit: str = "DAY",
 ) -> DataFrame:
     """``probes`` plus column ``out``: Σ weight (or count) of ``stored`` rows with
     the same keys whose span overlaps the probe's span.
@@ -121,18 +176,10 @@ def overlap_load(
     pr = probes.where(key_ok & (F.col(ps) < F.col(pe))).select(
         *keys, F.col(probe_id).alias("_pid"), F.col(ps).alias("_ps"), F.col(pe).alias("_pe")
     )
-    # Only stored spans inside a key's probe envelope [min start, max end)
-    # can change a load: one that ends by the earliest probe start is in both
-    # running sums, one that starts at or after the latest probe end in
-    # neither. The envelope is one row per key; history outside it is dropped
-    # before the shuffle.
-    envelope = pr.groupBy(*keys).agg(F.min("_ps").alias("_lo"), F.max("_pe").alias("_hi"))
-    good = (
-        st.where(F.col("_s") < F.col("_e"))
-        .join(envelope, keys, "inner")
-        .where((F.col("_e") > F.col("_lo")) & (F.col("_s") < F.col("_hi")))
-        .drop("_lo", "_hi")
-    )
+    # Stored spans outside the envelope change no load: one that ends by the
+    # earliest probe start is in both running sums, one that starts at or after
+    # the latest probe end in neither.
+    good = _inside_envelope(pr, st.where("_s < _e"), keys)
 
     zero = F.lit(0).cast("long")
     no_id = F.lit(None).cast(probes.schema[probe_id].dataType)
@@ -167,11 +214,7 @@ def overlap_load(
     )
     # Reversed stored spans (end <= start, bad data): exact pair matching.
     # When there are none, AQE sees the empty side and drops this join.
-    reversed_ = st.where(F.col("_s") >= F.col("_e"))
-    rev_pairs = overlapping_pairs(
-        pr, reversed_.withColumnRenamed("_s", "_rs").withColumnRenamed("_e", "_re"), keys,
-        ("_ps", "_pe"), ("_rs", "_re"), unit=pair_unit,
-    ).groupBy("_pid").agg(F.sum("_w").alias("_load"))
+    rev_pairs = _around_reversed(pr, st.where("_s >= _e"), keys).groupBy("_pid").agg(F.sum("_w").alias("_load"))
     loads = loads.unionByName(rev_pairs).groupBy("_pid").agg(F.sum("_load").alias("_load"))
 
     valid_probe = F.col(ps).isNotNull() & F.col(pe).isNotNull() & (F.col(ps) < F.col(pe))
@@ -180,3 +223,59 @@ def overlap_load(
         .withColumn(out, F.when(valid_probe, F.coalesce(F.col("_load"), zero)))
         .drop("_pid", "_load")
     )
+
+
+def overlap_load_before(
+    probes: DataFrame,
+    entries: DataFrame,
+    keys: Sequence[str],
+    probe_id: str,
+    probe_span: tuple[str, str],
+    entry_span: tuple[str, str],
+    order: Sequence[str],
+    block: str,
+    weight: str,
+    out: str = "load",
+) -> DataFrame:
+    """(probe_id, out): Σ ``weight`` of the entries that come before the probe
+    in ``order``, share its keys and overlap its span; no row for 0 entries met.
+
+    Weights may be negative (a span that is taken back). ``order`` names the
+    columns of the order on both sides, and ``block`` one that does not
+    decrease along it: the entries of a cell are summed block by block, so no
+    cell's rows have to fit a task. No pairs are formed; an entry or probe
+    makes about 2 log2(length) rows.
+    """
+    keys = list(keys)
+    ps, pe = probe_span
+    es, ee = entry_span
+    pr = probes.where(F.col(ps) < F.col(pe)).select(
+        F.col(probe_id).alias("_pid"), *keys, *order, block, T.address(ps).alias("_lo"), T.address(pe).alias("_hi"),
+        (T.address(ps) + 1).alias("_after"), F.lit(0).cast("long").alias("_w"), F.col(ps).alias("_ps"), F.col(pe).alias("_pe"),
+    )
+    no_id = F.lit(None).cast(probes.schema[probe_id].dataType)
+    given = entries.where(F.col(es).isNotNull() & F.col(ee).isNotNull())
+    en = given.where(F.col(es) < F.col(ee)).select(
+        no_id.alias("_pid"), *keys, *order, block, T.address(es).alias("_lo"), T.address(ee).alias("_hi"),
+        F.col(weight).cast("long").alias("_w"),
+    )
+    cells = ["_pid", *keys, *order, block, "_w", T.ROLE, T.LEVEL, T.CELL]
+
+    def role(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn(T.ROLE, F.lit(n)).select(*cells)
+
+    rows = (
+        role(T.cover(en, "_lo", "_hi"), 1)
+        .unionByName(role(T.stab(pr, "_lo", T.cover_range(en, "_lo", "_hi")), 1))
+        .unionByName(role(T.stab(en, "_lo", T.cover_range(pr, "_after", "_hi")), 2))
+        .unionByName(role(T.cover(pr, "_after", "_hi"), 2))
+    )
+    # At one place in the order the probe comes first: what it adds itself is later.
+    rows = rows.withColumn("_entry", F.col("_pid").isNull())
+    summed = running_sums(rows, [*keys, T.ROLE, T.LEVEL, T.CELL], block, [*order, "_entry", "_pid"], {"_sum": "_w"})
+    loads = summed.where("_pid is not null").select("_pid", "_sum")
+    bad = given.where(F.col(es) >= F.col(ee)).select(
+        *keys, F.struct(*order).alias("_at"), F.col(es).alias("_s"), F.col(ee).alias("_e"), F.col(weight).cast("long").alias("_sum")
+    )
+    earlier = _around_reversed(pr.select("_pid", *keys, *order, "_ps", "_pe"), bad, keys).where(F.col("_at") < F.struct(*order))
+    return loads.unionByName(earlier.select("_pid", "_sum")).groupBy(F.col("_pid").alias(probe_id)).agg(F.sum("_sum").alias(out))

@@ -1,4 +1,4 @@
-"""Running sums that do not put one hot key into one task.
+"""Running sums and maxima that do not put one hot key into one task.
 
 A plain ``sum().over(Window.partitionBy(key).orderBy(...))`` sends every row
 of a key to one task. Here the rows of a key are cut into blocks by a coarse
@@ -20,7 +20,7 @@ ranges of the order (``plans.common.order_ranges``) do.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +57,37 @@ def running_sums(
     order, NULLs first), and ``order`` must be a total order within a key.
     NULL keys form their own groups, as in a window's PARTITION BY.
     """
+
+    def added(before: Column, inner: Column) -> Column:
+        return F.coalesce(before, F.lit(0)) + F.coalesce(inner, F.lit(0))
+
+    return _running(df, keys, block, order, values, inclusive, F.sum, added)
+
+
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    block: str,
+    order: Sequence[str | Column],
+    values: dict[str, str | Column],
+    inclusive: bool = True,
+) -> DataFrame:
+    """As ``running_sums`` with the largest non-NULL value instead of the sum
+    (NULL where there is none). With struct(order, x) as value it gives the
+    last x so far."""
+    return _running(df, keys, block, order, values, inclusive, F.max, F.greatest)
+
+
+def _running(
+    df: DataFrame,
+    keys: Sequence[str],
+    block: str,
+    order: Sequence[str | Column],
+    values: dict[str, str | Column],
+    inclusive: bool,
+    agg: Callable[..., Column],
+    joined: Callable[[Column, Column], Column],
+) -> DataFrame:
     keys = list(keys)
     types = {f.name: f.dataType for f in df.schema.fields}
     vals = {out: (F.col(v) if isinstance(v, str) else v) for out, v in values.items()}
@@ -72,20 +103,15 @@ def running_sums(
 
     # Block totals: a partial aggregate, so only one row per block and map
     # task is shuffled (not the rows themselves).
-    totals = staged.groupBy(*gk, "_gb").agg(*[F.sum(f"_v_{out}").alias(f"_t_{out}") for out in vals])
+    totals = staged.groupBy(*gk, "_gb").agg(*[agg(f"_v_{out}").alias(f"_t_{out}") for out in vals])
     before_block = Window.partitionBy(*gk).orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *gk, "_gb", *[F.coalesce(F.sum(f"_t_{out}").over(before_block), F.lit(0)).alias(f"_o_{out}") for out in vals]
-    )
+    offsets = totals.select(*gk, "_gb", *[agg(f"_t_{out}").over(before_block).alias(f"_o_{out}") for out in vals])
     # Rows: the one big shuffle, by (key, block); the join below keeps that
     # partitioning and moves only the offsets.
     upto = Window.partitionBy(*gk, "_gb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    inner = staged.select(
-        *df.columns, *gk, "_gb",
-        *[F.coalesce(F.sum(f"_v_{out}").over(upto), F.lit(0)).alias(f"_i_{out}") for out in vals],
-    )
+    inner = staged.select(*df.columns, *gk, "_gb", *[agg(f"_v_{out}").over(upto).alias(f"_i_{out}") for out in vals])
     return inner.join(offsets, [*gk, "_gb"], "inner").select(
-        *df.columns, *[(F.col(f"_o_{out}") + F.col(f"_i_{out}")).alias(out) for out in vals]
+        *df.columns, *[joined(F.col(f"_o_{out}"), F.col(f"_i_{out}")).alias(out) for out in vals]
     )
 
 

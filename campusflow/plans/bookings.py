@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from campusflow.functions.expr import first_reason, unparseable
 from campusflow.operators.conflicts import booked_in_slot, maintenance_hits, with_span
-from campusflow.operators.overlap import overlapping_pairs
 from campusflow.operators.reports import upcoming_events
 from campusflow.plans.admission import admit_overlapping
 from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key
@@ -61,40 +60,21 @@ def apply_bookings(
     The checks of ``booking_check``, where INSUFFICIENT also counts bookings
     accepted earlier in the batch whose slot overlaps, then UNKNOWN_EVENT
     (the insert's reference). The batch is decided by ``admit_overlapping``
-    (bookings of one resource with overlapping slots compete; pairs per
-    resource-day, only for contended requests).
+    (bookings of one resource with overlapping slots compete), busy period by
+    busy period.
     """
-    # Read three times below (live, orphans, result): materialize once.
+    # Read twice below: materialize once.
     r = checkpoint(booking_check(events, venues, hosts, resources, bookings, maintenance, requests, as_of))
-    ok = F.col("reason").isNull()
-    live = r.where(ok & F.col("_event").isNotNull())
-    status = admit_overlapping(
-        live.select("request_id", "_ord", "resource_id", "start_ts", "end_ts", F.col("quantity").alias("need"),
-                    (F.col("total") - F.col("booked")).alias("cap")),
-        ["resource_id"], "DAY", max_rounds,
+    # Requests of unknown events pass every check but the event's: they are
+    # refused as INSUFFICIENT first, and take nothing.
+    live = r.where(F.col("reason").isNull()).select(
+        "request_id", "_ord", "resource_id", "start_ts", "end_ts", F.col("quantity").alias("need"),
+        (F.col("total") - F.col("booked")).alias("cap"), F.col("_event").isNotNull().alias("takes"),
     )
-    # Requests passing every check but the event's: INSUFFICIENT if the
-    # accepted batch bookings before them leave too little, else UNKNOWN_EVENT.
-    acc = live.join(status.where("accepted"), "request_id", "left_semi").select(
-        F.col("_ord").alias("a_ord"), "resource_id", F.col("start_ts").alias("a_s"), F.col("end_ts").alias("a_e"),
-        F.col("quantity").alias("a_q"),
-    )
-    orphan = r.where(ok & F.col("_event").isNull()).select(
-        F.col("request_id").alias("b_id"), F.col("_ord").alias("b_ord"), "resource_id",
-        F.col("start_ts").alias("b_s"), F.col("end_ts").alias("b_e"),
-    )
-    batch_load = overlapping_pairs(acc, orphan, ["resource_id"], ("a_s", "a_e"), ("b_s", "b_e"), unit="DAY",
-                                   extra=F.col("a_ord") < F.col("b_ord")).groupBy("b_id").agg(
-        F.sum("a_q").alias("_batch_booked")
-    )
-    r = r.join(status, "request_id", "left").join(batch_load, r["request_id"] == batch_load["b_id"], "left")
-    short = F.col("quantity") > F.col("total") - F.col("booked") - F.coalesce(F.col("_batch_booked"), F.lit(0))
+    status = admit_overlapping(live, ["resource_id"], max_rounds).withColumnRenamed("accepted", "_fits")
+    r = r.join(status, "request_id", "left")
     reason = F.coalesce(
-        F.col("reason"),
-        first_reason([
-            ((F.col("accepted") == F.lit(False)) | (F.col("_event").isNull() & short), "INSUFFICIENT"),
-            (F.col("_event").isNull(), "UNKNOWN_EVENT"),
-        ]),
+        F.col("reason"), first_reason([(~F.col("_fits"), "INSUFFICIENT"), (F.col("_event").isNull(), "UNKNOWN_EVENT")])
     )
     d = decide(r, reason, "request_id", "event_id", "resource_id", "quantity", "start_ts", "end_ts")
     delta = d.where("accepted").select(

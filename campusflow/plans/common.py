@@ -9,8 +9,10 @@ stores deltas or new states at new paths (``sources.tables.write_table``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     session cleans checkpoints, see ``session.get_spark``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def group_changes(rows: pd.DataFrame, group: Sequence[str]) -> np.ndarray:
+    """Where a row belongs to another group than the row before."""
+    keys = rows[list(group)]
+    return ((keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1).to_numpy() | (np.arange(len(rows)) == 0)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], group: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The batches of a partition that is sorted by ``group``, cut so that no
+    group is spread over two: one group and one batch are held at a time."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        whole = int(np.flatnonzero(group_changes(held, group))[-1]) if len(held) else 0
+        if whole:
+            yield held[:whole].reset_index(drop=True)
+            held = held[whole:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +11,13 @@ from pyspark.sql import functions as F
 
 from campusflow.functions.expr import NEW_EVENT_STATUS, empty_to_null, first_reason, overlaps, parse_date_time
 from campusflow.operators.conflicts import event_request_conflicts, with_event_span
-from campusflow.operators.overlap import overlap_load, overlapping_pairs
+from campusflow.operators.overlap import overlap_load, overlap_load_before
+from campusflow.operators.prefix import running_max
 from campusflow.operators.reports import available_venues, upcoming_events
 from campusflow.plans.admission import admit_overlapping
-from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key
+from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key, order_ranges
+
+_log = logging.getLogger(__name__)
 
 
 def _unparsed(date_col: str, time_col: str) -> Column:
@@ -32,8 +37,7 @@ def apply_new_events(
     Accepted events are inserted as 'Scheduled'.
 
     Batch conflicts are decided by ``admit_overlapping`` (requests at the same
-    venue with overlapping times compete; pairs per venue-hour, only for
-    contended requests), never by a per-venue sequential fold.
+    venue with overlapping times compete), busy period by busy period.
     """
     r = with_event_span(requests).withColumn("_ord", order_key())
     open_v = available_venues(venues).select(F.col("id").alias("location_id"), "capacity")
@@ -49,33 +53,18 @@ def apply_new_events(
         (F.col("max_participants").isNull() | (F.col("max_participants") > F.col("capacity")), "OVER_CAPACITY"),
         (F.col("conflicts") > 0, "CONFLICT"),
     ])
-    # Read three times below (live, orphans, result): materialize once.
+    # Read twice below: materialize once.
     r = checkpoint(r.withColumn("_static", static))
-    cols = ["request_id", "_ord", "location_id", "start_ts", "end_ts"]
-    live = r.where(F.col("_static").isNull() & F.col("_host").isNotNull()).select(*cols)
-    status = admit_overlapping(
-        live.withColumn("need", F.lit(1)).withColumn("cap", F.lit(1)), ["location_id"], "HOUR", max_rounds
-    )
-    # Requests that pass every check but the host's: CONFLICT if an accepted
-    # batch event before them overlaps, else UNKNOWN_HOST.
-    acc = live.join(status.where("accepted"), "request_id", "left_semi")
-    orphan = r.where(F.col("_static").isNull() & F.col("_host").isNull()).select(*cols)
-    acc_a = acc.select(F.col("_ord").alias("a_ord"), "location_id", F.col("start_ts").alias("a_s"),
-                       F.col("end_ts").alias("a_e"))
-    orphan_b = orphan.select(F.col("request_id").alias("b_id"), F.col("_ord").alias("b_ord"), "location_id",
-                             F.col("start_ts").alias("b_s"), F.col("end_ts").alias("b_e"))
-    hit = overlapping_pairs(acc_a, orphan_b, ["location_id"], ("a_s", "a_e"), ("b_s", "b_e"), unit="HOUR",
-                            extra=F.col("a_ord") < F.col("b_ord")).select("b_id").distinct()
-    r = (
-        r.join(status, "request_id", "left")
-        .join(hit.withColumn("_batch_hit", F.lit(True)), r["request_id"] == hit["b_id"], "left")
+    # Requests of unknown hosts pass every check but the host's: they are
+    # refused for a CONFLICT first, and take nothing.
+    live = r.where(F.col("_static").isNull()).select(
+        "request_id", "_ord", "location_id", "start_ts", "end_ts", F.lit(1).alias("need"), F.lit(1).alias("cap"),
+        F.col("_host").isNotNull().alias("takes"),
     )
+    status = admit_overlapping(live, ["location_id"], max_rounds).withColumnRenamed("accepted", "_fits")
+    r = r.join(status, "request_id", "left")
     reason = F.coalesce(
-        F.col("_static"),
-        first_reason([
-            (F.col("_batch_hit").isNotNull() | (F.col("accepted") == F.lit(False)), "CONFLICT"),
-            (F.col("_host").isNull(), "UNKNOWN_HOST"),
-        ]),
+        F.col("_static"), first_reason([(~F.col("_fits"), "CONFLICT"), (F.col("_host").isNull(), "UNKNOWN_HOST")])
     )
     d = decide(r, reason, "request_id", "name", "description", "start_ts", "end_ts", "location_id", "organizer_id",
                "max_participants")
@@ -90,114 +79,190 @@ def nonempty_col(df: DataFrame) -> Column:
     return df.exists()
 
 
+#: What an earlier accepted change of the event left behind, per field.
+_LAST = {"_last_date": "new_date_text", "_last_start": "new_start_text", "_last_end": "new_end_text"}
+
+
+def _carried(moves: DataFrame) -> DataFrame:
+    """``moves`` plus the event's state just before each request: venue and
+    span (_loc, _s, _e), and the date and time texts that empty texts keep.
+
+    Per field, the last value given by an accepted earlier change of the event
+    (a running maximum of (order, value) along the batch), else the stored one.
+    """
+    order = F.struct("request_ts", "request_id")
+    timed, moved = F.col("_acc") & (F.col("kind") == 2), F.col("_acc") & (F.col("kind") == 3)
+    values = {
+        out: F.when(timed & empty_to_null(text).isNotNull(), F.struct(F.col("request_ts"), F.col("request_id"), F.col(text).alias("v")))
+        for out, text in _LAST.items()
+    }
+    values["_last_loc"] = F.when(moved, F.struct(F.col("request_ts"), F.col("request_id"), F.col("new_location_id").alias("v")))
+    values["_timed"] = F.when(timed, order)
+    r = running_max(moves, ["event_id"], "_blk", ["request_ts", "request_id"], values, inclusive=False)
+    date = F.coalesce(F.col("_last_date.v"), F.col("_o_date").cast("string"))
+    start = F.coalesce(F.col("_last_start.v"), F.date_format("_o_start", "HH:mm:ss"))
+    end = F.coalesce(F.col("_last_end.v"), F.date_format("_o_end", "HH:mm:ss"))
+    r = r.withColumns({"_date": date, "_start": start, "_end": end, "_loc": F.coalesce(F.col("_last_loc.v"), F.col("_o_loc"))})
+    timed_before = F.col("_timed").isNotNull()
+    return r.withColumns({
+        "_s": F.when(timed_before, parse_date_time("_date", "_start")).otherwise(F.col("_o_start")),
+        "_e": F.when(timed_before, parse_date_time("_date", "_end")).otherwise(F.col("_o_end")),
+    }).drop(*values)
+
+
+def _targets(moves: DataFrame) -> DataFrame:
+    """Adds the venue and span that each request asks for, (_tl, _ts, _te)."""
+    date = F.coalesce(empty_to_null("new_date_text"), F.col("_date"))
+    given = moves.withColumns({"_nd": date, "_nst": F.coalesce(empty_to_null("new_start_text"), F.col("_start")),
+                               "_net": F.coalesce(empty_to_null("new_end_text"), F.col("_end"))})
+    timed = F.col("kind") == 2
+    return given.withColumns({
+        "_ts": F.when(timed, parse_date_time("_nd", "_nst")).otherwise(F.col("_s")),
+        "_te": F.when(timed, parse_date_time("_nd", "_net")).otherwise(F.col("_e")),
+        "_tl": F.when(timed, F.col("_loc")).otherwise(F.col("new_location_id")),
+    }).drop("_nd", "_nst", "_net")
+
+
+def settle_moves(moves: DataFrame, events: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Decide time and venue changes (request_id, reason) as if one by one.
+
+    ``moves``: the requests of kind 2 and 3 that pass every other check, with
+    their event's stored fields (_o_*). A request depends on earlier ones only:
+    on its own event's accepted changes (the fields that it keeps) and on those
+    of other events (an accepted change frees the event's old slot and takes
+    the new one). From a guess of all decisions follow the state before each
+    request, the log of slots freed and taken, and with them new decisions;
+    this is repeated until the decisions stay. Each round settles at least
+    every request whose earlier ones are settled, and what stays is the one
+    outcome of working them off in order. Counts come from running sums along
+    the batch in the cells of the time index, so no pairs are formed; a stored
+    event is counted once for each span that is really asked for.
+    """
+    columns = moves.columns
+    order = ["request_ts", "request_id"]
+    moves = order_ranges(order_ranges(moves, [], order, "_oblk"), ["event_id"], order)
+    stored = events.select("location_id", F.col("start_ts").alias("_xs"), F.col("end_ts").alias("_xe"))
+    state = moves.withColumn("_acc", F.lit(True))
+    known = None
+    rounds = 0
+    while True:
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError("event changes did not settle")
+        _log.info("event changes, round %d", rounds)
+        # The texts are parsed once, so they are materialized before they are used.
+        r = checkpoint(_targets(_carried(state)))
+        bad = first_reason([
+            ((F.col("kind") == 2) & (F.col("_ts").isNull() | F.col("_te").isNull()), "UNPARSEABLE"),
+            ((F.col("kind") == 2) & (F.col("_te") <= F.col("_ts")), "BAD_TIME"),
+        ])
+        r = r.withColumn("_bad", bad)
+        probes = r.where(F.col("_bad").isNull()).select(
+            "request_id", *order, "_oblk", F.col("_tl").alias("location_id"), "_ts", "_te"
+        )
+        # Stored events: only for spans that were not asked for a round before.
+        fresh = probes if known is None else probes.join(known, ["request_id", "location_id", "_ts", "_te"], "left_anti")
+        span = ["request_id", "location_id", "_ts", "_te"]
+        if known is None or not fresh.isEmpty():
+            counted = overlap_load(fresh, stored, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), out="_stored")
+            counted = counted.select(*span, "_stored")
+            if known is not None:
+                counted = counted.unionByName(known.join(probes.select(*span), span, "left_semi"))
+            known = checkpoint(counted)
+        done = r.where(F.col("_acc") & F.col("_bad").isNull())
+        log = done.select(*order, "_oblk", F.explode(F.array(
+            F.struct(F.col("_loc").alias("location_id"), F.col("_s").alias("_xs"), F.col("_e").alias("_xe"), F.lit(-1).alias("_sign")),
+            F.struct(F.col("_tl").alias("location_id"), F.col("_ts").alias("_xs"), F.col("_te").alias("_xe"), F.lit(1).alias("_sign")),
+        )).alias("_x")).select(*order, "_oblk", "_x.*")
+        moved = overlap_load_before(
+            probes, log, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), order, "_oblk", "_sign", "_moved"
+        )
+        r = r.join(known.select("request_id", "_stored"), "request_id", "left").join(moved, "request_id", "left")
+        # A new time is not compared with the event itself, a new venue is.
+        own = (F.col("kind") == 2) & (F.col("_tl") == F.col("_loc")) & overlaps(F.col("_s"), F.col("_e"), F.col("_ts"), F.col("_te"))
+        others = F.coalesce("_stored", F.lit(0)) + F.coalesce("_moved", F.lit(0)) - F.when(own, 1).otherwise(0)
+        reason = F.coalesce(F.col("_bad"), F.when((others > 0), F.lit("CONFLICT")))
+        r = checkpoint(r.select(*columns, "_blk", "_oblk", "_acc", reason.alias("_reason")))
+        changed = r.where(F.col("_acc") != F.col("_reason").isNull()).limit(1).count() > 0
+        if not changed:
+            return r.select("request_id", F.col("_reason").alias("reason"))
+        state = r.select(*columns, "_blk", "_oblk", F.col("_reason").isNull().alias("_acc"))
+
+
 def apply_event_updates(
-    events: DataFrame, venues: DataFrame, hosts: DataFrame, requests: DataFrame, as_of: datetime | None = None
+    events: DataFrame, venues: DataFrame, hosts: DataFrame, requests: DataFrame, as_of: datetime | None = None,
+    max_rounds: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Change an event's name/description (kind 1), date and times (kind 2) or venue (kind 3).
+    """Change an event's name/description (kind 1), date and times (kind 2) or
+    venue (kind 3), as if the requests were worked off one by one.
 
-    Checks: EMPTY_LIST (no upcoming event) → EVENT_NOT_FOUND (any stored
-    event may be changed, not only listed ones) → INVALID_CHOICE, then per kind:
+    Checks: EMPTY_LIST (no upcoming event at the start of the batch) →
+    EVENT_NOT_FOUND (any stored event may be changed, not only listed ones) →
+    INVALID_CHOICE, then per kind:
 
-    * 1 — empty texts keep the old values; always accepted;
-    * 2 — empty date/time texts keep the old ones; UNPARSEABLE → BAD_TIME →
-      CONFLICT with another event at the event's venue (an event without a
-      venue never conflicts);
+    * 1 — empty texts keep the current values; always accepted;
+    * 2 — empty date/time texts keep the current ones; UNPARSEABLE → BAD_TIME →
+      CONFLICT with another event at the event's current venue (an event
+      without a venue never conflicts);
     * 3 — EMPTY_LIST (no available venue) → INVALID_VENUE → OVER_CAPACITY
       (max participants above the new venue's capacity) → CONFLICT at the
-      new venue for the event's times, the event itself included (moving to
-      its own venue conflicts with itself).
-
-    Every request is checked against the state at the start of the batch;
-    then, in batch order, an accepted time or venue change whose resulting
-    (venue, span) overlaps that of an earlier accepted change of another event
-    is refused as CONFLICT (slots freed by a change open in the next batch).
-    Per event and field, the last accepted change is applied.
+      new venue for the event's current times, the event itself included
+      (moving to its own venue conflicts with itself).
+
+    "Current" is what earlier accepted requests of the batch left, of this and
+    of all other events: a slot that a change frees can be taken by the next
+    request (``settle_moves``). Of each field the last accepted value stays.
     """
     gate = upcoming_events(events, venues, hosts, as_of).exists()
     e = events.select(
-        F.col("id").alias("event_id"), F.col("name").alias("_o_name"), F.col("description").alias("_o_desc"),
-        F.col("date").alias("_o_date"), F.col("start_ts").alias("_o_start"), F.col("end_ts").alias("_o_end"),
-        F.col("location_id").alias("_o_loc"), F.col("max_participants").alias("_o_max"), F.lit(True).alias("_found"),
+        F.col("id").alias("event_id"), F.col("date").alias("_o_date"), F.col("start_ts").alias("_o_start"),
+        F.col("end_ts").alias("_o_end"), F.col("location_id").alias("_o_loc"), F.col("max_participants").alias("_o_max"),
+        F.lit(True).alias("_found"),
     )
     open_v = available_venues(venues).select(F.col("id").alias("new_location_id"), F.col("capacity").alias("_cap"))
     r = requests.join(e, "event_id", "left").join(open_v, "new_location_id", "left")
-    r = (
-        r.withColumn("_d", F.coalesce(empty_to_null("new_date_text"), F.col("_o_date").cast("string")))
-        .withColumn("_st", F.coalesce(empty_to_null("new_start_text"), F.date_format("_o_start", "HH:mm:ss")))
-        .withColumn("_et", F.coalesce(empty_to_null("new_end_text"), F.date_format("_o_end", "HH:mm:ss")))
-        .withColumn("_ns", parse_date_time("_d", "_st"))
-        .withColumn("_ne", parse_date_time("_d", "_et"))
-    )
-    stored = events.select("location_id", F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"))
-    # Kind 2: conflicts at the current venue for the new times, minus the event itself.
-    k2 = r.where((F.col("kind") == 2) & (F.col("_ns") < F.col("_ne"))).select(
-        "request_id", F.col("_o_loc").alias("location_id"), "_ns", "_ne", "_o_start", "_o_end"
-    )
-    k2 = overlap_load(k2, stored, ["location_id"], "request_id", ("_ns", "_ne"), ("_s", "_e"), out="_c2")
-    self_hit = F.coalesce(overlaps(F.col("_o_start"), F.col("_o_end"), F.col("_ns"), F.col("_ne")), F.lit(False))
-    k2 = k2.select("request_id", (F.col("_c2") - F.when(F.col("location_id").isNotNull() & self_hit, 1).otherwise(0))
-                   .alias("_conf2"))
-    # Kind 3: conflicts at the new venue for the event's own times.
-    k3 = r.where(F.col("kind") == 3).select(
-        "request_id", F.col("new_location_id").alias("location_id"), "_o_start", "_o_end"
-    )
-    k3 = overlap_load(k3, stored, ["location_id"], "request_id", ("_o_start", "_o_end"), ("_s", "_e"), out="_conf3")
-    r = r.join(k2, "request_id", "left").join(k3.select("request_id", "_conf3"), "request_id", "left")
     kind = F.col("kind")
-    reason = first_reason([
+    static = first_reason([
         (~gate, EMPTY_LIST),
         (F.col("_found").isNull(), "EVENT_NOT_FOUND"),
         (kind.isNull() | ~kind.isin(1, 2, 3), "INVALID_CHOICE"),
-        ((kind == 2) & (F.col("_ns").isNull() | F.col("_ne").isNull()), "UNPARSEABLE"),
-        ((kind == 2) & (F.col("_ne") <= F.col("_ns")), "BAD_TIME"),
-        ((kind == 2) & (F.col("_conf2") > 0), "CONFLICT"),
         ((kind == 3) & ~open_v.exists(), EMPTY_LIST),
         ((kind == 3) & F.col("_cap").isNull(), "INVALID_VENUE"),
         ((kind == 3) & (F.col("_o_max") > F.col("_cap")), "OVER_CAPACITY"),
-        ((kind == 3) & (F.col("_conf3") > 0), "CONFLICT"),
     ])
+    r = checkpoint(r.withColumn("_static", static))
+    moves = r.where(F.col("_static").isNull() & kind.isin(2, 3)).select(
+        "request_id", "request_ts", "event_id", "kind", "new_date_text", "new_start_text", "new_end_text", "new_location_id",
+        "_o_date", "_o_start", "_o_end", "_o_loc",
+    )
+    settled = settle_moves(moves, events, max_rounds).withColumnRenamed("reason", "_moved")
+    r = r.join(settled, "request_id", "left")
     d = checkpoint(decide(
-        r.withColumn("_ord", order_key()), reason, "request_id", "request_ts", "event_id", "kind", "_ord",
-        F.coalesce(empty_to_null("new_name"), F.col("_o_name")).alias("_nn"),
-        F.coalesce(empty_to_null("new_description"), F.col("_o_desc")).alias("_nd"),
-        "_ns", "_ne", "new_location_id", "_o_loc", "_o_start", "_o_end",
+        r.withColumn("_ord", order_key()), F.coalesce("_static", "_moved"), "request_id", "event_id", "kind", "_ord",
+        "new_name", "new_description", "new_date_text", "new_start_text", "new_end_text", "new_location_id",
     ))
-    # Second stage: accepted time and venue changes must not collide with
-    # each other either. Each gives the event a resulting (venue, span); in
-    # batch order, one that overlaps an earlier accepted change of another
-    # event at that venue is refused (slots a change frees open in the next
-    # batch only).
-    moved = F.col("kind") == 2
-    moves = d.where(F.col("accepted") & F.col("kind").isin(2, 3)).select(
-        "request_id", "_ord", "event_id",
-        F.when(moved, F.col("_o_loc")).otherwise(F.col("new_location_id")).alias("location_id"),
-        F.when(moved, F.col("_ns")).otherwise(F.col("_o_start")).alias("start_ts"),
-        F.when(moved, F.col("_ne")).otherwise(F.col("_o_end")).alias("end_ts"),
-    ).where(F.col("location_id").isNotNull() & F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
-    clash = admit_overlapping(
-        moves.withColumn("need", F.lit(1)).withColumn("cap", F.lit(1)), ["location_id"], "HOUR", group="event_id"
-    ).where(~F.col("accepted")).select("request_id", F.lit(True).alias("_clash"))
-    d = d.join(clash, "request_id", "left").withColumn(
-        "reason", F.coalesce(F.col("reason"), F.when(F.col("_clash"), F.lit("CONFLICT")))
-    ).withColumn("accepted", F.col("reason").isNull())
     acc = d.where("accepted")
 
-    def last(kind_no: int, value: Column, name: str) -> DataFrame:
-        return acc.where(F.col("kind") == kind_no).groupBy("event_id").agg(F.max_by(value, F.col("_ord")).alias(name))
+    def last(kind_no: int, value: str) -> Column:
+        given = empty_to_null(value) if value != "new_location_id" else F.col(value)
+        return F.max(F.when((F.col("kind") == kind_no) & given.isNotNull(), F.struct("_ord", given.alias("v"))))["v"].alias(value)
 
-    changes = (
-        last(1, F.struct("_nn", "_nd"), "_k1")
-        .join(last(2, F.struct("_ns", "_ne"), "_k2"), "event_id", "full")
-        .join(last(3, F.col("new_location_id"), "_k3"), "event_id", "full")
+    texts = [(1, "new_name"), (1, "new_description"), (2, "new_date_text"), (2, "new_start_text"), (2, "new_end_text"), (3, "new_location_id")]
+    changes = acc.groupBy(F.col("event_id").alias("id")).agg(
+        *[last(k, c) for k, c in texts], F.max(F.col("kind") == 2).alias("_timed")
     )
-    after = events.join(changes.withColumnRenamed("event_id", "id"), "id", "left").select(
+    date = F.coalesce("new_date_text", F.col("date").cast("string"))
+    start = parse_date_time(date, F.coalesce("new_start_text", F.date_format("start_ts", "HH:mm:ss")))
+    end = parse_date_time(date, F.coalesce("new_end_text", F.date_format("end_ts", "HH:mm:ss")))
+    timed = F.coalesce("_timed", F.lit(False))
+    after = events.join(changes, "id", "left").select(
         "id",
-        F.coalesce(F.col("_k1._nn"), F.col("name")).alias("name"),
-        F.coalesce(F.col("_k1._nd"), F.col("description")).alias("description"),
-        F.coalesce(F.to_date(F.col("_k2._ns")), F.col("date")).alias("date"),
-        F.coalesce(F.col("_k2._ns"), F.col("start_ts")).alias("start_ts"),
-        F.coalesce(F.col("_k2._ne"), F.col("end_ts")).alias("end_ts"),
-        F.coalesce(F.col("_k3"), F.col("location_id")).alias("location_id"),
+        F.coalesce("new_name", "name").alias("name"),
+        F.coalesce("new_description", "description").alias("description"),
+        F.when(timed, F.to_date(start)).otherwise(F.col("date")).alias("date"),
+        F.when(timed, start).otherwise(F.col("start_ts")).alias("start_ts"),
+        F.when(timed, end).otherwise(F.col("end_ts")).alias("end_ts"),
+        F.coalesce("new_location_id", "location_id").alias("location_id"),
         "organizer_id", "status", "max_participants",
     )
     return {

@@ -350,49 +350,60 @@ _TICKETS = f"""
     lp as {_last("(select * from upd where new_price is not null and new_price >= 0)", "ticket_id", "new_price")},
     lq as {_last("(select * from upd where new_quantity is not null and new_quantity >= 0)", "ticket_id", "new_quantity")}"""
 
+# One request after the other: ``st`` holds the events changed so far with
+# their present venue, span and date and time texts; ``near`` the stored events
+# at every venue that a request's event may have.
 _UPDATES = f"""recursive
     ur as (select q.*, e.id is not null as found, e.date as o_date, e.start_ts as o_start, e.end_ts as o_end,
                   e.location_id as o_loc, e.max_participants as o_max, v.capacity as cap
            from d_event_update_requests q left join d_events e on q.event_id = e.id
            left join (select id, capacity from d_venues where is_available = 1) v on q.new_location_id = v.id),
-    up as (select ur.*,
-             {parsed("(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' || "
-                     "coalesce(nullif(new_start_text, ''), strftime(o_start, '%H:%M:%S')))")} as ns,
-             {parsed("(coalesce(nullif(new_date_text, ''), cast(o_date as varchar)) || ' ' || "
-                     "coalesce(nullif(new_end_text, ''), strftime(o_end, '%H:%M:%S')))")} as ne
-           from ur),
-    uc as (select up.*,
-             case when kind = 2 and ns < ne then (select count(*) from d_events x where x.location_id = up.o_loc
-                    and x.id <> up.event_id and x.start_ts < up.ne and x.end_ts > up.ns) end as conf2,
-             case when kind = 3 and o_start < o_end then (select count(*) from d_events x
-                    where x.location_id = up.new_location_id and x.start_ts < up.o_end and x.end_ts > up.o_start) end
-               as conf3
-           from up),
-    ud1 as (select uc.*, case when not {UPCOMING} then 'EMPTY_LIST' when not found then 'EVENT_NOT_FOUND'
+    ud1 as (select ur.*, case when not {UPCOMING} then 'EMPTY_LIST' when not found then 'EVENT_NOT_FOUND'
              when kind is null or kind not in (1, 2, 3) then 'INVALID_CHOICE'
-             when kind = 2 and (ns is null or ne is null) then 'UNPARSEABLE'
-             when kind = 2 and ne <= ns then 'BAD_TIME' when kind = 2 and conf2 > 0 then 'CONFLICT'
              when kind = 3 and not exists (select 1 from d_venues where is_available = 1) then 'EMPTY_LIST'
              when kind = 3 and cap is null then 'INVALID_VENUE' when kind = 3 and o_max > cap then 'OVER_CAPACITY'
-             when kind = 3 and conf3 > 0 then 'CONFLICT' end as reason1 from uc),
-    mv as (select request_id, request_ts, event_id,
-                  case when kind = 2 then o_loc else new_location_id end as loc,
-                  case when kind = 2 then ns else o_start end as s,
-                  case when kind = 2 then ne else o_end end as e
+             end as reason1 from ur),
+    mv as (select *, row_number() over (order by request_ts, request_id) as seq
            from ud1 where reason1 is null and kind in (2, 3)),
-    mq as (select *, row_number() over (partition by loc order by request_ts, request_id) as seq
-           from mv where loc is not null and s is not null and e is not null),
-    mwalk(loc, seq, acc, request_id, clash) as (
-      select distinct loc, 0::bigint, []::struct(s timestamp, e timestamp, ev bigint)[], null::bigint, null::boolean
-      from mq
+    spots as (select event_id, o_loc as loc from mv union select event_id, new_location_id from mv where kind = 3),
+    nears as (select spots.event_id, list({{'id': x.id, 'loc': x.location_id, 's': x.start_ts, 'e': x.end_ts}}) as near
+              from spots join d_events x on x.location_id = spots.loc group by spots.event_id),
+    mq as materialized (select seq, request_id, event_id, kind, new_location_id, new_date_text, new_start_text, new_end_text,
+                  o_date, o_start, o_end, o_loc, coalesce(near, []) as near from mv left join nears using (event_id)),
+    mwalk(seq, st, request_id, reason) as (
+      select 0::bigint, []::struct(ev bigint, loc bigint, s timestamp, e timestamp, d varchar, a varchar, b varchar,
+                                   timed boolean)[], null::bigint, null::varchar
       union all
-      select w.loc, q.seq,
-             case when (C) then w.acc else list_append(w.acc, {{'s': q.s, 'e': q.e, 'ev': q.event_id}}) end,
-             q.request_id, (C)
-      from mwalk w join mq q on q.loc = w.loc and q.seq = w.seq + 1),
-    ud as (select ud1.*, coalesce(reason1, case when m.clash then 'CONFLICT' end) as reason
-           from ud1 left join mwalk m on m.request_id = ud1.request_id)""".replace(
-    "(C)", "(len(list_filter(w.acc, lambda a: a.s < q.e and a.e > q.s and a.ev <> q.event_id)) > 0)")
+      select seq, case when reason is null then list_append(list_filter(st, lambda x: x.ev <> event_id),
+                       {{'ev': event_id, 'loc': tl, 's': ts, 'e': te,
+                         'd': case when kind = 2 then coalesce(nullif(new_date_text, ''), cd) else cd end,
+                         'a': case when kind = 2 then coalesce(nullif(new_start_text, ''), ca) else ca end,
+                         'b': case when kind = 2 then coalesce(nullif(new_end_text, ''), cb) else cb end,
+                         'timed': kind = 2 or coalesce(cur.timed, false)}}) else st end, request_id, reason
+      from (
+        select *, case when kind = 2 and (ts is null or te is null) then 'UNPARSEABLE'
+                    when kind = 2 and te <= ts then 'BAD_TIME'
+                    when ts < te and len(list_filter(near, lambda x: x.loc = tl and x.s < te and x.e > ts
+                           and (kind = 3 or x.id <> event_id) and not list_contains(evs, x.id)))
+                         + len(list_filter(st, lambda x: x.loc = tl and x.s < te and x.e > ts
+                           and (kind = 3 or x.ev <> event_id))) > 0 then 'CONFLICT' end as reason
+        from (
+          select *, case when kind = 2 then cl else new_location_id end as tl,
+                 case when kind = 2 then {parsed("(coalesce(nullif(new_date_text, ''), cd) || ' ' || coalesce(nullif(new_start_text, ''), ca))")}
+                      else cs end as ts,
+                 case when kind = 2 then {parsed("(coalesce(nullif(new_date_text, ''), cd) || ' ' || coalesce(nullif(new_end_text, ''), cb))")}
+                      else ce end as te
+          from (
+            select *, case when cur is null then o_loc else cur.loc end as cl,
+                   case when cur is null then o_start else cur.s end as cs, case when cur is null then o_end else cur.e end as ce,
+                   coalesce(cur.d, cast(o_date as varchar)) as cd, coalesce(cur.a, strftime(o_start, '%H:%M:%S')) as ca,
+                   coalesce(cur.b, strftime(o_end, '%H:%M:%S')) as cb
+            from (select w.st, q.*, list_filter(w.st, lambda x: x.ev = q.event_id)[1] as cur,
+                         list_transform(w.st, lambda x: x.ev) as evs
+                  from mwalk w join mq q on q.seq = w.seq + 1))))),
+    ud as (select ud1.*, coalesce(reason1, m.reason) as reason,
+                  row_number() over (order by ud1.request_ts, ud1.request_id) as pos
+           from ud1 left join mwalk m on m.request_id = ud1.request_id)"""
 
 _BCHECK = f"""
     br as (select q.*, {parsed('start_text')} as s, {parsed('end_text')} as e from d_booking_requests q),
@@ -633,19 +644,17 @@ _BODIES.update({
           join d_events e on e.id = b.event_id
           where r.start_ts < r.end_ts) where rn = 1""",
     "events_after_update": f"""with {_UPDATES},
-        acc as (select ud.*, coalesce(nullif(new_name, ''), e.name) as nn,
-                       coalesce(nullif(new_description, ''), e.description) as nd
-                from ud join d_events e on e.id = ud.event_id where ud.reason is null),
-        k1 as {_last("(select * from acc where kind = 1)", "event_id", "nn, nd")},
-        k2 as {_last("(select * from acc where kind = 2)", "event_id", "ns, ne")},
-        k3 as {_last("(select * from acc where kind = 3)", "event_id", "new_location_id")}
+        k1 as (select event_id, arg_max(nullif(new_name, ''), pos) filter (where nullif(new_name, '') is not null) as nn,
+                      arg_max(nullif(new_description, ''), pos) filter (where nullif(new_description, '') is not null) as nd
+               from ud where kind = 1 and reason is null group by event_id),
+        k2 as (select unnest(st, max_depth := 2) from (select st from mwalk order by seq desc limit 1))
         select e.id, coalesce(k1.nn, e.name) as name, coalesce(k1.nd, e.description) as description,
-               cast(coalesce(cast(k2.ns as date), e.date) as varchar) as date,
-               coalesce(k2.ns, e.start_ts) as start_ts, coalesce(k2.ne, e.end_ts) as end_ts,
-               cast(coalesce(k3.new_location_id, e.location_id) as varchar) as location_id, e.organizer_id, e.status,
+               cast(case when k2.timed then cast(k2.s as date) else e.date end as varchar) as date,
+               case when k2.timed then k2.s else e.start_ts end as start_ts,
+               case when k2.timed then k2.e else e.end_ts end as end_ts,
+               cast(coalesce(k2.loc, e.location_id) as varchar) as location_id, e.organizer_id, e.status,
                e.max_participants
-        from d_events e left join k1 on k1.event_id = e.id left join k2 on k2.event_id = e.id
-        left join k3 on k3.event_id = e.id""",
+        from d_events e left join k1 on k1.event_id = e.id left join k2 on k2.ev = e.id""",
     "students_delta": f"""with {_STUDENTS}
         select r.request_id, r.srn, r.name, r.semester, r.section
         from d_student_requests r join sd on sd.request_id = r.request_id where sd.reason is null""",

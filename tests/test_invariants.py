@@ -58,6 +58,6 @@ def test_stock_is_conserved(spark):
     after = entry.queries()["ticket_stock_after"](spark, SMALL)
     delta = entry.queries()["orders_delta"](spark, SMALL)
     assert after.where(F.col("quantity") < 0).count() == 0
-    before_total = t.tickets.agg(F.sum("quantity")).first()[0]
+    before_total = t.tickets_unset.agg(F.sum("quantity")).first()[0]
     after_total = after.agg(F.sum("quantity")).first()[0]
     assert before_total - after_total == delta.count()

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from campusflow.operators import reports as R
-from campusflow.operators.overlap import overlap_load, overlapping_pairs
+from campusflow.operators.overlap import first_overlapping, overlap_load, overlap_load_before, overlapping_pairs, overlapping_pairs_within
 from campusflow.operators.prefix import running_sums, time_block
 from campusflow.sources.tables import REQUEST_SCHEMAS, STATE_SCHEMAS
 
@@ -62,7 +62,7 @@ def test_touching_intervals_do_not_overlap(spark):
     a = spark.createDataFrame([(1, 1, h(0), h(1))], "a_id long, k long, a_s timestamp_ntz, a_e timestamp_ntz")
     b = spark.createDataFrame([(2, 1, h(1), h(2)), (3, 1, h(0.5), h(1.5))],
                               "b_id long, k long, b_s timestamp_ntz, b_e timestamp_ntz")
-    pairs = overlapping_pairs(a, b, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), unit="HOUR").collect()
+    pairs = overlapping_pairs(a, b, ["k"], ("a_s", "a_e"), ("b_s", "b_e")).collect()
     assert [(r["a_id"], r["b_id"]) for r in pairs] == [(1, 3)]
 
 
@@ -75,10 +75,71 @@ def test_overlapping_pairs_match_brute_force(spark):
     a = spark.createDataFrame(rows, "a_id long, k long, a_s timestamp_ntz, a_e timestamp_ntz")
     b = a.select(F.col("a_id").alias("b_id"), "k", F.col("a_s").alias("b_s"), F.col("a_e").alias("b_e"))
     got = {(r["a_id"], r["b_id"]) for r in overlapping_pairs(
-        a, b, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), unit="HOUR", extra=F.col("a_id") < F.col("b_id")).collect()}
+        a, b, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), extra=F.col("a_id") < F.col("b_id")).collect()}
     want = {(x[0], y[0]) for x in rows for y in rows
             if x[0] < y[0] and x[1] == y[1] and x[2] < y[3] and x[3] > y[2]}
     assert got == want
+    within = overlapping_pairs_within(a, ["k"], "a_id", ("a_s", "a_e"), ("x", "y")).collect()
+    assert {(r["x"], r["y"]) for r in within} == want and len(within) == len(want)
+
+
+def test_a_very_long_span_makes_few_rows(spark):
+    from campusflow.operators import timeindex as T
+
+    spans = [(1, h(0.37), datetime(9999, 12, 31, 23, 59, 59)), (2, datetime(1, 1, 1, 0, 0, 1), h(3)), (3, h(1), h(3)), (4, h(2), h(2)), (5, None, h(1))]
+    d = spark.createDataFrame(spans, "id long, s timestamp_ntz, e timestamp_ntz").withColumns({"lo": T.address("s"), "hi": T.address("e")})
+    rows = {r["id"]: r["count"] for r in T.cover(d, "lo", "hi").groupBy("id").count().collect()}
+    assert set(rows) == {1, 2, 3} and max(rows.values()) < 100
+    cells = T.in_roles(d, "lo", "hi", 1, 2, F.array(F.lit(30))).groupBy("id").count().collect()
+    assert max(r["count"] for r in cells) <= 4
+    b = d.select(F.col("id").alias("b"), F.col("s").alias("bs"), F.col("e").alias("be"), F.lit(1).alias("k"))
+    a = d.select(F.col("id").alias("a"), F.col("s").alias("as"), F.col("e").alias("ae"), F.lit(1).alias("k"))
+    pairs = {(r["a"], r["b"]) for r in overlapping_pairs(a, b, ["k"], ("as", "ae"), ("bs", "be"), extra=F.col("a") < F.col("b")).collect()}
+    assert pairs == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}  # 4 is a moment inside the others
+
+
+def test_cover_is_exact(spark):
+    from campusflow.operators import timeindex as T
+
+    rnd = random.Random(1)
+    spans = [(i, *sorted(rnd.sample(range(-300, 300), 2))) for i in range(60)]
+    d = spark.createDataFrame(spans, "id long, lo long, hi long")
+    held = {}
+    for r in T.cover(d, "lo", "hi").collect():
+        cells = range(r["_cell"] << r["_level"], (r["_cell"] + 1) << r["_level"])
+        assert not held.setdefault(r["id"], set()) & set(cells)
+        held[r["id"]] |= set(cells)
+    assert held == {i: set(range(lo, hi)) for i, lo, hi in spans}
+
+
+def _spans(rnd, n, first=0):
+    out = []
+    for i in range(n):
+        s = h(rnd.randint(0, 300) / 4) + timedelta(seconds=rnd.choice([0, 0, 7]), microseconds=rnd.choice([0, 0, 5]))
+        out.append((first + i, rnd.randint(0, 2), s, s + timedelta(minutes=rnd.choice([-90, 0, 10, 50, 130, 2000]))))
+    return out
+
+
+def test_first_overlapping_matches_brute_force(spark):
+    rnd = random.Random(5)
+    stored, probes = _spans(rnd, 150), _spans(rnd, 80, 1000)
+    st = spark.createDataFrame(stored, "id long, k long, s timestamp_ntz, e timestamp_ntz")
+    pr = spark.createDataFrame([*probes, (2000, None, h(0), h(9))], "pid long, k long, ps timestamp_ntz, pe timestamp_ntz")
+    got = {r["pid"]: r["id"] for r in first_overlapping(pr, st, ["k"], "pid", ("ps", "pe"), ("s", "e"), "id").collect()}
+    want = {p: min((i for i, k, s, e in stored if k == pk and s < pe and e > ps), default=None) for p, pk, ps, pe in probes if ps < pe}
+    assert got == {p: i for p, i in want.items() if i is not None}
+
+
+def test_overlap_load_before_matches_brute_force(spark):
+    rnd = random.Random(6)
+    entries = [(*x, rnd.randint(0, 40), rnd.choice([-1, 1, 3])) for x in _spans(rnd, 150)]
+    probes = [(*x, rnd.randint(0, 40)) for x in _spans(rnd, 80, 1000)]
+    en = spark.createDataFrame(entries, "id long, k long, s timestamp_ntz, e timestamp_ntz, at long, w int").withColumn("b", F.expr("at div 9"))
+    pr = spark.createDataFrame(probes, "pid long, k long, ps timestamp_ntz, pe timestamp_ntz, at long").withColumn("b", F.expr("at div 9"))
+    out = overlap_load_before(pr, en, ["k"], "pid", ("ps", "pe"), ("s", "e"), ["at"], "b", "w")
+    got = {r["pid"]: r["load"] for r in out.collect()}
+    want = {p: sum(w for _, k, s, e, at, w in entries if k == pk and at < pat and s < pe and e > ps) for p, pk, ps, pe, pat in probes if ps < pe}
+    assert {p: got.get(p, 0) for p in want} == want
 
 
 # ------------------------------------------------------------ running sums
@@ -261,11 +322,11 @@ def test_hot_ticket_orders_match_replay(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("crowd", [500, 5])
+@pytest.mark.parametrize("crowd", [500, 40])
 def test_hot_venue_new_events_match_replay(spark, monkeypatch, crowd):
     from campusflow.plans import admission
 
-    monkeypatch.setattr(admission, "CROWD", crowd)
+    monkeypatch.setattr(admission, "FOLD", crowd)
     from campusflow.plans.events import apply_new_events
 
     rnd = random.Random(9)
@@ -296,7 +357,7 @@ def test_hot_venue_new_events_match_replay(spark, monkeypatch, crowd):
 def test_hot_resource_bookings_match_replay(spark, monkeypatch, crowd):
     from campusflow.plans import admission
 
-    monkeypatch.setattr(admission, "CROWD", crowd)
+    monkeypatch.setattr(admission, "FOLD", crowd)
     from campusflow.plans.bookings import apply_bookings
 
     rnd = random.Random(13)
@@ -325,27 +386,57 @@ def test_hot_resource_bookings_match_replay(spark, monkeypatch, crowd):
     assert got == want
 
 
-def test_crowd_on_one_venue_hour_is_decided_without_pairs(spark):
-    """10,000 requests for one hour of one venue: a few rounds, no pairs of a crowd."""
+LIVE = "request_id long, _ord long, location_id long, start_ts timestamp_ntz, end_ts timestamp_ntz, need int, cap int, takes boolean"
+
+
+def _one_by_one(rows):
+    """The requests of ``rows`` (as LIVE) that fit when they are asked in order."""
+    held, out = {}, set()
+    for i, _, k, s, e, need, cap, takes in sorted(rows, key=lambda r: r[1]):
+        if need <= cap - sum(w for a, b, w in held.get(k, []) if a < e and b > s):
+            out.add(i)
+            if takes:
+                held.setdefault(k, []).append((s, e, need))
+    return out
+
+
+def _admitted(spark, rows, max_rounds=None):
     from campusflow.plans import admission
 
+    status = admission.admit_overlapping(spark.createDataFrame(rows, LIVE), ["location_id"], max_rounds)
+    assert status.count() == len(rows)
+    return {r["request_id"] for r in status.where("accepted").collect()}
+
+
+def test_crowd_on_one_venue_hour_is_decided_without_pairs(spark):
+    """10,000 requests for one hour of one venue."""
     rnd = random.Random(3)
-    rows, accepted, want = [], [], set()
+    rows = []
     for i in range(10_000):
         s = h(9) + timedelta(minutes=rnd.randint(0, 45))
-        e = min(s + timedelta(minutes=rnd.randint(5, 30)), h(10))
-        rows.append((i, i, 1, s, e, 1, 1))
-        if not any(a < e and b > s for a, b in accepted):
-            accepted.append((s, e))
-            want.add(i)
-    live = spark.createDataFrame(
-        rows, "request_id long, _ord long, location_id long, start_ts timestamp_ntz, end_ts timestamp_ntz, need int, cap int"
-    )
-    rest, shed = admission.shed_crowds(live, ["location_id"], "HOUR", admission.CROWD)
-    assert len(shed) <= 8 and rest.count() <= admission.CROWD
-    status = admission.admit_overlapping(live, ["location_id"], "HOUR")
-    assert {r["request_id"] for r in status.where("accepted").collect()} == want
-    assert status.count() == 10_000
+        rows.append((i, i, 1, s, min(s + timedelta(minutes=rnd.randint(5, 30)), h(10)), 1, 1, i % 7 > 0))
+    assert _admitted(spark, rows, max_rounds=1) == _one_by_one(rows)
+
+
+def test_a_chain_of_overlapping_requests_takes_one_round(spark):
+    rows = [(i, i, 1, h(i), h(i + 1.5), 1, 1, True) for i in range(1000)]
+    got = _admitted(spark, rows, max_rounds=1)
+    assert got == _one_by_one(rows) == set(range(0, 1000, 2))
+    backwards = [(i, 1000 - i, 1, s, e, n, c, t) for i, _, _, s, e, n, c, t in rows]
+    assert _admitted(spark, backwards, max_rounds=1) == _one_by_one(backwards)
+
+
+@pytest.mark.parametrize("fold", [30])
+def test_large_busy_periods_equal_the_replay(spark, monkeypatch, fold):
+    from campusflow.plans import admission
+
+    monkeypatch.setattr(admission, "FOLD", fold)
+    rnd = random.Random(fold)
+    rows = []
+    for i in range(150):
+        s = h(rnd.randint(0, 100) / 2)
+        rows.append((i, rnd.randint(0, 10**6), rnd.randint(1, 2), s, s + timedelta(minutes=rnd.choice([20, 60, 200, 900])), rnd.randint(1, 4), 9, rnd.random() < 0.9))
+    assert _admitted(spark, rows) == _one_by_one(rows)
 
 
 def test_decisions_do_not_depend_on_partitioning(spark):
@@ -377,11 +468,11 @@ def test_event_changes_do_not_collide_within_a_batch(spark):
         (1, h(0), 100, 2, None, None, "2024-03-02", "12:00:00", "13:00:00", None),  # X to 12-13 at Hall
         (2, h(1), 101, 2, None, None, "2024-03-02", "12:30:00", "13:30:00", None),  # Y clashes with X's new slot
         (3, h(2), 100, 2, None, None, "2024-03-02", "12:15:00", "13:00:00", None),  # X again: no clash with itself
-        (4, h(3), 102, 3, None, None, None, None, None, 1),  # Z to Hall at 9:30-10:30: X's old slot, freed next batch only
+        (4, h(3), 102, 3, None, None, None, None, None, 1),  # Z to Hall at 9:30-10:30: X's old slot, freed by 1
     ])
     got = {r["request_id"]: r["reason"]
            for r in apply_event_updates(events, venues, hosts, reqs, AS_OF)["decisions"].collect()}
-    assert got == {1: None, 2: "CONFLICT", 3: None, 4: "CONFLICT"}
+    assert got == {1: None, 2: "CONFLICT", 3: None, 4: None}
 
 
 def test_double_submitted_orders_settle_in_three_rounds(spark):
@@ -454,3 +545,123 @@ def test_order_ranges_cut_one_key_with_one_timestamp(spark):
     want = rows.withColumn("w", F.sum("v").over(plain))
     assert got.join(want.select("request_id", "w"), "request_id").where("s <> w").count() == 0
     assert got.count() == 20_000
+
+
+# ------------------------------------------------- event changes, one by one
+def _change(i, event, kind, name="", text="", day="", start="", end="", venue=None):
+    return (i, h(i / 1000), event, kind, name, text, day, start, end, venue)
+
+
+def _changed(spark, events, rows, **kw):
+    from campusflow.plans.events import apply_event_updates
+
+    venues = df(spark, "venues", [(v, f"V{v}", "B", 500, 1) for v in (1, 2, 3)])
+    hosts = df(spark, "hosts", [(1, "H", "h@x", None, "", "Staff")])
+    out = apply_event_updates(df(spark, "events", events), venues, hosts, df(spark, "event_update_requests", rows), AS_OF, **kw)
+    reasons = {r["request_id"]: r["reason"] for r in out["decisions"].collect()}
+    after = {r["id"]: (r["name"], r["description"], r["start_ts"], r["end_ts"], r["location_id"]) for r in out["events_after"].collect()}
+    return reasons, after
+
+
+def _event(i, start, hours, venue, name="Old", text="old"):
+    return (i, name, text, start.date(), start, start + timedelta(hours=hours), venue, 1, "Scheduled", 10)
+
+
+def test_partial_changes_of_one_event_add_up(spark):
+    day = datetime(2024, 4, 2, 9)
+    reasons, after = _changed(spark, [_event(1, day, 1, 1), _event(2, day, 1, 2)], [
+        _change(1, 1, 1, name="New"), _change(2, 1, 1, text="newd"),
+        _change(3, 2, 2, day="2024-04-05"), _change(4, 2, 2, start="14:00:00", end="15:00:00"),
+        _change(5, 2, 2, end="13:00:00"),
+    ])
+    assert reasons == {1: None, 2: None, 3: None, 4: None, 5: "BAD_TIME"}
+    assert after[1][:2] == ("New", "newd")
+    assert after[2][2:4] == (datetime(2024, 4, 5, 14), datetime(2024, 4, 5, 15))
+
+
+def test_a_freed_slot_can_be_taken_in_the_same_batch(spark):
+    day = datetime(2024, 4, 2, 9)
+    events = [_event(1, day, 2, 1), _event(2, day + timedelta(hours=5), 1, 1), _event(3, day, 1, 2)]
+    moves = [
+        _change(1, 2, 2, start="09:30:00", end="10:30:00"),  # event 1 is there
+        _change(2, 1, 3, venue=3),
+        _change(3, 2, 2, start="09:30:00", end="10:30:00"),  # now it is gone
+        _change(4, 3, 3, venue=1),  # event 2 is there now
+        _change(5, 2, 3, venue=1),  # its own venue
+        _change(6, 2, 2, day="2024-04-03"),
+        _change(7, 3, 3, venue=1),
+    ]
+    reasons, after = _changed(spark, events, moves)
+    assert reasons == {1: "CONFLICT", 2: None, 3: None, 4: "CONFLICT", 5: "CONFLICT", 6: None, 7: None}
+    assert after[2][2] == datetime(2024, 4, 3, 9, 30) and (after[1][4], after[3][4]) == (3, 1)
+
+
+def test_event_changes_equal_the_replay(spark):
+    rnd = random.Random(17)
+    day = datetime(2024, 4, 2, 0)
+    events = [_event(i, day + timedelta(hours=rnd.randint(6, 18)), rnd.choice([1, 2, 3]), rnd.choice([1, 2, 3, None])) for i in range(12)]
+    events.append((50, "Bad", "", day.date(), day + timedelta(hours=9), day + timedelta(hours=8), 1, 1, "Scheduled", 10))
+    rows = []
+    for i in range(50):
+        a = rnd.randint(6, 20)
+        given = {"day": rnd.choice(["", "", "2024-04-02", "2024-04-03"]), "start": rnd.choice(["", f"{a}:00:00"]), "end": rnd.choice(["", f"{a + 1}:30:00", "noon"])}
+        event = rnd.choice([rnd.randint(0, 11), 50])
+        rows.append(_change(i, event, 2, **given) if rnd.random() < 0.6 else _change(i, event, 3, venue=rnd.randint(1, 3)))
+    now = {e[0]: [e[3].isoformat(), e[4].strftime("%H:%M:%S"), e[5].strftime("%H:%M:%S"), e[4], e[5], e[6]] for e in events}
+    want = {}
+    for i, _, event, kind, _, _, d, s, e, venue in rows:
+        cur = now[event]
+        texts = [x or y for x, y in zip((d, s, e), cur)] if kind == 2 else cur[:3]
+        try:
+            span = [datetime.strptime(f"{texts[0]} {x}", "%Y-%m-%d %H:%M:%S") for x in texts[1:3]] if kind == 2 else cur[3:5]
+        except ValueError:
+            want[i] = "UNPARSEABLE"
+            continue
+        place = cur[5] if kind == 2 else venue
+        if kind == 2 and span[1] <= span[0]:
+            want[i] = "BAD_TIME"
+            continue
+        others = [o for k, o in now.items() if kind == 3 or k != event]
+        want[i] = "CONFLICT" if span[0] < span[1] and any(o[5] == place and o[3] < span[1] and o[4] > span[0] for o in others) else None
+        if want[i] is None:
+            now[event] = [*texts, *span, place]
+    reasons, after = _changed(spark, events, rows)
+    assert reasons == want
+    assert {k: v[2:] for k, v in after.items()} == {k: tuple(v[3:]) for k, v in now.items()}
+
+
+# ------------------------------------------------------ hosts and components
+def test_components_of_a_long_chain(spark):
+    from campusflow.operators.components import components
+
+    rnd = random.Random(2)
+    names = rnd.sample(range(10_000), 1200)
+    links = list(zip(names[:1000], names[1:1000])) + [(names[1001], names[1002]), (names[1003], names[1003])]
+    rnd.shuffle(links)
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), max_rounds=25).collect()}
+    chain = set(names[:1000])
+    assert {k for k, v in got.items() if v == min(chain)} == chain
+    assert got[names[1001]] == got[names[1002]] == min(names[1001:1003]) and got[names[1003]] == names[1003]
+    assert len(got) == 1003
+
+
+@pytest.mark.parametrize("fold", [10_000, 7])
+def test_hosts_in_chains_of_shared_keys_equal_the_replay(spark, monkeypatch, fold):
+    from campusflow.plans import people
+
+    monkeypatch.setattr(people, "FOLD", fold)
+    rnd = random.Random(fold)
+    n = 1000 if fold > 100 else 60
+    # Emails and phones shared in turn, in a random order, and repeats of one phone.
+    keys = [(f"e{i // 2}", f"p{(i + 1) // 2}") for i in range(n)] + [(f"x{i}", "p0" if i % 3 else "") for i in range(40)] + [("y", ""), ("y", ""), (None, ""), (None, "p3")]
+    rnd.shuffle(keys)
+    rows = [(i, h(0), "N", e, p, "Staff", "") for i, (e, p) in enumerate(keys)]
+    hosts = [(1, "H", "e5", "p9", "", "Staff"), (2, "H", None, None, "", "Staff")]
+    out = people.apply_new_hosts(df(spark, "hosts", hosts), df(spark, "host_requests", rows))
+    emails, phones, want = {"e5"}, {"p9"}, {}
+    for i, (e, p) in enumerate(keys):
+        want[i] = not ((e is not None and e in emails) or (p and p in phones))
+        if want[i]:
+            emails.add(e)
+            phones.add(p)
+    assert {r["request_id"]: r["accepted"] for r in out["decisions"].collect()} == want
