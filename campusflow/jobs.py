@@ -5,10 +5,18 @@
         --requests /shared/requests/orders/2024-05-01 --out /shared/runs/2024-05-01 \\
         --as-of "2024-05-01 12:00:00"
 
-State tables are read from ``<tables>/<name>`` (parquet, declared schemas),
-requests from ``--requests``; every output DataFrame of the flow (decisions,
-deltas, new table states) is written to ``<out>/<output name>``, a new path
-per run, since parquet tables take no in-place UPDATE/DELETE.
+State tables are read from ``<tables>/<name>`` (declared schemas; parquet or,
+with ``--tables-format`` and ``--tables-option``, CSV, JSON or ORC), requests
+likewise from ``--requests``; every output DataFrame of the flow (decisions,
+deltas, new table states) is written to ``<out>/<output name>``.
+
+Nothing is dropped in silence: values that do not parse, of requests and of
+state tables alike, are written to ``rejects`` and ``state_rejects``, and the
+numbers of requests read, rejected, accepted and refused, counted in the passes
+that write the outputs, to ``<out>/_run.json``. That file is the commit: a run
+whose folder has it is not run again, and readers skip folders without it. With
+``--strict`` a run whose state tables have rejects is refused before any
+decision, since a stored row that is missing could let a request pass.
 """
 
 from __future__ import annotations
@@ -17,13 +25,15 @@ import argparse
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from campusflow.operators import conflicts as C
 from campusflow.operators import reports as R
 from campusflow.operators import rules as V
 from campusflow.plans import assets, bookings, events, orders, people, registrations, tickets
-from campusflow.sources.tables import read_table, read_with_rejects, write_table
+from campusflow.sources.state import Files
+from campusflow.sources.tables import STATE_SCHEMAS, read_with_rejects, write_table
 
 Tables = dict[str, DataFrame]
 
@@ -112,70 +122,139 @@ REQUEST_REPORTS: dict[str, tuple[str, Callable[[Tables, DataFrame], DataFrame]]]
 
 
 class LazyTables(dict):
-    """State tables read on first use from ``<root>/<name>``."""
+    """State tables read on first use from ``<root>/<name>``, or from the tables
+    of a catalog database (``sources.bucketed``) if ``root`` is ``catalog:<database>``.
+    ``rejects`` has the rejected values of each table read."""
+
+    CATALOG = "catalog:"
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet", **options: str):
         super().__init__()
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.fmt, self.options = spark, root.rstrip("/"), fmt, options
+        self.rejects: dict[str, DataFrame] = {}
 
     def __missing__(self, name: str) -> DataFrame:
-        df = read_table(self.spark, name, f"{self.root}/{name}")
-        self[name] = df
-        return df
+        if self.root.startswith(self.CATALOG):
+            rows = self.spark.table(f"{self.root.removeprefix(self.CATALOG)}.{name}")
+        else:
+            rows, self.rejects[name] = read_with_rejects(self.spark, name, f"{self.root}/{name}", self.fmt, **self.options)
+        self[name] = rows
+        return rows
+
+    def all_rejects(self) -> DataFrame:
+        """(table, key, column, value) of the tables read so far."""
+        out = self.spark.createDataFrame([], REJECTS)
+        for name, df in self.rejects.items():
+            key = F.col(df.columns[0]).cast("string").alias("key")
+            out = out.unionByName(df.select(F.lit(name).alias("table"), key, "column", "value"))
+        return out
+
+
+REJECTS = "table string, key string, column string, value string"
+#: The commit of a run, with its counts.
+RUN_FILE = "_run.json"
+
+
+class RejectedState(ValueError):
+    """State tables hold values that do not parse, and the run is strict."""
+
+
+def committed(spark: SparkSession, out: str) -> dict | None:
+    """The counts of a finished run, None if the folder has no finished run."""
+    files = Files(spark, out)
+    return files.read(RUN_FILE) if files.exists(RUN_FILE) else None
 
 
 def run_flow(spark: SparkSession, tables_root: str, flow: str, requests_path: str, out: str,
-             as_of: datetime | None = None) -> list[str]:
-    """Run one flow and write all its outputs; returns the output names written."""
+             as_of: datetime | None = None, fmt: str = "parquet", options: dict[str, str] | None = None,
+             tables_fmt: str = "parquet", tables_options: dict[str, str] | None = None, strict: bool = False) -> list[str]:
+    """Run one flow and write all its outputs; returns the output names
+    written, none if the run was finished before."""
+    if committed(spark, out) is not None:
+        return []
     kind, runner = FLOWS[flow]
     as_of = as_of or now(spark)
-    requests, rejects = read_with_rejects(spark, kind, requests_path)
-    outputs = runner(LazyTables(spark, tables_root), requests, as_of) | {"rejects": rejects}
+    read, decided = Observation(), Observation()
+    requests, rejects = read_with_rejects(spark, kind, requests_path, fmt, observed=read, **(options or {}))
+    tables = LazyTables(spark, tables_root, tables_fmt, **(tables_options or {}))
+    if strict:
+        _refuse_rejects(tables)
+    outputs = runner(tables, requests, as_of)
+    if "decisions" in outputs:
+        counts = [F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused")]
+        outputs["decisions"] = outputs["decisions"].observe(decided, *counts)
+    outputs |= {"rejects": rejects, "state_rejects": tables.all_rejects()}
     for name, df in outputs.items():
-        write_table(df, f"{out.rstrip('/')}/{name}")
+        write_table(df, f"{out.rstrip('/')}/{name}", mode="overwrite")  # left by a run that failed, if anything
+    counted = {"flow": flow, "as_of": str(as_of), **read.get, **(decided.get if "decisions" in outputs else {})}
+    Files(spark, out).commit(RUN_FILE, counted)
     return sorted(outputs)
 
 
+def _refuse_rejects(tables: LazyTables) -> None:
+    """Read every state table there is and refuse the run if one has rejects."""
+    for name in sorted(STATE_SCHEMAS):
+        if Files(tables.spark, tables.root).exists(name):
+            tables[name]
+    bad = {r["table"]: r["count"] for r in tables.all_rejects().groupBy("table").count().collect()}
+    if bad:
+        raise RejectedState(", ".join(f"{name}: {n} values" for name, n in sorted(bad.items())))
+
+
 def now(spark: SparkSession) -> datetime:
     """The run's one "now": every output of a run sees the same time."""
     return spark.sql("SELECT localtimestamp() AS now").first()["now"]
 
 
 def run_report(spark: SparkSession, tables_root: str, report: str, out: str, as_of: datetime | None = None,
-               requests_path: str | None = None) -> None:
-    """Run one report; those over requests read ``requests_path``."""
-    tables = LazyTables(spark, tables_root)
+               requests_path: str | None = None, fmt: str = "parquet", options: dict[str, str] | None = None,
+               tables_fmt: str = "parquet", tables_options: dict[str, str] | None = None) -> None:
+    """Run one report; those over requests read ``requests_path``. Values that
+    do not parse are written beside it, to ``<report>_rejects``."""
+    tables = LazyTables(spark, tables_root, tables_fmt, **(tables_options or {}))
     if report in REQUEST_REPORTS:
         kind, runner = REQUEST_REPORTS[report]
-        df = runner(tables, read_table(spark, kind, requests_path))
+        requests, tables.rejects[kind] = read_with_rejects(spark, kind, requests_path, fmt, **(options or {}))
+        df = runner(tables, requests)
     else:
         df = REPORTS[report](tables, as_of or now(spark))
     write_table(df, f"{out.rstrip('/')}/{report}")
+    write_table(tables.all_rejects(), f"{out.rstrip('/')}/{report}_rejects")
+
+
+def _options(given: list[str] | None) -> dict[str, str]:
+    return dict(o.split("=", 1) for o in given or [])
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__.split("\n")[0])
-    p.add_argument("--tables", required=True, help="folder holding one parquet table per state table")
+    p.add_argument("--tables", required=True, help="folder holding one table per state table, or catalog:<database>")
     p.add_argument("--out", required=True, help="new folder for this run's outputs")
     g = p.add_mutually_exclusive_group(required=True)
     g.add_argument("--flow", choices=sorted(FLOWS))
     g.add_argument("--report", choices=sorted({*REPORTS, *REQUEST_REPORTS}))
     p.add_argument("--requests", help="request table of the flow or report")
     p.add_argument("--as-of", help="'YYYY-MM-DD HH:MM:SS'; default: now")
+    for what in ("requests", "tables"):
+        p.add_argument(f"--{what}-format", default="parquet", choices=["parquet", "csv", "json", "orc"])
+        p.add_argument(f"--{what}-option", action="append", metavar="NAME=VALUE", help="reader option, as header=true")
+    p.add_argument("--strict", action="store_true", help="refuse a flow whose state tables have rejects")
     args = p.parse_args(argv)
     as_of = datetime.strptime(args.as_of, "%Y-%m-%d %H:%M:%S") if args.as_of else None
 
     from campusflow.session import get_spark
 
     spark = get_spark(app=f"campusflow-{args.flow or args.report}")
+    sources = {"fmt": args.requests_format, "options": _options(args.requests_option),
+               "tables_fmt": args.tables_format, "tables_options": _options(args.tables_option)}
     if args.flow:
         if not args.requests:
             p.error("--flow needs --requests")
-        run_flow(spark, args.tables, args.flow, args.requests, args.out, as_of)
+        run_flow(spark, args.tables, args.flow, args.requests, args.out, as_of, strict=args.strict, **sources)
     else:
         if args.report in REQUEST_REPORTS and not args.requests:
             p.error("this report needs --requests")
-        run_report(spark, args.tables, args.report, args.out, as_of, args.requests)
+        run_report(spark, args.tables, args.report, args.out, as_of, args.requests, **sources)
 
 
 if __name__ == "__main__":

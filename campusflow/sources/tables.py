@@ -9,7 +9,9 @@ TIME type by default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,53 +108,83 @@ def shaped(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def typed_rows(name: str, df: DataFrame, answers: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+#: Column of a text source that holds a line which could not be read.
+CORRUPT = "_corrupt_record"
+
+
+def typed_rows(
+    name: str, df: DataFrame, answers: tuple[str, ...] = (), observed: Observation | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Rows in the declared types, and the rejected values.
 
     Values are cast with ``try_cast``; ``answers`` are typed yes/no columns. A
     row with a given value that does not parse is left out of the rows and
     gives one reject (key, column, value) for each such value; the key is the
-    table's first declared column, as text in the rejects unless it is valid.
+    table's first declared column, as text in the rejects unless it is valid. A
+    line of a text source that could not be read (CORRUPT) is one reject with
+    its raw text. ``observed`` gets the numbers of rows read and rejected when
+    the rejects are computed, in the same pass.
     """
     schema, df = schema_of(name), shaped(name, df)
     values = {
         f.name: is_yes(f.name) if f.name in answers else F.col(f.name).try_cast(f.dataType) for f in schema.fields
     }
     bad = {c: F.col(c).isNotNull() & v.isNull() for c, v in values.items() if c not in answers}
-    any_bad = F.lit(False)
+    broken = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
+    any_bad = broken
     for b in bad.values():
         any_bad = any_bad | b
     rows = df.where(~any_bad).select(*[v.alias(c) for c, v in values.items()])
     key = schema.fields[0].name
-    wrong = F.array_compact(F.array(*[
-        F.when(b, F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c, b in bad.items()
-    ]))
+
+    def reject(column: str, value: Column) -> Column:
+        return F.struct(F.lit(column).alias("column"), value.cast("string").alias("value"))
+
+    wrong = F.array_compact(F.array(*[F.when(b, reject(c, F.col(c))) for c, b in bad.items()]))
+    if CORRUPT in df.columns:
+        wrong = F.when(broken, F.array(reject(CORRUPT, F.col(CORRUPT)))).otherwise(wrong)
+    if observed is not None:
+        df = df.observe(observed, F.count(F.lit(1)).alias("read"), F.count_if(any_bad).alias("rejected"))
     rejects = df.where(any_bad).select(values[key].alias(key), F.explode(wrong).alias("w")).select(key, "w.column", "w.value")
     return rows, rejects
 
 
+#: Columns of the application's own shape of a table, built into declared ones.
+SOURCE_COLUMNS = {"events": ("start_time", "end_time")}
+
+
+def _text_fields(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+
+
 def read_with_rejects(
-    spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str
+    spark: SparkSession, name: str, path: str, fmt: str = "parquet", observed: Observation | None = None, **options: str
 ) -> tuple[DataFrame, DataFrame]:
     """One stored state or request table in its declared types, and its
     rejected values (see ``typed_rows``).
 
     CSV and JSON are read as text, so that a malformed number is a reject and
-    not a NULL; parquet and ORC carry their own types, which are cast where
-    they differ.
+    not a NULL; so is a JSON line that does not parse and a CSV line with more
+    or fewer fields than columns. Parquet and ORC carry their own types, which
+    are cast where they differ.
     """
     reader = spark.read.options(**options)
+    declared = schema_of(name).fieldNames()
+    if fmt in ("csv", "json"):
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     if fmt == "csv":
-        names = options.get("header", "false").lower() == "true"
-        text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema_of(name).fields])
-        df = reader.csv(path) if names else reader.schema(text).csv(path)
+        header = options.get("header", "false").lower() == "true"
+        names = spark.read.options(**options).csv(path).columns if header else declared
+        df = reader.schema(_text_fields(names)).csv(path)
     elif fmt == "json":
-        df = reader.option("primitivesAsString", "true").json(path)
-        for f in schema_of(name).fields:  # a key that no row has
-            df = df if f.name in df.columns else df.withColumn(f.name, F.lit(None).cast("string"))
+        extra = SOURCE_COLUMNS.get(name, ())
+        df = reader.schema(_text_fields([*declared, *extra])).json(path)
+        if extra:
+            built = zip(("start_ts", "end_ts"), extra)
+            df = df.withColumns({c: F.coalesce(c, parse_date_time("date", t).cast("string")) for c, t in built})
     else:
         df = reader.format(fmt).load(path)
-    return typed_rows(name, df)
+    return typed_rows(name, df, observed=observed)
 
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -185,19 +217,14 @@ def read_jdbc_table(
     return typed_rows(name, spark.read.jdbc(url=url, table=table, properties=properties, **split))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     """Write a delta or a new table state to its own (new, versioned) path.
 
     Parquet tables have no row-level UPDATE/DELETE, and a table cannot be
     overwritten while it is being read, so every new state goes to a new path
-    and the caller switches to it.
+    and the caller switches to it (``state.StateTable`` does so by partition).
     """
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-
-
-def append_table(df: DataFrame, path: str) -> None:
-    """Append sink (the INSERT shapes)."""
-    df.write.mode("append").parquet(path)
