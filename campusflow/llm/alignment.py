@@ -165,7 +165,7 @@ def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _grown(array: np.ndarray, more: np.ndarray, used: int) -> np.ndarray:
     while len(array) < used + len(more):
-        array = np.concatenate([array, np.zeros_like(array)])
+        array = np.concatenate([array, np.zeros(max(len(array), 1 << 10), array.dtype)])
     array[used : used + len(more)] = more
     return array
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -86,3 +88,69 @@ def personal(text):
 
 def sha(spans, kinds):
     return hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def alignment(text, a, b, spell_a, spell_b):
+    """Ids of both sides -> (groups string, list of linked (a, b)), or None."""
+    spans = []
+    for ids, spell in ((a, spell_a), (b, spell_b)):
+        at, out = 0, []
+        for i in ids:
+            out.append((at, at + len(spell[i]), i))
+            at += len(spell[i])
+        spans.append(out)
+        if b"".join(spell[i] for i in ids) != b" " + text.encode():
+            return None
+    links = [(i, j) for s, e, i in spans[0] for t, f, j in spans[1] if s < f and t < e]
+    cuts, groups, begin = {e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]}, [], 0
+    for cut in sorted(cuts):
+        sides = [",".join(str(i) for _, e, i in side if begin < e <= cut) for side in spans]
+        groups.append("|".join(sides))
+        begin = cut
+    return ";".join(groups), links
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def run_features(text, runs):
+    words = WORD.findall((text or "").translate(ASCII_LOWER))
+    return words, [" ".join(words[i : i + n]) for n in range(1, runs + 1) for i in range(len(words) - n + 1)]
+
+
+def resampled(docs, target, runs, buckets, percent):
+    """doc_id -> (n_features, weight, score, rank)."""
+
+    def bucket(feature):
+        return zlib.crc32(feature.encode()) % buckets
+
+    corpus, wanted = Counter(), Counter()
+    for counts, texts in ((corpus, [t for _, t in docs]), (wanted, target)):
+        for t in texts:
+            counts.update(map(bucket, run_features(t, runs)[1]))
+    s, t = sum(corpus.values()), sum(wanted.values())
+    gain = [math.floor(1000 * math.log((wanted[b] + 1) * (s + buckets) / ((corpus[b] + 1) * (t + buckets)))) for b in range(buckets)]
+    out, able = {}, []
+    for i, text in docs:
+        words, features = run_features(text, runs)
+        weight = sum(gain[bucket(f)] for f in features)
+        h = int(hashlib.sha256(f"2024:{i}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out[i] = [len(features), weight, score, None]
+        if len(words) >= 20:
+            able.append((-score, i))
+    for rank, (_, i) in enumerate(sorted(able)[: percent * len(able) // 100], 1):
+        out[i][3] = rank
+    return {i: tuple(v) for i, v in out.items()}
+
+
+def top_scores(rows, k, every=100):
+    """(query_id, rank, vec_id, score) by exact integers."""
+    whole = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, v in whole:
+        if q is not None and q % every == 0:
+            scored = [(sum(x * y for x, y in zip(v, w)), i) for i, w in whole if i != q]
+            ordered = sorted(scored, key=lambda s: (-s[0], s[1] is None, s[1] or 0))
+            out += [(q, n, i, s) for n, (s, i) in enumerate(ordered[:k], 1)]
+    return out
