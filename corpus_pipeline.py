@@ -28,19 +28,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five-word shingles,
-    similarity 0.8): the one with the smallest doc_id, and one row of it if
-    rows repeat. Rows with a null doc_id belong to no group and stay."""
+    similarity 0.8): the one with the smallest doc_id. Rows that repeat doc_id
+    and text stay once; rows of one doc_id with different texts stay together,
+    so no text is lost. Rows with a null doc_id belong to no group and stay."""
     found = neardup.near_duplicates(spark, docs, words=5, percent=80)
     kept = found.where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
+    named = named.dropDuplicates(["doc_id", "_text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a copy of a benchmark item."""
+    """Drops the documents that hold a copy of a benchmark item. Rows are told
+    apart by a hash of their text, so that rows with a null or repeated doc_id
+    are judged by their own texts; null texts stay."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    bad = decontaminate.contaminated(spark, docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.select(F.xxhash64("text").alias("doc_id"), "text").where("text is not null")
+    bad = decontaminate.contaminated(spark, named, benchmark).select(F.col("doc_id").alias("_text")).distinct()
+    return docs.withColumn("_text", F.xxhash64("text")).join(bad, "_text", "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
