@@ -36,6 +36,8 @@ REJECT_BELOW = 0.3
 
 _known = np.zeros(0x110000 + 1, bool)
 _letter = np.zeros(0x110000 + 1, np.int64)
+#: Letters proper; combining marks are part of words but no letters.
+_alone = np.zeros(0x110000 + 1, bool)
 BLANK = 1
 
 
@@ -47,6 +49,7 @@ def _learn_letters(points: np.ndarray) -> None:
             _letter[p] = ord(low) + 1 if len(low) == 1 else p + 1
         else:
             _letter[p] = BLANK
+        _alone[p] = unicodedata.category(c)[0] == "L"
         _known[p] = True
 
 
@@ -68,8 +71,9 @@ def ngram_sets(texts) -> list[np.ndarray | None]:
     codes = codes[keep]
     triples = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
     out: list[np.ndarray | None] = []
-    for a, b in zip(bound[:-1], bound[1:]):
-        if b - a < 3:
+    lettered = np.logical_or.reduceat(_alone[flat], np.concatenate([[0], ends[:-1]])) if parts else ()
+    for a, b, any_letter in zip(bound[:-1], bound[1:], lettered):
+        if b - a < 3 or not any_letter:
             out.append(None)
             continue
         grams = np.unique(triples[a : b - 2])
