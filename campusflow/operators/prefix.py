@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from campusflow.plans.common import checkpoint
+
 
 def _filler(dtype: T.DataType) -> Column:
     """A non-NULL stand-in value of a column's type (used with an is-NULL flag)."""
@@ -118,3 +120,17 @@ def _running(
 def time_block(ts: str | Column, unit: str = "HOUR") -> Column:
     """Coarse block of a TIMESTAMP_NTZ column, non-decreasing with it."""
     return F.date_trunc(unit, F.col(ts) if isinstance(ts, str) else ts)
+
+
+def placed(ordered: DataFrame, out: str = "position") -> DataFrame:
+    """The rows of a sorted DataFrame with their places (1, 2, ...) in it.
+
+    Sorting leaves the rows in range partitions; a row's place is that in its
+    partition plus the sizes of the partitions before, one number each.
+    """
+    rows = checkpoint(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    upto = F.sum("_size").over(Window.orderBy("_range"))
+    before = sizes.select("_range", (upto - F.col("_size")).alias("_before"))
+    return rows.join(before, "_range").select(*ordered.columns, (F.col("_before") + F.col("_at") + 1).alias(out))

@@ -56,6 +56,14 @@ def order_payment_status(requests: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
+def order_total_text(requests: DataFrame, tickets: DataFrame) -> DataFrame:
+    """The total that the payment dialogue shows for each order request for a
+    ticket of its event and a given number: dollars with two decimals."""
+    r = requests.join(_ticket_lookup(tickets), "ticket_id", "inner").where(F.col("_t_event") == F.col("event_id"))
+    total = F.col("_price") * F.col("how_many")
+    return r.where(F.col("how_many").isNotNull()).select("request_id", F.when(total.isNotNull(), F.format_string("$%.2f", total)).alias("total"))
+
+
 def apply_orders(
     tickets: DataFrame, participants: DataFrame, students: DataFrame, events: DataFrame, venues: DataFrame,
     hosts: DataFrame, requests: DataFrame, as_of: datetime | None = None, max_rounds: int | None = None,

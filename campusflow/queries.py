@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campusflow.operators import conflicts as C
 from campusflow.operators import reports as R
 from campusflow.operators import rules as V
-from campusflow.operators.prefix import running_sums
+from campusflow.operators.prefix import placed
 from campusflow.plans import assets as PA
 from campusflow.plans import bookings as PB
 from campusflow.plans import events as PE
@@ -82,30 +82,24 @@ register("unknown_student_requests")(lambda t: R.unknown_student_requests(t.orde
 
 
 
-def _position(df: DataFrame, block: str, *order: str) -> DataFrame:
-    """The rows' places in the report's order over the whole table."""
-    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], block, list(order), {"position": "_one"})
+def _roster_order(t: FixtureTables) -> DataFrame:
+    roster = placed(R.attendance_roster(t.participants, t.students, ordered=True).select("event_id", "student_id", "name"))
+    first = roster.groupBy("event_id").agg(F.min("position").alias("_first"))
+    return roster.join(first, "event_id").select("event_id", "student_id", "name", (F.col("position") - F.col("_first") + 1).alias("position"))
 
 
-def _directory_order(t: FixtureTables) -> DataFrame:
-    days = R.event_directory(t.events).withColumn("_back", -F.unix_date("date"))
-    return _position(days, "_back", "_back", "id").select("id", "name", "position")
-
-
-def _upcoming_order(t: FixtureTables) -> DataFrame:
-    up = R.upcoming_events(t.events, t.venues, t.hosts, AS_OF)
-    up = up.withColumn("_day", F.unix_date("date"))
-    return _position(up, "_day", "_day", "start_ts", "event_id").select(F.col("event_id").alias("id"), "position")
-
-
-register("attendance_roster_order")(
-    lambda t: R.attendance_roster(t.participants, t.students).select(
-        "event_id", "student_id", "name",
-        F.row_number().over(Window.partitionBy("event_id").orderBy("name", "student_id")).cast("long").alias("position"),
-    )
+# The places of the rows in the sorted reports themselves.
+register("attendance_roster_order")(_roster_order)
+register("event_directory_order")(lambda t: placed(R.event_directory(t.events, ordered=True)).select("id", "name", "position"))
+register("upcoming_events_order")(
+    lambda t: placed(R.upcoming_events(t.events, t.venues, t.hosts, AS_OF, ordered=True)).select(F.col("event_id").alias("id"), "position")
+)
+register("completed_events_order")(
+    lambda t: placed(R.completed_events(t.events, t.venues, t.hosts, AS_OF, ordered=True)).select(F.col("event_id").alias("id"), "position")
+)
+register("participant_counts_order")(
+    lambda t: placed(R.participant_counts(t.participants, t.events, ordered=True)).select("event_id", "participant_count", "position")
 )
-register("event_directory_order")(_directory_order)
-register("upcoming_events_order")(_upcoming_order)
 
 # ------------------------------------------------------- overlap conflicts
 
@@ -186,6 +180,7 @@ register("ticket_stock_after")(
 )
 register("orders_delta")(lambda t: _orders(t)["orders_delta"])
 register("order_payment_status")(lambda t: PO.order_payment_status(t.order_requests, t.tickets))
+register("order_total_text")(lambda t: PO.order_total_text(t.order_requests, t.tickets))
 register("cancel_decisions")(lambda t: _cancels(t)["decisions"])
 register("refunds_by_ticket")(lambda t: _cancels(t)["refunds_by_ticket"])
 register("orders_of_cancelled")(lambda t: _cancels(t)["orders_removed"])

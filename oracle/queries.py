@@ -175,6 +175,13 @@ _BODIES.update({
         select p.event_id, s.id as student_id, s.name,
                row_number() over (partition by p.event_id order by s.name, s.id) as position
         from d_participants p join d_students s on p.user_id = s.id""",
+    "completed_events_order": f"""
+        select e.id, row_number() over (order by e.date desc, e.end_ts desc, e.id) as position
+        from d_events e join d_hosts h on h.id = e.organizer_id where e.end_ts <= {AS_OF_SQL}""",
+    "participant_counts_order": """
+        select event_id, participant_count, row_number() over (order by participant_count desc, event_id) as position
+        from (select p.event_id, count(p.user_id) as participant_count
+              from d_participants p join d_events e on p.event_id = e.id group by p.event_id)""",
     "event_directory_order": """
         select id, name, row_number() over (order by date desc, id) as position from d_events""",
     "upcoming_events_order": f"""
@@ -421,6 +428,9 @@ _BODIES.update({
                case when t.price * r.how_many <= 0 then 'Completed' when r.paid = 1 then 'Completed' else 'Pending' end
                  as payment_status
         from d_order_requests r join d_tickets t on r.ticket_id = t.id where t.event_id = r.event_id""",
+    "order_total_text": """
+        select r.request_id, printf('$%.2f', t.price * r.how_many) as total
+        from d_order_requests r join d_tickets t on r.ticket_id = t.id where t.event_id = r.event_id and r.how_many is not null""",
     "cancel_decisions": f"with {_CANCEL}\nselect request_id, user_id, event_id, reason, reason is null as accepted from cd",
     "refunds_by_ticket": f"""with {_CANCEL}
         select lt.ticket_id, x.event_id, x.refund
