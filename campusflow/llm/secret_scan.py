@@ -35,11 +35,12 @@ CLASSES = (
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.9),
 )
 #: Forms that are no secrets: UUIDs, dates and versions in slugs, placeholders.
+#: Repeated groups are possessive: the search neither recurses nor retries.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(?i)example|placeholder|changeme|dummy|your[-_]?(key|token|secret)",
     r"(?i)0123456789|1234567890|abcdefghij|qwertyuiop",
-    r"^[A-Za-z]+([/_=+-]+[A-Za-z]+)*([/_=+-]+[0-9]{1,8})*[/_=+-]*$",
+    r"^[A-Za-z]++(?:[/_=+-]++[A-Za-z]++)*+(?:[/_=+-]++[0-9]{1,8})*+[/_=+-]*+$",
     r"^(.)\1+$",
 )
 
@@ -51,14 +52,13 @@ def window_entropy(string: Column, window: int = WINDOW) -> Column:
     state = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(0.0).cast("double").alias("best")
     )
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length(string)),
-        lambda i: F.struct(
-            F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1))).alias("enters"),
-            F.when(i > window, F.instr(F.lit(ALPHABET), F.substring(string, F.greatest(i - window, F.lit(1)), F.lit(1)))).otherwise(0).alias("leaves"),
-            (i >= window).alias("full"),
-        ),
-    )
+    # Each symbol once, then the one that enters and the one that leaves by place.
+    symbols = F.transform(F.regexp_extract_all(string, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = S.bound(symbols, lambda a: F.transform(a, lambda x, i: F.struct(
+        x.alias("enters"),
+        F.when(i >= window, F.get(a, i - window)).otherwise(0).alias("leaves"),
+        (i >= window - 1).alias("full"),
+    )))
 
     def step(acc: Column, p: Column) -> Column:
         before = F.coalesce(F.get(acc["counts"], p["enters"] - 1), F.lit(0))
@@ -88,9 +88,11 @@ def _entropic(string: Column) -> Column:
 def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, the columns ``keep``, the
     counts n_assign, n_access, n_hex, n_entropy and ``found``, all spans as
-    sorted (start, kind, end). Entropy spans that overlap a base span are left
-    to it. Null texts count as empty; repeated rows give a row each; other
-    columns are ignored."""
+    sorted (start, kind, end). An entropy span inside a base span is left to
+    it; one that reaches beyond counts whole, so no end of a secret stays. Null
+    texts count as empty; repeated rows give a row each; an empty table gives
+    none; other columns are ignored. A very long text costs its length times
+    the logarithm of its number of matches."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(
         F.col("doc_id"), *[F.col(c) for c in keep if c != "doc_id"],
@@ -100,7 +102,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         S.matches(text, CANDIDATE, 0, lambda hit, _: _entropic(hit)).alias("_strings"),
     )
     base = F.array_sort(F.concat(S.tagged(F.col("_assign"), 0), S.tagged(F.col("_access"), 1), S.tagged(F.col("_hex"), 2)))
-    out = out.withColumn("base", base).withColumn("_more", S.tagged(S.outside(F.col("_strings"), F.col("base")), 3))
+    out = out.withColumn("base", base).withColumn("_more", S.tagged(S.not_inside(F.col("_strings"), F.col("base")), 3))
     return out.select(
         "doc_id", *[c for c in keep if c != "doc_id"],
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
@@ -111,7 +113,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_sha256 (of the base spans' digest), spans (the
-    digest of all spans) and n_entropy per row; see ``scan``."""
+    digest of all spans) and n_entropy per row; see ``scan`` for nulls, repeats,
+    empty tables and long texts."""
     return scan(docs).select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(S.digest(F.col("base"), KINDS), 256).alias("base_sha256"),
