@@ -46,7 +46,7 @@ def running(values: Column, combine: Callable[[Column, Column], Column], levels:
     def split(a: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(SHORT))
         blocks = F.transform(starts, lambda s: short(F.slice(a, s, SHORT)))
-        return bound(blocks, joined) if levels > 1 else F.flatten(blocks)
+        return F.when(F.size(a) == 0, a).otherwise(bound(blocks, joined) if levels > 1 else F.flatten(blocks))
 
     return bound(values, split)
 
