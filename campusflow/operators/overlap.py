@@ -249,6 +249,9 @@ def overlap_load_before(
     keys = list(keys)
     ps, pe = probe_span
     es, ee = entry_span
+    # Running sums would put NULL keys together; an equality on NULL matches nothing.
+    for k in keys:
+        probes, entries = probes.where(F.col(k).isNotNull()), entries.where(F.col(k).isNotNull())
     pr = probes.where(F.col(ps) < F.col(pe)).select(
         F.col(probe_id).alias("_pid"), *keys, *order, block, T.address(ps).alias("_lo"), T.address(pe).alias("_hi"),
         (T.address(ps) + 1).alias("_after"), F.lit(0).cast("long").alias("_w"), F.col(ps).alias("_ps"), F.col(pe).alias("_pe"),

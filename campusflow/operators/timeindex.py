@@ -39,7 +39,7 @@ def address(ts: str | Column) -> Column:
     """Address of a TIMESTAMP_NTZ column (the session time zone is UTC)."""
     micros = F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
     within = F.pmod(micros, F.lit(60_000_000))
-    minutes = ((micros - within) / 60_000_000).cast("long")
+    minutes = F.floor((micros - within) / 60_000_000 + 0.5)  # whole: the half only mends a rounded quotient
     seconds = F.floor(within / 1_000_000)
     return F.shiftleft(minutes, MINUTE_BITS) + F.shiftleft(seconds, SECOND_BITS) + within % 1_000_000
 

@@ -157,7 +157,8 @@ def settle_moves(moves: DataFrame, events: DataFrame, max_rounds: int | None = N
             ((F.col("kind") == 2) & (F.col("_te") <= F.col("_ts")), "BAD_TIME"),
         ])
         r = r.withColumn("_bad", bad)
-        probes = r.where(F.col("_bad").isNull()).select(
+        # An event without a venue conflicts with none.
+        probes = r.where(F.col("_bad").isNull() & F.col("_tl").isNotNull()).select(
             "request_id", *order, "_oblk", F.col("_tl").alias("location_id"), "_ts", "_te"
         )
         # Stored events: only for spans that were not asked for a round before.

@@ -132,13 +132,13 @@ def test_first_overlapping_matches_brute_force(spark):
 
 def test_overlap_load_before_matches_brute_force(spark):
     rnd = random.Random(6)
-    entries = [(*x, rnd.randint(0, 40), rnd.choice([-1, 1, 3])) for x in _spans(rnd, 150)]
-    probes = [(*x, rnd.randint(0, 40)) for x in _spans(rnd, 80, 1000)]
+    entries = [(*x, rnd.randint(0, 40), rnd.choice([-1, 1, 3])) for x in _spans(rnd, 150)] + [(900, None, h(0), h(9), 1, 1)]
+    probes = [(*x, rnd.randint(0, 40)) for x in _spans(rnd, 80, 1000)] + [(2000, None, h(0), h(9), 30)]
     en = spark.createDataFrame(entries, "id long, k long, s timestamp_ntz, e timestamp_ntz, at long, w int").withColumn("b", F.expr("at div 9"))
     pr = spark.createDataFrame(probes, "pid long, k long, ps timestamp_ntz, pe timestamp_ntz, at long").withColumn("b", F.expr("at div 9"))
     out = overlap_load_before(pr, en, ["k"], "pid", ("ps", "pe"), ("s", "e"), ["at"], "b", "w")
     got = {r["pid"]: r["load"] for r in out.collect()}
-    want = {p: sum(w for _, k, s, e, at, w in entries if k == pk and at < pat and s < pe and e > ps) for p, pk, ps, pe, pat in probes if ps < pe}
+    want = {p: sum(w for _, k, s, e, at, w in entries if k is not None and k == pk and at < pat and s < pe and e > ps) for p, pk, ps, pe, pat in probes if ps < pe}
     assert {p: got.get(p, 0) for p in want} == want
 
 
