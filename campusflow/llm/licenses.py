@@ -5,9 +5,9 @@ lines that are not blank, up to LONGEST words before the last line, joined.
 Of overlapping windows the one that holds most of its template counts, then
 the shortest; licence lines that touch it belong to its paragraph. A sparse logistic regression over word
 1- and 2-grams (presence) has a class per licence family and one for other
-text. It is fitted on the driver from the notices in TEMPLATES, thinned out at
-random, and on a bounded sample of the corpus's paragraphs (at most
-SAMPLE_DOCUMENTS documents) as other text. A licence paragraph is one that the
+text. It is fitted by Spark on the notices in TEMPLATES, thinned out at random,
+and on every line of the corpus that is no licence line as other text, lines
+with the same n-grams as one weighted row. A licence paragraph is one that the
 model puts in any family rather than in other text. Its family counts only if
 its probability reaches the calibrated threshold and a template of the family
 confirms it (its 2-grams are found in the paragraph to CONTAINED); else the
@@ -20,7 +20,11 @@ from __future__ import annotations
 
 import re
 
+from collections import Counter
+
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +59,11 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "Copyright. All rights reserved. No part may be reproduced without prior written permission"),
 ]
 
-SAMPLE_DOCUMENTS = 400
 VARIANTS = 40
-EPOCHS = 250
+EPOCHS = 60
 CONTAINED = 0.6
 #: Words whose weight for a family is this much above that for other text, and
-#: which at most COMMON of the sampled other paragraphs hold, open a paragraph
+#: which at most COMMON of the other lines hold, open a paragraph
 #: to the classifier.
 MARK = 0.5
 COMMON = 0.02
@@ -116,56 +119,75 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(other: list[str], seed: int = 7) -> Model:
-    """Softmax regression on thinned-out templates and other paragraphs; the
-    threshold keeps 99% of held-out variants in their family."""
+#: Words of a licence line that holds no template.
+LICENCE = r"(?i)licen[cs]e|copyright|rights reserved|\bcc[- ]?(by|0)|gnu|public domain"
+
+
+def variants(seed: int = 7) -> list[tuple[str, str]]:
+    """(family, text): the templates, thinned out at random."""
     rng = np.random.default_rng(seed)
-    families = [OTHER, *dict.fromkeys(f for f, _ in TEMPLATES)]
-    texts, labels = list(other), [0] * len(other)
+    out = []
     for family, text in TEMPLATES:
         words = text.split()
         for k in range(VARIANTS):
             drop = 0.0 if k % 4 == 0 or len(words) < 5 else 0.15
-            kept = [w for w in words if rng.random() >= drop] or words
-            texts.append(" ".join(kept))
-            labels.append(families.index(family))
-    vocabulary = sorted({g for _, t in TEMPLATES for g in grams_of(t)})
-    index = {v: k for k, v in enumerate(vocabulary)}
-    x = np.zeros((len(texts), len(vocabulary)), np.float32)
-    for i, t in enumerate(texts):
-        x[i, [index[g] for g in grams_of(t) if g in index]] = 1
-    y = np.eye(len(families), dtype=np.float32)[labels]
-    held = np.arange(len(texts)) % 5 == 0
-    share = y.sum(axis=0)
-    weight = (1 / share[labels])[~held, None]
-    weight /= weight.mean()
-    w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-    xt, yt = x[~held], y[~held]
-    for _ in range(EPOCHS):
-        z = xt @ w + b
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (yt - e / e.sum(axis=1, keepdims=True)) * weight / len(xt)
-        w += 4.0 * (xt.T @ error - 1e-4 * w)
-        b += 4.0 * error.sum(axis=0)
-    z = x[held] @ w + b
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    p = (e / e.sum(axis=1, keepdims=True))[np.arange(held.sum()), np.array(labels)[held]]
-    own = np.sort(p[np.array(labels)[held] > 0])
-    return Model(families, vocabulary, w, b, float(own[int(0.01 * len(own))]), x[: len(other)].mean(axis=0))
-
-
-def train(docs: DataFrame) -> Model:
-    """``fit`` with a bounded sample of paragraphs without licence words."""
-    rows = docs.where("text is not null")
-    total = rows.count()
-    scale = 1 << 30
-    limit = min(scale, int(2 * SAMPLE_DOCUMENTS / max(total, 1) * scale) + 1)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < limit).select("text").limit(SAMPLE_DOCUMENTS)
-    lines = sorted({line for r in sample.collect() for line in r["text"].split("\n") if line.strip()})
-    notices = [{g for g in grams_of(t) if " " in g} for _, t in TEMPLATES]
-    plain = [x for x in lines if not any(len(n & set(grams_of(x))) >= CONTAINED * len(n) for n in notices)]
-    plain = [x for x in plain if not re.search(r"(?i)licen[cs]e|copyright|rights reserved|\bcc[- ]?(by|0)|gnu|public domain", x)]
-    return fit(plain or ["plain text"])
+            out.append((family, " ".join([w for w in words if rng.random() >= drop] or words)))
+    return out
+
+
+def vocabulary_of() -> list[str]:
+    return sorted({g for _, t in TEMPLATES for g in grams_of(t)})
+
+
+def other_lines(docs: DataFrame) -> DataFrame:
+    """(grams, n): the n-grams of the templates that the corpus's other lines
+    hold, and how many of all its lines hold just those. Other lines have a
+    word and are no licence lines."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where((F.trim("line") != "") & ~F.col("line").rlike(LICENCE))
+    known = vocabulary_of()
+    single = [g for g in known if " " not in g]
+    # Words of no template can be in no n-gram: they become one that is in none.
+    words = lines.select(F.transform(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)), lambda w: F.when(w.isin(single), w)).alias("words"))
+    after = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
+    grams = words.select(F.array_compact("words").alias("words"), F.array_compact(F.zip_with("words", after, lambda a, b: F.concat(a, F.lit(" "), b))).alias("pairs"))
+    held = F.array_sort(F.array_distinct(F.concat("words", F.filter("pairs", lambda g: g.isin(known)))))
+    groups = grams.groupBy(held.alias("grams")).agg(F.count(F.lit(1)).alias("n"))
+    notice = F.lit(False)
+    for _, text in TEMPLATES:
+        pairs = [g for g in grams_of(text) if " " in g]
+        notice = notice | (F.size(F.array_intersect("grams", F.lit(pairs))) >= CONTAINED * len(pairs))
+    return groups.where(~notice)
+
+
+def train(shared: Shared, docs: DataFrame) -> Model:
+    """Softmax regression on the variants and every other line of the corpus,
+    each class of the same weight in all; the threshold keeps 99% of held-out
+    variants in their family."""
+    spark = shared.spark
+    families = [OTHER, *dict.fromkeys(f for f, _ in TEMPLATES)]
+    vocabulary = vocabulary_of()
+    lines = shared.table(other_lines(docs))
+    total = lines.agg(F.sum("n")).first()[0]
+    if not total:
+        lines, total = spark.createDataFrame([([], 1)], lines.schema), 1
+    texts = variants()
+    given = [(grams_of(t), families.index(f)) for i, (f, t) in enumerate(texts) if i % 5]
+    share = Counter(k for _, k in given)
+    notices = spark.createDataFrame([(g, float(k), 1.0 / share[k]) for g, k in given], "grams array<string>, label double, weight double")
+    rows = lines.select("grams", F.lit(0.0).alias("label"), (F.col("n") / float(total)).alias("weight")).unionByName(notices)
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="x", binary=True)
+    fitted = LogisticRegression(
+        featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=1e-4, standardization=False, maxIter=EPOCHS
+    ).fit(vectors.transform(rows))
+    # Rounded: tasks are summed up in no fixed order, which moves the last bits.
+    weights, bias = np.round(fitted.coefficientMatrix.toArray().T, 6), np.round(fitted.interceptVector.toArray(), 6)
+    held = lines.select(F.explode("grams").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    counts = {r["gram"]: r["n"] for r in held}
+    model = Model(families, vocabulary, weights, bias, 0.0, np.array([counts.get(v, 0) / total for v in vocabulary]))
+    kept = texts[::5]
+    p = model.probabilities([t for _, t in kept])[np.arange(len(kept)), [families.index(f) for f, _ in kept]]
+    model.least = float(np.sort(p)[int(0.01 * len(kept))])
+    return model
 
 
 def _windows(lines: Column, gate: str) -> Column:
@@ -223,10 +245,10 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     is kept; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(docs)
+    shared = Shared(spark, "licenses")
+    model = train(shared, docs)
     gate = model.gate()
     # Rows are told apart by a key of their own: doc_id may repeat.
-    shared = Shared(spark, "licenses")
     near = docs.where(F.col("text").rlike(gate)).withColumn("doc", F.monotonically_increasing_id())
     near = shared.table(near.select("doc", "doc_id", F.split("text", "\n", -1).alias("lines")))
     hit = near.select("doc", F.explode(_windows(F.col("lines"), gate)).alias("w")).select("doc", "w.*")

@@ -24,6 +24,7 @@ from campusflow.llm import (
     substrings,
     urlfilter,
 )
+from campusflow.llm.common import Shared
 from campusflow.llm.queries import QUERIES, SQL, URL_RULES
 
 
@@ -259,6 +260,13 @@ def test_license_scan(spark):
     assert {k[0] for k in out} == {1, 2, 4, 6}
 
 
+def test_license_model_learns_from_every_line(spark):
+    rows = [(i, f"plain words number {i}\n\nmore of them") for i in range(900)] + [(900, "software on its own"), (901, "All rights reserved")]
+    model = licenses.train(Shared(spark, "test"), spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.common[model.vocabulary.index("software")] == 1 / 1801
+    assert model.common[model.vocabulary.index("of")] == 900 / 1801
+
+
 def test_license_scan_joins_wrapped_notices(spark):
     gpl = ["// This program is free software: you can redistribute it and/or modify", "// it under the terms of the GNU General Public License as published by", "// the Free Software Foundation"]
     bsd = ["# Redistribution and use in source and binary", "# forms, with or without modification, are", "# permitted provided that the following", "# conditions are met"]
