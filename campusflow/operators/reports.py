@@ -77,6 +77,12 @@ def upcoming_events(
     return _sorted(out, ordered, "date", "start_ts", "event_id")
 
 
+def any_upcoming(events: DataFrame, hosts: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """Has a row if ``upcoming_events`` has one: the venue is optional there."""
+    later = events.where(F.col("end_ts") > _as_of(as_of)).select("organizer_id")
+    return later.join(hosts.select(F.col("id").alias("organizer_id")), "organizer_id", "left_semi")
+
+
 def completed_events(
     events: DataFrame, venues: DataFrame, hosts: DataFrame, as_of: datetime | None = None, ordered: bool = False
 ) -> DataFrame:

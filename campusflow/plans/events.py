@@ -13,7 +13,7 @@ from campusflow.functions.expr import NEW_EVENT_STATUS, empty_to_null, first_rea
 from campusflow.operators.conflicts import event_request_conflicts, with_event_span
 from campusflow.operators.overlap import overlap_load, overlap_load_before
 from campusflow.operators.prefix import running_max
-from campusflow.operators.reports import available_venues, upcoming_events
+from campusflow.operators.reports import any_upcoming, available_venues
 from campusflow.plans.admission import admit_overlapping
 from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, order_key, order_ranges
 
@@ -214,7 +214,7 @@ def apply_event_updates(
     of all other events: a slot that a change frees can be taken by the next
     request (``settle_moves``). Of each field the last accepted value stays.
     """
-    gate = upcoming_events(events, venues, hosts, as_of).exists()
+    gate = any_upcoming(events, hosts, as_of).exists()
     e = events.select(
         F.col("id").alias("event_id"), F.col("date").alias("_o_date"), F.col("start_ts").alias("_o_start"),
         F.col("end_ts").alias("_o_end"), F.col("location_id").alias("_o_loc"), F.col("max_participants").alias("_o_max"),

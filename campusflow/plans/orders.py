@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from campusflow.functions.expr import PAYMENT_COMPLETED, first_reason, payment_status
 from campusflow.operators.prefix import running_sums
-from campusflow.operators.reports import upcoming_events
+from campusflow.operators.reports import any_upcoming
 from campusflow.operators.rules import lowest_ticket
 from campusflow.plans.common import EMPTY_LIST, checkpoint, decide, nonempty, order_key, order_ranges
 
@@ -83,7 +83,9 @@ def apply_orders(
     registration. A pending order takes stock and may repeat.
     ``max_rounds`` is for tests only.
     """
-    gate_events = nonempty(upcoming_events(events, venues, hosts, as_of))
+    # The tickets are read by several steps below: derive them once.
+    tickets = checkpoint(tickets)
+    gate_events = nonempty(any_upcoming(events, hosts, as_of))
     gate_students = nonempty(students)
     known = students.select(F.col("id").alias("user_id"), F.lit(True).alias("_student"))
     reg0 = participants.groupBy(*PAIR).agg(F.lit(True).alias("_reg0"))
