@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions.expr import parse_date_time, parse_ts
-from campusflow.operators.overlap import first_overlapping, overlap_load, overlapping_pairs, overlapping_pairs_within
+from campusflow.operators.overlap import first_overlapping, inside_probes, overlap_load, overlapping_pairs, overlapping_pairs_within
+from campusflow.plans.common import checkpoint
 
 
 def with_event_span(requests: DataFrame, date_col: str = "date_text", start_col: str = "start_text",
@@ -109,7 +110,9 @@ def maintenance_conflict_names(requests: DataFrame, bookings: DataFrame, events:
     its event's name."""
     known = events.select(F.col("id").alias("event_id"), F.col("name").alias("event_name"))
     live = bookings.select(F.col("id").alias("booking_id"), "event_id", "resource_id", "booking_start", "booking_end")
-    live = live.join(known, "event_id")
+    # Read twice below, and joined with the events only where a request can meet it.
+    live = inside_probes(live, requests, ["resource_id"], ("booking_start", "booking_end"), ("start_ts", "end_ts"))
+    live = checkpoint(live.join(known, "event_id"))
     first = first_overlapping(
         requests, live, ["resource_id"], "request_id", ("start_ts", "end_ts"), ("booking_start", "booking_end"), "booking_id"
     )

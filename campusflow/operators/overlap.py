@@ -68,9 +68,11 @@ def overlapping_pairs(
     rb = right.where(F.col(rs).isNotNull() & F.col(re_).isNotNull()).withColumns({"_rlo": T.address(rs), "_rhi": T.address(re_)})
     # Each side is read for its scales and for its rows: materialize both once.
     lb, rb = checkpoint(lb), checkpoint(rb)
+    left_scales, right_scales = T.scales(lb, "_llo", "_lhi"), T.scales(rb, "_rlo", "_rhi")
+    lb = _near(lb, ("_llo", "_lhi"), rb, ("_rlo", "_rhi"), keys)
     # Role 1: the left span holds the right one's start; role 2: the other way round.
-    left_cells = T.in_roles(lb, "_llo", "_lhi", 1, 2, T.scales(rb, "_rlo", "_rhi")).drop("_llo", "_lhi")
-    right_cells = T.in_roles(rb, "_rlo", "_rhi", 2, 1, T.scales(lb, "_llo", "_lhi")).drop("_rlo", "_rhi")
+    left_cells = T.in_roles(lb, "_llo", "_lhi", 1, 2, right_scales).drop("_llo", "_lhi")
+    right_cells = T.in_roles(rb, "_rlo", "_rhi", 2, 1, left_scales).drop("_rlo", "_rhi")
     # Equal starts: the pair counts in role 2 only, unless the left span is reversed.
     once = F.when(F.col(T.ROLE) == 1, F.col(rs) > F.col(ls)).otherwise(F.col(ls) >= F.col(rs))
     cond = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re_)) & once
@@ -80,6 +82,33 @@ def overlapping_pairs(
     return left_cells.join(right_cells, [*keys, *cell], "inner").where(cond).drop(*cell)
 
 
+def _near(left: DataFrame, left_span: tuple[str, str], right: DataFrame, right_span: tuple[str, str], keys: list[str]) -> DataFrame:
+    """The rows of ``left`` that a right span can overlap, before each makes
+    its cells: in cells as long as the longest span of either side, what
+    overlaps a left span lies in the cell of its start or in the next one."""
+    llo, lhi = left_span
+    rlo, rhi = right_span
+    longest = [
+        df.where(F.col(lo) < F.col(hi)).agg(F.max(T.scale(lo, hi))).first()[0] or 0
+        for df, (lo, hi) in ((left, left_span), (right, right_span))
+    ]
+    level = F.lit(int(max(longest)))
+    first, last = T._shift(F.col(rlo), level) - 1, T._shift(F.greatest(F.col(rhi) - 1, F.col(rlo)), level)
+    held = right.select(*keys, F.explode(F.sequence(first, last)).alias("_near")).distinct()
+    return left.withColumn("_near", T._shift(F.col(llo), level)).join(held, [*keys, "_near"], "left_semi").drop("_near")
+
+
+def inside_probes(
+    stored: DataFrame, probes: DataFrame, keys: Sequence[str], stored_span: tuple[str, str], probe_span: tuple[str, str]
+) -> DataFrame:
+    """The rows of ``stored`` inside their key's envelope of valid probe spans:
+    no other can overlap a probe."""
+    (ss, se), (ps, pe) = stored_span, probe_span
+    pr = probes.where(F.col(ps) < F.col(pe)).select(*keys, F.col(ps).alias("_ps"), F.col(pe).alias("_pe"))
+    st = stored.withColumns({"_s": F.col(ss), "_e": F.col(se)})
+    return _inside_envelope(pr, st, list(keys)).select(*stored.columns)
+
+
 def overlapping_pairs_within(df: DataFrame, keys: Sequence[str], row_id: str, span: tuple[str, str], out: tuple[str, str]) -> DataFrame:
     """(keys, smaller id, larger id) of all pairs of rows of one table with
     equal ``keys`` and overlapping spans, once each; ``row_id`` is unique.

@@ -665,3 +665,18 @@ def test_hosts_in_chains_of_shared_keys_equal_the_replay(spark, monkeypatch, fol
             emails.add(e)
             phones.add(p)
     assert {r["request_id"]: r["accepted"] for r in out["decisions"].collect()} == want
+
+
+def test_pairs_are_sought_among_near_spans_only(spark):
+    from campusflow.operators import overlap
+
+    times = [("a", 1, 0, 90), ("a", 2, 5000, 5090), ("a", 3, 9000, 8990), ("b", 4, 0, 90)]
+    left = spark.createDataFrame(times, "k string, id int, lo long, hi long")
+    right = spark.createDataFrame([("a", 60, 120), ("a", 8000, 9500)], "k string, rlo long, rhi long")
+    near = overlap._near(left, ("lo", "hi"), right, ("rlo", "rhi"), ["k"])
+    found = {r.id for r in near.collect()}
+    assert {1, 3} <= found and 4 not in found
+    stored = spark.createDataFrame([("a", 0, 10), ("a", 30, 40), ("a", 15, 12), ("c", 0, 10)], "k string, s long, e long")
+    probes = spark.createDataFrame([("a", 5, 20), ("a", 50, 45)], "k string, ps long, pe long")
+    kept = overlap.inside_probes(stored, probes, ["k"], ("s", "e"), ("ps", "pe"))
+    assert sorted(map(tuple, kept.collect())) == [("a", 0, 10), ("a", 15, 12)]
