@@ -98,6 +98,18 @@ def _near(left: DataFrame, left_span: tuple[str, str], right: DataFrame, right_s
     return left.withColumn("_near", T._shift(F.col(llo), level)).join(held, [*keys, "_near"], "left_semi").drop("_near")
 
 
+def near_probes(
+    stored: DataFrame, probes: DataFrame, keys: Sequence[str], stored_span: tuple[str, str], probe_span: tuple[str, str]
+) -> DataFrame:
+    """The rows of ``stored`` in the cells around a valid probe span, for few
+    (materialized) probes: no other can overlap one. Rows with a reversed span stay."""
+    (ss, se), (ps, pe) = stored_span, probe_span
+    pr = probes.where(F.col(ps) < F.col(pe)).select(*keys, T.address(ps).alias("_plo"), T.address(pe).alias("_phi"))
+    st = stored.withColumns({"_lo": T.address(ss), "_hi": T.address(se)})
+    near = _near(st.where("_lo < _hi"), ("_lo", "_hi"), pr, ("_plo", "_phi"), list(keys))
+    return near.unionByName(st.where("_lo >= _hi")).select(*stored.columns)
+
+
 def inside_probes(
     stored: DataFrame, probes: DataFrame, keys: Sequence[str], stored_span: tuple[str, str], probe_span: tuple[str, str]
 ) -> DataFrame:

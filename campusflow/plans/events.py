@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from campusflow.functions.expr import NEW_EVENT_STATUS, empty_to_null, first_reason, overlaps, parse_date_time
 from campusflow.operators.conflicts import event_request_conflicts, with_event_span
-from campusflow.operators.overlap import overlap_load, overlap_load_before
+from campusflow.operators.overlap import near_probes, overlap_load, overlap_load_before
 from campusflow.operators.prefix import running_max
 from campusflow.operators.reports import any_upcoming, available_venues
 from campusflow.plans.admission import admit_overlapping
@@ -98,7 +98,20 @@ def _carried(moves: DataFrame) -> DataFrame:
     }
     values["_last_loc"] = F.when(moved, F.struct(F.col("request_ts"), F.col("request_id"), F.col("new_location_id").alias("v")))
     values["_timed"] = F.when(timed, order)
-    r = running_max(moves, ["event_id"], "_blk", ["request_ts", "request_id"], values, inclusive=False)
+    return _current(running_max(moves, ["event_id"], "_blk", ["request_ts", "request_id"], values, inclusive=False)).drop(*values)
+
+
+def _unchanged(moves: DataFrame) -> DataFrame:
+    """``_carried`` for a batch of which nothing is accepted."""
+    order = "request_ts timestamp_ntz, request_id long"
+    given = {out: F.lit(None).cast(f"struct<{order}, v: string>") for out in _LAST}
+    given["_last_loc"] = F.lit(None).cast(f"struct<{order}, v: long>")
+    given["_timed"] = F.lit(None).cast(f"struct<{order}>")
+    return _current(moves.withColumns(given)).drop(*given)
+
+
+def _current(r: DataFrame) -> DataFrame:
+    """The event's state from its stored fields and the last values given."""
     date = F.coalesce(F.col("_last_date.v"), F.col("_o_date").cast("string"))
     start = F.coalesce(F.col("_last_start.v"), F.date_format("_o_start", "HH:mm:ss"))
     end = F.coalesce(F.col("_last_end.v"), F.date_format("_o_end", "HH:mm:ss"))
@@ -107,7 +120,7 @@ def _carried(moves: DataFrame) -> DataFrame:
     return r.withColumns({
         "_s": F.when(timed_before, parse_date_time("_date", "_start")).otherwise(F.col("_o_start")),
         "_e": F.when(timed_before, parse_date_time("_date", "_end")).otherwise(F.col("_o_end")),
-    }).drop(*values)
+    })
 
 
 def _targets(moves: DataFrame) -> DataFrame:
@@ -123,6 +136,27 @@ def _targets(moves: DataFrame) -> DataFrame:
     }).drop("_nd", "_nst", "_net")
 
 
+#: What a stored event that no request can move adds to a load besides 1.
+_STAYS = 1 << 32
+
+
+def _asked(r: DataFrame) -> DataFrame:
+    """``_targets`` and why a request is refused whatever the others do (_bad).
+    The texts are parsed once, so they are materialized before they are used."""
+    bad = first_reason([
+        ((F.col("kind") == 2) & (F.col("_ts").isNull() | F.col("_te").isNull()), "UNPARSEABLE"),
+        ((F.col("kind") == 2) & (F.col("_te") <= F.col("_ts")), "BAD_TIME"),
+    ])
+    return checkpoint(_targets(r)).withColumn("_bad", bad)
+
+
+def _probes(r: DataFrame) -> DataFrame:
+    """The spans asked for; an event without a venue conflicts with none."""
+    return r.where(F.col("_bad").isNull() & F.col("_tl").isNotNull()).select(
+        "request_id", "request_ts", "_oblk", F.col("_tl").alias("location_id"), "_ts", "_te"
+    )
+
+
 def settle_moves(moves: DataFrame, events: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Decide time and venue changes (request_id, reason) as if one by one.
 
@@ -137,56 +171,72 @@ def settle_moves(moves: DataFrame, events: DataFrame, max_rounds: int | None = N
     outcome of working them off in order. Counts come from running sums along
     the batch in the cells of the time index, so no pairs are formed; a stored
     event is counted once for each span that is really asked for.
+
+    A stored event that no request asks to move stays where it is: a span that
+    meets one is refused whatever the log says, and neither enters the log nor
+    is looked up in it. An event all of whose requests are refused like that
+    from its stored state on never moves; its requests take no part in the
+    rounds.
     """
     columns = moves.columns
     order = ["request_ts", "request_id"]
+    span = ["request_id", "location_id", "_ts", "_te"]
     moves = order_ranges(order_ranges(moves, [], order, "_oblk"), ["event_id"], order)
-    stored = events.select("location_id", F.col("start_ts").alias("_xs"), F.col("end_ts").alias("_xe"))
-    state = moves.withColumn("_acc", F.lit(True))
-    known = None
+
+    ids = moves.select(F.col("event_id").alias("id"), F.lit(1).alias("_n")).distinct()
+    # Every round that asks for new spans reads it.
+    stored = checkpoint(events.join(ids, "id", "left").select(
+        "location_id", F.col("start_ts").alias("_xs"), F.col("end_ts").alias("_xe"), F.coalesce("_n", F.lit(_STAYS + 1)).alias("_n")
+    ))
+
+    def counted(probes: DataFrame, among: DataFrame) -> DataFrame:
+        found = overlap_load(probes, among, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), "_n", "_stored")
+        return checkpoint(found.select(*span, "_stored"))
+
+    met = F.coalesce("_stored", F.lit(0)) >= _STAYS
+    first = _asked(_unchanged(moves))
+    known = counted(_probes(first), stored)
+    first = first.join(known.select("request_id", "_stored"), "request_id", "left")
+    reason = F.coalesce(F.col("_bad"), F.when(met, F.lit("CONFLICT")))
+    first = checkpoint(first.select(*columns, "_blk", "_oblk", reason.alias("_reason")))
+    movable = checkpoint(first.where(F.col("_reason").isNull()).select("event_id").distinct())
+    refused = first.join(movable, "event_id", "left_anti").select("request_id", F.col("_reason").alias("reason"))
+    state = checkpoint(first.join(movable, "event_id", "left_semi").select(
+        *columns, "_blk", "_oblk", F.col("_reason").isNull().alias("_acc")
+    ))
     rounds = 0
     while True:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("event changes did not settle")
         _log.info("event changes, round %d", rounds)
-        # The texts are parsed once, so they are materialized before they are used.
-        r = checkpoint(_targets(_carried(state)))
-        bad = first_reason([
-            ((F.col("kind") == 2) & (F.col("_ts").isNull() | F.col("_te").isNull()), "UNPARSEABLE"),
-            ((F.col("kind") == 2) & (F.col("_te") <= F.col("_ts")), "BAD_TIME"),
-        ])
-        r = r.withColumn("_bad", bad)
-        # An event without a venue conflicts with none.
-        probes = r.where(F.col("_bad").isNull() & F.col("_tl").isNotNull()).select(
-            "request_id", *order, "_oblk", F.col("_tl").alias("location_id"), "_ts", "_te"
-        )
+        r = _asked(_carried(state))
+        probes = _probes(r)
         # Stored events: only for spans that were not asked for a round before.
-        fresh = probes if known is None else probes.join(known, ["request_id", "location_id", "_ts", "_te"], "left_anti")
-        span = ["request_id", "location_id", "_ts", "_te"]
-        if known is None or not fresh.isEmpty():
-            counted = overlap_load(fresh, stored, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), out="_stored")
-            counted = counted.select(*span, "_stored")
-            if known is not None:
-                counted = counted.unionByName(known.join(probes.select(*span), span, "left_semi"))
-            known = checkpoint(counted)
-        done = r.where(F.col("_acc") & F.col("_bad").isNull())
+        fresh = checkpoint(probes.join(known, span, "left_anti"))
+        known = known.join(probes.select(*span), span, "left_semi")
+        if not fresh.isEmpty():
+            near = near_probes(stored, fresh, ["location_id"], ("_xs", "_xe"), ("_ts", "_te"))
+            known = known.unionByName(counted(fresh, checkpoint(near)))
+        known = checkpoint(known)
+        r = checkpoint(r.join(known.select("request_id", "_stored"), "request_id", "left"))
+        done = r.where(F.col("_acc") & F.col("_bad").isNull() & ~met)
         log = done.select(*order, "_oblk", F.explode(F.array(
             F.struct(F.col("_loc").alias("location_id"), F.col("_s").alias("_xs"), F.col("_e").alias("_xe"), F.lit(-1).alias("_sign")),
             F.struct(F.col("_tl").alias("location_id"), F.col("_ts").alias("_xs"), F.col("_te").alias("_xe"), F.lit(1).alias("_sign")),
         )).alias("_x")).select(*order, "_oblk", "_x.*")
         moved = overlap_load_before(
-            probes, log, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), order, "_oblk", "_sign", "_moved"
+            _probes(r.where(~met)), log, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), order, "_oblk", "_sign", "_moved"
         )
-        r = r.join(known.select("request_id", "_stored"), "request_id", "left").join(moved, "request_id", "left")
+        r = r.join(moved, "request_id", "left")
         # A new time is not compared with the event itself, a new venue is.
         own = (F.col("kind") == 2) & (F.col("_tl") == F.col("_loc")) & overlaps(F.col("_s"), F.col("_e"), F.col("_ts"), F.col("_te"))
         others = F.coalesce("_stored", F.lit(0)) + F.coalesce("_moved", F.lit(0)) - F.when(own, 1).otherwise(0)
-        reason = F.coalesce(F.col("_bad"), F.when((others > 0), F.lit("CONFLICT")))
+        reason = F.coalesce(F.col("_bad"), F.when(met | (others > 0), F.lit("CONFLICT")))
         r = checkpoint(r.select(*columns, "_blk", "_oblk", "_acc", reason.alias("_reason")))
         changed = r.where(F.col("_acc") != F.col("_reason").isNull()).limit(1).count() > 0
         if not changed:
-            return r.select("request_id", F.col("_reason").alias("reason"))
+            return r.select("request_id", F.col("_reason").alias("reason")).unionByName(refused)
         state = r.select(*columns, "_blk", "_oblk", F.col("_reason").isNull().alias("_acc"))
 
 

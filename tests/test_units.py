@@ -596,6 +596,19 @@ def test_a_freed_slot_can_be_taken_in_the_same_batch(spark):
     assert after[2][2] == datetime(2024, 4, 3, 9, 30) and (after[1][4], after[3][4]) == (3, 1)
 
 
+def test_changes_that_meet_an_unmoved_event_need_one_round(spark):
+    """Guessing them all accepted takes a second round."""
+    day = datetime(2024, 4, 2, 9)
+    events = [_event(1, day, 2, 1), _event(2, day, 1, 2), _event(3, day, 1, 3)]
+    moves = [
+        _change(1, 2, 3, venue=1), _change(2, 3, 3, venue=1), _change(3, 2, 3, venue=1),
+        _change(4, 2, 2, start="noon"), _change(5, 3, 3, venue=1),
+    ]
+    reasons, after = _changed(spark, events, moves, max_rounds=1)
+    assert reasons == {1: "CONFLICT", 2: "CONFLICT", 3: "CONFLICT", 4: "UNPARSEABLE", 5: "CONFLICT"}
+    assert [after[k][4] for k in (1, 2, 3)] == [1, 2, 3]
+
+
 def test_event_changes_equal_the_replay(spark):
     rnd = random.Random(17)
     day = datetime(2024, 4, 2, 0)
