@@ -7,12 +7,9 @@ document has too.
 2. Contexts. Each occurrence of a shared anchor carries the bytes around it
    that WINDOW-byte strings with it can cover.
 3. Suffix sort. The suffixes of the contexts of one anchor that begin at the
-   same distance from it are sorted by a mergesort: polynomial prefix hashes
-   and a binary search give the common extension of two suffixes, so a
-   comparison takes a logarithmic number of steps and one byte. Neighbours with
-   a common extension of WINDOW bytes form a class (checked byte by byte; a
-   hash collision sends the chunk to a sort of the bytes themselves), and the
-   strings of a class are removed in all documents but the smallest one. In
+   same distance from it are sorted by a mergesort that compares their bytes,
+   many pairs at a time. Neighbours with a common extension of WINDOW bytes
+   form a class, and the strings of a class are removed in all documents but the smallest one. In
    groups of at most PAIRED different contexts the extensions to both sides of
    the anchor are searched for two contexts at a time instead.
    Anchors with more than HOT occurrences (the ends of a passage that very
@@ -41,6 +38,8 @@ WIDTH = 2 * SIDE + K
 HOT = 50_000
 #: Context rows sorted at a time.
 CHUNK = 20_000
+#: Pairs of context rows compared at a time.
+PART = 1 << 13
 #: Groups of at most so many different contexts are compared two by two.
 PAIRED = 24
 
@@ -171,41 +170,40 @@ def _contexts(docs: DataFrame) -> DataFrame:
 
 
 class Suffixes:
-    """Suffixes of byte rows, compared by prefix hashes."""
+    """Suffixes of byte rows, compared byte by byte, many pairs at a time."""
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
-        n, width = rows.shape
-        values = BYTE_VALUE[rows] * powers(BASE, width)
-        self.prefix = np.zeros((n, width + 1), U)
-        np.cumsum(values, axis=1, out=self.prefix[:, 1:])
-        self.back = powers(BASE_INV, width + 1)
 
-    def part(self, row: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (self.prefix[row, begin + size] - self.prefix[row, begin]) * self.back[begin]
+    def _differ(self, x: np.ndarray, y: np.ndarray):
+        """(pairs, where their bytes differ) of rows x and y, in parts that
+        stay in the cache."""
+        for k in range(0, len(x), PART):
+            part = slice(k, k + PART)
+            yield part, np.take(self.rows, x[part], axis=0) != np.take(self.rows, y[part], axis=0)
 
     def extension(self, x: np.ndarray, y: np.ndarray, begin: np.ndarray, most: int = WINDOW) -> np.ndarray:
-        """The common extension of rows x and y from ``begin`` on, up to
-        ``most``, by binary search over prefix hashes."""
-        low = np.zeros(len(x), np.int64)
-        high = np.full(len(x), most, np.int64)
-        while (open_ := low < high).any():
-            middle = (low + high + 1) // 2
-            same = self.part(x, begin, middle) == self.part(y, begin, middle)
-            low = np.where(open_ & same, middle, low)
-            high = np.where(open_ & ~same, middle - 1, high)
-        return low
-
-    def extension_back(self, x: np.ndarray, y: np.ndarray, end: int) -> np.ndarray:
-        """The common extension of rows x and y to the left of ``end``."""
-        low = np.zeros(len(x), np.int64)
-        high = np.full(len(x), end, np.int64)
-        while (open_ := low < high).any():
-            middle = (low + high + 1) // 2
-            same = self.part(x, end - middle, middle) == self.part(y, end - middle, middle)
-            low = np.where(open_ & same, middle, low)
-            high = np.where(open_ & ~same, middle - 1, high)
-        return low
+        """The common extension of rows x and y from ``begin`` on, up to ``most``."""
+        out = np.empty(len(x), np.int64)
+        column = np.arange(self.rows.shape[1])
+        for part, differ in self._differ(x, y):
+            differ &= column >= begin[part, None]
+            differ[:, -1] |= ~differ.any(axis=1)
+            end = differ.argmax(axis=1)
+            # The last byte may be set above: it is looked at itself.
+            end += self.rows[x[part], end] == self.rows[y[part], end]
+            out[part] = np.minimum(end - begin[part], most)
+        return out
+
+    def around(self, x: np.ndarray, y: np.ndarray, middle: int) -> tuple[np.ndarray, np.ndarray]:
+        """The common extensions of rows x and y to the left and to the right
+        of ``middle``."""
+        left, right = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+        for part, differ in self._differ(x, y):
+            ends = np.ones((len(differ), 1), bool)
+            left[part] = np.concatenate([differ[:, middle - 1 :: -1], ends], axis=1).argmax(axis=1)
+            right[part] = np.concatenate([differ[:, middle:], ends], axis=1).argmax(axis=1)
+        return left, right
 
     def before(self, x: np.ndarray, y: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as the first WINDOW bytes of x sort before, with or after y's."""
@@ -255,8 +253,7 @@ def repeats(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndar
     columns = np.arange(SIDE + 1)
     inside = (columns >= (SIDE - left)[:, None]) & (columns + WINDOW <= (SIDE + K + right)[:, None])
     # Equal contexts of a group count once, for their smallest document.
-    found = Suffixes(rows)
-    whole = found.part(np.arange(len(rows)), np.zeros(len(rows), np.int64), np.full(len(rows), WIDTH))
+    whole = (BYTE_VALUE[rows] * powers(BASE, WIDTH)).sum(axis=1, dtype=U)
     whole = whole * U(BASE) + (left * 64 + right).astype(U)
     order = np.lexsort((doc, whole, group))
     new = np.append(True, (group[order][1:] != group[order][:-1]) | (whole[order][1:] != whole[order][:-1]))
@@ -291,13 +288,6 @@ def _distinct_repeats(group: np.ndarray, doc: np.ndarray, inside: np.ndarray, ro
     joined = np.zeros(len(x), bool)
     near = np.flatnonzero(segment[1:] == segment[:-1]) + 1
     joined[near] = found.extension(x[near], x[near - 1], begin[near]) >= WINDOW
-    checked = np.flatnonzero(joined)
-    for k in range(0, len(checked), 1 << 16):
-        at = checked[k : k + (1 << 16)]
-        index = begin[at][:, None] + np.arange(WINDOW)
-        if (rows[x[at][:, None], index] != rows[x[at - 1][:, None], index]).any():
-            removed[_by_bytes(group, doc, inside, rows)] = True
-            return removed
     heads = np.flatnonzero(~joined)
     smallest = np.repeat(np.minimum.reduceat(doc[x], heads), np.diff(heads, append=len(x)))
     late = doc[x] > smallest
@@ -311,6 +301,7 @@ def _paired_repeats(found: Suffixes, group: np.ndarray, doc: np.ndarray, inside:
     that they share."""
     rows = found.rows
     marks = np.zeros((len(rows), SIDE + 2), np.int32)
+    least, most, some = inside.argmax(axis=1), SIDE - inside[:, ::-1].argmax(axis=1), inside.any(axis=1)
     for d in range(1, PAIRED):
         x = np.flatnonzero((group[d:] == group[:-d]) & (group[d:] >= 0))
         if not len(x):
@@ -318,24 +309,14 @@ def _paired_repeats(found: Suffixes, group: np.ndarray, doc: np.ndarray, inside:
         y = x + d
         x, y = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
         x, y = x[doc[x] > doc[y]], y[doc[x] > doc[y]]
-        right = found.extension(x, y, np.full(len(x), SIDE), K + SIDE)
-        left = found.extension_back(x, y, SIDE)
+        left, right = found.around(x, y, SIDE)
         first, last = SIDE - left, right + SIDE - WINDOW
         hit = np.flatnonzero(first <= last)
         x, y, first, last = x[hit], y[hit], first[hit], last[hit]
-        columns = np.arange(WIDTH)
-        shared = (columns >= first[:, None]) & (columns < (last + WINDOW)[:, None])
-        wrong = ((rows[x] != rows[y]) & shared).any(axis=1)
-        for k in np.flatnonzero(wrong):  # a collision: the strings themselves
-            equal = [o for o in range(SIDE + 1) if (rows[x[k], o : o + WINDOW] == rows[y[k], o : o + WINDOW]).all()]
-            for o in equal:
-                if inside[x[k], o] and inside[y[k], o]:
-                    marks[x[k], o] += 1
-                    marks[x[k], o + 1] -= 1
         # Padding never counts: a string must lie inside both contexts.
-        low = np.maximum(first, np.maximum(inside[x].argmax(axis=1), inside[y].argmax(axis=1)))
-        high = np.minimum(last, SIDE - np.maximum(inside[x][:, ::-1].argmax(axis=1), inside[y][:, ::-1].argmax(axis=1)))
-        good = ~wrong & (low <= high) & inside[x].any(axis=1) & inside[y].any(axis=1)
+        low = np.maximum(first, np.maximum(least[x], least[y]))
+        high = np.minimum(last, np.minimum(most[x], most[y]))
+        good = (low <= high) & some[x] & some[y]
         np.add.at(marks, (x[good], low[good]), 1)
         np.add.at(marks, (x[good], high[good] + 1), -1)
     return marks[:, :-1].cumsum(axis=1) > 0

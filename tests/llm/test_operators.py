@@ -336,6 +336,39 @@ def test_suffix_sort_by_brute_force():
     assert keys == sorted(keys)
 
 
+def test_common_extensions_by_brute_force():
+    rng = np.random.default_rng(8)
+    rows_ = rng.integers(0, 2, (30, substrings.WIDTH)).astype(np.uint8)
+    rows_[10:20, 5:70], rows_[20:] = rows_[:10, 5:70], rows_[:10]
+    x, y = np.divmod(np.arange(900), 30)
+    begin = rng.integers(0, substrings.SIDE + 1, 900)
+
+    def common(a, b):
+        return next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), len(a))
+
+    left, right = substrings.Suffixes(rows_).around(x, y, substrings.SIDE)
+    ahead = substrings.Suffixes(rows_).extension(x, y, begin)
+    for k, (a, b) in enumerate(zip(rows_[x], rows_[y])):
+        assert left[k] == common(a[: substrings.SIDE][::-1], b[: substrings.SIDE][::-1])
+        assert right[k] == common(a[substrings.SIDE :], b[substrings.SIDE :])
+        assert ahead[k] == min(common(a[begin[k] :], b[begin[k] :]), substrings.WINDOW)
+
+
+def test_shuffles_of_a_written_step_go(spark):
+    from campusflow.llm import common
+
+    before, seen = spark.conf.get(common.CLEANUP), []
+    rows_ = spark.range(50).selectExpr("id % 7 as k").groupBy("k").count()
+    table = Shared(spark, "test")
+    spark_set = spark.conf.set
+    try:
+        spark.conf.set = lambda k, v: (seen.append((k, v)), spark_set(k, v))
+        assert table.table(rows_).count() == 7
+    finally:
+        del spark.conf.set
+    assert seen[0] == (common.CLEANUP, "true") and spark.conf.get(common.CLEANUP) == before
+
+
 def test_repeats_after_a_collision(monkeypatch):
     rng = np.random.default_rng(6)
     body = rng.integers(0, 3, (6, substrings.WIDTH)).astype(np.uint8)
