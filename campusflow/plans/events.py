@@ -183,22 +183,29 @@ def settle_moves(moves: DataFrame, events: DataFrame, max_rounds: int | None = N
     span = ["request_id", "location_id", "_ts", "_te"]
     moves = order_ranges(order_ranges(moves, [], order, "_oblk"), ["event_id"], order)
 
-    ids = moves.select(F.col("event_id").alias("id"), F.lit(1).alias("_n")).distinct()
+    # Where request ids repeat, a load is no count of events: none is told apart.
+    unique = moves.groupBy("request_id").count().where("count > 1").isEmpty()
+    stays = _STAYS + 1 if unique else 1
+    ids = moves.select(F.col("event_id").alias("id"), F.lit(1).cast("long").alias("_n")).distinct()
     # Every round that asks for new spans reads it.
     stored = checkpoint(events.join(ids, "id", "left").select(
-        "location_id", F.col("start_ts").alias("_xs"), F.col("end_ts").alias("_xe"), F.coalesce("_n", F.lit(_STAYS + 1)).alias("_n")
+        "location_id", F.col("start_ts").alias("_xs"), F.col("end_ts").alias("_xe"), F.coalesce("_n", F.lit(stays).cast("long")).alias("_n")
     ))
 
     def counted(probes: DataFrame, among: DataFrame) -> DataFrame:
         found = overlap_load(probes, among, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), "_n", "_stored")
         return checkpoint(found.select(*span, "_stored"))
 
-    met = F.coalesce("_stored", F.lit(0)) >= _STAYS
-    first = _asked(_unchanged(moves))
-    known = counted(_probes(first), stored)
-    first = first.join(known.select("request_id", "_stored"), "request_id", "left")
-    reason = F.coalesce(F.col("_bad"), F.when(met, F.lit("CONFLICT")))
-    first = checkpoint(first.select(*columns, "_blk", "_oblk", reason.alias("_reason")))
+    met = F.coalesce("_stored", F.lit(0)) >= _STAYS if unique else F.lit(False)
+    if unique:
+        first = _asked(_unchanged(moves))
+        known = counted(_probes(first), stored)
+        first = first.join(known.select("request_id", "_stored"), "request_id", "left")
+        reason = F.coalesce(F.col("_bad"), F.when(met, F.lit("CONFLICT")))
+        first = checkpoint(first.select(*columns, "_blk", "_oblk", reason.alias("_reason")))
+    else:
+        known = None
+        first = moves.withColumn("_reason", F.lit(None).cast("string"))
     movable = checkpoint(first.where(F.col("_reason").isNull()).select("event_id").distinct())
     refused = first.join(movable, "event_id", "left_anti").select("request_id", F.col("_reason").alias("reason"))
     state = checkpoint(first.join(movable, "event_id", "left_semi").select(
@@ -213,22 +220,23 @@ def settle_moves(moves: DataFrame, events: DataFrame, max_rounds: int | None = N
         r = _asked(_carried(state))
         probes = _probes(r)
         # Stored events: only for spans that were not asked for a round before.
-        fresh = checkpoint(probes.join(known, span, "left_anti"))
-        known = known.join(probes.select(*span), span, "left_semi")
-        if not fresh.isEmpty():
+        fresh = checkpoint(probes if known is None else probes.join(known, span, "left_anti"))
+        if not fresh.isEmpty() or known is None:
             near = near_probes(stored, fresh, ["location_id"], ("_xs", "_xe"), ("_ts", "_te"))
-            known = known.unionByName(counted(fresh, checkpoint(near)))
-        known = checkpoint(known)
-        r = checkpoint(r.join(known.select("request_id", "_stored"), "request_id", "left"))
-        done = r.where(F.col("_acc") & F.col("_bad").isNull() & ~met)
+            now = counted(fresh, checkpoint(near))
+            if known is not None:
+                now = now.unionByName(known.join(probes.select(*span), span, "left_semi"))
+            known = checkpoint(now)
+        settled = known.where(met).select("request_id")
+        done = r.where(F.col("_acc") & F.col("_bad").isNull()).join(settled, "request_id", "left_anti")
         log = done.select(*order, "_oblk", F.explode(F.array(
             F.struct(F.col("_loc").alias("location_id"), F.col("_s").alias("_xs"), F.col("_e").alias("_xe"), F.lit(-1).alias("_sign")),
             F.struct(F.col("_tl").alias("location_id"), F.col("_ts").alias("_xs"), F.col("_te").alias("_xe"), F.lit(1).alias("_sign")),
         )).alias("_x")).select(*order, "_oblk", "_x.*")
         moved = overlap_load_before(
-            _probes(r.where(~met)), log, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), order, "_oblk", "_sign", "_moved"
+            probes.join(settled, "request_id", "left_anti"), log, ["location_id"], "request_id", ("_ts", "_te"), ("_xs", "_xe"), order, "_oblk", "_sign", "_moved"
         )
-        r = r.join(moved, "request_id", "left")
+        r = r.join(known.select("request_id", "_stored"), "request_id", "left").join(moved, "request_id", "left")
         # A new time is not compared with the event itself, a new venue is.
         own = (F.col("kind") == 2) & (F.col("_tl") == F.col("_loc")) & overlaps(F.col("_s"), F.col("_e"), F.col("_ts"), F.col("_te"))
         others = F.coalesce("_stored", F.lit(0)) + F.coalesce("_moved", F.lit(0)) - F.when(own, 1).otherwise(0)
