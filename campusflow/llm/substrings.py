@@ -6,9 +6,10 @@ document has too.
    Anchors are dealt by hash, sorted, and those of a single document go.
 2. Contexts. Each occurrence of a shared anchor carries the bytes around it
    that WINDOW-byte strings with it can cover.
-3. Suffix sort. The suffixes of the contexts of one anchor that begin at the
-   same distance from it are sorted by a mergesort that compares their bytes,
-   many pairs at a time. Neighbours with a common extension of WINDOW bytes
+3. Suffix sort. The suffixes of the contexts of one anchor that begin with it
+   are sorted by a mergesort that compares their bytes, many pairs at a time,
+   and so are the reversed prefixes that end with it. Runs of neighbours whose
+   common extensions reach both ends of a WINDOW-byte string share it: they
    form a class, and the strings of a class are removed in all documents but the smallest one. In
    groups of at most PAIRED different contexts the extensions to both sides of
    the anchor are searched for two contexts at a time instead.
@@ -34,6 +35,8 @@ K = 24
 SPAN = WINDOW - K + 1
 SIDE = WINDOW - K
 WIDTH = 2 * SIDE + K
+#: Bytes of text whose anchors are searched at a time, in the cache.
+PIECE = 1 << 17
 #: Occurrences of an anchor from which it is split by strings.
 HOT = 50_000
 #: Context rows sorted at a time.
@@ -56,6 +59,16 @@ def _slide(values: np.ndarray, n: int, pick) -> np.ndarray:
 def anchors(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, hash) of the anchors of several texts. All anchors of
     every WINDOW-byte string of a text are among them."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
+    parts = [none]
+    for a, b in batches(blobs, PIECE):
+        row, at, found = _anchors(blobs[a:b])
+        parts.append((row + a, at, found))
+    row, at, found = (np.concatenate(x) for x in zip(*parts))
+    return row, at, found
+
+
+def _anchors(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(b) for b in blobs], np.int64)
     data = np.frombuffer(b"".join(blobs), np.uint8)
     if len(data) < WINDOW:
@@ -90,9 +103,13 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
                     own.setdefault(blobs[k], int(k))
                 kept = sorted(own.values())
                 row, _, found = anchors([blobs[k] for k in kept])
-                pairs = np.unique(np.stack([found, row.astype(U)], axis=1), axis=0) if len(row) else np.empty((0, 2), U)
-                doc = ids[np.array(kept, np.int64)[pairs[:, 1].astype(np.int64)]]
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pairs[:, 0].view(np.int64))], names=["doc_id", "hash"])
+                # Rows ascend, so that a text's equal anchors become neighbours.
+                order = np.argsort(found, kind="stable")
+                row, found = row[order], found[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+                doc = ids[np.array(kept, np.int64)[row[new]]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(found[new].view(np.int64))], names=["doc_id", "hash"])
 
     def share(tables):
         pending, last, length = None, None, 0
@@ -146,15 +163,18 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 hit = np.isin(_short(found), wanted)
                 which, at, found = which[hit], at[hit], found[hit]
                 sizes = np.array([len(x) for x in blobs[a:b]], np.int64)
-                data = np.frombuffer(b"".join(blobs[a:b]), np.uint8)
+                # Every place of the texts as one value of WIDTH bytes.
+                data = b"".join([bytes(SIDE), *blobs[a:b], bytes(WIDTH)])
+                wide = np.ndarray(len(data) - WIDTH + 1, f"V{WIDTH}", data, strides=(1,))
                 left, right = np.minimum(at, SIDE), np.minimum(sizes[which] - at - K, SIDE)
-                for lo in range(0, len(which), 4096):
-                    part = slice(lo, lo + 4096)
-                    place = (np.cumsum(sizes) - sizes)[which[part]] + at[part] - SIDE
-                    index = place[:, None] + np.arange(WIDTH)
-                    body = np.take(data, np.clip(index, 0, len(data) - 1))
+                place = (np.cumsum(sizes) - sizes)[which] + at
+                for lo in range(0, len(which), 1 << 14):
+                    part = slice(lo, lo + (1 << 14))
+                    body = wide[place[part]].view(np.uint8).reshape(-1, WIDTH)
+                    edge = np.flatnonzero((left[part] < SIDE) | (right[part] < SIDE))
                     column = np.arange(WIDTH)
-                    body[(column < (SIDE - left[part])[:, None]) | (column >= (SIDE + K + right[part])[:, None])] = 0
+                    outside = (column < (SIDE - left[part][edge])[:, None]) | (column >= (SIDE + K + right[part][edge])[:, None])
+                    body[edge] = np.where(outside, 0, body[edge])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(found[part].view(np.int64)), pa.array(ids[a:b][which[part]]), pa.array(keys[a:b][which[part]]),
@@ -278,20 +298,42 @@ def _distinct_repeats(group: np.ndarray, doc: np.ndarray, inside: np.ndarray, ro
     sizes = np.diff(starts, append=len(group))
     size = np.repeat(sizes, sizes)
     removed = _paired_repeats(found, np.where(size <= PAIRED, np.repeat(np.arange(len(starts)), sizes), -1), doc, inside)
-    rest = inside & (size > PAIRED)[:, None]
-    begin, x = np.nonzero(rest.T)
-    if not len(x):
-        return removed
-    segment = begin * len(rows) + np.repeat(np.arange(len(starts)), sizes)[x]
-    order = found.sort(x, begin, segment)
-    x, begin, segment = x[order], begin[order], segment[order]
-    joined = np.zeros(len(x), bool)
-    near = np.flatnonzero(segment[1:] == segment[:-1]) + 1
-    joined[near] = found.extension(x[near], x[near - 1], begin[near]) >= WINDOW
-    heads = np.flatnonzero(~joined)
-    smallest = np.repeat(np.minimum.reduceat(doc[x], heads), np.diff(heads, append=len(x)))
-    late = doc[x] > smallest
-    removed[x[late], begin[late]] = True
+    x = np.flatnonzero(size > PAIRED)
+    if len(x):
+        removed[x] = _class_repeats(group[x], doc[x], inside[x], rows[x])
+    return removed
+
+
+def _ranked(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of each group by their bytes from SIDE on, and
+    the common extension of each with the one before (-1: the first)."""
+    found, begin = Suffixes(rows), np.full(len(rows), SIDE)
+    order = found.sort(np.arange(len(rows)), begin, group)
+    common = np.full(len(rows), -1)
+    near = np.flatnonzero(group[1:] == group[:-1]) + 1
+    common[near] = found.extension(order[near], order[near - 1], begin[near])
+    return order, common
+
+
+def _class_repeats(group: np.ndarray, doc: np.ndarray, inside: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The same for groups of any size: a string is shared by the contexts
+    that agree from the anchor to its end and, read backwards, to its begin."""
+    after, ahead = _ranked(rows, group)
+    before, back = _ranked(np.ascontiguousarray(rows[:, ::-1]), group)
+    removed = np.zeros(inside.shape, bool)
+    right, left = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    for o in range(SIDE + 1):
+        x = np.flatnonzero(inside[:, o])
+        if not len(x):
+            continue
+        right[after] = np.cumsum(ahead < K + o)
+        left[before] = np.cumsum(back < WINDOW - o)
+        key = left[x] * (len(rows) + 1) + right[x]
+        order = np.argsort(key)
+        x, key = x[order], key[order]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        smallest = np.repeat(np.minimum.reduceat(doc[x], heads), np.diff(heads, append=len(x)))
+        removed[x, o] = doc[x] > smallest
     return removed
 
 
@@ -385,24 +427,25 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
             _bytes_of(table.column("context")),
         ]
 
-    def join(x, y):
-        return [np.concatenate([p, q]) for p, q in zip(x, y)]
+    def join(parts):
+        return [np.concatenate(columns) for columns in zip(*parts)]
 
     def run(tables):
-        waiting = None
+        waiting, count = [], 0
         for table in tables:
             if not table.num_rows:
                 continue
-            now = read(table)
-            waiting = now if waiting is None else join(waiting, now)
-            group = waiting[0]
-            if len(group) < CHUNK or group[0] == group[-1]:
+            waiting.append(read(table))
+            count += table.num_rows
+            if count < CHUNK or waiting[0][0][0] == waiting[-1][0][-1]:
                 continue
+            whole = join(waiting)
+            group = whole[0]
             cut = int(np.flatnonzero(group != group[-1])[-1]) + 1
-            yield from emit([c[:cut] for c in waiting])
-            waiting = [c[cut:] for c in waiting]
-        if waiting is not None:
-            yield from emit(waiting)
+            yield from emit([c[:cut] for c in whole])
+            waiting, count = [[c[cut:].copy() for c in whole]], len(group) - cut
+        if waiting:
+            yield from emit(join(waiting))
 
     dealt = contexts.repartition("hash").sortWithinPartitions("hash", "doc_id")
     return dealt.mapInArrow(run, "doc_id long, row long, begin long, end long")
@@ -426,16 +469,26 @@ def _cut(docs: DataFrame) -> DataFrame:
 
     def run(tables):
         for table in tables:
-            out = []
-            for body, spans in zip(table.column("body").to_pylist(), table.column("spans").to_pylist()):
-                pairs = np.array([(x["begin"], x["end"]) for x in spans], np.int64)
-                begin, end = _runs(pairs[:, 0], pairs[:, 1])
-                edges = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(body)]
+            if not table.num_rows:
+                continue
+            bodies, spans = table.column("body").to_pylist(), table.column("spans")
+            sizes = np.array([len(x) for x in bodies], np.int64)
+            # Places of all texts one after the other, with a gap.
+            wide = int(sizes.max(initial=0)) + 1
+            which = np.repeat(np.arange(len(bodies)), np.diff(spans.offsets.to_numpy()))
+            begin, end = (x.to_numpy() + which * wide for x in spans.flatten().flatten())
+            begin, end = _runs(begin, end)
+            row = begin // wide
+            bound = np.searchsorted(row, np.arange(len(bodies) + 1))
+            total = np.append(0, np.cumsum(end - begin))
+            removed, runs = total[bound[1:]] - total[bound[:-1]], np.diff(bound)
+            edges, digests = np.stack([begin - row * wide, end - row * wide], axis=1).ravel().tolist(), []
+            for body, lo, hi in zip(bodies, bound[:-1].tolist(), bound[1:].tolist()):
+                kept = [0, *edges[2 * lo : 2 * hi], len(body)]
                 digest = hashlib.sha256()
-                for a, b in zip(edges[::2], edges[1::2]):
+                for a, b in zip(kept[::2], kept[1::2]):
                     digest.update(body[a:b])
-                out.append((int((end - begin).sum()), len(begin), digest.hexdigest()))
-            removed, runs, digests = zip(*out) if out else ((), (), ())
+                digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("doc_id"), table.column("body_hash"),
@@ -477,13 +530,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     places = searched.join(wanted, ["doc_id", "body_hash"])
     places = shared.table(places.withColumn("row", F.monotonically_increasing_id()))
     shared.drop(several_path)
-    found = _contexts(places)
+    found, found_path = _contexts(places), None
     if hot.isEmpty():
         spans = _sorted_repeats(found)
     else:
-        found = shared.table(found)
+        found, found_path = shared.write(found)
         spans = _sorted_repeats(found.join(hot, "hash", "left_anti")).unionByName(_hot_repeats(found.join(hot, "hash")))
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    # Written before the texts are dealt again: what the contexts shuffled goes first.
+    spans = shared.table(spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
+    if found_path:
+        shared.drop(found_path)
     cut = places.select("row", "doc_id", "body_hash", "body").join(spans, "row")
     cut = _cut(cut).dropDuplicates(["doc_id", "body_hash"])
 

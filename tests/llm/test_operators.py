@@ -354,6 +354,36 @@ def test_common_extensions_by_brute_force():
         assert ahead[k] == min(common(a[begin[k] :], b[begin[k] :]), substrings.WINDOW)
 
 
+def test_large_groups_sort_each_context_twice(monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 4 * substrings.PAIRED
+    body = rng.integers(0, 2, (2 * n, substrings.WIDTH)).astype(np.uint8)
+    body[:, substrings.SIDE : -substrings.SIDE] = 1
+    body[1::2, 9:70] = body[::2, 9:70]
+    body[::3, :20], body[::3, 60:] = 0, 0
+    group, doc = np.repeat([4, 7], n), rng.integers(0, 30, 2 * n)
+    left, right = rng.integers(15, substrings.SIDE + 1, 2 * n), rng.integers(15, substrings.SIDE + 1, 2 * n)
+    column = np.arange(substrings.WIDTH)
+    body[(column < (substrings.SIDE - left)[:, None]) | (column >= (substrings.SIDE + substrings.K + right)[:, None])] = 0
+    begins = np.arange(substrings.SIDE + 1)
+    inside = (begins >= (substrings.SIDE - left)[:, None]) & (begins + substrings.WINDOW <= (substrings.SIDE + substrings.K + right)[:, None])
+    expected = sorted(zip(*substrings._by_bytes(group, doc, inside, body)))
+    dealt, sort = [], substrings.Suffixes.sort
+    monkeypatch.setattr(substrings.Suffixes, "sort", lambda self, row, *rest: (dealt.append(len(row)), sort(self, row, *rest))[1])
+    assert sorted(zip(*substrings.repeats(group, doc, left, right, body))) == expected
+    assert expected and n < sum(dealt) <= 2 * len(body)
+
+
+def test_spans_are_written_before_texts_are_dealt(spark, monkeypatch):
+    from campusflow.llm import common
+
+    seen, write = [], common.Shared.write
+    monkeypatch.setattr(common.Shared, "write", lambda self, df: (seen.append(df.columns), write(self, df))[1])
+    docs = [(i, f"{i} the same passage of well over fifty bytes in every text {i * i}") for i in range(5)]
+    assert substrings.remove_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).count() == 5
+    assert seen[-1] == ["row", "spans"]
+
+
 def test_shuffles_of_a_written_step_go(spark):
     from campusflow.llm import common
 
