@@ -139,7 +139,7 @@ def vocabulary_of() -> list[str]:
     return sorted({g for _, t in TEMPLATES for g in grams_of(t)})
 
 
-def other_lines(docs: DataFrame) -> DataFrame:
+def other_lines(shared: Shared, docs: DataFrame) -> DataFrame:
     """(grams, n): the n-grams of the templates that the corpus's other lines
     hold, and how many of all its lines hold just those. Other lines have a
     word and are no licence lines."""
@@ -151,7 +151,9 @@ def other_lines(docs: DataFrame) -> DataFrame:
     after = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
     grams = words.select(F.array_compact("words").alias("words"), F.array_compact(F.zip_with("words", after, lambda a, b: F.concat(a, F.lit(" "), b))).alias("pairs"))
     held = F.array_sort(F.array_distinct(F.concat("words", F.filter("pairs", lambda g: g.isin(known)))))
-    groups = grams.groupBy(held.alias("grams")).agg(F.count(F.lit(1)).alias("n"))
+    # Written, or the filter below would be pushed under the groups: every line
+    # would be held against every template, its n-grams made anew each time.
+    groups = shared.table(grams.groupBy(held.alias("grams")).agg(F.count(F.lit(1)).alias("n")))
     notice = F.lit(False)
     for _, text in TEMPLATES:
         pairs = [g for g in grams_of(text) if " " in g]
@@ -166,7 +168,7 @@ def train(shared: Shared, docs: DataFrame) -> Model:
     spark = shared.spark
     families = [OTHER, *dict.fromkeys(f for f, _ in TEMPLATES)]
     vocabulary = vocabulary_of()
-    lines = shared.table(other_lines(docs))
+    lines = shared.table(other_lines(shared, docs))
     total = lines.agg(F.sum("n")).first()[0]
     if not total:
         lines, total = spark.createDataFrame([([], 1)], lines.schema), 1

@@ -267,6 +267,21 @@ def test_license_model_learns_from_every_line(spark):
     assert model.common[model.vocabulary.index("of")] == 900 / 1801
 
 
+def test_license_templates_meet_groups_of_lines(spark, monkeypatch):
+    text = "plain words of the corpus\nunder the terms of\nplain words of the corpus\nfree and unencumbered software released into the domain\n \nAll rights reserved"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "doc_id long, text string")
+    plans, write = [], Shared.write
+    monkeypatch.setattr(Shared, "write", lambda self, df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(self, df))[1])
+    licenses.train(Shared(spark, "test"), docs)
+    assert any("array_intersect" in p for p in plans)
+    assert not any("array_intersect" in p and "regexp_extract_all" in p for p in plans)
+    monkeypatch.undo()
+    lines = licenses.other_lines(Shared(spark, "test"), docs).collect()
+    known = set(licenses.vocabulary_of())
+    expected = [[g for g in licenses.grams_of(t) if g in known] for t in ("plain words of the corpus", "under the terms of")]
+    assert sorted((r.grams, r.n) for r in lines) == sorted(zip(expected, (4, 2)))
+
+
 def test_license_scan_joins_wrapped_notices(spark):
     gpl = ["// This program is free software: you can redistribute it and/or modify", "// it under the terms of the GNU General Public License as published by", "// the Free Software Foundation"]
     bsd = ["# Redistribution and use in source and binary", "# forms, with or without modification, are", "# permitted provided that the following", "# conditions are met"]
